@@ -1,0 +1 @@
+"""Reading files and tables, and tracking which files were loaded."""
