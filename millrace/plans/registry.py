@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 AREAS = (
+    "quality",
     "monitors",
 )
 
