@@ -15,6 +15,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 AREAS = (
+    "loading",
+    "files",
     "quality",
     "monitors",
 )
