@@ -17,6 +17,8 @@ SQL: dict[str, str] = {}
 AREAS = (
     "loading",
     "files",
+    "staging",
+    "joins",
     "quality",
     "monitors",
 )
