@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from millrace.functions.names import quoted
 from millrace.operators.dedup import first_row
 from millrace.operators.monitor import days, moment
+from millrace.operators.timeline import neighbour
 
 # Bounds of the row-count check and the runs it looks back on.
 ANOMALY_LOW, ANOMALY_HIGH, ANOMALY_RUNS = 0.5, 3.0, 5
@@ -118,9 +119,8 @@ def row_count_anomaly(totals: DataFrame, history: DataFrame) -> DataFrame:
 
 def data_loss_check(history: DataFrame) -> DataFrame:
     """Full refreshes that loaded fewer rows than the run before them."""
-    before = F.lag("total_row_count").over(Window.partitionBy("source").orderBy("timestamp"))
     return (
-        history.withColumn("rows_before", before)
+        neighbour(history, ["source"], "timestamp", {"total_row_count": "rows_before"})
         .where(F.col("full_refresh") & (F.col("total_row_count") < F.col("rows_before")))
         .select("source", "timestamp", "rows_before", F.col("total_row_count").alias("rows_after"))
     )

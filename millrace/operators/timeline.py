@@ -7,7 +7,7 @@ bucket is compared across buckets.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,27 +18,32 @@ from millrace.functions.names import quoted
 
 def next_time(df: DataFrame, keys: Sequence[str], ts: str, out: str = "next_time", bucket: str = "day") -> DataFrame:
     """Add the time of the key's following row (NULL for its last one)."""
-    return _neighbour(df, keys, ts, out, bucket, forward=True)
+    return neighbour(df, keys, ts, {ts: out}, bucket, forward=True)
 
 
 def previous_time(df: DataFrame, keys: Sequence[str], ts: str, out: str = "previous_time", bucket: str = "day") -> DataFrame:
     """Add the time of the key's preceding row (NULL for its first one)."""
-    return _neighbour(df, keys, ts, out, bucket, forward=False)
+    return neighbour(df, keys, ts, {ts: out}, bucket, forward=False)
 
 
-def _neighbour(df: DataFrame, keys: Sequence[str], ts: str, out: str, bucket: str, forward: bool) -> DataFrame:
+def neighbour(df: DataFrame, keys: Sequence[str], ts: str, columns: Mapping[str, str], bucket: str = "day", forward: bool = False) -> DataFrame:
+    """Add columns of the key's following or preceding row, under new names.
+
+    Times of a key should differ; rows of the same time follow each other in no certain order.
+    """
     names = [quoted(k) for k in keys]
-    dtype = df.schema[ts].dataType
-    rows = df.withColumn("_bucket", F.date_trunc(bucket, F.col(quoted(ts))).cast(dtype))
+    rows = df.withColumn("_bucket", F.date_trunc(bucket, F.col(quoted(ts))).cast(df.schema[ts].dataType))
+    carried = F.struct(*[F.col(quoted(c)).alias(out) for c, out in columns.items()])
     step = F.lead if forward else F.lag
     inside = Window.partitionBy(*names, "_bucket").orderBy(quoted(ts))
-    # One row per key and bucket, combined map-side.
-    edge = F.min(quoted(ts)) if forward else F.max(quoted(ts))
+    # One row per key and bucket, combined map-side: its first row seen from before, its last from after.
+    edge = F.min_by(carried, quoted(ts)) if forward else F.max_by(carried, quoted(ts))
     edges = rows.groupBy(*names, "_bucket").agg(edge.alias("_edge"))
     across = edges.withColumn("_beyond", step("_edge").over(Window.partitionBy(*names).orderBy("_bucket"))).drop("_edge")
-    near = rows.withColumn("_near", step(quoted(ts)).over(inside))
+    near = rows.withColumn("_near", step(carried).over(inside))
     a, b = near.alias("a"), across.alias("b")
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*names, "_bucket"]]
+    found = F.coalesce("a._near", "b._beyond")
     return a.join(b, same, "left").select(
-        *[F.col(f"a.{quoted(c)}") for c in df.columns], F.coalesce("a._near", "b._beyond").alias(out)
+        *[F.col(f"a.{quoted(c)}") for c in df.columns], *[found.getField(out).alias(out) for out in columns.values()]
     )

@@ -158,7 +158,7 @@ WITH k AS (SELECT 'day=' || strftime(ts, '%Y-%m-%d') AS file_path, list_sort(lis
 w AS (SELECT arg_min(columns, file_path) AS want FROM k),
 d AS (SELECT file_path, list_sort(list_filter(columns, lambda x: NOT list_contains(want, x))) AS extra,
              list_sort(list_filter(want, lambda x: NOT list_contains(columns, x))) AS missing FROM k, w)
-SELECT * FROM d WHERE len(extra) > 0 OR len(missing) > 0
+SELECT file_path, array_to_string(extra, '|') AS extra, array_to_string(missing, '|') AS missing FROM d WHERE len(extra) > 0 OR len(missing) > 0
 """,
 )
 def _validate_file_schemas(t: Tables) -> DataFrame:
@@ -167,7 +167,8 @@ def _validate_file_schemas(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     only = [F.when(k == i, F.col("value")).alias(f"k{i}") for i in range(100)]
     t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), *only).write.partitionBy("day").json(folder)
-    return files.validate_file_schemas(files.file_columns(t.spark, folder, unit="folder"))
+    bad = files.validate_file_schemas(files.file_columns(t.spark, folder, unit="folder"))
+    return bad.withColumns({c: F.array_join(c, "|") for c in ("extra", "missing")})
 
 
 @query(

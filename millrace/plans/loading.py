@@ -284,13 +284,14 @@ def _incremental_lag(t: Tables) -> DataFrame:
 @query(
     "clamp_start",
     """
-SELECT o_custkey, greatest(CAST(max(o_orderdate) AS DATE) - 28, CAST(DATE '2001-08-01' - INTERVAL 37 MONTH AS DATE)) AS start_date
+SELECT o_custkey, CAST(greatest(CAST(max(o_orderdate) AS DATE) - 28, CAST(DATE '2001-08-01' - INTERVAL 37 MONTH AS DATE)) AS VARCHAR) AS start_date
 FROM orders GROUP BY 1
 """,
 )
 def _clamp_start(t: Tables) -> DataFrame:
     last = t.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
-    return last.select("o_custkey", load.clamp_start(F.col("last"), 28, F.lit("2001-08-01").cast("timestamp_ntz")).alias("start_date"))
+    start = load.clamp_start(F.col("last"), 28, F.lit("2001-08-01").cast("timestamp_ntz"))
+    return last.select("o_custkey", start.cast("string").alias("start_date"))
 
 
 @query(
@@ -306,7 +307,7 @@ def _date_range_filter(t: Tables) -> DataFrame:
     "backfill_window",
     """
 WITH d AS (SELECT o_orderkey, CAST(o_orderkey % 40 AS VARCHAR) || CASE o_orderstatus WHEN 'F' THEN 'd' WHEN 'O' THEN 'W' ELSE 'x' END AS duration, o_orderdate FROM orders)
-SELECT o_orderkey, duration, n_days, CAST(o_orderdate AS DATE) - n_days AS start_date,
+SELECT o_orderkey, duration, n_days, CAST(CAST(o_orderdate AS DATE) - n_days AS VARCHAR) AS start_date,
        o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 60 DAY AS in_2m
 FROM (SELECT *, CASE WHEN regexp_full_match(duration, '[1-9][0-9]*[dwmDWM]')
       THEN CAST(regexp_extract(duration, '^(\\d+)', 1) AS INTEGER) * CASE lower(right(duration, 1)) WHEN 'd' THEN 1 WHEN 'w' THEN 7 ELSE 30 END END AS n_days FROM d)
@@ -319,7 +320,7 @@ def _backfill_window(t: Tables) -> DataFrame:
     marked = rows.join(kept.select("o_orderkey", F.lit(True).alias("_in")), "o_orderkey", "left")
     n = load.backfill_days(F.col("duration"))
     return marked.select(
-        "o_orderkey", "duration", n.alias("n_days"), F.date_sub(F.to_date("o_orderdate"), n).alias("start_date"),
+        "o_orderkey", "duration", n.alias("n_days"), F.date_sub(F.to_date("o_orderdate"), n).cast("string").alias("start_date"),
         F.coalesce("_in", F.lit(False)).alias("in_2m"),
     )
 
@@ -330,7 +331,7 @@ def _backfill_window(t: Tables) -> DataFrame:
 WITH {LOADS},
 req AS (SELECT 'u' || user_id AS source, CAST(DATE '2024-01-01' + CAST(user_id % 4 AS INTEGER) AS DATE) AS start_date FROM events GROUP BY user_id),
 e AS (SELECT source, min(start_date) AS gap_end FROM loads WHERE status = 'success' GROUP BY 1)
-SELECT source, start_date AS gap_start, gap_end FROM req JOIN e USING (source) WHERE start_date < gap_end
+SELECT source, CAST(start_date AS VARCHAR) AS gap_start, CAST(gap_end AS VARCHAR) AS gap_end FROM req JOIN e USING (source) WHERE start_date < gap_end
 """,
 )
 def _gap_fill(t: Tables) -> DataFrame:
@@ -339,7 +340,7 @@ def _gap_fill(t: Tables) -> DataFrame:
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("user_id") % 4).cast("int")).alias("start_date"),
     )
-    return load.gap_fill(requests, loads(t))
+    return load.gap_fill(requests, loads(t)).select("source", F.col("gap_start").cast("string"), F.col("gap_end").cast("string"))
 
 
 @query(

@@ -80,7 +80,7 @@ def sample_sql(table: str, columns: list[str], n: int) -> str:
     return f"""
 WITH vals AS (SELECT DISTINCT column_name, v FROM ({union}) WHERE v IS NOT NULL AND v <> ''),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY md5(v)) AS nth FROM vals)
-SELECT column_name, list(v ORDER BY v) AS sample_values FROM ranked WHERE nth <= {n} GROUP BY column_name"""
+SELECT column_name, string_agg(v, '|' ORDER BY v) AS sample_values FROM ranked WHERE nth <= {n} GROUP BY column_name"""
 
 
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
@@ -88,7 +88,8 @@ CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
 
 @query("profile_sample_values", sample_sql("customer", CUSTOMER, 5))
 def _profile_sample_values(t: Tables) -> DataFrame:
-    return profile.profile_sample_values(t.customer.select(*CUSTOMER)).drop("sample_json")
+    samples = profile.profile_sample_values(t.customer.select(*CUSTOMER))
+    return samples.select("column_name", F.array_join("sample_values", "|").alias("sample_values"))
 
 
 @query(
@@ -103,7 +104,7 @@ EXCEPT SELECT 'orders', 'o_custkey', 'not_null'
 )
 def _suggest_tests(t: Tables) -> DataFrame:
     orders = t.orders.withColumnRenamed("o_orderkey", "id")
-    # The test of o_custkey is configured already, found among the columns the customers are joined on.
+    # The test of o_custkey is configured already and not suggested again.
     configured = t.spark.createDataFrame([("orders", "o_custkey", "not_null")], "table_name string, column_name string, test string")
     return quality.suggest_tests(profile.profile_table(orders, "erp", "orders"), ["id"], configured)
 
@@ -185,23 +186,24 @@ def _dq_report(t: Tables) -> DataFrame:
     "cursor_validation",
     """
 SELECT 'event_id' AS "cursor", true AS column_exists, 'bigint' AS data_type, 0::BIGINT AS null_count,
-       (SELECT list(CAST(event_id AS VARCHAR) ORDER BY event_id DESC) FROM (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 5)) AS sample_values,
-       []::VARCHAR[] AS issues, true AS valid
+       (SELECT string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY event_id DESC) FROM (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 5)) AS sample_values,
+       '' AS issues, true AS valid
 UNION ALL
 SELECT 'paid_day', true, 'date', count(*) FILTER (o_orderstatus <> 'F'),
-       (SELECT list(CAST(d AS VARCHAR) ORDER BY d DESC) FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'F' ORDER BY d DESC LIMIT 5)),
-       [count(*) FILTER (o_orderstatus <> 'F') || ' NULL values found in cursor field'], false FROM orders
+       (SELECT string_agg(CAST(d AS VARCHAR), '|' ORDER BY d DESC) FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'F' ORDER BY d DESC LIMIT 5)),
+       count(*) FILTER (o_orderstatus <> 'F') || ' NULL values found in cursor field', false FROM orders
 UNION ALL
-SELECT 'absent', false, NULL, NULL, []::VARCHAR[], ['Cursor field ''absent'' not found in table'], false
+SELECT 'absent', false, NULL, NULL, '', 'Cursor field ''absent'' not found in table', false
 """,
 )
 def _cursor_validation(t: Tables) -> DataFrame:
     orders = t.orders.withColumn("paid_day", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("date")))
-    return (
+    checks = (
         quality.cursor_validation(t.events, "event_id")
         .unionByName(quality.cursor_validation(orders, "paid_day"))
         .unionByName(quality.cursor_validation(t.orders, "absent"))
     )
+    return checks.withColumns({c: F.array_join(c, "|") for c in ("sample_values", "issues")})
 
 
 @query(

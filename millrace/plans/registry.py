@@ -21,6 +21,8 @@ AREAS = (
     "joins",
     "quality",
     "monitors",
+    "governance",
+    "lineage",
 )
 
 

@@ -27,19 +27,21 @@ def raw_orders(t: Tables) -> DataFrame:
 
 @query(
     "staging_projection",
-    "SELECT o_orderkey AS order_key, o_totalprice AS total_price_eur, CAST(o_orderdate AS DATE) AS order_date, o_orderdate AS start_date FROM orders",
+    "SELECT o_orderkey AS order_key, o_totalprice AS total_price_eur, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_date, o_orderdate AS start_date FROM orders",
 )
 def _staging_projection(t: Tables) -> DataFrame:
-    return staging.staging_projection(raw_orders(t))
+    # As text, a date shows that it has no time any more.
+    return staging.staging_projection(raw_orders(t)).withColumn("order_date", F.col("order_date").cast("string"))
 
 
 @query(
     "staging_date_cast",
-    "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS \"order date\", o_orderdate AS start_date, o_orderdate AS updated FROM orders",
+    "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS \"order date\", o_orderdate AS start_date, o_orderdate AS updated FROM orders",
 )
 def _staging_date_cast(t: Tables) -> DataFrame:
     day = F.col("o_orderdate")
-    return staging.staging_date_cast(t.orders.select("o_orderkey", day.alias("order date"), day.alias("start_date"), day.alias("updated")))
+    cast = staging.staging_date_cast(t.orders.select("o_orderkey", day.alias("order date"), day.alias("start_date"), day.alias("updated")))
+    return cast.withColumn("order date", F.col("order date").cast("string"))
 
 
 CHANGES = "changes AS (SELECT l_orderkey AS order_id, l_shipdate AS updated_at, l_linenumber AS line, l_quantity AS quantity FROM lineitem)"
