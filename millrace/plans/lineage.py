@@ -7,15 +7,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import lineage
+from millrace.operators import drift, lineage, pii
 from millrace.plans.governance import EVENTS, NOW, TABLES, both_schemas, scan_sql
-from millrace.operators import drift, pii
 from millrace.plans.loading import LOADS, loads
 from millrace.plans.registry import Tables, query
 from millrace.session import new_folder
 
-# nation -> customer -> order and nation -> supplier -> order (a diamond); urgent orders lead
-# back to a region (a cycle).
+# nation -> customer -> order and nation -> supplier -> order (a diamond); urgent orders
+# depend on themselves (a cycle).
 EDGES = """
 edges AS (
   SELECT DISTINCT * FROM (
@@ -24,23 +23,23 @@ edges AS (
     UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey FROM supplier
     UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders
     UNION ALL SELECT 'supplier:' || l_suppkey, 'order:' || l_orderkey FROM lineitem
-    UNION ALL SELECT 'order:' || o_orderkey, 'region:' || o_custkey % 5 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'))
+    UNION ALL SELECT 'order:' || o_orderkey, 'order:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'))
 """
 
 
-def name(kind: str, key):
-    return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string") if isinstance(key, str) else key.cast("string"))
+def name(kind: str, key: str):
+    return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
 def edges(t: Tables) -> DataFrame:
-    urgent = t.orders.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'")
     pairs = [
         (t.nation, name("region", "n_regionkey"), name("nation", "n_nationkey")),
         (t.customer, name("nation", "c_nationkey"), name("customer", "c_custkey")),
         (t.supplier, name("nation", "s_nationkey"), name("supplier", "s_suppkey")),
         (t.orders, name("customer", "o_custkey"), name("order", "o_orderkey")),
         (t.lineitem, name("supplier", "l_suppkey"), name("order", "l_orderkey")),
-        (urgent, name("order", "o_orderkey"), name("region", F.col("o_custkey") % 5)),
+        (urgent, name("order", "o_orderkey"), name("order", "o_orderkey")),
     ]
     out = None
     for df, src, dst in pairs:
@@ -85,18 +84,15 @@ def _lineage_nodes(t: Tables) -> DataFrame:
     f"""
 WITH RECURSIVE {EDGES},
 walk AS (
-  SELECT src AS root, dst AS node, [src, dst] AS path, src = dst AS is_cycle FROM edges WHERE src = 'region:1'
+  SELECT src AS root, dst AS node, [src, dst] AS path, src = dst AS is_cycle FROM edges WHERE src LIKE 'region:%'
   UNION ALL
-  SELECT w.root, e.dst, list_append(w.path, e.dst), list_contains(w.path, e.dst) FROM walk w JOIN edges e ON w.node = e.src WHERE NOT w.is_cycle AND len(w.path) < 5)
+  SELECT w.root, e.dst, list_append(w.path, e.dst), list_contains(w.path, e.dst) FROM walk w JOIN edges e ON w.node = e.src WHERE NOT w.is_cycle)
 SELECT root, node, CAST(len(path) - 1 AS INTEGER) AS depth, array_to_string(path, ' > ') AS path, is_cycle, len(path) = 2 AS is_direct FROM walk
 """,
 )
 def _impact_tree(t: Tables) -> DataFrame:
-    # Orders lead back to any region; beyond the one asked for, the walk would cover everything
-    # per path, so regions other than the root have no way on here.
-    flow = edges(t).where("src NOT LIKE 'region:%' OR src = 'region:1'")
-    roots = flow.where("src = 'region:1'").select(F.col("src").alias("node_id")).distinct()
-    return lineage.impact_tree(flow, roots).withColumn("path", F.array_join("path", " > "))
+    flow = edges(t)
+    return lineage.impact_tree(flow, t.region.select(name("region", "r_regionkey").alias("node_id"))).withColumn("path", F.array_join("path", " > "))
 
 
 @query(

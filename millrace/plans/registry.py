@@ -23,6 +23,8 @@ AREAS = (
     "monitors",
     "governance",
     "lineage",
+    "reshape",
+    "streams",
 )
 
 

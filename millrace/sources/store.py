@@ -29,6 +29,10 @@ VERSIONS = T.StructType(
 )
 
 
+# Partitions listed by name in a filter.
+MAX_LISTED = 1000
+
+
 class EmptyReplaceError(RuntimeError):
     """A replace without rows over a table that has some."""
 
@@ -104,9 +108,15 @@ def merge_partitions(
 ) -> None:
     """Upsert into a parquet table partitioned by a column that never changes for a key.
 
-    Only the partitions the batch touches are read (the semi join prunes them) and replaced.
+    Only the partitions the batch touches are read and replaced: up to some number they are
+    listed in the filter, which prunes the scan, beyond it a semi join does.
     """
     target = spark.read.schema(batch.schema).parquet(path)
-    touched = target.join(batch.select(partition).distinct(), partition, "left_semi").select(*batch.columns)
-    merged = load.write_merge(touched, batch, keys, latest_by)
+    days = batch.select(partition).distinct()
+    few = [r[0] for r in days.limit(MAX_LISTED + 1).collect()]
+    if len(few) <= MAX_LISTED and None not in few:
+        touched = target.where(F.col(partition).isin(*few))
+    else:
+        touched = target.join(days, partition, "left_semi").select(*batch.columns)
+    merged = load.write_merge(touched, batch, keys, latest_by).select(*batch.columns)
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
