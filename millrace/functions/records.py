@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.casts import WHOLE, to_double, to_long
 from millrace.functions.names import normalize_name, quoted
 from millrace.operators.dedup import first_row
 from millrace.operators.load import without_keys, write_merge
@@ -93,11 +94,11 @@ def flatten_struct(df: DataFrame, segments: str = "segments", metrics: str = "me
 
 def _metric(value: Column, name: str) -> Column:
     if name == "cost_micros":
-        return F.coalesce(value.try_cast("double") / MICROS, F.lit(0.0)).alias("cost")
+        return F.coalesce(to_double(value.cast("string")) / MICROS, F.lit(0.0)).alias("cost")
     if name in INTEGER_METRICS:
-        return value.try_cast("bigint").alias(name)
+        return to_long(value.cast("string")).alias(name)
     if name in FLOAT_METRICS:
-        return value.try_cast("double").alias(name)
+        return to_double(value.cast("string")).alias(name)
     return value.alias(name)
 
 
@@ -346,7 +347,7 @@ def bson_normalize(column: Column) -> Column:
     wrapped = F.from_json(column, EXTENDED)
     stamp = F.date_format(F.timestamp_seconds(wrapped["$timestamp"]["t"]), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     day = wrapped["$date"]
-    when = F.date_format(F.coalesce(F.timestamp_millis(day.try_cast("bigint")), F.try_to_timestamp(day)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    when = F.date_format(F.when(day.rlike(WHOLE), F.timestamp_millis(to_long(day))).otherwise(F.try_to_timestamp(day)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     unwrapped = F.coalesce(
         wrapped["$oid"], wrapped["$numberDecimal"], wrapped["$numberLong"], when, stamp, wrapped["$regularExpression"]["pattern"]
     )

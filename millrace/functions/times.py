@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.casts import WHOLE, to_double, to_long
 from millrace.functions.names import quoted
 
 # Day 0 of spreadsheet serial numbers, and the bound above which an epoch is in ms.
@@ -45,21 +46,21 @@ def serial_to_date(serial: Column) -> Column:
 
 def epoch_normalize(value: Column) -> Column:
     """Epoch seconds or milliseconds, a number or text; NULL for 0 and for what is no number."""
-    number = value.try_cast("double")
+    number = to_double(value.cast("string"))
     seconds = F.when(number > MILLIS_ABOVE, number / 1000).otherwise(number)
     return F.when(number != 0, after("1970-01-01", F.round(seconds, 6)))
 
 
 def datetime_iso_normalize(value: Column) -> Column:
     """Milliseconds or ISO text as ``yyyy-MM-ddTHH:mm:ss.SSSSSSZ``."""
-    millis = value.cast("string").try_cast("bigint")
-    moment = F.coalesce(F.timestamp_millis(millis), F.try_to_timestamp(value.cast("string")))
+    text = value.cast("string")
+    moment = F.when(text.rlike(WHOLE), F.timestamp_millis(to_long(text))).otherwise(F.try_to_timestamp(text))
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def iso_week_start(text: Column) -> Column:
     """Monday of an ISO week written yyyyww: week 1 is the one with January 4th."""
-    year, week = F.substr(text, F.lit(1), F.lit(4)).try_cast("int"), F.substr(text, F.lit(5)).try_cast("int")
+    year, week = (to_long(part).cast("int") for part in (F.substr(text, F.lit(1), F.lit(4)), F.substr(text, F.lit(5), F.lit(2))))
     fourth = F.make_date(year, F.lit(1), F.lit(4))
     monday = F.date_sub(fourth, F.weekday(fourth))
     valid = F.length(text).between(5, 6) & week.between(1, 53) & year.between(1, 9999)
@@ -79,7 +80,7 @@ def metric_type_cast(value: Column, kind: int) -> Column:
     """By declared kind: 0 text, 1 whole number, others floating point."""
     if kind == 0:
         return value
-    return value.try_cast("bigint") if kind == 1 else value.try_cast("double")
+    return to_long(value) if kind == 1 else to_double(value)
 
 
 def cast_metrics(df: DataFrame, kinds: Mapping[str, int]) -> DataFrame:

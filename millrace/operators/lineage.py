@@ -53,7 +53,7 @@ def impact_tree(edges: DataFrame, roots: DataFrame, label: str = "impact") -> Da
     is written to the shared folder, so a lost executor repeats one level and the plan stays
     short. Stops at the first level without paths.
     """
-    flow = edges.select("src", "dst").distinct()
+    flow = materialize(edges.select("src", "dst").distinct(), f"{label}-edges")
     level = roots.select(F.col("node_id").alias("root"), F.col("node_id").alias("node"), F.array("node_id").alias("path"), F.lit(False).alias("is_cycle"))
     out = None
     while True:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.functions.casts import to_long
 from millrace.functions.names import quoted
 from millrace.operators.dedup import first_row
 from millrace.operators.monitor import days, moment
@@ -241,7 +242,7 @@ def duration_days(text: str) -> int:
 
 def backfill_days(text: Column) -> Column:
     """The same for a column of durations; NULL for what is not one."""
-    n = F.regexp_extract(text, r"^(\d+)([dwmDWM])$", 1).try_cast("int")
+    n = to_long(F.regexp_extract(text, r"^(\d+)([dwmDWM])$", 1)).try_cast("int")
     unit = F.lower(F.regexp_extract(text, r"^(\d+)([dwmDWM])$", 2))
     table = F.create_map(*[F.lit(v) for pair in DURATION_DAYS.items() for v in pair])
     return F.when(n > 0, n * F.try_element_at(table, unit))

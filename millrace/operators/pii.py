@@ -76,28 +76,35 @@ def phone_score(text: Column) -> Column:
     return F.when(text.rlike(PHONE_INTL), PHONE_INTL_SCORE).when(text.rlike(PHONE_E164), PHONE_E164_SCORE)
 
 
-# entity -> (hits of a text, score of a text that has hits)
-RECOGNISERS: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {
-    "EMAIL_ADDRESS": (_count(EMAIL), lambda text: F.lit(1.0)),
-    "PHONE_NUMBER": (_count(PHONE_ANY), lambda text: F.coalesce(phone_score(text), F.lit(0.5))),
-    "CREDIT_CARD": (count_cards, lambda text: F.lit(1.0)),
-    "US_SSN": (_count(SSN), lambda text: F.lit(0.5)),
-    "IP_ADDRESS": (_count(IP), lambda text: F.lit(0.6)),
-    "IBAN_CODE": (count_ibans, lambda text: F.lit(1.0)),
+# What a text must have for a recogniser to look at it: most text is passed over by one cheap search.
+AT, DIGIT = "_with_at", "_with_digit"
+
+# entity -> (what the text must have, hits of a text, score of a text with hits)
+RECOGNISERS: dict[str, tuple[str, Callable[[Column], Column], Callable[[Column], Column]]] = {
+    "EMAIL_ADDRESS": (AT, _count(EMAIL), lambda text: F.lit(1.0)),
+    "PHONE_NUMBER": (DIGIT, _count(PHONE_ANY), lambda text: F.coalesce(phone_score(text), F.lit(0.5))),
+    "CREDIT_CARD": (DIGIT, count_cards, lambda text: F.lit(1.0)),
+    "US_SSN": (DIGIT, _count(SSN), lambda text: F.lit(0.5)),
+    "IP_ADDRESS": (DIGIT, _count(IP), lambda text: F.lit(0.6)),
+    "IBAN_CODE": (DIGIT, count_ibans, lambda text: F.lit(1.0)),
 }
+PERSON_SCORE = 0.85
 
 
 def detect(values: DataFrame, person: Callable[[Column], Column] | None = None) -> DataFrame:
     """Hits per value and entity: every recogniser in one pass over ``value``."""
-    known = dict(RECOGNISERS)
-    if person is not None:
-        known["PERSON"] = (person, lambda text: F.lit(0.85))
     text = F.col("value")
-    found = F.array(
-        *[F.struct(F.lit(e).alias("entity_type"), hits(text).cast("bigint").alias("hits"), score(text).cast("double").alias("score")) for e, (hits, score) in known.items()]
-    )
-    strong = F.filter(found, lambda f: (f["hits"] > 0) & (f["score"] >= MIN_SCORE))
-    return values.select("*", F.inline(strong))
+    counts = {entity: hits(F.col(needs)) for entity, (needs, hits, _) in RECOGNISERS.items()}
+    score = F.lit(PERSON_SCORE)
+    for entity, (_, _, scored) in RECOGNISERS.items():
+        score = F.when(F.col("entity_type") == entity, scored(text)).otherwise(score)
+    if person is not None:
+        counts["PERSON"] = person(text)
+    found = F.array(*[F.struct(F.lit(e).alias("entity_type"), c.cast("bigint").alias("hits")) for e, c in counts.items()])
+    # A NULL text gives a NULL count, so a text without digits costs the search for one.
+    marked = values.withColumns({AT: F.when(F.contains(text, F.lit("@")), text), DIGIT: F.when(text.rlike("[0-9:]"), text)})
+    hit = marked.select(*[F.col(c) for c in values.columns], F.inline(F.filter(found, lambda f: f["hits"] > 0)))
+    return hit.withColumn("score", score.cast("double")).where(F.col("score") >= MIN_SCORE)
 
 
 def text_columns(df: DataFrame) -> list[T.StructField]:

@@ -42,21 +42,43 @@ def melt(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     return df.select(F.inline(pairs)).where(F.col("value").isNotNull())
 
 
-def distinct_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """Exact distinct count per column by two plain aggregations.
+def melt_typed(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """Rows (column_name, l, d, s) of all given columns, NULLs left out, in one scan.
 
-    The first combines equal values map-side, so a value held by a third of the rows is one
-    row per task; its shuffle spreads by value, not by column.
+    A value is in the slot of its type: whole numbers and times as numbers, fractions, or text.
+    Numbers are not turned into text, and long text is its digest.
     """
-    short = F.when(F.length("value") > LONG_VALUE, F.sha2("value", 256)).otherwise(F.col("value"))
-    long = F.length("value") > LONG_VALUE
-    return (
-        melt(df, fields)
-        .groupBy("column_name", short.alias("value"), long.alias("_digest"))
-        .agg(F.lit(1).alias("_one"))
-        .groupBy("column_name")
-        .agg(F.count(F.lit(1)).alias("distinct_count"))
-    )
+    pairs = []
+    for f in fields:
+        col = F.col(quoted(f.name))
+        slots = {"l": F.lit(None).cast("bigint"), "d": F.lit(None).cast("double"), "s": F.lit(None).cast("string")}
+        if isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
+            slots["l"] = col.cast("bigint")
+        elif isinstance(f.dataType, T.DateType):
+            slots["l"] = F.unix_date(col).cast("bigint")
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            slots["l"] = F.unix_micros(col.cast("timestamp"))
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            slots["d"] = col.cast("double")
+        else:
+            text = as_text(f.name, f.dataType)
+            slots["s"] = F.when(F.length(text) > LONG_VALUE, F.sha2(text, 256)).otherwise(text)
+        pairs.append(F.struct(F.lit(f.name).alias("column_name"), col.isNotNull().alias("_set"), *[v.alias(k) for k, v in slots.items()]))
+    return df.select(F.inline(F.array(*pairs))).where("_set").drop("_set")
+
+
+def value_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """How often each value of each column occurs.
+
+    Equal values combine map-side, so one held by a third of the rows is one row per task; the
+    shuffle spreads by value, not by column.
+    """
+    return melt_typed(df, fields).groupBy("column_name", "l", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """Exact distinct count per column by two plain aggregations (text over 64 characters by its sha-256)."""
+    return value_counts(df, fields).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
 
 
 def column_facts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.names import quoted
 from millrace.operators.monitor import days, moment
+from millrace.operators.profile import value_counts
 
 # Column names that are tested for uniqueness.
 UNIQUE_NAMES = ("id", "uuid", "key")
@@ -54,10 +55,7 @@ def dq_not_null(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
 
 def dq_unique(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """Values that occur more than once, per column (NULL is not a value)."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).cast("string").alias("value")) for c in columns])
-    counted = (
-        df.select(F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
+    counted = value_counts(df, [df.schema[c] for c in columns])
     failures = counted.groupBy("column_name").agg(F.count_if(F.col("n") > 1).alias("failures"))
     # A column without any value has no failures but still a result.
     named = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")

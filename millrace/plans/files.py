@@ -41,10 +41,15 @@ def _scan_sql_table(t: Tables) -> DataFrame:
     return tables["customer.parquet"].where("c_acctbal > 0")
 
 
-@query("tag_provenance")
+@query(
+    "tag_provenance",
+    """
+SELECT o_orderstatus, false AS "_src_deleted", true AS has_file, count(*) AS n, count(*) AS with_mtime, count(*) AS with_loaded_at FROM orders GROUP BY 1
+""",
+)
 def _tag_provenance(t: Tables) -> DataFrame:
     tagged = files.tag_provenance(t.spark.read.parquet(t.path("orders")))
-    return tagged.groupBy("_src_file", "_src_deleted").agg(
+    return tagged.groupBy("o_orderstatus", "_src_deleted", F.endswith("_src_file", F.lit(".parquet")).alias("has_file")).agg(
         F.count(F.lit(1)).alias("n"), F.count("_src_mtime").alias("with_mtime"), F.count("_src_loaded_at").alias("with_loaded_at")
     )
 

@@ -212,7 +212,14 @@ def _empty_with_schema(t: Tables) -> DataFrame:
     return counts.select(F.col("table_name").alias("endpoint"), F.col("row_count").alias("rows"))
 
 
-@query("partial_load")
+@query(
+    "partial_load",
+    """
+SELECT 'orders' AS table_name, 'loaded' AS status, 'partial' AS load_status, count(*) AS row_count FROM orders
+UNION ALL SELECT 'customer', 'loaded', 'partial', count(*) FROM customer
+UNION ALL SELECT 'broken', 'failed', 'partial', NULL
+""",
+)
 def _partial_load(t: Tables) -> DataFrame:
     path = new_folder(t.spark, "partial")
     reads = {"orders": lambda: t.orders, "broken": lambda: t.orders.select("absent"), "customer": lambda: t.customer}
