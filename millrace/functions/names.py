@@ -36,3 +36,8 @@ def normalize_name(name: str) -> str:
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+def first_line(error: Exception) -> str:
+    """What an error says, in one line; its kind if it says nothing."""
+    return (str(error).strip() or type(error).__name__).splitlines()[0]

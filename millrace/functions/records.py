@@ -282,8 +282,10 @@ def report_explode_by_date(df: DataFrame, column: str, row_schema: str, keep: Se
     spark = df.sparkSession
     parsed = df.select(*[quoted(k) for k in keep], F.try_parse_json(quoted(column)).alias("_json"))
     days = parsed.lateralJoin(spark.tvf.variant_explode(F.col("_json").outer()))
-    text = F.to_json("value")
-    rows = F.from_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), f"array<struct<{row_schema}>>")
+    row = f"struct<{row_schema}>"
+    several = F.try_variant_get("value", "$", f"array<{row}>")
+    one = F.try_variant_get("value", "$", row)
+    rows = F.coalesce(several, F.when(one.isNotNull(), F.array(one)))
     return days.select(*[quoted(k) for k in keep], F.to_date("key").alias("date"), F.inline(rows))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace.functions.casts import to_long
-from millrace.functions.names import quoted
+from millrace.functions.names import first_line, quoted
 from millrace.operators.dedup import first_row
 from millrace.operators.monitor import days, moment
 from millrace.operators.timeline import neighbour
@@ -148,7 +148,7 @@ def partial_load(spark: SparkSession, loads: Mapping[str, Callable[[], DataFrame
             write(name, read())
             rows.append((name, "loaded", None))
         except Exception as error:  # noqa: BLE001 - whatever one table raises must not stop the others
-            rows.append((name, "failed", str(error).splitlines()[0]))
+            rows.append((name, "failed", first_line(error)))
     failed = sum(r[1] == "failed" for r in rows)
     overall = "success" if failed == 0 else "failed" if failed == len(rows) else "partial"
     return spark.createDataFrame([(*r, overall) for r in rows], "table_name string, status string, error string, load_status string")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.functions.names import first_line
+
 # Comparison kinds and limits that results depend on.
 COMPARISONS = (
     "none",
@@ -110,21 +112,51 @@ def _valid(table: DataFrame, monitor: Monitor) -> str | None:
         base = table if monitor.filter is None else table.where(monitor.filter)
         base.agg(F.expr(monitor.value)).schema  # noqa: B018 - analysis only, no job
     except (AnalysisException, ParseException) as error:
-        return str(error).splitlines()[0]
+        return first_line(error)
     return None
 
 
+def _one_scan(table: DataFrame, members: Sequence[Monitor]) -> DataFrame:
+    """Values (monitor index, metric_value) of all monitors of a table from one scan.
+
+    Each row goes to the filters it meets (one for disjoint filters), and one aggregation per
+    filter computes the expressions; it combines map-side, so the shuffle carries one row per
+    filter and task. A filter no row meets takes its values from an aggregate over no rows.
+    """
+    filters = list(dict.fromkeys(m.filter for m in members))
+    values = list(dict.fromkeys(m.value for m in members))
+    aggregates = [F.expr(v).try_cast("double").alias(f"v{i}") for i, v in enumerate(values)]
+    met = F.array_compact(F.array(*[F.lit(i) if f is None else F.when(F.expr(f), F.lit(i)) for i, f in enumerate(filters)]))
+    wanted = table if None in filters else table.where(" OR ".join(f"({f})" for f in filters))
+    if len(filters) == 1:
+        # A plain aggregate also gives its row for no input.
+        found = wanted.agg(*aggregates).withColumn("_filter", F.lit(0))
+    else:
+        seen = wanted.withColumn("_filter", F.explode(met)).groupBy("_filter").agg(*aggregates)
+        none = table.where(F.lit(False)).agg(*aggregates)
+        every = none.withColumn("_filter", F.explode(F.array(*[F.lit(i) for i in range(len(filters))]))).alias("e")
+        met_rows = seen.withColumn("_seen", F.lit(True)).alias("s")
+        both = every.join(met_rows, F.col("e._filter") == F.col("s._filter"), "left")
+        chosen = [F.when(F.col("s._seen"), F.col(f"s.v{i}")).otherwise(F.col(f"e.v{i}")).alias(f"v{i}") for i in range(len(values))]
+        found = both.select(F.col("e._filter").alias("_filter"), *chosen)
+    picks = [
+        F.when(F.col("_filter") == filters.index(m.filter), F.struct(F.lit(i).alias("i"), F.col(f"v{values.index(m.value)}").alias("metric_value")))
+        for i, m in enumerate(members)
+    ]
+    return found.select(F.inline(F.array_compact(F.array(*picks))))
+
+
 def metric_eval(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],
     monitors: Sequence[Monitor],
     now: datetime | Column,
 ) -> DataFrame:
-    """Current value of every monitor: one aggregation per distinct (table, filter).
+    """Current value of every monitor, each table scanned once whatever the number of filters.
 
     A monitor that cannot be analysed becomes a row with ``error`` and does not fail the rest.
     """
-    groups: dict[tuple[str, str | None], list[Monitor]] = {}
+    groups: dict[str, list[Monitor]] = {}
     broken: list[tuple[Monitor, str]] = []
     for m in monitors:
         if m.table not in tables:
@@ -134,25 +166,20 @@ def metric_eval(
         if complaint:
             broken.append((m, complaint))
         else:
-            groups.setdefault((m.table, m.filter), []).append(m)
+            groups.setdefault(m.table, []).append(m)
 
     parts: list[DataFrame] = []
-    for (table, condition), members in groups.items():
-        base = tables[table] if condition is None else tables[table].where(condition)
-        wide = base.agg(*[F.expr(m.value).try_cast("double").alias(f"v{i}") for i, m in enumerate(members)])
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(m.name).alias("metric_name"),
-                    F.lit(m.source).alias("source"),
-                    F.lit(m.table_name).alias("table_name"),
-                    F.col(f"v{i}").alias("metric_value"),
-                    F.lit(None).cast("string").alias("error"),
-                )
-                for i, m in enumerate(members)
-            ]
+    for table, members in groups.items():
+        label = F.element_at(F.array(*[F.struct(F.lit(m.name).alias("n"), F.lit(m.source).alias("s"), F.lit(m.table_name).alias("t")) for m in members]), F.col("i") + 1)
+        parts.append(
+            _one_scan(tables[table], members).select(
+                label["n"].alias("metric_name"),
+                label["s"].alias("source"),
+                label["t"].alias("table_name"),
+                "metric_value",
+                F.lit(None).cast("string").alias("error"),
+            )
         )
-        parts.append(wide.select(F.inline(rows)))
     if broken or not parts:
         parts.append(
             spark.createDataFrame(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.functions.names import INTERNAL_PREFIXES, NUMERIC, TEXT, quoted, user_columns, user_tables
+from millrace.functions.names import INTERNAL_PREFIXES, NUMERIC, TEXT, first_line, quoted, user_columns, user_tables
 from millrace.operators.monitor import moment
 
 # Fixed value: sample values stored per column.
@@ -138,7 +138,9 @@ def profile_table(
 def profile_distinct_approx(df: DataFrame, prefixes: Sequence[str] = INTERNAL_PREFIXES, error: float = 0.02) -> DataFrame:
     """Distinct counts by sketch: one scan, and a shuffle of one sketch per column and task."""
     fields = user_columns(df, prefixes)
-    wide = df.agg(*[F.approx_count_distinct(as_text(f.name, f.dataType), error).alias(f"d{i}") for i, f in enumerate(fields)])
+    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    values = [as_text(f.name, f.dataType) if isinstance(f.dataType, nested) else F.col(quoted(f.name)) for f in fields]
+    wide = df.agg(*[F.approx_count_distinct(v, error).alias(f"d{i}") for i, v in enumerate(values)])
     rows = [F.struct(F.lit(f.name).alias("column_name"), F.col(f"d{i}").alias("distinct_count")) for i, f in enumerate(fields)]
     return wide.select(F.inline(F.array(*rows)))
 
@@ -214,7 +216,7 @@ def profile_many(tables: Mapping[str, DataFrame], source: str, prefixes: Sequenc
         try:
             parts.append(profile_table(tables[name], source, name, prefixes=prefixes))
         except (AnalysisException, ValueError) as error:
-            errors[name] = str(error).splitlines()[0]
+            errors[name] = first_line(error)
     out = None
     for part in parts:
         out = part if out is None else out.unionByName(part)

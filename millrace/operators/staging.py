@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.functions.names import INTERNAL_PREFIXES, normalize_name, quoted, user_columns
+from millrace.functions.names import INTERNAL_PREFIXES, first_line, normalize_name, quoted, user_columns
 from millrace.operators.dedup import first_row
 from millrace.operators.monitor import moment
 from millrace.operators.timeline import next_time
@@ -205,7 +205,7 @@ def run_models(
             df = spark.sql(m.sql, **{d: {**tables, **built}[d] for d in m.depends_on})
             built[m.name] = materialize(df, f"model-{m.name}") if store else df
         except PySparkException as error:
-            errors[m.name] = str(error).splitlines()[0]
+            errors[m.name] = first_line(error)
     return {m.name: built[m.name] for m in chosen if m.name in built}, errors
 
 
@@ -226,7 +226,7 @@ def check_select(spark: SparkSession, sql: str) -> None:
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))
     except Exception as error:  # py4j wraps the parser's error
-        raise QueryRejectedError(f"not a single statement: {str(error).splitlines()[0]}") from error
+        raise QueryRejectedError(f"not a single statement: {first_line(error)}") from error
     name = plan.getClass().getSimpleName()
     while name in WRAPPERS:
         plan = plan.children().head() if plan.children().nonEmpty() else plan.innerChildren().head()

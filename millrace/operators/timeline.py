@@ -37,7 +37,11 @@ def neighbour(df: DataFrame, keys: Sequence[str], ts: str, columns: Mapping[str,
     step = F.lead if forward else F.lag
     inside = Window.partitionBy(*names, "_bucket").orderBy(quoted(ts))
     # One row per key and bucket, combined map-side: its first row seen from before, its last from after.
-    edge = F.min_by(carried, quoted(ts)) if forward else F.max_by(carried, quoted(ts))
+    if list(columns) == [ts]:
+        # The time alone needs no by-aggregate, whose struct buffers would make Spark sort first.
+        edge = F.struct((F.min if forward else F.max)(quoted(ts)).alias(columns[ts]))
+    else:
+        edge = (F.min_by if forward else F.max_by)(carried, quoted(ts))
     edges = rows.groupBy(*names, "_bucket").agg(edge.alias("_edge"))
     across = edges.withColumn("_beyond", step("_edge").over(Window.partitionBy(*names).orderBy("_bucket"))).drop("_edge")
     near = rows.withColumn("_near", step(carried).over(inside))

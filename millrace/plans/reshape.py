@@ -183,19 +183,17 @@ def _custom_field_pivot(t: Tables) -> DataFrame:
 @query(
     "hoist_properties",
     """
-SELECT CAST(o_orderkey AS VARCHAR) AS hs_object_id, o_totalprice AS amount, o_orderkey AS id, 'deal' AS kind,
-       (SELECT string_agg(o_orderkey || '-' || p, '|' ORDER BY p) FROM (SELECT DISTINCT l_suppkey AS p FROM lineitem WHERE l_orderkey = o_orderkey)) AS companies
-FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+SELECT CAST(l_orderkey AS VARCHAR) AS hs_object_id, l_extendedprice AS amount, l_linenumber AS id, 'deal' AS kind,
+       l_orderkey || '-' || l_suppkey || CASE WHEN l_partkey <> l_suppkey THEN '|' || l_orderkey || '-' || l_partkey ELSE '' END AS companies FROM lineitem
 """,
 )
 def _hoist_properties(t: Tables) -> DataFrame:
-    # An order's own lines are its associations; suppliers may repeat in them.
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_suppkey").alias("id")))).alias("results"))
-    key = F.col("o_orderkey").cast("string")
-    rows = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("o_orderkey").alias("id"),
-        F.struct(key.alias("hs_object_id"), F.col("o_totalprice").alias("amount")).alias("properties"),
-        F.struct(F.struct("results").alias("companies")).alias("associations"),
+    # A line's supplier twice and its part as associations: the repeated one counts once.
+    ids = F.array(*[F.struct(F.col(c).alias("id")) for c in ("l_suppkey", "l_partkey", "l_suppkey")])
+    rows = t.lineitem.select(
+        F.col("l_linenumber").alias("id"),
+        F.struct(F.col("l_orderkey").cast("string").alias("hs_object_id"), F.col("l_extendedprice").alias("amount")).alias("properties"),
+        F.struct(F.struct(ids.alias("results")).alias("companies")).alias("associations"),
     )
     out = records.hoist_properties(rows, ["companies"], {"kind": "deal"})
     pairs = F.transform("companies", lambda c: F.concat_ws("-", c["value"], c["companies_id"].cast("string")))
@@ -331,27 +329,28 @@ def _attribute_pivot(t: Tables) -> DataFrame:
 @query(
     "nested_totals",
     """
-SELECT conv_id, count(*) FILTER (role = 'system') AS reactions, count(*) FILTER (role = 'system') * 10 AS "reactions_totalCount", count(*) AS comments,
-       count(*) * 2 AS "comments_totalCount", CAST(sum(length(text)) AS BIGINT) AS inner_total FROM conversations GROUP BY 1
+SELECT conv_id, turn, role AS reactions, length(text)::BIGINT AS "reactions_totalCount", turn || ':' || role || ':' || turn * 2 || '|' || turn + 1 || ':' || role || ':' || 0 AS comments,
+       CASE WHEN role = 'user' THEN 0 ELSE turn * 10 END AS "comments_totalCount" FROM conversations
 """,
 )
 def _nested_totals(t: Tables) -> DataFrame:
-    # A conversation's turns as the comments of an issue.
-    comment = F.struct(
-        F.col("turn").alias("id"),
-        F.struct(F.array(F.col("role")).alias("nodes"), F.length("text").cast("bigint").alias("totalCount")).alias("reactions"),
-    )
-    system = F.collect_list(F.when(F.col("role") == "system", F.col("role")))
-    issues = t.conversations.groupBy("conv_id").agg(
-        F.struct(system.alias("nodes"), (F.size(system) * 10).cast("bigint").alias("totalCount")).alias("reactions"),
-        F.struct(F.collect_list(comment).alias("nodes"), (F.count(F.lit(1)) * 2).alias("totalCount")).alias("comments"),
+    # A message as an issue with two comments; a missing total counts as 0.
+    def connection(nodes, total):
+        return F.struct(nodes.alias("nodes"), total.cast("bigint").alias("totalCount"))
+
+    def comment(key, total):
+        return F.struct(key.alias("id"), connection(F.array("role"), total).alias("reactions"))
+
+    turn = F.col("turn")
+    issues = t.conversations.select(
+        "conv_id",
+        "turn",
+        connection(F.array("role"), F.length("text")).alias("reactions"),
+        connection(F.array(comment(turn, turn * 2), comment(turn + 1, F.lit(None))), F.when(F.col("role") != "user", turn * 10)).alias("comments"),
     )
     out = records.nested_totals(issues)
-    inner = F.aggregate(F.transform("comments", lambda c: c["reactions_totalCount"]), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return out.select(
-        "conv_id", F.size("reactions").cast("bigint").alias("reactions"), "reactions_totalCount", F.size("comments").cast("bigint").alias("comments"),
-        "comments_totalCount", inner.alias("inner_total"),
-    )
+    inner = F.transform("comments", lambda c: F.concat_ws(":", c["id"].cast("string"), F.array_join(c["reactions"], ","), c["reactions_totalCount"].cast("string")))
+    return out.select("conv_id", "turn", F.array_join("reactions", ",").alias("reactions"), "reactions_totalCount", F.array_join(inner, "|").alias("comments"), "comments_totalCount")
 
 
 @query(

@@ -101,11 +101,14 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return reader.load(path)
 
 
-def upsert(spark: SparkSession, path: str, keys: Sequence[str], partition: str, latest_by: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def upsert(
+    path: str, keys: Sequence[str], partition: str, latest_by: Sequence[str], lag: tuple[str, str] | None = None
+) -> Callable[[DataFrame, int], None]:
     """A batch function that merges into a partitioned table.
 
     Replaying a batch after a failure leaves the same rows, since it merges by key; only the
-    partitions a batch touches are rewritten.
+    partitions a batch touches are rewritten. ``lag`` is a time column and an interval: rows
+    older than the newest loaded one less the interval are left out.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
@@ -120,29 +123,34 @@ def upsert(spark: SparkSession, path: str, keys: Sequence[str], partition: str,
             once = write_merge(session.createDataFrame([], batch.schema), batch, keys, latest_by)
             once.write.partitionBy(partition).parquet(path)
             return
-        merge_partitions(session, path, batch, keys, partition, latest_by)
+        fresh = batch if lag is None else batch.where(F.col(lag[0]) >= lag_start(session, path, batch.schema, partition, *lag))
+        merge_partitions(session, path, fresh, keys, partition, latest_by)
 
     return apply
 
 
+def lag_start(spark: SparkSession, path: str, schema: T.StructType, partition: str, ts: str, interval: str) -> Column:
+    """The newest time of a table less an interval. The partition grows with the time, so only
+    the last one is read for it."""
+    stored = spark.read.schema(schema).parquet(path)
+    last = stored.agg(F.max(partition)).first()[0]
+    newest = stored.where(F.col(partition) == last).agg(F.max(ts)).first()[0]
+    return F.lit(newest) - F.expr(f"INTERVAL {interval}")
+
+
 def stream_files(
     files: DataFrame, path: str, checkpoint: str, keys: Sequence[str], partition: str, latest_by: Sequence[str], interval: str | None = None
 ) -> None:
     """Load files as they arrive and merge them by key; the trigger interval is the quiet period."""
-    spark = files.sparkSession
-    run(files.writeStream.foreachBatch(upsert(spark, path, keys, partition, latest_by)), checkpoint, interval)
+    run(files.writeStream.foreachBatch(upsert(path, keys, partition, latest_by)), checkpoint, interval)
 
 
 def lag_merge_stream(
     rows: DataFrame, path: str, checkpoint: str, keys: Sequence[str], partition: str, ts: str, lag: str, interval: str | None = None
 ) -> None:
-    """Upsert by key what is not older than the newest row less a lag; later corrections win.
-
-    The watermark only drops what is too late; nothing is buffered.
-    """
-    spark = rows.sparkSession
-    fresh = rows.withWatermark(ts, lag)
-    run(fresh.writeStream.foreachBatch(upsert(spark, path, keys, partition, [ts])), checkpoint, interval)
+    """Upsert by key what is not older than the newest loaded row less a lag (``3 days``);
+    later corrections win. ``partition`` grows with ``ts``, such as its day."""
+    run(rows.writeStream.foreachBatch(upsert(path, keys, partition, [ts], (ts, lag))), checkpoint, interval)
 
 
 def stream_metrics(
@@ -153,7 +161,6 @@ def stream_metrics(
     Update mode hands on windows that changed; the merge by (metric, window) keeps the last
     state, so a replayed batch changes nothing. ``keys`` are one column, the metric's name.
     """
-    spark = rows.sparkSession
     grouped = (
         rows.withWatermark(ts, late)
         .groupBy(keys[0].alias("metric_name"), F.window(ts, window).alias("w"))
@@ -161,7 +168,7 @@ def stream_metrics(
         .select("metric_name", "metric_value", F.col("w.start").alias("recorded_at"), F.date_format("w.start", "yyyy-MM").alias("month"))
     )
     # A window has one row per batch, so there is no order to choose by.
-    batch = upsert(spark, path, ["metric_name", "recorded_at"], "month", [])
+    batch = upsert(path, ["metric_name", "recorded_at"], "month", [])
     run(grouped.writeStream.outputMode("update").foreachBatch(batch), checkpoint, interval)
 
 
