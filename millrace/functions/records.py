@@ -160,7 +160,7 @@ def nested_totals(df: DataFrame) -> DataFrame:
 
 
 def child_table_name(parent: str, child: str) -> str:
-    return f"{normalize_name(parent)}__{normalize_name(child)}"
+    return "__".join(normalize_name(part) for part in [*parent.split("__"), child])
 
 
 def normalize_nested(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:

@@ -246,6 +246,10 @@ def query_select(
         check_select(spark, sql)
         result = spark.sql(sql)
     except ParseException as error:
-        raise QueryRejectedError(str(error)) from error
+        raise QueryRejectedError(first_line(error)) from error
+    finally:
+        # The query is resolved by now; its names must not stay in the session.
+        for name in tables:
+            spark.catalog.dropTempView(name)
     more = result.limit(max_rows + 1).agg((F.count(F.lit(1)) > max_rows).alias("truncated"))
     return result.limit(max_rows), more

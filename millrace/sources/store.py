@@ -90,6 +90,10 @@ class VersionedTable:
                 raise EmptyReplaceError(f"replacing {self.path} by 0 rows; the old version stays")
         self._commit("replace", [folder], df.schema)
 
+    def compact(self) -> None:
+        """Rewrite the folders of many appends as one."""
+        self._commit("compact", [self._write(self.read())], self.read().schema)
+
     def merge(self, batch: DataFrame, keys: Sequence[str], latest_by: Sequence[str] = ()) -> None:
         """Upsert by key. Rewrites the table; ``merge_partitions`` rewrites only what a batch touches."""
         self._rewrite("merge", batch, lambda old: load.write_merge(old, batch, keys, latest_by))

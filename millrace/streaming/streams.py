@@ -57,11 +57,16 @@ def stream_envelope(messages: DataFrame, process: Callable[[Column], Column] | N
 
 
 def stream_offsets_state(messages: DataFrame, unit: Sequence[str] = ("topic", "partition"), position: str = "offset") -> DataFrame:
-    """The last position of every partition or shard. Sequence numbers compare as numbers."""
-    last = F.max(F.col(position).cast("decimal(38,0)"))
+    """The last position of every partition or shard.
+
+    Sequence numbers that come as text compare as numbers: the longer one is larger, and they
+    may have more digits than a decimal holds.
+    """
     if isinstance(messages.schema[position].dataType, T.StringType):
-        return messages.groupBy(*unit).agg(last.cast("string").alias("last_position"))
-    return messages.groupBy(*unit).agg(last.cast("bigint").alias("last_position"))
+        digits = F.ltrim(F.col(position), F.lit("0"))
+        last = F.max(F.struct(F.length(digits).alias("n"), digits.alias("v")))["v"]
+        return messages.groupBy(*unit).agg(F.coalesce(F.nullif(last, F.lit("")), F.lit("0")).alias("last_position"))
+    return messages.groupBy(*unit).agg(F.max(position).alias("last_position"))
 
 
 def unread(state: DataFrame, newest: DataFrame, unit: Sequence[str] = ("topic", "partition")) -> DataFrame:

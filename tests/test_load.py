@@ -54,6 +54,10 @@ def test_versioned_table(spark):
     store.append(table(spark, (2, "b", T1)))
     store.merge(table(spark, (2, "c", T2), (3, "d", T2)), ["id"], ["at"])
     store.delete_insert(table(spark, (1, "z", T3)), ["id"])
+    store.append(table(spark, (4, "e", T3)))
+    store.delete_insert(table(spark, (4, "f", T3)), ["id"])
+    store.compact()
+    store.replace(store.read().where("id < 4"))
     assert {(r["id"], r["v"]) for r in store.read().collect()} == {(1, "z"), (2, "c"), (3, "d")}
     with pytest.raises(EmptyReplaceError):
         store.replace(table(spark, (1, "a", T1)).limit(0))

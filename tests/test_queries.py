@@ -25,7 +25,7 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, con, name):
     ours = QUERIES[name](spark, FOLDER).toArrow()
-    theirs = con.execute(SQL[name]).fetch_arrow_table()
+    theirs = con.execute(SQL[name]).to_arrow_table()
     assert oracle.difference(ours, theirs) is None
 
 
