@@ -128,12 +128,12 @@ def staleness(history: DataFrame, now: datetime | Column) -> DataFrame:
 
 
 def quality_summary(sources: DataFrame, events: DataFrame, findings: DataFrame) -> DataFrame:
-    """Drift events and personal-data columns per source."""
+    """Drift events, personal-data findings and the columns that have them, per source."""
     drift = events.groupBy("source").agg(F.count(F.lit(1)).alias("drift_event_count"))
-    columns = findings.groupBy("source", "table_name", "column_name").agg(F.lit(1).alias("_one"))
-    pii = columns.groupBy("source").agg(F.count(F.lit(1)).alias("pii_column_count"))
+    columns = findings.groupBy("source", "table_name", "column_name").agg(F.count(F.lit(1)).alias("n"))
+    pii = columns.groupBy("source").agg(F.sum("n").alias("pii_finding_count"), F.count(F.lit(1)).alias("pii_column_count"))
     out = sources.select("source").distinct().join(drift, "source", "left").join(pii, "source", "left")
-    return out.na.fill(0, ["drift_event_count", "pii_column_count"])
+    return out.na.fill(0, ["drift_event_count", "pii_finding_count", "pii_column_count"])
 
 
 # --- logs -------------------------------------------------------------------------------

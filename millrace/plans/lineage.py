@@ -148,6 +148,7 @@ def _staleness(t: Tables) -> DataFrame:
 WITH {EVENTS}, found AS ({" UNION ALL ".join("(" + scan_sql(n, "web", c, None) + ")" for n, c in TABLES.items())}),
 sources AS (SELECT DISTINCT CASE event_type WHEN 'error' THEN 'web' WHEN 'view' THEN 'app' ELSE 'shop' END AS source FROM events)
 SELECT source, (SELECT count(*) FROM drifted d WHERE d.source = sources.source) AS drift_event_count,
+       (SELECT count(*) FROM found f WHERE f.source = sources.source) AS pii_finding_count,
        (SELECT count(DISTINCT (table_name, column_name)) FROM found f WHERE f.source = sources.source) AS pii_column_count FROM sources
 """,
 )

@@ -119,12 +119,23 @@ class FileLoader:
     """Loads the files of one source into a table below ``path``."""
 
     def __init__(
-        self, spark: SparkSession, source: str, folder: str, path: str, schema: T.StructType, pattern: str = "*", unit: str = "file"
+        self,
+        spark: SparkSession,
+        source: str,
+        folder: str,
+        path: str,
+        schema: T.StructType,
+        pattern: str = "*",
+        unit: str = "file",
+        multiline: bool = False,
     ) -> None:
-        self.spark, self.source, self.schema = spark, source, schema
+        self.spark, self.source = spark, source
         self.folder, self.path = folder.rstrip("/"), path.rstrip("/")
-        self.pattern, self.unit = pattern, unit
+        self.pattern, self.unit, self.multiline = pattern, unit, multiline
         self.ledger_table = VersionedTable(spark, f"{self.path}/ledger")
+        # An empty versioned table whose schema is the table's: it grows with the files.
+        self.schema_table = VersionedTable(spark, f"{self.path}/schema")
+        self.schema = self.schema_table.read().schema if self.schema_table.exists() else schema
 
     def ledger(self) -> DataFrame:
         return self.ledger_table.read() if self.ledger_table.exists() else self.spark.createDataFrame([], LEDGER)
@@ -142,8 +153,10 @@ class FileLoader:
     def sync(self, now: datetime | Column, listing: DataFrame | None = None, evolve: bool = False) -> DataFrame:
         """Bring the table to the state of the files; returns the outcome per unit.
 
-        Order matters for a crash in between: rows first, ledger last. A run that is repeated
-        replaces the same partitions again.
+        With ``evolve`` new columns of the files are added, with the types found in them; rows
+        loaded before read as NULL there. Without it, other columns than the table's are an
+        error before anything is loaded. Order matters for a crash in between: rows first, ledger
+        last. A run that is repeated replaces the same partitions again.
         """
         # The outcome is used three times and its files may change meanwhile: fix it.
         found = classify_files(self.listing() if listing is None else listing, self.ledger())
@@ -151,9 +164,14 @@ class FileLoader:
         # Paths of this load only; the reader's own file index holds the same list.
         wanted = [r["file_path"] for r in found.where(F.col("state").isin("new", "updated")).select("file_path").collect()]
         if wanted:
-            if not evolve:
-                self._check_columns(wanted)
-            self._write_rows(wanted, now)
+            # One look at the CSV headers serves the check and the read.
+            inputs = files.unit_paths(self.folder, self.unit, "csv", wanted)
+            headers = files.csv_headers(self.spark, inputs, self.pattern) if inputs else []
+            if evolve:
+                self._grow_schema(wanted, headers)
+            else:
+                self._check_columns(wanted, headers)
+            self._write_rows(wanted, now, headers)
         outcome = self._outcome(found, bool(wanted), now)
         changes = outcome.where(
             (F.col("state") == "deleted") | (F.col("state").isin("new", "updated") & (F.col("rows_loaded") > 0))
@@ -169,15 +187,37 @@ class FileLoader:
         self.ledger_table.replace(file_ledger(self.ledger(), changes), allow_empty=True)
         return outcome
 
-    def _check_columns(self, wanted: Sequence[str]) -> None:
-        columns = files.file_columns(self.spark, self.folder, self.pattern, self.unit, wanted)
-        first = files.validate_file_schemas(columns, self.schema.names).orderBy("file_path").limit(20).collect()
-        if first:
-            raise SchemaMismatchError("; ".join(f"{r['file_path']}: extra {r['extra']}, missing {r['missing']}" for r in first))
-
-    def _write_rows(self, wanted: Sequence[str], now: datetime | Column) -> None:
+    def _check_columns(self, wanted: Sequence[str], headers: Sequence[dict]) -> None:
+        columns = files.file_columns(
+            self.spark, self.folder, self.pattern, self.unit, wanted, self.multiline, formats=("json", "parquet")
+        )
+        bad = [(r["file_path"], r["extra"], r["missing"]) for r in files.validate_file_schemas(columns, self.schema.names).limit(20).collect()]
+        expected = set(self.schema.names)
+        for header in headers:
+            extra, missing = sorted(set(header["columns"]) - expected), sorted(expected - set(header["columns"]))
+            if extra or missing:
+                bad += [(path.split(f"{self.folder}/")[-1], extra, missing) for path in header["paths"][:20]]
+        if bad:
+            raise SchemaMismatchError("; ".join(f"{path}: extra {extra}, missing {missing}" for path, extra, missing in sorted(bad)))
+
+    def _grow_schema(self, wanted: Sequence[str], headers: Sequence[dict]) -> None:
+        found = files.infer_schema(self.spark, self.folder, self.pattern, self.unit, wanted, self.multiline, headers)
+        added = [T.StructField(f.name, f.dataType, True) for f in found.fields if f.name not in self.schema.names]
+        if added:
+            self.schema = T.StructType([*self.schema.fields, *added])
+            self.schema_table.replace(self.spark.createDataFrame([], self.schema))
+
+    def _write_rows(self, wanted: Sequence[str], now: datetime | Column, headers: Sequence[dict]) -> None:
         rows = files.scan_files(
-            self.spark, self.folder, self.schema, self.pattern, provenance=True, unit=self.unit, wanted=wanted
+            self.spark,
+            self.folder,
+            self.schema,
+            self.pattern,
+            provenance=True,
+            multiline=self.multiline,
+            unit=self.unit,
+            wanted=wanted,
+            headers=headers,
         )
         tagged = (
             rows.withColumn("_src_loaded_at", moment(now)).withColumn("_src_deleted", F.lit(False)).withColumn("_src_key", F.md5("_src_file"))

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 from urllib.parse import quote
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,17 +78,35 @@ def formats_in(spark: SparkSession, folder: str, pattern: str = "*") -> list[str
     return sorted({FORMATS[r["e"]] for r in names.collect()})
 
 
-def infer_schema(spark: SparkSession, folder: str, pattern: str = "*") -> T.StructType:
+def infer_schema(
+    spark: SparkSession,
+    folder: str,
+    pattern: str = "*",
+    unit: str = "file",
+    wanted: Sequence[str] | None = None,
+    multiline: bool = False,
+    headers: Sequence[dict] | None = None,
+) -> T.StructType:
     """A one-off look at the files; store the result and pass it to later reads."""
     out = T.StructType()
-    for fmt in formats_in(spark, folder, pattern):
-        reader = _reader(spark, fmt, glob_of(pattern, fmt))
+    formats = formats_in(spark, folder, pattern) if wanted is None else list(dict.fromkeys(FORMATS.values()))
+    for fmt in formats:
+        glob, inputs = glob_of(pattern, fmt), unit_paths(folder, unit, fmt, wanted)
+        if glob is None or not inputs:
+            continue
         if fmt == "csv":
-            for header in csv_headers(spark, [folder], pattern):
+            for header in csv_headers(spark, inputs, pattern) if headers is None else headers:
                 out = merge_schemas(out, _csv_reader(spark).option("inferSchema", True).load(header["paths"]).schema)
-        else:
-            reader = reader.option("mergeSchema", True) if fmt == "parquet" else reader
-            out = merge_schemas(out, reader.load(folder).schema)
+            continue
+        reader = _reader(spark, fmt, glob)
+        reader = reader.option("mergeSchema", True) if fmt == "parquet" else reader.option("multiLine", multiline)
+        try:
+            found = reader.load(inputs).schema
+        except AnalysisException as error:
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            continue  # folders without a file of this format
+        out = merge_schemas(out, found)
     return out
 
 
@@ -95,7 +114,7 @@ def _csv_reader(spark: SparkSession):
     return spark.read.format("csv").option("header", True)
 
 
-def _inputs(folder: str, unit: str, fmt: str, wanted: Sequence[str] | None) -> list[str]:
+def unit_paths(folder: str, unit: str, fmt: str, wanted: Sequence[str] | None) -> list[str]:
     """What to read for one format: the folder, or the wanted units in it."""
     if wanted is None:
         return [folder]
@@ -112,21 +131,22 @@ def scan_files(
     uniform_csv: bool = False,
     unit: str = "file",
     wanted: Sequence[str] | None = None,
+    headers: Sequence[dict] | None = None,
 ) -> DataFrame:
     """All CSV, JSON and parquet files of a folder as one table, matched by column name.
 
     CSV binds by position, so its files are grouped by header line first (headers only are
     read); ``uniform_csv`` promises the order of ``schema`` and skips that look. Files without
     one of the columns give NULL. With ``provenance`` the file's path and time are added;
-    ``wanted`` limits the read to some units.
+    ``wanted`` limits the read to some units, ``headers`` is ``csv_headers`` if known already.
     """
     parts = []
     for fmt in dict.fromkeys(FORMATS.values()):
-        glob, inputs = glob_of(pattern, fmt), _inputs(folder, unit, fmt, wanted)
+        glob, inputs = glob_of(pattern, fmt), unit_paths(folder, unit, fmt, wanted)
         if glob is None or not inputs:
             continue
         if fmt == "csv" and not uniform_csv:
-            for header in csv_headers(spark, inputs, pattern):
+            for header in csv_headers(spark, inputs, pattern) if headers is None else headers:
                 own = T.StructType([T.StructField(c, schema[c].dataType if c in schema.names else T.StringType()) for c in header["columns"]])
                 parts.append((_csv_reader(spark).schema(own).load(header["paths"]), own.names))
             continue
@@ -224,21 +244,32 @@ def csv_headers(spark: SparkSession, inputs: Sequence[str], pattern: str = "*")
 
 
 def file_columns(
-    spark: SparkSession, folder: str, pattern: str = "*", unit: str = "file", wanted: Sequence[str] | None = None
+    spark: SparkSession,
+    folder: str,
+    pattern: str = "*",
+    unit: str = "file",
+    wanted: Sequence[str] | None = None,
+    multiline: bool = False,
+    formats: Sequence[str] = ("csv", "json", "parquet"),
 ) -> DataFrame:
     """Sorted column names of every unit: (file_path, columns).
 
     CSV headers and parquet footers are read by the executors; JSON lines are parsed for the
-    keys of every row, whose distinct names combine map-side.
+    keys of every row, whose distinct names combine map-side. ``multiline`` JSON files hold one
+    array or object each and are read whole.
     """
     parts = []
-    for fmt in dict.fromkeys(FORMATS.values()):
-        glob, inputs = glob_of(pattern, fmt), _inputs(folder, unit, fmt, wanted)
+    for fmt in formats:
+        glob, inputs = glob_of(pattern, fmt), unit_paths(folder, unit, fmt, wanted)
         if glob is None or not inputs:
             continue
         if fmt == "json":
-            lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(inputs)
+            lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(inputs, wholetext=multiline)
             path, names = decoded(F.col("_metadata.file_path")), F.json_object_keys("value")
+            if multiline:
+                listed = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
+                objects = lines.select(path.alias("path"), F.explode(F.from_json(listed, "array<variant>")).alias("_v"))
+                lines, path, names = objects, F.col("path"), F.json_object_keys(F.to_json("_v"))
         else:
             lines = _heads(spark, inputs, glob)
             path, names = F.col("path"), F.col("columns")

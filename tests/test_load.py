@@ -219,6 +219,29 @@ def test_evolved_read_pads_with_null(spark, landing):
         files.merge_schemas(schema, out.select(F.col("id").cast("string")).schema)
 
 
+def test_evolving_load(spark, landing):
+    load_ = loader(spark, landing)
+    load_.sync(T1)
+    (landing / "file2.csv").write_text("id,name,email\n3,Charlie,c@x.com\n")
+    load_.sync(T2, evolve=True)
+    assert sorted((r["id"], r["email"]) for r in load_.table().collect()) == [(1, None), (2, None), (3, "c@x.com")]
+    # The grown schema is found again, and then the file's columns are the table's.
+    again = FileLoader(spark, "people", str(landing), load_.path, spark.createDataFrame([], SCHEMA).schema)
+    (landing / "file3.csv").write_text("id,name,email\n4,Dan,\n")
+    again.sync(T3)
+    assert again.table().count() == 4
+
+
+def test_json_arrays(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n {"id": 1,\n "name": "x"},\n {"id": 2}\n]')
+    (tmp_path / "b.json").write_text('{\n"id": 3\n}')
+    columns = files.file_columns(spark, str(tmp_path), multiline=True)
+    assert {r["file_path"]: r["columns"] for r in columns.collect()} == {"a.json": ["id", "name"], "b.json": ["id"]}
+    load_ = FileLoader(spark, "people", str(tmp_path), new_folder(spark, "people"), spark.createDataFrame([], SCHEMA).schema, multiline=True)
+    load_.sync(T1, evolve=True)
+    assert sorted((r["id"], r["name"]) for r in load_.table().collect()) == [(1, "x"), (2, None), (3, None)]
+
+
 def test_column_order_of_csv_does_not_matter(spark, landing):
     (landing / "file2.csv").write_text('name,id\n"Smith, J",3\n')
     load_ = loader(spark, landing)
