@@ -113,7 +113,7 @@ def freshness(sources: DataFrame, history: DataFrame, now: datetime | Column) ->
 def staleness(history: DataFrame, now: datetime | Column) -> DataFrame:
     """Sources whose last load is older than twice the shortest interval between two of their loads.
 
-    Gaps are taken within (source, day) groups, so one busy source is not one task.
+    Gaps are taken within (source, hour) groups, so one busy source is not one task.
     """
     loads = history.select("source", "timestamp").distinct()
     gaps = previous_time(loads, ["source"], "timestamp", "_before").withColumn(

@@ -278,8 +278,17 @@ def route_name(*parts: Column) -> Column:
 
 
 def route_by_key(df: DataFrame, route: Column, path: str) -> None:
-    """Write every row to the folder of its route in one pass, without a shuffle."""
-    df.withColumn("route", route).write.partitionBy("route").mode("append").parquet(path)
+    """Write every row to the folder of its route."""
+    clustered(df.withColumn("route", route), "route").write.partitionBy("route").mode("append").parquet(path)
+
+
+def clustered(df: DataFrame, partition: str) -> DataFrame:
+    """Rows brought together by partition before a partitioned write.
+
+    Without it every task writes a file to every partition. Adaptive execution merges small
+    partitions and splits one that is too large over several tasks.
+    """
+    return df.hint("rebalance", F.col(quoted(partition)))
 
 
 def scan_pushdown(

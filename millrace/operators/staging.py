@@ -55,7 +55,7 @@ def scd2_history(df: DataFrame, keys: Sequence[str], updated_at: str) -> DataFra
     """Versions of every key from its whole change log: valid from one change to the next."""
     once = first_row(df, [*keys, updated_at], [])
     return (
-        next_time(once, keys, updated_at, "valid_to", bucket="month")
+        next_time(once, keys, updated_at, "valid_to")
         .withColumn("valid_from", F.col(quoted(updated_at)))
         .select(*df.columns, "valid_from", "valid_to")
     )

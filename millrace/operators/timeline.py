@@ -2,7 +2,8 @@
 
 A window over a key sorts all its rows in one task, which a key with a third of the rows
 does not survive. Here rows are grouped by key *and* time bucket; only the first time of each
-bucket is compared across buckets.
+bucket is compared across buckets. An hour is the default: a key with a third of a large table's
+rows still has thousands of buckets.
 """
 
 from __future__ import annotations
@@ -16,17 +17,17 @@ from pyspark.sql.window import Window
 from millrace.functions.names import quoted
 
 
-def next_time(df: DataFrame, keys: Sequence[str], ts: str, out: str = "next_time", bucket: str = "day") -> DataFrame:
+def next_time(df: DataFrame, keys: Sequence[str], ts: str, out: str = "next_time", bucket: str = "hour") -> DataFrame:
     """Add the time of the key's following row (NULL for its last one)."""
     return neighbour(df, keys, ts, {ts: out}, bucket, forward=True)
 
 
-def previous_time(df: DataFrame, keys: Sequence[str], ts: str, out: str = "previous_time", bucket: str = "day") -> DataFrame:
+def previous_time(df: DataFrame, keys: Sequence[str], ts: str, out: str = "previous_time", bucket: str = "hour") -> DataFrame:
     """Add the time of the key's preceding row (NULL for its first one)."""
     return neighbour(df, keys, ts, {ts: out}, bucket, forward=False)
 
 
-def neighbour(df: DataFrame, keys: Sequence[str], ts: str, columns: Mapping[str, str], bucket: str = "day", forward: bool = False) -> DataFrame:
+def neighbour(df: DataFrame, keys: Sequence[str], ts: str, columns: Mapping[str, str], bucket: str = "hour", forward: bool = False) -> DataFrame:
     """Add columns of the key's following or preceding row, under new names.
 
     Times of a key should differ; rows of the same time follow each other in no certain order.

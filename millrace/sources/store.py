@@ -123,4 +123,4 @@ def merge_partitions(
     else:
         touched = target.join(days, partition, "left_semi").select(*batch.columns)
     merged = load.write_merge(touched, batch, keys, latest_by).select(*batch.columns)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    load.clustered(merged, partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

@@ -94,6 +94,12 @@ def test_recognisers(spark):
     assert out == {(v, e): s for v, (e, s) in SAMPLES.items()}
 
 
+def test_long_runs_are_searched_in_linear_time(spark):
+    # A run of letters that no address ends, beside an @ that makes the recogniser look.
+    df = spark.createDataFrame([("c", "a" * 2_000_000 + " @ x@example.com " + "1" * 2_000_000)], "column_name string, value string")
+    assert [(r["entity_type"], r["hits"]) for r in pii.detect(df).collect()] == [("EMAIL_ADDRESS", 1)]
+
+
 def test_iban_against_plain_arithmetic(spark):
     codes = ["GB82WEST12345698765432", "FR1420041010050500013M02606", "GB82WEST12345698765431", "NO9386011117947"]
 
