@@ -412,29 +412,27 @@ def _drill_breakdown(t: Tables) -> DataFrame:
 
 SNAPSHOTS = """
 snapshots AS (
-  SELECT 'sales' AS metric_name, 'l_suppkey' AS dimension,
+  SELECT 'sales_' || l_returnflag AS metric_name, 'l_suppkey' AS dimension,
          CASE WHEN l_suppkey % 10 > 0 THEN CAST(l_suppkey AS VARCHAR) END AS group_value,
          CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value,
          CAST(date_trunc('year', l_shipdate) AS TIMESTAMP) AS computed_at
-  FROM lineitem GROUP BY 3, 5)
+  FROM lineitem GROUP BY 1, 3, 5),
+newest AS (SELECT * FROM snapshots QUALIFY rank() OVER (PARTITION BY metric_name ORDER BY computed_at DESC) = 1)
 """
 
 
 def snapshots(t: Tables) -> DataFrame:
-    """One stored breakdown per year; every tenth supplier has no name and shares the NULL group."""
+    """One stored breakdown per metric and year; every tenth supplier has no name and shares the NULL group."""
     year = F.date_trunc("year", F.col("l_shipdate")).cast("timestamp_ntz")
     group = F.when(F.col("l_suppkey") % 10 > 0, F.col("l_suppkey").cast("string"))
     return (
-        t.lineitem.groupBy(group.alias("group_value"), year.alias("computed_at"))
+        t.lineitem.groupBy(F.concat(F.lit("sales_"), "l_returnflag").alias("metric_name"), group.alias("group_value"), year.alias("computed_at"))
         .agg(exact_sum("l_extendedprice").alias("value"))
-        .select(F.lit("sales").alias("metric_name"), F.lit("l_suppkey").alias("dimension"), "group_value", "value", "computed_at")
+        .select("metric_name", F.lit("l_suppkey").alias("dimension"), "group_value", "value", "computed_at")
     )
 
 
-@query(
-    "drill_snapshot",
-    f"WITH {SNAPSHOTS} SELECT * FROM snapshots WHERE computed_at = (SELECT max(computed_at) FROM snapshots)",
-)
+@query("drill_snapshot", f"WITH {SNAPSHOTS} SELECT * FROM newest")
 def _drill_snapshot(t: Tables) -> DataFrame:
     return drill.drill_snapshot(snapshots(t))
 
@@ -443,18 +441,16 @@ def _drill_snapshot(t: Tables) -> DataFrame:
     "drill_contributors",
     f"""
 WITH {SNAPSHOTS},
-moments AS (SELECT max(computed_at) AS last_at FROM snapshots),
-cur AS (SELECT * FROM snapshots, moments WHERE computed_at = last_at),
-old AS (SELECT * FROM snapshots, moments WHERE computed_at =
-          (SELECT max(computed_at) FROM snapshots, moments WHERE computed_at < last_at)),
+old AS (SELECT * FROM snapshots WHERE computed_at < (SELECT max(computed_at) FROM snapshots)
+        QUALIFY rank() OVER (PARTITION BY metric_name ORDER BY computed_at DESC) = 1),
 both_sides AS (
-  SELECT coalesce(c.group_value, o.group_value) AS group_value, coalesce(c.value, 0) AS current_value,
-         o.value AS previous_value
-  FROM cur c FULL JOIN old o ON c.group_value IS NOT DISTINCT FROM o.group_value)
-SELECT 'sales' AS metric_name, 'l_suppkey' AS dimension, group_value, current_value, previous_value,
+  SELECT coalesce(c.metric_name, o.metric_name) AS metric_name, coalesce(c.group_value, o.group_value) AS group_value,
+         coalesce(c.value, 0) AS current_value, o.value AS previous_value
+  FROM newest c FULL JOIN old o ON c.metric_name = o.metric_name AND c.group_value IS NOT DISTINCT FROM o.group_value)
+SELECT metric_name, 'l_suppkey' AS dimension, group_value, current_value, previous_value,
        round(current_value - previous_value, 4) AS change_abs,
        round((current_value - previous_value) / nullif(abs(previous_value), 0) * 100, 6) AS change_pct
-FROM both_sides ORDER BY coalesce(abs(current_value - previous_value), 0) DESC, group_value NULLS FIRST LIMIT 3
+FROM both_sides QUALIFY row_number() OVER (PARTITION BY metric_name ORDER BY coalesce(abs(current_value - previous_value), 0) DESC, group_value NULLS FIRST) <= 3
 """,
 )
 def _drill_contributors(t: Tables) -> DataFrame:
