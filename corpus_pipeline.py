@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import repetition
+from millrace.llm import repetition, simhash
 from millrace.session import materialize, prepare
 
 
@@ -13,8 +13,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repetition.keep_unrepetitive(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: fingerprints of 3-word runs within 3 bits."""
+    return simhash.keep_first(docs, length=3, radius=3)
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("simhash", near_copies),
 ]
 
 #: The stages learn models and build a suffix array, which SQL cannot express.

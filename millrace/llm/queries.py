@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import repetition
+from millrace.llm import repetition, simhash
 from millrace.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,13 @@ def op4_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.quality_rules(table(spark, folder, "documents"))
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), length=3, radius=3)
+
+
 QUERIES: dict[str, Query] = {
     "op4_repetition": op4_repetition,
+    "op5_simhash": op5_simhash,
 }
 
 SQL: dict[str, str] = {}
