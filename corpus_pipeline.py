@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import repetition, simhash
+from millrace.llm import mixture, repetition, simhash
 from millrace.session import materialize, prepare
 
 
@@ -18,9 +18,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs, length=3, radius=3)
 
 
+def mixture_of_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is mixed to the target weights: the documents of the mix and their number of copies."""
+    return mixture.mixed(docs, weights=(1, 2, 3), most=3.0)
+
+
 STAGES = [
     ("quality_rules", quality),
     ("simhash", near_copies),
+    ("mixture", mixture_of_sources),
 ]
 
 #: The stages learn models and build a suffix array, which SQL cannot express.

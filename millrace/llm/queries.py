@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import repetition, simhash
+from millrace.llm import licences, mixture, repetition, simhash
 from millrace.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op2_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mix(table(spark, folder, "documents"), weights=(1, 2, 3), most=3.0)
+
+
+def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.find_licences(table(spark, folder, "documents"), licences.known_digests(spark))
+
+
 def op4_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.quality_rules(table(spark, folder, "documents"))
 
@@ -25,8 +33,13 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_mixture": op2_mixture,
+    "op3_licences": op3_licences,
     "op4_repetition": op4_repetition,
     "op5_simhash": op5_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_mixture": mixture.SQL,
+    "op3_licences": licences.SQL,
+}
