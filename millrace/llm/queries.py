@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import licences, mixture, repetition, simhash
+from millrace.llm import language, licences, mixture, repetition, simhash
+from millrace.llm.common import held_out
 from millrace.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +34,25 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), length=3, radius=3)
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs, where=~held_out("doc_id", 4, 2))
+    out = language.identify(docs, model)
+    return out.select(
+        "doc_id",
+        held_out("doc_id", 4, 2).alias("held_out"),
+        F.col("__lang").alias("lang_pred"),
+        F.col("__score").alias("score"),
+        F.col("__rejected").alias("rejected"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_mixture": op2_mixture,
     "op3_licences": op3_licences,
     "op4_repetition": op4_repetition,
     "op5_simhash": op5_simhash,
+    "op7_language": op7_language,
 }
 
 SQL: dict[str, str] = {
