@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixture, repetition, simhash
+from millrace.llm import mixture, repetition, simhash, toxicity
 from millrace.session import materialize, prepare
 
 
@@ -13,6 +13,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repetition.keep_unrepetitive(docs)
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field, learnt from the given labels of what is left, finds toxic go."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: fingerprints of 3-word runs within 3 bits."""
     return simhash.keep_first(docs, length=3, radius=3)
@@ -25,6 +31,7 @@ def mixture_of_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 STAGES = [
     ("quality_rules", quality),
+    ("toxicity", toxic),
     ("simhash", near_copies),
     ("mixture", mixture_of_sources),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, licences, mixture, repetition, simhash
+from millrace.llm import language, licences, mixture, repetition, simhash, toxicity, warc
 from millrace.llm.common import held_out
 from millrace.session import prepare
 
@@ -18,6 +18,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), where=~held_out("doc_id", 5, 0))
+    out = toxicity.tag(docs, model)
+    return out.select(
+        "doc_id",
+        held_out("doc_id", 5, 0).alias("held_out"),
+        F.col("__score").alias("score"),
+        F.when(F.col("__score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.col("__spans").alias("spans"),
+    )
+
+
 def op2_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents"), weights=(1, 2, 3), most=3.0)
 
@@ -47,15 +60,22 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_mixture": op2_mixture,
     "op3_licences": op3_licences,
     "op4_repetition": op4_repetition,
     "op5_simhash": op5_simhash,
     "op7_language": op7_language,
+    "op10_warc": op10_warc,
 }
 
 SQL: dict[str, str] = {
     "op2_mixture": mixture.SQL,
     "op3_licences": licences.SQL,
+    "op10_warc": warc.SQL,
 }
