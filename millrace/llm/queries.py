@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, licences, mixture, repetition, simhash, toxicity, warc
+from millrace.llm import language, licences, mixture, repetition, simhash, tokens, toxicity, warc
 from millrace.llm.common import held_out
 from millrace.session import prepare
 
@@ -60,6 +60,10 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_text_tokens(table(spark, folder, "documents"), tokens.load_vocabulary())
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op4_repetition": op4_repetition,
     "op5_simhash": op5_simhash,
     "op7_language": op7_language,
+    "op8_tokens": op8_tokens,
     "op10_warc": op10_warc,
 }
 
