@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixture, repetition, simhash, toxicity
+from millrace.llm import decontamination, mixture, repetition, simhash, toxicity
 from millrace.session import materialize, prepare
 
 
@@ -24,6 +24,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs, length=3, radius=3)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontamination.keep_clean(docs, benchmark)
+
+
 def mixture_of_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is mixed to the target weights: the documents of the mix and their number of copies."""
     return mixture.mixed(docs, weights=(1, 2, 3), most=3.0)
@@ -33,6 +39,7 @@ STAGES = [
     ("quality_rules", quality),
     ("toxicity", toxic),
     ("simhash", near_copies),
+    ("decontamination", decontaminated),
     ("mixture", mixture_of_sources),
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, licences, mixture, repetition, simhash, tokens, toxicity, warc
+from millrace.llm import decontamination, language, licences, mixture, repetition, simhash, tokens, toxicity, warc
 from millrace.llm.common import held_out
 from millrace.session import prepare
 
@@ -64,6 +64,10 @@ def op8_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_text_tokens(table(spark, folder, "documents"), tokens.load_vocabulary())
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op7_language": op7_language,
     "op8_tokens": op8_tokens,
+    "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
 
