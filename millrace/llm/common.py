@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,3 +46,79 @@ def held_out(doc_id: str, folds: int, fold: int) -> Column:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns can clash with nothing that an operator adds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def _lower_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    for byte in range(128):
+        char = chr(byte)
+        table[byte] = ord(char.lower()) if char.isalnum() else 32
+    return table
+
+
+_LOWER = _lower_table()
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n of an odd number and of its inverse, modulo 2 ** 64."""
+    if len(_POWERS[0]) <= n:
+        inverse = pow(_BASE, -1, 1 << 64)
+        size = max(n + 1, SLICE_CHARS + (1 << 16))
+        for i, base in enumerate((_BASE, inverse)):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            _POWERS[i] = np.cumprod(table, dtype=np.uint64)
+    return _POWERS
+
+
+@dataclass
+class ByteWords:
+    """Runs of letters and digits of texts as byte ranges of one array; ``lengths`` are the words of each text.
+
+    Letters are in lower case (ASCII and Latin-1); all characters beyond ASCII count as letters.
+    """
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    lengths: np.ndarray
+    offsets: np.ndarray
+    sums: np.ndarray
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hash of the bytes of each range; equal bytes have equal hashes wherever they stand."""
+        h = (self.sums[end] - self.sums[start]) * _powers(len(self.data))[1][start]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+    def firsts(self) -> np.ndarray:
+        """Whether each word is the first one of its text."""
+        out = np.zeros(len(self.start), bool)
+        out[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = True
+        return out
+
+
+def byte_words(texts: pa.Array) -> ByteWords:
+    """The words of a column of texts, found without making an object for each. Null is empty."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    buffer = texts.buffers()[2]
+    raw = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None and len(texts) else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    data = _LOWER[raw]
+    capital = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    capital = capital[(raw[capital] >= 0x80) & (raw[capital] <= 0x9E) & (raw[capital] != 0x97)]
+    data[capital] += 32
+    letter = data != 32
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before, after = np.r_[True, ~letter[:-1]] if len(data) else letter, np.r_[~letter[1:], True] if len(data) else letter
+    start = np.flatnonzero(letter & (before | edge[:-1]))
+    end = np.flatnonzero(letter & (after | edge[1:])) + 1
+    bounds = np.searchsorted(start, offsets)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data))[0][: len(data)], dtype=np.uint64, out=sums[1:])
+    return ByteWords(data, start, end, np.diff(bounds), offsets, sums)
