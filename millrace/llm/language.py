@@ -24,7 +24,7 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 #: Bytes that are compressed at a time, and the compression level.
 BLOCK = 4096
-LEVEL = 3
+LEVEL = 6
 
 Model = dict[str, bytes]
 

@@ -12,54 +12,46 @@ blocks again from their carries. The result is exact at any length.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pick, slices, words
+from millrace.llm.common import ByteWords, byte_words, pick, slices
 
-SPACED = re.compile(rb"[^\x20\x09-\x0D]+")
-EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
-CACHE = 1 << 18
+#: Kinds of feature: the word, its first 4 and 5 bytes, its last 4, the word before and the word after.
+KINDS = 6
+OWN = 4
+SALTS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(KINDS)], np.uint64)
+#: Bits of the filter that tells most words without a weight apart.
+FILTER_BITS = 22
 
 
 @dataclass
 class Model:
-    """Weights by feature, transitions [[0, a01], [a10, a11]], and the logistic of the document score."""
+    """Weights by hash of the feature (in order), transitions (clean to toxic, toxic to clean, toxic to toxic), and the
+    logistic of the document score."""
 
-    weights: dict[bytes, float] = field(default_factory=dict)
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -6.0
     transitions: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    logistic: tuple[float, float, float] = (-4.0, 0.0, 0.0)
+    logistic: tuple[float, ...] = (-4.0, 0.0, 0.0)
 
 
-def normal(word: bytes) -> bytes:
-    """A word in lower case without punctuation at its ends."""
-    return word.decode("utf-8", "replace").lower().encode("utf-8", "replace").strip(EDGES) or word
-
-
-def features(word: bytes) -> tuple[bytes, ...]:
-    """Features of a word for its own state; those for its neighbours are ``<`` and ``>`` before the first."""
-    return (b"=" + word, b"^" + word[:4], b"~" + word[:5], b"$" + word[-4:])
-
-
-def distinct(texts: list[list[bytes]]) -> list[int]:
-    """Places of texts that share no lowest hash of three words with an earlier one: of copies the first."""
-    seen: set[int] = set()
-    out = []
-    for i, found in enumerate(texts):
-        key = min((crc32(b" ".join(found[j : j + 3])) for j in range(max(1, len(found) - 2))), default=0)
-        if key not in seen:
-            seen.add(key)
-            out.append(i)
-    return out
+def features(found: ByteWords) -> np.ndarray:
+    """Hashes of the ``OWN`` features of every word, a row for each kind."""
+    start, end = found.start, found.end
+    own = [
+        found.hashes(start, end),
+        found.hashes(start, np.minimum(start + 4, end)),
+        found.hashes(start, np.minimum(start + 5, end)),
+        found.hashes(np.maximum(end - 4, start), end),
+    ]
+    return np.stack(own) ^ SALTS[:OWN, None] if len(start) else np.zeros((OWN, 0), np.uint64)
 
 
 def scan(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, block: int = 64) -> np.ndarray:
@@ -104,37 +96,35 @@ def forward_backward(
     return forward, backward
 
 
+def neighbours(word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words before and after, 0 at the edges of a text; ``word`` are the words' hashes."""
+    plain = word ^ SALTS[0]
+    before = np.where(starts, np.uint64(0), np.r_[np.uint64(0), plain[:-1] ^ SALTS[4]])
+    after = np.where(np.r_[starts[1:], True], np.uint64(0), np.r_[plain[1:] ^ SALTS[5], np.uint64(0)])
+    return before, after
+
+
 def train(
-    texts: list[list[bytes]], marks: list[np.ndarray], rounds: int = 80, rate: float = 0.3, l2: float = 1e-3, least: int = 3
+    own: np.ndarray, starts: np.ndarray, marks: np.ndarray, rounds: int = 80, rate: float = 0.3, l2: float = 1e-3, least: int = 3
 ) -> Model:
     """Weights that maximise the conditional likelihood of the marked words, by Adam on the whole sample.
 
-    Features that occur in fewer than ``least`` texts are left out.
+    ``own`` are the feature hashes of all words of the sample's windows. Features that occur fewer than ``least``
+    times are left out, and so are weights that end up near zero.
     """
-    flat = [normal(w) for t in texts for w in t]
-    n = len(flat)
+    n = own.shape[1]
     if not n:
         return Model()
-    starts = np.zeros(n, bool)
-    lengths = np.array([len(t) for t in texts])
-    starts[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    y = np.concatenate(marks).astype(float)
-    seen: Counter[bytes] = Counter()
-    per_word = {w: features(w) for w in set(flat)}
-    offset = 0
-    for length in lengths.tolist():
-        seen.update({f for w in set(flat[offset : offset + length]) for f in per_word[w]})
-        offset += length
-    names = [f for f, c in seen.items() if c >= least]
-    index = {f: i + 1 for i, f in enumerate(names)}  # 0: not known
-    size = len(index) + 1
-    own = np.array([[index.get(f, 0) for f in per_word[w]] for w in flat])
-    word = own[:, 0]
-    before = np.where(starts, 0, np.r_[0, word[:-1]])
-    after = np.where(np.r_[starts[1:], True], 0, np.r_[word[1:], 0])
-    columns = [*own.T, before + size, after + 2 * size]
-    weights, bias, trans = np.zeros(3 * size), -3.0, np.zeros(3)
-    first, second = np.zeros(3 * size + 4), np.zeros(3 * size + 4)
+    before, after = neighbours(own[0], starts)
+    stacked = np.concatenate([*own, before, after])
+    keys, inverse, counts = np.unique(stacked, return_inverse=True, return_counts=True)
+    kept = (counts >= least) & (keys != 0)
+    place = np.where(kept, np.cumsum(kept), 0)  # 0: no weight
+    columns = list(place[inverse].reshape(KINDS, n))
+    keys, size = keys[kept], int(kept.sum()) + 1
+    weights, bias, trans = np.zeros(size), -3.0, np.zeros(3)
+    first, second = np.zeros(size + 4), np.zeros(size + 4)
+    y = marks.astype(float)
     inner = np.flatnonzero(~starts)
     real = np.array([(1 - y[inner - 1]) @ y[inner], y[inner - 1] @ (1 - y[inner]), y[inner - 1] @ y[inner]])
     for step in range(1, rounds + 1):
@@ -147,75 +137,58 @@ def train(
         w01, w10, w11 = m01 * psi * beta, alpha * m10, alpha * m11 * psi * beta
         total = 1 + w01 + w10 + w11
         miss = y - p
-        grad = np.zeros(3 * size + 4)
+        grad = np.zeros(size + 4)
         for c in columns:
-            grad[: 3 * size] += np.bincount(c, miss, 3 * size)
-        grad[3 * size] = miss.sum()
-        grad[3 * size + 1 :] = real - [(w / total).sum() for w in (w01, w10, w11)]
+            grad[:size] += np.bincount(c, miss, size)
+        grad[size] = miss.sum()
+        grad[size + 1 :] = real - [(w / total).sum() for w in (w01, w10, w11)]
         theta = np.r_[weights, bias, trans]
         grad -= l2 * theta * n**0.5
-        grad[[0, size, 2 * size]] = 0
+        grad[0] = 0
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta += rate * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        weights, bias, trans = theta[: 3 * size], theta[3 * size], np.clip(theta[3 * size + 1 :], -8, 8)
-    found: dict[bytes, float] = {}
-    for name, i in index.items():
-        for prefix, at in ((b"", i), (b"<", i + size), (b">", i + 2 * size)):
-            if abs(weights[at]) > 0.02 and (not prefix or name[:1] == b"="):
-                found[prefix + name] = float(weights[at])
-    return Model(found, float(bias), tuple(float(x) for x in trans))
+        weights, bias, trans = theta[:size], theta[size], np.clip(theta[size + 1 :], -8, 8)
+    strong = np.abs(weights[1:]) > 0.05
+    return Model(keys[strong], weights[1:][strong], float(bias), tuple(float(x) for x in trans))
 
 
 class Tagger:
-    """A model with a cache of its words' scores; made in each task."""
+    """A model with a filter of its keys; made in each task."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.known: dict[bytes, int] = {}
-        self.table = np.zeros((1024, 3))
-
-    def _ids(self, flat: list[bytes]) -> np.ndarray:
-        if len(self.known) > CACHE:
-            self.known = {}
-        known, get = self.known, self.model.weights.get
-        for w in set(flat).difference(known):
-            at = known[w] = len(known)
-            if at >= len(self.table):
-                self.table = np.r_[self.table, np.zeros_like(self.table)]
-            plain = normal(w)
-            self.table[at] = (
-                sum(get(f, 0.0) for f in features(plain)), get(b"<=" + plain, 0.0), get(b">=" + plain, 0.0)
-            )
-        return np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-
-    def marginals(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of the toxic state at each word of all texts, and the number of words of each text."""
-        lengths = np.array([len(x) for x in lists], np.int64)
-        flat = [w for x in lists for w in x]
-        if not flat:
-            return np.zeros(0), lengths
-        starts = np.zeros(len(flat), bool)
-        starts[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-        rows = self.table_rows(flat)
-        scores = self.model.bias + rows[:, 0]
-        scores[1:] += np.where(starts[1:], 0, rows[:-1, 1])
-        scores[:-1] += np.where(starts[1:], 0, rows[1:, 2])
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[(model.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+
+    def _add(self, scores: np.ndarray, keys: np.ndarray) -> None:
+        at = np.flatnonzero(self.filter[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+        place = np.searchsorted(self.model.keys, keys[at])
+        place = np.minimum(place, len(self.model.keys) - 1)
+        real = self.model.keys[place] == keys[at]
+        scores[at[real]] += self.model.weights[place[real]]
+
+    def marginals(self, found: ByteWords) -> np.ndarray:
+        """Probability of the toxic state at each word of all texts."""
+        if not len(found.start):
+            return np.zeros(0)
+        starts = found.firsts()
+        scores = np.full(len(starts), self.model.bias)
+        if len(self.model.keys):
+            own = features(found)
+            for keys in (*own, *neighbours(own[0], starts)):
+                self._add(scores, keys)
         f, q = forward_backward(scores, starts, self.model.transitions)
         odds = f * q
-        return odds / (1 + odds), lengths
-
-    def table_rows(self, flat: list[bytes]) -> np.ndarray:
-        ids = self._ids(flat)
-        return self.table[ids]
+        return odds / (1 + odds)
 
     def evidence(self, p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Highest marginal and the logarithm of 1 + the expected toxic words, for each text."""
+        """Highest marginal of each text, and the logarithm of 1 + its sum of marginals of one half or more."""
         out = np.zeros((len(lengths), 2))
         some = np.flatnonzero(lengths)
         if len(some):
             starts = (np.cumsum(lengths) - lengths)[some]
             out[some, 0] = np.maximum.reduceat(p, starts)
-            out[some, 1] = np.log1p(np.add.reduceat(np.where(p >= 0.05, p, 0.0), starts))
+            out[some, 1] = np.log1p(np.add.reduceat(np.where(p >= 0.5, p, 0.0), starts))
         return out
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -223,22 +196,21 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(w[0] + evidence @ np.array(w[1:]), -30, 30)))
 
 
-def spans(text: str, p: np.ndarray) -> list[dict[str, int]]:
-    """Character offsets [start, end) of the runs of words whose marginal is at least one half."""
+def spans(found: ByteWords, p: np.ndarray, raw: list[bytes | None]) -> list[list[dict[str, int]]]:
+    """Per text the character offsets [start, end) of the runs of words whose marginal is at least one half."""
+    out: list[list[dict[str, int]]] = [[] for _ in raw]
     toxic = p >= 0.5
-    if not toxic.any():
-        return []
-    data = text.encode("utf-8", "replace")
-    at = [m.span() for m in SPACED.finditer(data)]
-    edges = np.flatnonzero(np.diff(np.r_[False, toxic, False].astype(np.int8)))
-    out, done, chars = [], 0, 0
-    for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        found = []
-        for byte in (at[first][0], at[last - 1][1]):
-            chars += len(data[done:byte].decode("utf-8", "replace"))
-            done = byte
-            found.append(chars)
-        out.append({"start": found[0], "end": found[1]})
+    doc = np.repeat(np.arange(len(raw)), found.lengths)
+    first = toxic & ~(np.r_[False, toxic[:-1]] & ~found.firsts()) if len(p) else toxic
+    opens = np.flatnonzero(first)
+    run = np.cumsum(first) - 1
+    closes = np.zeros(len(opens), np.int64)
+    closes[run[toxic]] = np.flatnonzero(toxic)  # the last word of a run stays
+    for a, b in zip(opens.tolist(), closes.tolist(), strict=True):
+        base = int(found.offsets[doc[a]])
+        text = raw[doc[a]]
+        at = [len(text[: int(x) - base].decode("utf-8", "replace")) for x in (found.start[a], found.end[b])]
+        out[doc[a]].append({"start": at[0], "end": at[1]})
     return out
 
 
@@ -268,7 +240,8 @@ def fit(
     These two parameters bound the sample, which the driver holds; its documents are those with the lowest hash of
     ``doc_id`` among those that are labelled and pass ``where``. Several labels of a document count as toxic if one is. A
     word is marked in toxic documents if the logarithm of the ratio of the shares of toxic and clean documents that have
-    it, or its first four or five letters, is at least ``odds``; of near copies one counts. The field learns from ``window`` words around a mark, or from the middle of a text
+    it, or its first four or five letters, is at least ``odds``, and one in fifty toxic ones have it; of near copies one
+    counts. The field learns from ``window`` words around a mark, or from the middle of a text
     without one. Without toxic or without clean documents the model finds nothing.
     """
     rows = pick(docs, "doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest))
@@ -276,41 +249,59 @@ def fit(
         rows = rows.where(where)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     both = rows.join(known, "doc_id").dropDuplicates(["doc_id"]).withColumn("hash", F.xxhash64("doc_id"))
-    texts: list[list[bytes]] = []
+    texts: list[str] = []
     toxic: list[int] = []
     for value in (1, 0):
         sample = both.where((F.col("toxic") > 0) == F.lit(bool(value))).orderBy("hash", "doc_id").limit(sample_docs)
         for row in sample.select("text").collect():
-            texts.append(words(row[0]))
+            texts.append(row[0])
             toxic.append(value)
-    return learn(texts, np.array(toxic), window, odds)
+    return learn(texts, np.array(toxic, np.int64), window, odds)
+
+
+def distinct(word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of the texts whose lowest hash of three words in a row is not that of an earlier one: of copies the first."""
+    ends = np.cumsum(lengths)
+    three = word.copy()
+    for k in (1, 2):
+        three ^= np.r_[word[k:], np.zeros(min(k, len(word)), np.uint64)] * np.uint64(2 * k + 1)
+    lowest = [int(three[e - n : max(e - 2, e - n + 1)].min()) if n else -1 for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+    return np.sort(np.unique(np.array(lowest, object), return_index=True)[1])
+
+
+def _document_counts(own: np.ndarray, doc: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features and the number of kept documents that have each."""
+    each = own[:, keep[doc]]
+    pairs = np.unique(np.stack([each.ravel(), np.tile(doc[keep[doc]].astype(np.uint64), len(each))]), axis=1)
+    return np.unique(pairs[0], return_counts=True)
 
 
-def learn(texts: list[list[bytes]], toxic: np.ndarray, window: int, odds: float) -> Model:
-    """A model from the words of labelled documents."""
+def learn(texts: list[str], toxic: np.ndarray, window: int = 120, odds: float = 4.0) -> Model:
+    """A model from labelled texts."""
+    found = byte_words(pa.array(texts, pa.large_string()))
+    chosen = distinct(found.hashes(found.start, found.end), found.lengths)
+    texts, toxic = [texts[i] for i in chosen], toxic[chosen] > 0
     if not toxic.any() or toxic.all():
         return Model()
-    firsts = distinct(texts)
-    texts, toxic = [texts[i] for i in firsts], toxic[firsts]
-    seen = (Counter(), Counter())
-    for found, value in zip(texts, toxic.tolist(), strict=True):
-        seen[value].update({f for w in set(found) for f in features(normal(w))[:3]})
-    n_toxic, n_clean = int(toxic.sum()), int((1 - toxic).sum())
-    bad = {
-        f for f, c in seen[1].items()
-        if c >= 4 and np.log((c + 0.1) / (n_toxic + 1)) - np.log((seen[0][f] + 0.1) / (n_clean + 1)) >= odds
-    }
-    parts, marks = [], []
-    for found, value in zip(texts, toxic.tolist(), strict=True):
-        mark = np.array([value and not bad.isdisjoint(features(normal(w))[:3]) for w in found], bool)
-        at = int(np.argmax(mark)) if mark.any() else len(found) // 2
-        cut = slice(max(0, at - window // 2), at + window // 2)
-        parts.append(found[cut])
-        marks.append(mark[cut])
-    model = train(parts, marks)
+    found = byte_words(pa.array(texts, pa.large_string()))
+    own, lengths = features(found), found.lengths
+    doc = np.repeat(np.arange(len(texts)), lengths)
+    bad, with_bad = _document_counts(own[:3], doc, toxic)
+    clean, with_clean = _document_counts(own[:3], doc, ~toxic)
+    at = np.minimum(np.searchsorted(clean, bad), max(len(clean) - 1, 0))
+    other = np.where(clean[at] == bad, with_clean[at], 0) if len(clean) else np.zeros(len(bad))
+    gain = np.log((with_bad + 0.1) / (toxic.sum() + 1)) - np.log((other + 0.1) / ((~toxic).sum() + 1))
+    bad = bad[(with_bad >= max(4, 0.02 * toxic.sum())) & (gain >= odds)]
+    marks = toxic[doc] & np.isin(own[:3], bad).any(axis=0)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    middle = lengths // 2
+    marked = np.flatnonzero(marks)[::-1]
+    middle[doc[marked]] = place[marked]  # the first mark of a text stays
+    inside = np.abs(place - middle[doc]) < window // 2
+    starts = np.r_[True, doc[inside][1:] != doc[inside][:-1]]
+    model = train(own[:, inside], starts, marks[inside])
     tagger = Tagger(model)
-    evidence = tagger.evidence(*tagger.marginals(texts))
-    model.logistic = fit_logistic(evidence, toxic.astype(float))
+    model.logistic = fit_logistic(tagger.evidence(tagger.marginals(found), lengths), toxic.astype(float))
     return model
 
 
@@ -328,12 +319,12 @@ def tag(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> D
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         for part in slices(batches, "text"):
-            texts = part.column("text").to_pylist()
-            p, lengths = tagger.marginals([words(t) for t in texts])
-            scores = tagger.score(tagger.evidence(p, lengths))
-            cuts = np.split(p, np.cumsum(lengths)[:-1])
-            found = [spans(t, x) if len(x) else [] for t, x in zip(texts, cuts, strict=True)]
-            columns = [*(part.column(c) for c in keep), pa.array(scores), pa.array(found, kind)]
+            texts = part.column("text")
+            found = byte_words(texts)
+            p = tagger.marginals(found)
+            scores = tagger.score(tagger.evidence(p, found.lengths))
+            runs = spans(found, p, texts.cast(pa.large_binary()).fill_null(b"").to_pylist())
+            columns = [*(part.column(c) for c in keep), pa.array(scores), pa.array(runs, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "__score", "__spans"])
 
     return source.mapInArrow(run, ", ".join([*fields, "__score double, __spans array<struct<start:bigint,end:bigint>>"]))
