@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language, licences, mixture, repetition, simhash, tokens, toxicity, warc
+from millrace.llm import decontamination, html_text, language, licences, mixture, repetition, simhash, tokens, toxicity, warc
 from millrace.llm.common import held_out
 from millrace.session import prepare
 
@@ -47,6 +47,10 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), length=3, radius=3)
 
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language.fit(docs, where=~held_out("doc_id", 4, 2))
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op3_licences": op3_licences,
     "op4_repetition": op4_repetition,
     "op5_simhash": op5_simhash,
+    "op6_html_text": op6_html_text,
     "op7_language": op7_language,
     "op8_tokens": op8_tokens,
     "op9_decontamination": op9_decontamination,
