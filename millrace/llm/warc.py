@@ -32,6 +32,8 @@ LEAST_REVISIT = 1000
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+#: Header fields that a record has once.
+ONCE = ("warc-type", "warc-record-id", "content-length")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
@@ -147,9 +149,10 @@ def _parse(data: bytes, start: int, whole: bool) -> tuple[dict, int, str] | None
     fields: dict[str, str] = {}
     for row in data[line + 2 : stop].split(b"\r\n"):
         key, colon, value = row.partition(b":")
-        if not colon:
-            return None
-        fields[key.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        name = key.decode("utf-8", "replace").strip().lower()
+        if not colon or b"\r" in row or b"\n" in row or (name in ONCE and name in fields):
+            return None  # what follows a cut header is another record's
+        fields[name] = value.decode("utf-8", "replace").strip()
     length = fields.get("content-length", "")
     if not (length.isascii() and length.isdigit()) or "warc-type" not in fields:
         return None
