@@ -244,18 +244,18 @@ def fit(
     counts. The field learns from ``window`` words around a mark, or from the middle of a text
     without one. Without toxic or without clean documents the model finds nothing.
     """
-    rows = pick(docs, "doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest))
+    rows = pick(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") <= longest))
     if where is not None:
         rows = rows.where(where)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    both = rows.join(known, "doc_id").dropDuplicates(["doc_id"]).withColumn("hash", F.xxhash64("doc_id"))
-    texts: list[str] = []
-    toxic: list[int] = []
+    both = rows.select("doc_id").distinct().join(known, "doc_id").withColumn("hash", F.xxhash64("doc_id"))  # without texts
+    wanted: dict[int, int] = {}
     for value in (1, 0):
         sample = both.where((F.col("toxic") > 0) == F.lit(bool(value))).orderBy("hash", "doc_id").limit(sample_docs)
-        for row in sample.select("text").collect():
-            texts.append(row[0])
-            toxic.append(value)
+        wanted |= {row[0]: value for row in sample.select("doc_id").collect()}
+    found = rows.where(F.col("doc_id").isin(list(wanted))).collect() if wanted else []
+    found = sorted({row[0]: row[1] for row in found}.items())  # a repeated id counts once
+    texts, toxic = [text for _, text in found], [wanted[i] for i, _ in found]
     return learn(texts, np.array(toxic, np.int64), window, odds)
 
 
@@ -271,9 +271,15 @@ def distinct(word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _document_counts(own: np.ndarray, doc: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features and the number of kept documents that have each."""
-    each = own[:, keep[doc]]
-    pairs = np.unique(np.stack([each.ravel(), np.tile(doc[keep[doc]].astype(np.uint64), len(each))]), axis=1)
-    return np.unique(pairs[0], return_counts=True)
+    keys, counts = [], []
+    for each in own[:, keep[doc]]:
+        pairs = (each ^ (each >> np.uint64(29))) * SALTS[1] + doc[keep[doc]].astype(np.uint64) * SALTS[2]
+        once = each[np.unique(pairs, return_index=True)[1]]
+        for out, value in zip((keys, counts), np.unique(once, return_counts=True), strict=True):
+            out.append(value)
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
 
 def learn(texts: list[str], toxic: np.ndarray, window: int = 120, odds: float = 4.0) -> Model:
