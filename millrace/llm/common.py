@@ -58,19 +58,14 @@ def _lower_table() -> np.ndarray:
 
 _LOWER = _lower_table()
 _BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers 0 to n of an odd number and of its inverse, modulo 2 ** 64."""
-    if len(_POWERS[0]) <= n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        size = max(n + 1, SLICE_CHARS + (1 << 16))
-        for i, base in enumerate((_BASE, inverse)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _POWERS[i] = np.cumprod(table, dtype=np.uint64)
-    return _POWERS
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of an odd number modulo 2 ** 64. Not kept: functions travel with their module's values."""
+    table = np.full(n, base, np.uint64)
+    table[:1] = 1
+    return np.cumprod(table, dtype=np.uint64, out=table)
 
 
 @dataclass
@@ -86,10 +81,11 @@ class ByteWords:
     lengths: np.ndarray
     offsets: np.ndarray
     sums: np.ndarray
+    inverse: np.ndarray
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hash of the bytes of each range; equal bytes have equal hashes wherever they stand."""
-        h = (self.sums[end] - self.sums[start]) * _powers(len(self.data))[1][start]
+        h = (self.sums[end] - self.sums[start]) * self.inverse[start]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(29))
@@ -120,5 +116,8 @@ def byte_words(texts: pa.Array) -> ByteWords:
     end = np.flatnonzero(letter & (after | edge[1:])) + 1
     bounds = np.searchsorted(start, offsets)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data))[0][: len(data)], dtype=np.uint64, out=sums[1:])
-    return ByteWords(data, start, end, np.diff(bounds), offsets, sums)
+    sums[1:] = data
+    sums[1:] += np.uint64(1)
+    sums[1:] *= _powers(_BASE, len(data))
+    np.cumsum(sums, out=sums)
+    return ByteWords(data, start, end, np.diff(bounds), offsets, sums, _powers(_INVERSE, len(data)))

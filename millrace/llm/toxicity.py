@@ -230,7 +230,7 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     where: Column | None = None,
-    sample_docs: int = 1500,
+    sample_docs: int = 1000,
     longest: int = 20_000,
     window: int = 120,
     odds: float = 4.0,
