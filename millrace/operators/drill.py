@@ -4,46 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.names import first_line
 from millrace.operators.monitor import Monitor, change_pct, moment
+from millrace.session import materialize
 
-# Groups kept per breakdown and contributors reported per dimension.
-MAX_GROUPS = 100
+# Fixed value: contributors reported per dimension.
 TOP_CONTRIBUTORS = 3
 
+BREAKDOWN = "metric_name string, dimension string, group_value string, value double"
 
-def drill_breakdown(df: DataFrame, monitor: Monitor, dimensions: Sequence[str] | None = None, top: int = MAX_GROUPS) -> DataFrame:
-    """Metric value per group of each dimension, the ``top`` largest by absolute value.
+
+def drill_breakdown(df: DataFrame, monitor: Monitor, dimensions: Sequence[str] | None = None) -> DataFrame:
+    """Metric value of every group of each dimension.
 
     All dimensions share one scan: every row is expanded to one row per dimension and the
-    aggregation combines map-side before its shuffle. The limit per dimension is the report's.
+    aggregation combines map-side before its shuffle. ``largest_groups`` bounds what a report shows.
     """
     dims = list(dimensions or monitor.drill_down)
     if not dims:
         raise ValueError(f"monitor {monitor.name} has no dimension to drill into")
     base = df if monitor.filter is None else df.where(monitor.filter)
     pairs = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("val")) for d in dims])
-    grouped = (
+    return (
         base.withColumn("_pair", F.explode(pairs))
         .groupBy(F.col("_pair.dim").alias("dimension"), F.col("_pair.val").alias("group_value"))
         .agg(F.coalesce(F.expr(monitor.value).try_cast("double"), F.lit(0.0)).alias("value"))
-    )
-    order = Window.partitionBy("dimension").orderBy(F.abs("value").desc(), F.col("group_value").asc_nulls_first())
-    return (
-        grouped.withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= top)
         .select(F.lit(monitor.name).alias("metric_name"), "dimension", "group_value", "value")
     )
 
 
+def largest_groups(breakdown: DataFrame, top: int) -> DataFrame:
+    """The ``top`` groups of each metric and dimension by absolute value, for display."""
+    order = Window.partitionBy("metric_name", "dimension").orderBy(F.abs("value").desc(), F.col("group_value").asc_nulls_first())
+    return breakdown.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top).drop("_n")
+
+
 def drill_snapshot(snapshots: DataFrame) -> DataFrame:
-    """The rows of the newest stored snapshot of every metric and dimension."""
-    key = Window.partitionBy("metric_name", "dimension").orderBy(F.desc("computed_at"))
-    return snapshots.withColumn("_r", F.rank().over(key)).where("_r = 1").drop("_r")
+    """The rows of the newest stored snapshot of every metric and dimension.
+
+    The newest time of each is one row, found map-side first, so no task sorts the rows of a snapshot.
+    """
+    keys = ["metric_name", "dimension", "computed_at"]
+    newest = snapshots.groupBy(*keys[:2]).agg(F.max("computed_at").alias("computed_at"))
+    return snapshots.join(newest, keys, "left_semi").select(*snapshots.columns)
 
 
 def stamp_snapshot(breakdown: DataFrame, now: datetime | Column) -> DataFrame:
@@ -81,17 +92,44 @@ def drill_contributors(current: DataFrame, previous: DataFrame, top: int = TOP_C
 
 def drill_flagged(
     tables: Mapping[str, DataFrame], monitors: Sequence[Monitor], results: DataFrame, snapshots: DataFrame
-) -> tuple[DataFrame, DataFrame] | None:
-    """Breakdown and contributors of the metrics whose threshold was crossed.
+) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Breakdown and contributors of the metrics whose threshold was crossed, and the dimensions that failed.
 
     The names of flagged metrics come to the driver (no more than there are monitors), so that
-    tables of metrics in good order are not scanned.
+    tables of metrics in good order are not scanned. Each breakdown is written to the shared folder, all dimensions
+    of a metric at once, one by one if that fails; a dimension that fails alone is a row of the third
+    table (metric_name, dimension, error).
     """
     flagged = {r["name"] for r in results.where("exceeds_threshold").select("name").collect()}
-    parts = [drill_breakdown(tables[m.table], m) for m in monitors if m.name in flagged and m.drill_down]
-    if not parts:
+    parts: list[DataFrame] = []
+    errors: list[tuple[str, str, str]] = []
+    for m in monitors:
+        if m.name in flagged and m.drill_down:
+            found, failed = _broken_down(tables[m.table], m, list(m.drill_down))
+            parts += found
+            errors += failed
+    if not parts and not errors:
         return None
-    current = parts[0]
-    for part in parts[1:]:
-        current = current.unionByName(part)
-    return current, drill_contributors(current, drill_snapshot(snapshots))
+    spark = results.sparkSession
+    failed_pairs = {(name, dimension) for name, dimension, _ in errors}
+    asked = [(m.name, d) for m in monitors if m.name in flagged for d in m.drill_down if (m.name, d) not in failed_pairs]
+    pairs = spark.createDataFrame(asked, "metric_name string, dimension string").distinct()
+    # a metric that was not drilled into now has not lost the groups of its last snapshot
+    before = drill_snapshot(snapshots.join(pairs, ["metric_name", "dimension"], "left_semi"))
+    current = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], BREAKDOWN)
+    failures = spark.createDataFrame(errors, "metric_name string, dimension string, error string")
+    return current, drill_contributors(current, before), failures
+
+
+def _broken_down(df: DataFrame, monitor: Monitor, dimensions: Sequence[str]) -> tuple[list[DataFrame], list[tuple[str, str, str]]]:
+    try:
+        return [materialize(drill_breakdown(df, monitor, dimensions), "drill")], []
+    except (PySparkException, Py4JJavaError) as error:
+        if len(dimensions) == 1:
+            return [], [(monitor.name, dimensions[0], first_line(error))]
+    parts, errors = [], []
+    for dimension in dimensions:
+        found, failed = _broken_down(df, monitor, [dimension])
+        parts += found
+        errors += failed
+    return parts, errors

@@ -11,14 +11,16 @@ import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 
-from pyspark.errors import AnalysisException, ParseException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.functions.names import first_line
+from millrace.functions.names import first_line, normalize_name
 
 # Comparison kinds and limits that results depend on.
 COMPARISONS = (
@@ -32,7 +34,6 @@ TREND_MIN_POINTS = 14
 TREND_MAX_POINTS = 30
 TREND_SHARE_OF_MEAN = 0.01
 FORECAST_MAX_DAYS = 365
-HISTORY_MAX_ROWS = 1000
 
 STATUS_ORDER = ("flagged", "trending", "normal", "error")
 
@@ -116,34 +117,31 @@ def _valid(table: DataFrame, monitor: Monitor) -> str | None:
     return None
 
 
-def _one_scan(table: DataFrame, members: Sequence[Monitor]) -> DataFrame:
-    """Values (monitor index, metric_value) of all monitors of a table from one scan.
+def _values(table: DataFrame, members: Sequence[Monitor]) -> DataFrame:
+    """(place in ``members``, value) of monitors, a plain aggregate for each distinct filter.
 
-    Each row goes to the filters it meets (one for disjoint filters), and one aggregation per
-    filter computes the expressions; it combines map-side, so the shuffle carries one row per
-    filter and task. A filter no row meets takes its values from an aggregate over no rows.
+    Monitors with the same filter share a scan that the filter is pushed into; an expression sees the rows of its own
+    filter only, and an aggregate without rows still gives its value.
     """
-    filters = list(dict.fromkeys(m.filter for m in members))
-    values = list(dict.fromkeys(m.value for m in members))
-    aggregates = [F.expr(v).try_cast("double").alias(f"v{i}") for i, v in enumerate(values)]
-    met = F.array_compact(F.array(*[F.lit(i) if f is None else F.when(F.expr(f), F.lit(i)) for i, f in enumerate(filters)]))
-    wanted = table if None in filters else table.where(" OR ".join(f"({f})" for f in filters))
-    if len(filters) == 1:
-        # A plain aggregate also gives its row for no input.
-        found = wanted.agg(*aggregates).withColumn("_filter", F.lit(0))
-    else:
-        seen = wanted.withColumn("_filter", F.explode(met)).groupBy("_filter").agg(*aggregates)
-        none = table.where(F.lit(False)).agg(*aggregates)
-        every = none.withColumn("_filter", F.explode(F.array(*[F.lit(i) for i in range(len(filters))]))).alias("e")
-        met_rows = seen.withColumn("_seen", F.lit(True)).alias("s")
-        both = every.join(met_rows, F.col("e._filter") == F.col("s._filter"), "left")
-        chosen = [F.when(F.col("s._seen"), F.col(f"s.v{i}")).otherwise(F.col(f"e.v{i}")).alias(f"v{i}") for i in range(len(values))]
-        found = both.select(F.col("e._filter").alias("_filter"), *chosen)
-    picks = [
-        F.when(F.col("_filter") == filters.index(m.filter), F.struct(F.lit(i).alias("i"), F.col(f"v{values.index(m.value)}").alias("metric_value")))
-        for i, m in enumerate(members)
-    ]
-    return found.select(F.inline(F.array_compact(F.array(*picks))))
+    parts = []
+    for condition in dict.fromkeys(m.filter for m in members):
+        own = [(i, m) for i, m in enumerate(members) if m.filter == condition]
+        base = table if condition is None else table.where(condition)
+        found = base.agg(*[F.expr(m.value).try_cast("double").alias(f"v{i}") for i, m in own])
+        parts.append(found.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("value")) for i, _ in own]))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _evaluated(table: DataFrame, members: Sequence[Monitor]) -> list[tuple[Monitor, float | None, str | None]]:
+    """Value or error of every monitor. Members of a failing evaluation are halved until those that fail stand alone."""
+    try:
+        found = {row["i"]: row["value"] for row in _values(table, members).collect()}
+    except (PySparkException, Py4JJavaError) as error:
+        if len(members) == 1:
+            return [(members[0], None, first_line(error))]
+        half = len(members) // 2
+        return _evaluated(table, members[:half]) + _evaluated(table, members[half:])
+    return [(m, found[i], None) for i, m in enumerate(members)]
 
 
 def metric_eval(
@@ -152,44 +150,28 @@ def metric_eval(
     monitors: Sequence[Monitor],
     now: datetime | Column,
 ) -> DataFrame:
-    """Current value of every monitor, each table scanned once whatever the number of filters.
+    """Current value of every monitor, evaluated now; the result is as long as the configuration.
 
-    A monitor that cannot be analysed becomes a row with ``error`` and does not fail the rest.
+    A monitor that cannot be analysed or that fails on its rows becomes a row with ``error``, and the others keep
+    their values.
     """
     groups: dict[str, list[Monitor]] = {}
-    broken: list[tuple[Monitor, str]] = []
+    rows: list[tuple[Monitor, float | None, str | None]] = []
     for m in monitors:
         if m.table not in tables:
-            broken.append((m, f"table {m.table} does not exist"))
+            rows.append((m, None, f"table {m.table} does not exist"))
             continue
         complaint = _valid(tables[m.table], m)
         if complaint:
-            broken.append((m, complaint))
+            rows.append((m, None, complaint))
         else:
             groups.setdefault(m.table, []).append(m)
-
-    parts: list[DataFrame] = []
     for table, members in groups.items():
-        label = F.element_at(F.array(*[F.struct(F.lit(m.name).alias("n"), F.lit(m.source).alias("s"), F.lit(m.table_name).alias("t")) for m in members]), F.col("i") + 1)
-        parts.append(
-            _one_scan(tables[table], members).select(
-                label["n"].alias("metric_name"),
-                label["s"].alias("source"),
-                label["t"].alias("table_name"),
-                "metric_value",
-                F.lit(None).cast("string").alias("error"),
-            )
-        )
-    if broken or not parts:
-        parts.append(
-            spark.createDataFrame(
-                [(m.name, m.source, m.table_name, None, text) for m, text in broken],
-                "metric_name string, source string, table_name string, metric_value double, error string",
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        rows += _evaluated(tables[table], members)
+    out = spark.createDataFrame(
+        [(m.name, m.source, m.table_name, value, error) for m, value, error in rows],
+        "metric_name string, source string, table_name string, metric_value double, error string",
+    )
     return out.withColumn("recorded_at", moment(now))
 
 
@@ -256,8 +238,7 @@ def row_count_monitors(source: str, tables: Iterable[str]) -> list[Monitor]:
     """A row count per table of a source without presets."""
     out = []
     for table in sorted(tables):
-        slug = re.sub(r"^\d+", "", re.sub(r"[^a-zA-Z0-9]", "_", table)).strip("_") or "table"
-        out.append(Monitor(f"{source}_{slug}_row_count", f"raw_{source}.{table}", "COUNT(*)", None, "week_over_week", 25.0))
+        out.append(Monitor(f"{source}_{normalize_name(table) or 'table'}_row_count", f"raw_{source}.{table}", "COUNT(*)", None, "week_over_week", 25.0))
     return out
 
 
@@ -442,7 +423,7 @@ def urgency() -> list[Column]:
 
 
 def monitor_summary(results: DataFrame) -> DataFrame:
-    """One line of text: up to three flagged metrics, the count of trending ones, the total."""
+    """One line of text (its wording is a fixed value): up to three flagged metrics, the count of trending ones, the total."""
     flagged = F.col("exceeds_threshold")
     trending = (F.col("trend_direction") != "stable") & ~flagged
     label = F.when(F.col("change_pct").isNull(), F.col("name")).otherwise(
@@ -506,17 +487,14 @@ def metric_latest(history: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def metric_history_window(
-    history: DataFrame, now: datetime | Column, n_days: int, metric: str | None = None, limit: int = HISTORY_MAX_ROWS
+    history: DataFrame, now: datetime | Column, n_days: int, metric: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Values of the last ``n_days`` days, newest first, at most ``limit`` rows (the report's own limit)."""
+    """Values of the last ``n_days`` days, newest first; at most ``limit`` rows if the caller sets one."""
     if not 1 <= n_days <= 365:
         raise ValueError("n_days must be within 1 to 365")
     rows = history if metric is None else history.where(F.col("metric_name") == metric)
-    return (
-        rows.where(F.col("recorded_at") >= moment(now) - days(n_days))
-        .orderBy(F.desc("recorded_at"), "metric_name")
-        .limit(min(limit, HISTORY_MAX_ROWS))
-    )
+    out = rows.where(F.col("recorded_at") >= moment(now) - days(n_days)).orderBy(F.desc("recorded_at"), "metric_name")
+    return out if limit is None else out.limit(limit)
 
 
 def run_monitors(
@@ -529,8 +507,7 @@ def run_monitors(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Evaluate, compare and categorise; returns (values, comparisons, results).
 
-    The caller appends ``values`` to the stored history; drill-downs of flagged metrics are
-    ``drill.drill_flagged`` on ``results``.
+    Nothing is stored; ``monitor_run.MonitorStore.run`` stores the values, the comparisons and the drill-downs.
     """
     chosen = list(monitors) if sources is None else [m for m in monitors if m.source in set(sources)]
     values = metric_eval(spark, tables, chosen, now)

@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from millrace.operators import drill, monitor
 from millrace.operators.monitor import Monitor
+from millrace.operators.monitor_run import MonitorStore
 from millrace.plans.registry import Tables, query
+from millrace.session import new_folder
 
 EXACT = "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)"
 
@@ -122,6 +124,9 @@ SELECT 'paid_total' AS metric_name, 'shop' AS source, 'charge' AS table_name,
 UNION ALL SELECT 'paid_count', 'shop', 'charge', count(*)::DOUBLE, false FROM charge WHERE status = 'succeeded'
 UNION ALL SELECT 'largest', 'shop', 'charge', max(amount)::DOUBLE, false FROM charge
 UNION ALL SELECT 'no_column', 'shop', 'charge', NULL, true
+UNION ALL SELECT 'by_zero', 'shop', 'charge', NULL, true
+UNION ALL SELECT 'paid_share', 'shop', 'charge',
+       round(count(*) FILTER (status = 'succeeded')::DOUBLE / count(*), 2), false FROM charge WHERE currency <> '5-LOW'
 UNION ALL SELECT 'item_rows', 'shop', 'item', count(*)::DOUBLE, false FROM lineitem
 """,
 )
@@ -132,6 +137,8 @@ def _metric_eval(t: Tables) -> DataFrame:
         Monitor("paid_count", "raw_shop.charge", "COUNT(*)", paid),
         Monitor("largest", "raw_shop.charge", "MAX(amount)"),
         Monitor("no_column", "raw_shop.charge", "SUM(absent)"),
+        Monitor("by_zero", "raw_shop.charge", "SUM(amount / (amount - amount))"),
+        Monitor("paid_share", "raw_shop.charge", "COUNT(CASE WHEN status = 'succeeded' THEN 1 END) / COUNT(*)", "currency <> '5-LOW'"),
         Monitor("item_rows", "raw_shop.item", "COUNT(*)"),
     ]
     values = monitor.metric_eval(t.spark, {"raw_shop.charge": charge(t), "raw_shop.item": t.lineitem}, monitors, F.current_timestamp())
@@ -304,17 +311,18 @@ CASE WHEN exceeds_threshold THEN 'flagged' WHEN trend_direction <> 'stable' THEN
     f"""
 WITH {HISTORY}, {COMPARE}
 SELECT metric_name AS name, {STATUS} AS status, current_value AS value, round(change_pct, 6) AS change_pct,
-       row_number() OVER (ORDER BY CASE {STATUS} WHEN 'flagged' THEN 0 WHEN 'trending' THEN 1 ELSE 2 END,
-                          abs(change_pct) DESC, metric_name)::INTEGER AS position
+       CASE {STATUS} WHEN 'flagged' THEN 1 WHEN 'trending' THEN 2 ELSE 3 END AS urgency,
+       round(coalesce(abs(change_pct), 0), 6) AS size
 FROM compared
 """,
 )
 def _monitor_categorize(t: Tables) -> DataFrame:
     values = monitor.newest(history(t), 1).withColumn("error", F.lit(None).cast("string"))
     out = monitor.monitor_categorize(values, compared(t))
-    # The position is checked too: this is a report with one row per configured metric.
-    place = F.row_number().over(Window.orderBy(*monitor.urgency()))
-    return out.select("name", "status", "value", F.round("change_pct", 6).alias("change_pct"), place.alias("position"))
+    # What the report is ordered by is checked too.
+    rank = F.array_position(F.array(*[F.lit(s) for s in monitor.STATUS_ORDER]), F.col("status")).cast("int")
+    size = F.round(F.coalesce(F.abs("change_pct"), F.lit(0.0)), 6)
+    return out.select("name", "status", "value", F.round("change_pct", 6).alias("change_pct"), rank.alias("urgency"), size.alias("size"))
 
 
 @query(
@@ -348,7 +356,7 @@ ORDER BY recorded_at DESC, metric_name LIMIT 1000
 )
 def _metric_history_window(t: Tables) -> DataFrame:
     rows = history(t)
-    return monitor.metric_history_window(rows, clock(rows), 14)
+    return monitor.metric_history_window(rows, clock(rows), 14, limit=1000)
 
 
 def stored_results(t: Tables) -> DataFrame:
@@ -403,7 +411,6 @@ WITH grouped AS (
   SELECT 'l_suppkey', CAST(l_suppkey AS VARCHAR), CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)
   FROM lineitem GROUP BY 2)
 SELECT 'sales' AS metric_name, dimension, group_value, value FROM grouped
-QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY abs(value) DESC, group_value NULLS FIRST) <= 100
 """,
 )
 def _drill_breakdown(t: Tables) -> DataFrame:
@@ -412,8 +419,8 @@ def _drill_breakdown(t: Tables) -> DataFrame:
 
 SNAPSHOTS = """
 snapshots AS (
-  SELECT 'sales_' || l_returnflag AS metric_name, 'l_suppkey' AS dimension,
-         CASE WHEN l_suppkey % 10 > 0 THEN CAST(l_suppkey AS VARCHAR) END AS group_value,
+  SELECT 'sales_' || l_returnflag AS metric_name, 'l_partkey' AS dimension,
+         CASE WHEN l_partkey % 10 > 0 THEN CAST(l_partkey AS VARCHAR) END AS group_value,
          CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value,
          CAST(date_trunc('year', l_shipdate) AS TIMESTAMP) AS computed_at
   FROM lineitem GROUP BY 1, 3, 5),
@@ -422,13 +429,13 @@ newest AS (SELECT * FROM snapshots QUALIFY rank() OVER (PARTITION BY metric_name
 
 
 def snapshots(t: Tables) -> DataFrame:
-    """One stored breakdown per metric and year; every tenth supplier has no name and shares the NULL group."""
+    """One stored breakdown per metric and year; every tenth part has no name and shares the NULL group."""
     year = F.date_trunc("year", F.col("l_shipdate")).cast("timestamp_ntz")
-    group = F.when(F.col("l_suppkey") % 10 > 0, F.col("l_suppkey").cast("string"))
+    group = F.when(F.col("l_partkey") % 10 > 0, F.col("l_partkey").cast("string"))
     return (
         t.lineitem.groupBy(F.concat(F.lit("sales_"), "l_returnflag").alias("metric_name"), group.alias("group_value"), year.alias("computed_at"))
         .agg(exact_sum("l_extendedprice").alias("value"))
-        .select("metric_name", F.lit("l_suppkey").alias("dimension"), "group_value", "value", "computed_at")
+        .select("metric_name", F.lit("l_partkey").alias("dimension"), "group_value", "value", "computed_at")
     )
 
 
@@ -447,7 +454,7 @@ both_sides AS (
   SELECT coalesce(c.metric_name, o.metric_name) AS metric_name, coalesce(c.group_value, o.group_value) AS group_value,
          coalesce(c.value, 0) AS current_value, o.value AS previous_value
   FROM newest c FULL JOIN old o ON c.metric_name = o.metric_name AND c.group_value IS NOT DISTINCT FROM o.group_value)
-SELECT metric_name, 'l_suppkey' AS dimension, group_value, current_value, previous_value,
+SELECT metric_name, 'l_partkey' AS dimension, group_value, current_value, previous_value,
        round(current_value - previous_value, 4) AS change_abs,
        round((current_value - previous_value) / nullif(abs(previous_value), 0) * 100, 6) AS change_pct
 FROM both_sides QUALIFY row_number() OVER (PARTITION BY metric_name ORDER BY coalesce(abs(current_value - previous_value), 0) DESC, group_value NULLS FIRST) <= 3
@@ -467,30 +474,49 @@ def _drill_contributors(t: Tables) -> DataFrame:
 @query(
     "run_monitors",
     f"""
-WITH {HISTORY}, {COMPARE}
-SELECT metric_name AS name, {STATUS} AS status, current_value AS value, comparison_type,
+WITH {HISTORY}, {COMPARE},
+per_user AS (
+  SELECT event_type AS metric_name, CAST(user_id AS VARCHAR) AS group_value,
+         {EXACT} AS value, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day
+  FROM events GROUP BY 1, 2, 4),
+today AS (SELECT p.* FROM per_user p, clock WHERE day = now_at),
+before AS (SELECT p.* FROM per_user p, clock WHERE day = now_at - INTERVAL 1 DAY),
+moved AS (
+  SELECT coalesce(a.metric_name, b.metric_name) AS metric_name, coalesce(a.group_value, b.group_value) AS group_value,
+         coalesce(a.value, 0) - b.value AS change_abs
+  FROM today a FULL JOIN before b ON a.metric_name = b.metric_name AND a.group_value IS NOT DISTINCT FROM b.group_value),
+first AS (
+  SELECT * FROM moved QUALIFY row_number() OVER (
+    PARTITION BY metric_name ORDER BY coalesce(abs(change_abs), 0) DESC, group_value NULLS FIRST) = 1)
+SELECT c.metric_name AS name, {STATUS} AS status, current_value AS value, comparison_type,
        round(baseline_value, 6) AS baseline_value, round(change_pct, 6) AS change_pct, exceeds_threshold,
-       trend_direction, forecast_threshold_days, 'app' AS source, 'events' AS table_name
-FROM compared
+       trend_direction, forecast_threshold_days, 'app' AS source, 'events' AS table_name,
+       CASE WHEN exceeds_threshold THEN f.group_value END AS top_group,
+       CASE WHEN exceeds_threshold THEN round(f.change_abs, 4) END AS top_change
+FROM compared c LEFT JOIN first f ON c.metric_name = f.metric_name
 """,
 )
 def _run_monitors(t: Tables) -> DataFrame:
-    # The last day is what the monitors measure now; the days before are the stored history.
+    # The last day is what the monitors measure now; the days before are in the store, as is yesterday's breakdown.
     rows = history(t)
-    today = clock(rows)
+    today = rows.agg(F.max("recorded_at")).first()[0]
     events = t.events.withColumn("day", F.date_trunc("day", F.col("ts")).cast("timestamp_ntz"))
     total = "CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE)"
     monitors = [Monitor(n, "raw_app.events", total, f"event_type = '{n}'", c, a, ("user_id",)) for n, c, a in JUDGED]
-    _, _, results = monitor.run_monitors(
-        t.spark,
-        {"raw_app.events": events.where(F.col("day") == today)},
-        monitors,
-        rows.where(F.col("recorded_at") < today),
-        today,
-        sources=["app"],
+    store = MonitorStore(t.spark, new_folder(t.spark, "monitors"))
+    if today is not None:
+        store.history_table.append(rows.where(F.col("recorded_at") < today))
+        yesterday = events.where(F.col("day") == monitor.moment(today) - monitor.days(1))
+        for m in monitors:
+            store.snapshots_table.append(drill.stamp_snapshot(drill.drill_breakdown(yesterday, m), monitor.moment(today) - monitor.days(1)))
+    run = store.run({"raw_app.events": events.where(F.col("day") == monitor.moment(today))}, monitors, monitor.moment(today), sources=["app"])
+    # What the store holds now is the report; the largest contributor stands beside a flagged metric.
+    results = monitor.metric_latest(store.history(), store.results())
+    top = run.contributors.where("rank = 1").select(
+        F.col("metric_name").alias("name"), F.col("group_value").alias("top_group"), F.round("change_abs", 4).alias("top_change")
     )
-    return results.select(
+    return results.join(top, "name", "left").select(
         "name", "status", "value", "comparison_type", F.round("baseline_value", 6).alias("baseline_value"),
         F.round("change_pct", 6).alias("change_pct"), "exceeds_threshold", "trend_direction",
-        "forecast_threshold_days", "source", "table_name",
+        "forecast_threshold_days", "source", "table_name", "top_group", "top_change",
     )

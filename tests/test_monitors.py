@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators import drill, monitor
 from millrace.operators.monitor import Monitor
+from millrace.operators.monitor_run import MonitorStore
+from millrace.session import new_folder
 
 NOW = datetime(2026, 1, 31)
 
@@ -166,8 +168,49 @@ def test_run_and_drill_only_flagged(spark, orders):
     _, _, results = monitor.run_monitors(spark, tables, monitors, old, NOW + timedelta(days=1))
     assert [(r["name"], r["status"]) for r in results.collect()] == [("revenue", "flagged"), ("rows", "normal"), ("broken", "error")]
     snapshots = spark.createDataFrame([("revenue", "status", "failed", 1.0, NOW)], "metric_name string, dimension string, group_value string, value double, computed_at timestamp_ntz")
-    current, contributors = drill.drill_flagged(tables, monitors, results, snapshots)
+    current, contributors, errors = drill.drill_flagged(tables, monitors, results, snapshots)
+    assert errors.count() == 0
     assert {r["metric_name"] for r in current.collect()} == {"revenue"}
     assert contributors.where("group_value = 'failed'").first()["change_abs"] == 4.0
     _, _, none = monitor.run_monitors(spark, tables, monitors, old, NOW, sources=["other"])
     assert none.count() == 0
+
+
+def test_a_failing_monitor_leaves_the_others(spark, orders):
+    monitors = [
+        Monitor("zero", "raw_shop.orders", "SUM(total / (id - id))"),
+        Monitor("share", "raw_shop.orders", "COUNT(CASE WHEN status = 'failed' THEN 1 END) / COUNT(*)", "id > 1"),
+        Monitor("none", "raw_shop.orders", "COUNT(*) / COUNT(*)", "id > 100"),
+        Monitor("own", "raw_shop.orders", "SUM(1 / (id - 2))", "id <> 2"),
+        Monitor("rows", "raw_shop.orders", "COUNT(*)"),
+    ]
+    out = {r["metric_name"]: r for r in monitor.metric_eval(spark, {"raw_shop.orders": orders}, monitors, NOW).collect()}
+    assert {n: r["metric_value"] for n, r in out.items() if r["error"] is None} == {"share": 0.5, "own": 0.0, "rows": 3.0}
+    assert "DIVIDE_BY_ZERO" in out["zero"]["error"] and "DIVIDE_BY_ZERO" in out["none"]["error"]
+
+
+def test_a_group_that_leaves_the_largest_ones_has_not_vanished(spark):
+    rows = [("s", "d", f"g{i}", 1000.0 - i) for i in range(150)]
+    old = spark.createDataFrame(rows, drill.BREAKDOWN)
+    now = spark.createDataFrame([(*r[:3], 800.0 if r[2] == "g99" else r[3]) for r in rows], drill.BREAKDOWN)
+    best = drill.drill_contributors(now, old).where("rank = 1").first()
+    assert (best["group_value"], best["current_value"], best["change_abs"]) == ("g99", 800.0, -101.0)
+    assert drill.largest_groups(now, 100).count() == 100 and drill.largest_groups(now, 100).where("group_value = 'g99'").count() == 0
+
+
+def test_breakdown_keeps_all_groups(spark):
+    df = spark.range(300).selectExpr("id", "cast(id as string) AS k")
+    assert drill.drill_breakdown(df, Monitor("m", "raw_a.b", "SUM(id)", None, "none", None, ("k",))).count() == 300
+
+
+def test_stored_runs_drill_and_isolate_a_failing_dimension(spark):
+    store = MonitorStore(spark, new_folder(spark, "store"))
+    watched = [Monitor("revenue", "raw_shop.orders", "SUM(total)", None, "prior_period", 10.0, ("status", "absent"))]
+    for day, total in enumerate((10.0, 11.0, 50.0, 100.0)):
+        rows = spark.createDataFrame([(total, "paid"), (1.0, "open")], "total double, status string")
+        run = store.run({"raw_shop.orders": rows}, watched, NOW + timedelta(days=day))
+    assert [r["metric_value"] for r in store.history().orderBy("recorded_at").collect()] == [11.0, 12.0, 51.0, 101.0]
+    assert store.results().count() == 4 and store.snapshots().select("computed_at").distinct().count() == 2
+    best = run.contributors.where("rank = 1").first()
+    assert (best["group_value"], best["previous_value"], best["change_abs"]) == ("paid", 50.0, 50.0)
+    assert [r["dimension"] for r in run.errors.collect()] == ["absent"]
