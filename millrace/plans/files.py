@@ -34,6 +34,54 @@ def _scan_files(t: Tables) -> DataFrame:
     return files.scan_files(t.spark, landing_by_format(t), t.orders.schema)
 
 
+def write_texts(t: Tables, folder: str) -> None:
+    """Documents as CSV by language: cells with line breaks, quotes and separators; a name with brackets."""
+    texts = t.documents.select("doc_id", "lang", F.concat(F.lit('say "x", '), F.col("text")).alias("text"))
+    for lang in ("en", "de"):
+        part = texts.where(F.col("lang") == lang)
+        part.write.option("header", True).option("escape", '"').csv(f"{folder}/l[{lang}]")
+    # The same columns in another order.
+    rest = texts.where("lang NOT IN ('en', 'de')").select("text", "lang", "doc_id")
+    rest.write.option("header", True).option("escape", '"').csv(f"{folder}/rest")
+
+
+TEXTS_SQL = "SELECT doc_id, lang, 'say \"x\", ' || text AS text FROM documents WHERE lang IS NOT NULL"
+
+
+@query("scan_files_quoted", TEXTS_SQL)
+def _scan_files_quoted(t: Tables) -> DataFrame:
+    folder = new_folder(t.spark, "texts")
+    write_texts(t, folder)
+    return files.scan_files(t.spark, folder, t.documents.select("doc_id", "lang", "text").schema)
+
+
+@query("load_files_quoted", TEXTS_SQL)
+def _load_files_quoted(t: Tables) -> DataFrame:
+    folder = new_folder(t.spark, "texts")
+    write_texts(t, folder)
+    load = loader(t, folder, t.documents.select("doc_id", "lang", "text").schema)
+    load.sync(FIRST)
+    return load.table().select("doc_id", "lang", "text")
+
+
+@query(
+    "load_growing_files",
+    """
+SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority,
+       CASE WHEN o_orderstatus = 'P' THEN CAST(o_custkey AS INTEGER) END AS o_custkey FROM orders
+""",
+)
+def _load_growing_files(t: Tables) -> DataFrame:
+    # Each load brings files with a column more; the table's schema grows by what is found in them.
+    folder = new_folder(t.spark, "growing")
+    columns = ["o_orderkey", "o_totalprice", "o_orderpriority", "o_custkey"]
+    load = loader(t, folder, t.orders.select(*columns[:2]).schema)
+    for n, status in ((2, "F"), (3, "O"), (4, "P")):
+        t.orders.where(F.col("o_orderstatus") == status).select(*columns[:n]).write.option("header", True).csv(f"{folder}/{status}")
+        load.sync(datetime(2024, 1, n), evolve=True)
+    return load.table().select(*columns)
+
+
 @query("scan_sql_table", "SELECT * FROM customer WHERE c_acctbal > 0")
 def _scan_sql_table(t: Tables) -> DataFrame:
     # No database runs here: the same call reads the table from parquet.
@@ -210,7 +258,7 @@ def write_years(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("y").csv(folder)
 
 
-COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice"]
+COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 @query(
@@ -228,19 +276,19 @@ def _load_new_files(t: Tables) -> DataFrame:
 
 @query(
     "reload_updated_files",
-    "SELECT o_orderkey, o_custkey, CASE WHEN year(o_orderdate) = 1998 THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS o_totalprice FROM orders",
+    "SELECT * REPLACE (CASE WHEN year(o_orderdate) = 1998 THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS o_totalprice) FROM orders",
 )
 def _reload_updated_files(t: Tables) -> DataFrame:
     folder, schema = landing_by_year(t, COLUMNS)
     load = loader(t, folder, schema)
     load.sync(FIRST)
-    changed = t.orders.where(F.year("o_orderdate") == 1998).select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 2, 2).alias("o_totalprice"))
+    changed = t.orders.where(F.year("o_orderdate") == 1998).withColumn("o_totalprice", F.round(F.col("o_totalprice") * 2, 2)).select(*COLUMNS)
     write_years(changed.withColumn("y", F.lit(1998)), folder)
     load.sync(SECOND)
     return load.table().select(*COLUMNS)
 
 
-@query("delete_file_rows", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE year(o_orderdate) <> 1997")
+@query("delete_file_rows", "SELECT * FROM orders WHERE year(o_orderdate) <> 1997")
 def _delete_file_rows(t: Tables) -> DataFrame:
     folder, schema = landing_by_year(t, COLUMNS)
     load = loader(t, folder, schema)

@@ -7,6 +7,7 @@ ledger row says so, and the semi join prunes the partitions of those that do not
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Sequence
 from datetime import datetime
@@ -172,7 +173,7 @@ class FileLoader:
             else:
                 self._check_columns(wanted, headers)
             self._write_rows(wanted, now, headers)
-        outcome = self._outcome(found, bool(wanted), now)
+        outcome = self._outcome(found, wanted, now)
         changes = outcome.where(
             (F.col("state") == "deleted") | (F.col("state").isin("new", "updated") & (F.col("rows_loaded") > 0))
         ).select(
@@ -191,12 +192,12 @@ class FileLoader:
         columns = files.file_columns(
             self.spark, self.folder, self.pattern, self.unit, wanted, self.multiline, formats=("json", "parquet")
         )
-        bad = [(r["file_path"], r["extra"], r["missing"]) for r in files.validate_file_schemas(columns, self.schema.names).limit(20).collect()]
+        bad = [(r["file_path"], r["extra"], r["missing"]) for r in files.validate_file_schemas(columns, self.schema.names).collect()]
         expected = set(self.schema.names)
         for header in headers:
             extra, missing = sorted(set(header["columns"]) - expected), sorted(expected - set(header["columns"]))
             if extra or missing:
-                bad += [(path.split(f"{self.folder}/")[-1], extra, missing) for path in header["paths"][:20]]
+                bad += [(path.split(f"{self.folder}/")[-1], extra, missing) for path in header["paths"]]
         if bad:
             raise SchemaMismatchError("; ".join(f"{path}: extra {extra}, missing {missing}" for path, extra, missing in sorted(bad)))
 
@@ -226,13 +227,14 @@ class FileLoader:
         # rows has no partition to overwrite, which keeps its old version.
         tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_src_key").parquet(f"{self.path}/rows")
 
-    def _outcome(self, found: DataFrame, written: bool, now: datetime | Column) -> DataFrame:
-        if not written:
+    def _outcome(self, found: DataFrame, wanted: Sequence[str], now: datetime | Column) -> DataFrame:
+        if not wanted:
             return found.withColumn("rows_loaded", F.lit(None).cast("bigint"))
         stored = T.StructType([*_PROVENANCE, T.StructField("_src_key", T.StringType())])
         rows = self.spark.read.schema(stored).parquet(f"{self.path}/rows")
-        # Rows of this run only: the old rows of a file that is empty now carry an earlier time.
-        counts = rows.where(F.col("_src_loaded_at") == moment(now)).groupBy("_src_key").agg(F.count(F.lit(1)).alias("_rows"))
+        # The partitions of this run only, and in them its rows: the old rows of a file that is empty now carry an earlier time.
+        keys = [hashlib.md5(path.encode()).hexdigest() for path in wanted]
+        counts = rows.where(F.col("_src_key").isin(keys) & (F.col("_src_loaded_at") == moment(now))).groupBy("_src_key").agg(F.count(F.lit(1)).alias("_rows"))
         tried = F.col("state").isin("new", "updated")
         return (
             found.withColumn("_src_key", F.md5("file_path"))

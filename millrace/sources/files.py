@@ -21,8 +21,9 @@ from millrace.functions.names import quoted
 # The extensions that are read, and their formats. Other files are skipped.
 FORMATS = {"csv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "parquet": "parquet"}
 
-# More CSV headers than this in one folder are not versions of one table.
-MAX_HEADERS = 1000
+
+# Cells may hold line breaks and doubled quotes, and a cell that is not of its column's type fails the read.
+CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
 
 
 def _extensions(fmt: str) -> str:
@@ -68,7 +69,7 @@ def _reader(spark: SparkSession, fmt: str, glob: str | None):
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**CSV)
     return reader.format(fmt)
 
 
@@ -96,7 +97,7 @@ def infer_schema(
             continue
         if fmt == "csv":
             for header in csv_headers(spark, inputs, pattern) if headers is None else headers:
-                out = merge_schemas(out, _csv_reader(spark).option("inferSchema", True).load(header["paths"]).schema)
+                out = merge_schemas(out, _csv_reader(spark).option("inferSchema", True).load([literal(p) for p in header["paths"]]).schema)
             continue
         reader = _reader(spark, fmt, glob)
         reader = reader.option("mergeSchema", True) if fmt == "parquet" else reader.option("multiLine", multiline)
@@ -111,14 +112,19 @@ def infer_schema(
 
 
 def _csv_reader(spark: SparkSession):
-    return spark.read.format("csv").option("header", True)
+    return spark.read.format("csv").options(**CSV)
+
+
+def literal(path: str) -> str:
+    """A path in which no character stands for others."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def unit_paths(folder: str, unit: str, fmt: str, wanted: Sequence[str] | None) -> list[str]:
     """What to read for one format: the folder, or the wanted units in it."""
     if wanted is None:
         return [folder]
-    return [f"{folder.rstrip('/')}/{w}" for w in wanted if unit == "folder" or FORMATS.get(w.rsplit(".", 1)[-1].lower()) == fmt]
+    return [f"{folder.rstrip('/')}/{literal(w)}" for w in wanted if unit == "folder" or FORMATS.get(w.rsplit(".", 1)[-1].lower()) == fmt]
 
 
 def scan_files(
@@ -135,8 +141,9 @@ def scan_files(
 ) -> DataFrame:
     """All CSV, JSON and parquet files of a folder as one table, matched by column name.
 
-    CSV binds by position, so its files are grouped by header line first (headers only are
-    read); ``uniform_csv`` promises the order of ``schema`` and skips that look. Files without
+    CSV binds by position, so its files are grouped by header first (headers only are
+    read); ``uniform_csv`` promises the order of ``schema`` and skips that look. Quoted cells may hold line
+    breaks, so a CSV file is read by one task; a cell that does not fit its type fails the read. Files without
     one of the columns give NULL. With ``provenance`` the file's path and time are added;
     ``wanted`` limits the read to some units, ``headers`` is ``csv_headers`` if known already.
     """
@@ -148,7 +155,7 @@ def scan_files(
         if fmt == "csv" and not uniform_csv:
             for header in csv_headers(spark, inputs, pattern) if headers is None else headers:
                 own = T.StructType([T.StructField(c, schema[c].dataType if c in schema.names else T.StringType()) for c in header["columns"]])
-                parts.append((_csv_reader(spark).schema(own).load(header["paths"]), own.names))
+                parts.append((_csv_reader(spark).schema(own).load([literal(p) for p in header["paths"]]), own.names))
             continue
         reader = _reader(spark, fmt, glob).schema(schema)
         if fmt == "json" and multiline:
@@ -200,8 +207,9 @@ def _open(path: str):
 
 
 def _columns_of(path: str) -> list[str]:
-    """Column names of one CSV or parquet file, from its first line or its footer."""
+    """Column names of one CSV or parquet file, from its first record or its footer."""
     import csv
+    import io
 
     from pyarrow import parquet
 
@@ -210,14 +218,8 @@ def _columns_of(path: str) -> list[str]:
         with system.open_input_file(inner) as file:
             return list(parquet.read_schema(file).names)
     with system.open_input_stream(inner) as file:
-        head = b""
-        while b"\n" not in head:
-            more = file.read(65536)
-            if not more:
-                break
-            head += more
-    line = head.split(b"\n", 1)[0].decode("utf-8-sig")
-    return next(csv.reader([line]), [])
+        # a quoted name may hold line breaks, so the parser decides where the first record ends
+        return next(csv.reader(io.TextIOWrapper(file, "utf-8-sig", newline="")), [])
 
 
 def _read_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,15 +234,12 @@ def _heads(spark: SparkSession, inputs: Sequence[str], glob: str) -> DataFrame:
 
 
 def csv_headers(spark: SparkSession, inputs: Sequence[str], pattern: str = "*") -> list[dict]:
-    """The distinct CSV header lines of a folder, each with the files that have it."""
+    """The distinct CSV headers of a folder, each with the files that have it: the list of files a read needs."""
     glob = glob_of(pattern, "csv")
     if glob is None:
         return []
     groups = _heads(spark, inputs, glob).where(F.size("columns") > 0).groupBy("columns").agg(F.collect_list("path").alias("paths"))
-    found = groups.limit(MAX_HEADERS + 1).collect()
-    if len(found) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different CSV headers")
-    return [{"columns": list(r["columns"]), "paths": list(r["paths"])} for r in found]
+    return [{"columns": list(r["columns"]), "paths": list(r["paths"])} for r in groups.collect()]
 
 
 def file_columns(

@@ -1,9 +1,13 @@
 """Tables kept as plain parquet with versions: a write makes a new version, readers see whole ones.
 
 A table is a folder with ``data/`` (one folder per write) and ``versions/`` (one small row per
-commit naming the data folders of that version). A version becomes visible by its commit row
-alone, which the output committer publishes at the end of its job; a lost executor or a failed
-job leaves the old version in place. All access goes through Spark, so any shared file system works.
+commit naming the folder it brought). A version is the newest commit that replaced everything and the appends
+after it. It becomes visible by its commit row alone, which the output committer publishes at the end of its job; a
+lost executor or a failed job leaves the old version in place. All access goes through Spark, so any shared file
+system works.
+
+Of two commits of the same version the one with the smaller id counts. The other writer sees that when it looks
+again: an append goes on top, since it does not depend on what it follows; any other write is refused.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,81 +23,122 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators import load
+from millrace.sources.files import merge_schemas
 
 VERSIONS = T.StructType(
     [
         T.StructField("version", T.LongType()),
+        T.StructField("commit_id", T.StringType()),
         T.StructField("kind", T.StringType()),
-        T.StructField("folders", T.ArrayType(T.StringType())),
+        T.StructField("folder", T.StringType()),
         T.StructField("schema_json", T.StringType()),
     ]
 )
 
 
-# Partitions listed by name in a filter.
-MAX_LISTED = 1000
-
-
 class EmptyReplaceError(RuntimeError):
     """A replace without rows over a table that has some."""
 
 
+class ConflictError(RuntimeError):
+    """The table changed while a write was made from an older version of it; nothing was written."""
+
+
+@dataclass(frozen=True)
+class Version:
+    number: int
+    folders: list[str]
+    schema: T.StructType
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def _newest(self):
+    def _commits(self) -> DataFrame | None:
+        """One row per version: the commit that counts."""
         try:
-            commits = self.spark.read.schema(VERSIONS).parquet(f"{self.path}/versions")
+            rows = self.spark.read.schema(VERSIONS).parquet(f"{self.path}/versions")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        return commits.orderBy(F.desc("version")).first()
+        rest = [F.min_by(c, "commit_id").alias(c) for c in ("kind", "folder", "schema_json")]
+        return rows.groupBy("version").agg(F.min("commit_id").alias("commit_id"), *rest)
+
+    def _newest(self) -> Version | None:
+        """The rows since the last one that replaced everything: as many as the folders to read."""
+        commits = self._commits()
+        if commits is None:
+            return None
+        whole = commits.where("kind <> 'append'").agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).scalar()
+        rows = commits.where(F.col("version") >= whole).orderBy("version").collect()
+        if not rows:
+            return None
+        schema = T.StructType.fromJson(json.loads(rows[-1]["schema_json"]))
+        return Version(rows[-1]["version"], [r["folder"] for r in rows], schema)
 
     def exists(self) -> bool:
         return self._newest() is not None
 
+    def _rows(self, version: Version) -> DataFrame:
+        return self.spark.read.schema(version.schema).parquet(*version.folders)
+
     def read(self) -> DataFrame:
         newest = self._newest()
         if newest is None:
             raise FileNotFoundError(f"no table at {self.path}")
-        schema = T.StructType.fromJson(json.loads(newest["schema_json"]))
-        return self.spark.read.schema(schema).parquet(*newest["folders"])
+        return self._rows(newest)
 
     def _write(self, df: DataFrame) -> str:
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         df.write.parquet(folder)
         return folder
 
-    def _commit(self, kind: str, folders: Sequence[str], schema: T.StructType) -> None:
+    def _commit(self, kind: str, folder: str, schema: T.StructType, base: Version | None) -> bool:
+        """Publish the version after ``base``; false if another writer has published it."""
         newest = self._newest()
-        version = 1 if newest is None else newest["version"] + 1
-        row = self.spark.createDataFrame([(version, kind, list(folders), schema.json())], VERSIONS)
+        if (newest and newest.number) != (base and base.number):
+            return False
+        version, commit_id = (base.number if base else 0) + 1, uuid.uuid4().hex
+        row = self.spark.createDataFrame([(version, commit_id, kind, folder, schema.json())], VERSIONS)
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+        return self._commits().where(F.col("version") == version).first()["commit_id"] == commit_id
+
+    def _commit_whole(self, kind: str, folder: str, schema: T.StructType, base: Version | None) -> None:
+        if not self._commit(kind, folder, schema, base):
+            raise ConflictError(f"{self.path} has changed since version {base.number if base else 0}; {kind} again")
 
     def append(self, df: DataFrame) -> None:
-        """Add rows; the version lists the old folders and the new one, nothing is rewritten."""
-        newest = self._newest()
-        old = [] if newest is None else list(newest["folders"])
+        """Add rows; nothing is rewritten. Columns of the table that ``df`` lacks read as NULL, and new ones are added.
+
+        The version to follow is looked up when the rows are written; appends of other writers meanwhile stay.
+        """
         folder = self._write(df)
-        self._commit("append", [*old, folder], df.schema)
+        while True:
+            base = self._newest()
+            schema = df.schema if base is None else merge_schemas(base.schema, df.schema)
+            if self._commit("append", folder, schema, base):
+                return
 
     def replace(self, df: DataFrame, allow_empty: bool = False) -> None:
         """Swap in a whole new version. The rows are written once, then counted from the
         footers before the swap, so a refused replace leaves the old version live."""
+        base = self._newest()
         folder = self._write(df)
-        newest = self._newest()
-        if newest is not None and not allow_empty:
+        if base is not None and not allow_empty:
             staged = self.spark.read.schema(df.schema).parquet(folder)
-            if staged.isEmpty() and not self.read().isEmpty():
+            if staged.isEmpty() and not self._rows(base).isEmpty():
                 raise EmptyReplaceError(f"replacing {self.path} by 0 rows; the old version stays")
-        self._commit("replace", [folder], df.schema)
+        self._commit_whole("replace", folder, df.schema, base)
 
     def compact(self) -> None:
         """Rewrite the folders of many appends as one."""
-        self._commit("compact", [self._write(self.read())], self.read().schema)
+        base = self._newest()
+        if base is None:
+            raise FileNotFoundError(f"no table at {self.path}")
+        self._commit_whole("compact", self._write(self._rows(base)), base.schema, base)
 
     def merge(self, batch: DataFrame, keys: Sequence[str], latest_by: Sequence[str] = ()) -> None:
         """Upsert by key. Rewrites the table; ``merge_partitions`` rewrites only what a batch touches."""
@@ -102,9 +148,9 @@ class VersionedTable:
         self._rewrite("delete_insert", batch, lambda old: load.write_delete_insert(old, batch, keys))
 
     def _rewrite(self, kind: str, batch: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
-        old = self.read() if self.exists() else self.spark.createDataFrame([], batch.schema)
-        new = change(old)
-        self._commit(kind, [self._write(new)], new.schema)
+        base = self._newest()
+        new = change(self.spark.createDataFrame([], batch.schema) if base is None else self._rows(base))
+        self._commit_whole(kind, self._write(new), new.schema, base)
 
 
 def merge_partitions(
@@ -112,15 +158,12 @@ def merge_partitions(
 ) -> None:
     """Upsert into a parquet table partitioned by a column that never changes for a key.
 
-    Only the partitions the batch touches are read and replaced: up to some number they are
-    listed in the filter, which prunes the scan, beyond it a semi join does.
+    Only the partitions the batch touches are read and replaced: they are listed in the filter, which prunes the scan.
+    The list is no longer than that of the table's partitions, which the driver holds to plan any scan.
     """
     target = spark.read.schema(batch.schema).parquet(path)
-    days = batch.select(partition).distinct()
-    few = [r[0] for r in days.limit(MAX_LISTED + 1).collect()]
-    if len(few) <= MAX_LISTED and None not in few:
-        touched = target.where(F.col(partition).isin(*few))
-    else:
-        touched = target.join(days, partition, "left_semi").select(*batch.columns)
-    merged = load.write_merge(touched, batch, keys, latest_by).select(*batch.columns)
+    touched = [r[0] for r in batch.select(partition).distinct().collect()]
+    named = F.col(partition).isin([v for v in touched if v is not None])
+    old = target.where(named | F.col(partition).isNull() if None in touched else named)
+    merged = load.write_merge(old, batch, keys, latest_by).select(*batch.columns)
     load.clustered(merged, partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
