@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -19,8 +20,7 @@ from millrace.operators.monitor import moment
 from millrace.operators.timeline import next_time
 from millrace.session import materialize
 
-# Rows an ad-hoc query returns, and the word that marks a date column.
-QUERY_MAX_ROWS = 10_000
+# Fixed value: the word that marks a date column.
 DATE_WORD = re.compile(r"\bdate\b", re.IGNORECASE)
 
 
@@ -218,38 +218,90 @@ SELECT_NODES = (
     "Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Filter", "UnresolvedHaving",
     "UnresolvedWith", "WithWindowDefinition", "Offset", "Window",
 )
-WRAPPERS = ("Sort", "GlobalLimit", "LocalLimit", "Distinct", "UnresolvedWith", "WithWindowDefinition", "Offset")
-
-
-def check_select(spark: SparkSession, sql: str) -> None:
-    """Refuse all but one SELECT, by Spark's own parser."""
+WRAPPERS = ("Sort", "GlobalLimit", "LocalLimit", "Distinct", "UnresolvedWith", "WithWindowDefinition", "Offset", "UnresolvedHint")
+# Functions that run code by name or look outside the given tables.
+BARRED_FUNCTIONS = ("reflect", "java_method", "try_reflect", "read_files", "python_worker_logs", "session_user_agent")
+SUBQUERIES = ("ScalarSubquery", "ListQuery", "Exists", "UnresolvedScalarSubquery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
+BARRED_NODES = ("ScriptTransformation", "UnresolvedTableValuedFunction", "UnresolvedInlineTableFunction")
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _check_node(node, known: set[str]) -> None:
+    """Walk a parsed plan: its nodes, their expressions and the plans inside those."""
+    kind = node.getClass().getSimpleName()
+    if kind in BARRED_NODES:
+        raise QueryRejectedError(f"{kind} is not allowed")
+    if kind == "UnresolvedWith":
+        named = [pair._1() for pair in _items(node.cteRelations())]
+        inner = known | {name.lower() for name in named}
+        for pair in _items(node.cteRelations()):
+            _check_node(pair._2(), inner)
+        _check_node(node.child(), inner)
+        return
+    if kind == "UnresolvedRelation":
+        name = _items(node.multipartIdentifier())
+        if len(name) != 1 or name[0].lower() not in known:
+            raise QueryRejectedError(f"{'.'.join(name)} is not one of the tables")
+    for child in _items(node.children()):
+        _check_node(child, known)
+    for expression in _items(node.expressions()):
+        _check_expression(expression, known)
+
+
+def _check_expression(expression, known: set[str]) -> None:
+    kind = expression.getClass().getSimpleName()
+    if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+        name = _items(expression.nameParts()) if kind == "UnresolvedFunction" else [expression.name().funcName()]
+        if name[-1].lower() in BARRED_FUNCTIONS:
+            raise QueryRejectedError(f"function {name[-1]} is not allowed")
+    if kind in SUBQUERIES:
+        _check_node(expression.plan(), known)
+    for child in _items(expression.children()):
+        _check_expression(child, known)
+
+
+def check_select(spark: SparkSession, sql: str, tables: Iterable[str] = ()) -> None:
+    """Refuse all but one SELECT over ``tables``, by Spark's own parser.
+
+    Subqueries and common table expressions are checked too: no script, no function that runs code by name, no relation
+    besides the tables (a path is one).
+    """
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))
     except Exception as error:  # py4j wraps the parser's error
         raise QueryRejectedError(f"not a single statement: {first_line(error)}") from error
-    name = plan.getClass().getSimpleName()
+    top, name = plan, plan.getClass().getSimpleName()
     while name in WRAPPERS:
         plan = plan.children().head() if plan.children().nonEmpty() else plan.innerChildren().head()
         name = plan.getClass().getSimpleName()
     if name not in SELECT_NODES:
         raise QueryRejectedError(f"only SELECT is allowed, not {name}")
+    _check_node(top, {t.lower() for t in tables})
 
 
-def query_select(
-    spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], max_rows: int = QUERY_MAX_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """Run one SELECT over named tables; returns at most ``max_rows`` rows and a one-row
-    table that says whether there were more."""
+def query_select(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], max_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Run one SELECT over named tables, once; returns at most ``max_rows`` rows and a one-row table that says whether
+    there were more.
+
+    The tables are common table expressions around the query, over views of names that nobody else has, so views of the
+    caller with the same names stay. ``max_rows`` + 1 rows are written to the shared folder.
+    """
+    check_select(spark, sql, tables)
+    views = {name: f"q_{uuid.uuid4().hex}" for name in tables}
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(views[name])
     try:
-        check_select(spark, sql)
-        result = spark.sql(sql)
+        around = ", ".join(f"{quoted(name)} AS (SELECT * FROM {view})" for name, view in views.items())
+        inner = sql.strip().rstrip(";")
+        result = spark.sql(f"WITH {around} SELECT * FROM ({inner}\n)" if tables else inner)
+        found = materialize(result.limit(max_rows + 1), "query")
     except ParseException as error:
         raise QueryRejectedError(first_line(error)) from error
     finally:
-        # The query is resolved by now; its names must not stay in the session.
-        for name in tables:
-            spark.catalog.dropTempView(name)
-    more = result.limit(max_rows + 1).agg((F.count(F.lit(1)) > max_rows).alias("truncated"))
-    return result.limit(max_rows), more
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+    more = found.agg((F.count(F.lit(1)) > max_rows).alias("truncated"))
+    return found.limit(max_rows), more

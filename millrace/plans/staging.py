@@ -210,5 +210,5 @@ def _query_select(t: Tables) -> DataFrame:
         WITH big AS (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1)
         SELECT c_name, n, top FROM big JOIN customer ON c_custkey = o_custkey ORDER BY top DESC, c_name
     """
-    rows, more = staging.query_select(t.spark, sql, {"orders": t.orders, "customer": t.customer})
+    rows, more = staging.query_select(t.spark, sql, {"orders": t.orders, "customer": t.customer}, max_rows=10_000)
     return rows.withColumn("truncated", more.scalar())

@@ -5,13 +5,16 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pytest
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators import dedup, load, staging
 from millrace.session import new_folder, work_folder
 from millrace.sources import file_load, files
 from millrace.sources.file_load import FileLoader, SchemaMismatchError
-from millrace.sources.store import EmptyReplaceError, VersionedTable, merge_partitions
+from millrace.sources.store import ConflictError, EmptyReplaceError, VersionedTable, merge_partitions
 
 T1, T2, T3 = (datetime(2026, 1, i) for i in (1, 2, 3))
 
@@ -66,6 +69,92 @@ def test_versioned_table(spark):
     assert store.read().count() == 0
 
 
+def test_appends_merge_their_columns(spark):
+    store = VersionedTable(spark, new_folder(spark, "narrow"))
+    store.append(spark.createDataFrame([(1, "a")], "id int, v string"))
+    store.append(spark.createDataFrame([(2,)], "id int"))
+    store.append(spark.createDataFrame([(3, 1.5)], "id int, w double"))
+    assert store.read().columns == ["id", "v", "w"]
+    assert {tuple(r) for r in store.read().collect()} == {(1, "a", None), (2, None, None), (3, None, 1.5)}
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([("x",)], "id string"))
+    assert store.read().count() == 3
+
+
+def interrupted(store, between):
+    """A table whose next write is interrupted by what ``between`` does with the same table."""
+    write = store._write
+
+    def late(df):
+        folder = write(df)
+        store._write = write
+        between()
+        return folder
+
+    store._write = late
+    return store
+
+
+def test_an_append_during_an_append_is_kept(spark):
+    path = new_folder(spark, "writers")
+    store, other = VersionedTable(spark, path), VersionedTable(spark, path)
+    store.append(table(spark, (1, "a", T1)))
+    interrupted(store, lambda: other.append(table(spark, (2, "b", T1)))).append(table(spark, (3, "c", T1)))
+    assert {r["id"] for r in store.read().collect()} == {1, 2, 3}
+
+
+def test_a_write_from_an_old_version_is_refused(spark):
+    path = new_folder(spark, "writers")
+    store, other = VersionedTable(spark, path), VersionedTable(spark, path)
+    store.append(table(spark, (1, "a", T1)))
+    more = table(spark, (2, "b", T1))
+    for write in (lambda: store.merge(more, ["id"]), lambda: store.replace(more), store.compact):
+        interrupted(store, lambda: other.append(more))
+        with pytest.raises(ConflictError):
+            write()
+    assert [r["id"] for r in store.read().orderBy("id").collect()] == [1, 2, 2, 2]
+
+
+def test_of_two_commits_of_a_version_one_counts(spark):
+    path = new_folder(spark, "race")
+    store, other = VersionedTable(spark, path), VersionedTable(spark, path)
+    store.append(table(spark, (1, "a", T1)))
+    base = store._newest()
+    folders = [store._write(table(spark, (i, "x", T1))) for i in (2, 3)]
+    seen, store._newest, other._newest = store._newest, lambda: base, lambda: base
+    won = [s._commit("append", f, base.schema, base) for s, f in zip((store, other), folders, strict=True)]
+    assert won[0] and len({r["id"] for r in VersionedTable(spark, path).read().collect()}) == 2
+    store._newest = seen
+
+
+def test_csv_cells_and_names(spark, tmp_path):
+    (tmp_path / "r[1].csv").write_text('id,"long\nname",v\n1,"two\nlines",3\n2,"say ""x"", y",4\n')
+    (tmp_path / "s.csv").write_text('v,id,"long\nname"\n5,3,plain\n')
+    schema = T.StructType.fromDDL("id int, `long\nname` string, v int")
+    out = files.scan_files(spark, str(tmp_path), schema, provenance=True)
+    assert sorted(tuple(r)[:4] for r in out.collect()) == [(1, "two\nlines", 3, "r[1].csv"), (2, 'say "x", y', 4, "r[1].csv"), (3, "plain", 5, "s.csv")]
+    only = files.scan_files(spark, str(tmp_path), schema, wanted=["r[1].csv"])
+    assert only.count() == 2
+
+
+def test_a_cell_that_does_not_fit_fails_the_load(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("id,v\n1,2\nxx,3\n")
+    loader = FileLoader(spark, "s", str(tmp_path / "in"), str(tmp_path / "out"), T.StructType.fromDDL("id int, v int"))
+    with pytest.raises((PySparkException, Py4JError)):
+        loader.sync(T1)
+    assert loader.ledger().count() == 0
+
+
+def test_all_mismatched_files_are_told(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"f{i:02}.csv").write_text("id,other\n1,2\n")
+    loader = FileLoader(spark, "s", str(tmp_path), str(tmp_path / "out"), T.StructType.fromDDL("id int, v int"))
+    with pytest.raises(SchemaMismatchError) as error:
+        loader.sync(T1)
+    assert all(f"f{i:02}.csv" in str(error.value) for i in range(30))
+
+
 def test_merge_partitions_leaves_others_alone(spark):
     path = new_folder(spark, "p")
     df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "y")], "id int, v string, p string")
@@ -150,17 +239,30 @@ def test_scd2_check_sees_nulls(spark):
     assert staging.scd2_check(two, table(spark, (1, None, T1)), ["id"], T3).count() == 2
 
 
-@pytest.mark.parametrize("sql", ["SELECT 1", "WITH x AS (SELECT 1 AS a) SELECT * FROM x ORDER BY a LIMIT 1", "SELECT count(*) FROM t HAVING count(*) > 0", "SELECT DISTINCT id FROM t;"])
+@pytest.mark.parametrize("sql", ["SELECT 1", "WITH x AS (SELECT 1 AS a) SELECT * FROM x ORDER BY a LIMIT 1", "SELECT count(*) FROM t HAVING count(*) > 0", "SELECT DISTINCT id FROM t;",
+    "SELECT /*+ REPARTITION(2) */ id FROM t", "SELECT id FROM t WHERE id IN (SELECT max(id) FROM T)", "SELECT id, (SELECT count(*) FROM t) AS n FROM t -- all",
+    "SELECT a.id FROM t a JOIN (SELECT id FROM t) b ON a.id = b.id", "SELECT explode(array(1, 2)) AS x"])
 def test_query_select_accepts(spark, sql):
-    out, more = staging.query_select(spark, sql, {"t": spark.range(3)})
+    out, more = staging.query_select(spark, sql, {"t": spark.range(3)}, max_rows=100)
     out.collect()
     assert more.first()["truncated"] is False
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE t", "INSERT INTO t VALUES (1)", "SELECT 1; SELECT 2", "CREATE TABLE x AS SELECT 1", "SHOW TABLES", "SELECT 1 UNION SELECT 2", "", "VALUES (1)"])
+@pytest.mark.parametrize("sql", ["DROP TABLE t", "INSERT INTO t VALUES (1)", "SELECT 1; SELECT 2", "CREATE TABLE x AS SELECT 1", "SHOW TABLES", "SELECT 1 UNION SELECT 2", "", "VALUES (1)",
+    "SELECT * FROM (SELECT TRANSFORM(id) USING 'cat' AS x FROM t)", "SELECT reflect('java.lang.System', 'getProperty', 'user.name')",
+    "SELECT id FROM t WHERE id = (SELECT java_method('java.lang.Math', 'abs', 1))", "SELECT * FROM parquet.`/tmp`", "SELECT * FROM other",
+    "SELECT id FROM t WHERE EXISTS (SELECT * FROM text.`/etc/hosts`)", "WITH x AS (SELECT * FROM csv.`/tmp/x`) SELECT * FROM x"])
 def test_query_select_refuses(spark, sql):
     with pytest.raises(staging.QueryRejectedError):
-        staging.query_select(spark, sql, {"t": spark.range(3)})
+        staging.query_select(spark, sql, {"t": spark.range(3)}, max_rows=100)
+
+
+def test_query_select_leaves_views_alone(spark):
+    spark.range(7).createOrReplaceTempView("mine")
+    out, _ = staging.query_select(spark, "SELECT count(*) AS n FROM mine", {"mine": spark.range(3)}, max_rows=5)
+    assert out.first()["n"] == 3 and spark.table("mine").count() == 7
+    assert [v.name for v in spark.catalog.listTables() if v.name.startswith("q_")] == []
+    spark.catalog.dropTempView("mine")
 
 
 def test_query_select_truncates(spark):
