@@ -172,15 +172,19 @@ def normalize_nested(df: DataFrame, column: str, keys: Sequence[str]) -> DataFra
     return rows.withColumnRenamed("_e", "value")
 
 
-def split_nested(df: DataFrame, table: str, keys: Sequence[str], max_depth: int = 2) -> dict[str, DataFrame]:
-    """All child tables of a nested table down to a depth, by name, with the flat parent."""
+def split_nested(df: DataFrame, table: str, keys: Sequence[str], max_depth: int | None = None) -> dict[str, DataFrame]:
+    """All child tables of a nested table, by name, with the flat parent.
+
+    Lists below ``max_depth`` levels stay in their child as JSON text; without it every level becomes a table.
+    """
     lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    if max_depth == 0:
+        return {table: df.withColumns({name: F.to_json(quoted(name)) for name in lists})}
     out = {table: df.drop(*lists)}
-    if max_depth > 0:
-        for name in lists:
-            child = normalize_nested(df, name, keys)
-            child_keys = [*[f"parent_{k}" for k in keys], "list_idx"]
-            out |= split_nested(child, child_table_name(table, name), child_keys, max_depth - 1)
+    for name in lists:
+        child = normalize_nested(df, name, keys)
+        child_keys = [*[f"parent_{k}" for k in keys], "list_idx"]
+        out |= split_nested(child, child_table_name(table, name), child_keys, None if max_depth is None else max_depth - 1)
     return out
 
 
@@ -322,8 +326,9 @@ def dedup_content(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame
 
 
 def message_id(*parts: Column) -> Column:
-    """Digest of what identifies a message; NULL parts count as empty, and stay apart."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+    """Digest of what identifies a message: each part behind its length, so parts cannot run together. NULL counts as empty."""
+    texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    return F.sha2(F.concat(*[F.concat(F.char_length(x).cast("string"), F.lit(":"), x) for x in texts]), 256)
 
 
 def distinct_visitors(visits: DataFrame, known: DataFrame, key: str, latest_by: str) -> DataFrame:

@@ -58,6 +58,12 @@ def datetime_iso_normalize(value: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def normalize_record_times(df: DataFrame, columns: Sequence[str], described_in: str = "attributes") -> DataFrame:
+    """Records with their times in ISO form and without the source's description of them."""
+    kept = df.drop(described_in)
+    return kept.withColumns({c: datetime_iso_normalize(F.col(quoted(c))) for c in columns})
+
+
 def iso_week_start(text: Column) -> Column:
     """Monday of an ISO week written yyyyww: week 1 is the one with January 4th."""
     year, week = (to_long(part).cast("int") for part in (F.substr(text, F.lit(1), F.lit(4)), F.substr(text, F.lit(5), F.lit(2))))

@@ -102,6 +102,7 @@ def drift_apply(baseline: DataFrame, current: DataFrame, now: datetime | Column)
         current.join(moving, tables, "left_semi").select(*fields).unionByName(baseline.join(moving, tables, "left_anti").select(*fields))
     )
     broken = F.col("severity") == "breaking"
+    # Fixed value: the wording of the reason.
     attention = (
         events.groupBy("source")
         .agg(F.count_if(broken).alias("n"))
@@ -125,7 +126,7 @@ def drift_accept(baseline: DataFrame, current: DataFrame, attention: DataFrame,
 
 
 def governance_query(
-    df: DataFrame, time: str, filters: Mapping[str, object] | None = None, limit: int = 100, offset: int = 0
+    df: DataFrame, time: str, filters: Mapping[str, object] | None = None, *, limit: int, offset: int = 0
 ) -> DataFrame:
     """A page of events, findings or runs: filtered, newest first, with the total on each row.
 
@@ -147,7 +148,7 @@ def drift_summary(events: DataFrame) -> DataFrame:
 
 
 def drift_summary_line(events: DataFrame) -> DataFrame:
-    """The same as one line of text (there are three kinds of drift)."""
+    """The same as one line of text, whose wording is a fixed value (there are three kinds of drift)."""
     counts = drift_summary(events)
     kinds = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("event_type", "events"))), lambda r: F.concat(r["events"].cast("string"), F.lit(" "), r["event_type"])), ", "

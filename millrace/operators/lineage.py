@@ -152,7 +152,7 @@ def read_log(spark: SparkSession, path: str, schema: str | T.StructType = LOG_SC
 
 
 def log_query(
-    log: DataFrame, category: str | None = None, since: str | None = None, event: str | None = None, user: str | None = None, limit: int = 1000
+    log: DataFrame, category: str | None = None, since: str | None = None, event: str | None = None, user: str | None = None, *, limit: int
 ) -> DataFrame:
     """The newest entries that match, at most ``limit`` (the report's own limit)."""
     rows = log

@@ -211,11 +211,11 @@ def archive_skip(archives: DataFrame, loaded: DataFrame, start: str | None = Non
 def incremental_lag(target: DataFrame, source: DataFrame, keys: Sequence[str], cursor: str, lag_days: int) -> DataFrame:
     """Read the source again from the target's newest cursor less a lag, and merge by key.
 
-    Late corrections inside the lag window replace what was loaded. The start is a scalar
-    subquery, so the scan of the source filters by it.
+    Late corrections inside the lag window replace what was loaded. The start is looked up first, so
+    the scan of the source filters by a plain value.
     """
-    start = target.agg((F.max(quoted(cursor)) - days(lag_days)).alias("s")).scalar()
-    again = source.where(start.isNull() | (F.col(quoted(cursor)) >= start))
+    start = target.agg((F.max(quoted(cursor)) - days(lag_days)).alias("s")).first()["s"]
+    again = source if start is None else source.where(F.col(quoted(cursor)) >= F.lit(start))
     return write_merge(target, again, keys, [cursor])
 
 

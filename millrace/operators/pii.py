@@ -35,16 +35,21 @@ PHONE_INTL = r"\+\d{1,3}[\s\-.]?\(?\d{1,4}\)?[\s\-.]?\d{1,4}[\s\-.]?\d{1,9}"
 PHONE_E164 = r"\+\d{7,15}"
 PHONE_INTL_SCORE, PHONE_E164_SCORE = 0.7, 0.6
 
-# The parts of an address have these lengths at most, which also keeps a long run of letters without
+# The parts of an address have these lengths at most, which also keeps a long run of letters without
 # an @ from being searched anew from each of its characters.
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,63}"
 PHONE_LOCAL = rf"\(?{START}[2-9]\d{{2}}\)?[-. ]\d{{3}}[-. ]\d{{4}}{END}"
-PHONE_ANY = f"{PHONE_INTL}|{PHONE_E164}|{PHONE_LOCAL}"
+PHONE_PLAIN = rf"{START}[2-9]\d{{9}}{END}"
+PHONE_ANY = f"{PHONE_INTL}|{PHONE_E164}|{PHONE_LOCAL}|{PHONE_PLAIN}"
 CARD = rf"{START}(?:\d[ -]?){{12,18}}\d{END}"
 SSN = rf"{START}\d{{3}}-\d{{2}}-\d{{4}}{END}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"{START}(?:(?:{OCTET}\.){{3}}{OCTET}|(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}){END}"
-IBAN = rf"{START}[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}{END}"
+# An address with a run of zero groups left out; it begins and ends with a group and has a digit.
+GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}"
+IP_SHORT = rf"{START}{GROUPS}::{GROUPS}{END}"
+# Account numbers as one word or in groups of four.
+IBAN = rf"{START}[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?){END}"
 
 
 def _count(pattern: str) -> Callable[[Column], Column]:
@@ -70,7 +75,12 @@ def count_cards(text: Column) -> Column:
 
 def count_ibans(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(IBAN), F.lit(0))
-    return F.size(F.filter(found, iban_valid)).cast("int")
+    return F.size(F.filter(found, lambda c: iban_valid(F.replace(c, F.lit(" "))))).cast("int")
+
+
+def count_addresses(text: Column) -> Column:
+    short = F.regexp_extract_all(text, F.lit(IP_SHORT), F.lit(0))
+    return F.regexp_count(text, F.lit(IP)) + F.size(F.filter(short, lambda c: c.rlike("[0-9]")))
 
 
 def phone_score(text: Column) -> Column:
@@ -87,7 +97,7 @@ RECOGNISERS: dict[str, tuple[str, Callable[[Column], Column], Callable[[Column],
     "PHONE_NUMBER": (DIGIT, _count(PHONE_ANY), lambda text: F.coalesce(phone_score(text), F.lit(0.5))),
     "CREDIT_CARD": (DIGIT, count_cards, lambda text: F.lit(1.0)),
     "US_SSN": (DIGIT, _count(SSN), lambda text: F.lit(0.5)),
-    "IP_ADDRESS": (DIGIT, _count(IP), lambda text: F.lit(0.6)),
+    "IP_ADDRESS": (DIGIT, count_addresses, lambda text: F.lit(0.6)),
     "IBAN_CODE": (DIGIT, count_ibans, lambda text: F.lit(1.0)),
 }
 PERSON_SCORE = 0.85

@@ -17,8 +17,7 @@ from millrace.operators.monitor import moment
 # Fixed value: sample values stored per column.
 SAMPLE_SIZE = 5
 
-# A value longer than its digest is counted by the digest, so the shuffle carries 64 characters at most.
-LONG_VALUE = 64
+NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 PROFILE_COLUMNS = (
     "source", "table_name", "column_name", "row_count", "null_count", "null_pct", "distinct_count",
@@ -33,6 +32,8 @@ def as_text(name: str, dtype: T.DataType) -> Column:
         col = col + F.lit(0).cast(dtype)  # -0.0 and 0.0 are one value
     if isinstance(dtype, T.BinaryType):
         return F.hex(col)
+    if isinstance(dtype, NESTED):
+        return F.to_json(col, {"ignoreNullFields": "false"})  # a cast to text does not quote what is inside
     return col.cast("string")
 
 
@@ -46,7 +47,7 @@ def melt_typed(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     """Rows (column_name, l, d, s) of all given columns, NULLs left out, in one scan.
 
     A value is in the slot of its type: whole numbers and times as numbers, fractions, or text.
-    Numbers are not turned into text, and long text is its digest.
+    Numbers are not turned into text, and text is its digest.
     """
     pairs = []
     for f in fields:
@@ -61,8 +62,7 @@ def melt_typed(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             slots["d"] = col.cast("double")
         else:
-            text = as_text(f.name, f.dataType)
-            slots["s"] = F.when(F.length(text) > LONG_VALUE, F.sha2(text, 256)).otherwise(text)
+            slots["s"] = F.sha2(as_text(f.name, f.dataType), 256)
         pairs.append(F.struct(F.lit(f.name).alias("column_name"), col.isNotNull().alias("_set"), *[v.alias(k) for k, v in slots.items()]))
     return df.select(F.inline(F.array(*pairs))).where("_set").drop("_set")
 
@@ -77,7 +77,7 @@ def value_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """Exact distinct count per column by two plain aggregations (text over 64 characters by its sha-256)."""
+    """Exact distinct count per column by two plain aggregations (text by its sha-256)."""
     return value_counts(df, fields).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
 
 
@@ -138,8 +138,7 @@ def profile_table(
 def profile_distinct_approx(df: DataFrame, prefixes: Sequence[str] = INTERNAL_PREFIXES, error: float = 0.02) -> DataFrame:
     """Distinct counts by sketch: one scan, and a shuffle of one sketch per column and task."""
     fields = user_columns(df, prefixes)
-    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
-    values = [as_text(f.name, f.dataType) if isinstance(f.dataType, nested) else F.col(quoted(f.name)) for f in fields]
+    values = [as_text(f.name, f.dataType) if isinstance(f.dataType, NESTED) else F.col(quoted(f.name)) for f in fields]
     wide = df.agg(*[F.approx_count_distinct(v, error).alias(f"d{i}") for i, v in enumerate(values)])
     rows = [F.struct(F.lit(f.name).alias("column_name"), F.col(f"d{i}").alias("distinct_count")) for i, f in enumerate(fields)]
     return wide.select(F.inline(F.array(*rows)))
@@ -150,7 +149,7 @@ def value_sample(df: DataFrame, fields: Sequence[T.StructField], n: int) -> Data
 
     Two scans instead of a shuffle of all text. The first finds the digests: equal ones combine
     map-side, and the bound on row_number keeps ``n`` per column and task. The second fetches
-    their values by a broadcast of at most ``n`` digests per column, whatever the size of the table.
+    their values by a join with at most ``n`` digests per column, which Spark broadcasts once it has measured them.
     """
     values = melt(df, fields).where(F.col("value") != "").withColumn("digest", F.md5("value"))
     order = Window.partitionBy("column_name").orderBy("digest")
@@ -162,7 +161,7 @@ def value_sample(df: DataFrame, fields: Sequence[T.StructField], n: int) -> Data
         .select("column_name", "digest", "nth")
     )
     return (
-        values.join(F.broadcast(chosen), ["column_name", "digest"])
+        values.join(chosen, ["column_name", "digest"])
         .groupBy("column_name", "nth", "digest")
         .agg(F.first("value").alias("value"))
         .select("column_name", "nth", "value")

@@ -98,7 +98,7 @@ CURSOR_SCHEMA = "cursor string, column_exists boolean, data_type string, null_co
 def cursor_validation(df: DataFrame, cursor: str) -> DataFrame:
     """Whether a column can drive incremental loads: it exists, has a fit type and no NULLs.
 
-    One row, with the five largest values as a sample (a top-k, not a sort).
+    One row, with the five largest values as a sample (a top-k, not a sort). The wording of the issues is a fixed value.
     """
     found = [f for f in df.schema.fields if f.name == cursor]
     if not found:

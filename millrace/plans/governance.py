@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import drift, pii, quality
+from millrace.operators import drift, pii, profile, quality
 from millrace.plans.registry import Tables, query
 
 NOW = datetime(2024, 2, 1)
@@ -70,10 +70,20 @@ def both_schemas(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "observed_schema",
-    f"WITH {KEYS} SELECT 'app' AS source, table_name, column_name, column_type, count(*) AS rows FROM keys GROUP BY ALL",
-)
+    f"WITH {KEYS} SELECT 'app' AS source, table_name, column_name, column_type, count(*) AS rows FROM keys GROUP BY ALL\n"
+    + "\n".join(
+        f"UNION ALL SELECT 'shop', 'orders', '{c}', '{kind}', count({c}) FROM orders"
+        for c, kind in (
+            ("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+            ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"),
+        )
+    ),
+)
 def _observed_schema(t: Tables) -> DataFrame:
-    return keys(properties(t))
+    # Keys of a JSON column, and the columns of a table with the number of rows that have each.
+    columns = drift.observed_schema(t.spark, "shop", {"orders": t.orders})
+    facts = profile.column_facts(t.orders, t.orders.schema.fields).select("column_name", (F.col("row_count") - F.col("null_count")).alias("rows"))
+    return keys(properties(t)).unionByName(columns.join(facts, "column_name"))
 
 
 @query("drift_events", f"WITH {EVENTS} SELECT * FROM drifted")
@@ -140,6 +150,11 @@ def count_sql(pattern: str) -> str:
     return f"len(regexp_extract_all(v, '{re2(pattern)}'))"
 
 
+# Letters count as two digits; the remainder is carried from character to character.
+MOD97 = """list_reduce(list_prepend(0, list_transform(string_split(substr(c, 5) || substr(c, 1, 4), ''),
+  lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN ascii(x) - 48 ELSE ascii(x) + 945 END)),
+  lambda a, b: CASE WHEN b < 10 THEN (a * 10 + b) % 97 ELSE (a * 100 + b - 1000) % 97 END) = 1"""
+
 HITS = {
     "EMAIL_ADDRESS": (count_sql(pii.EMAIL), "1.0"),
     "PHONE_NUMBER": (
@@ -148,14 +163,15 @@ HITS = {
     ),
     "CREDIT_CARD": (f"len(list_filter(regexp_extract_all(v, '{re2(pii.CARD)}'), lambda c: {LUHN}))", "1.0"),
     "US_SSN": (count_sql(pii.SSN), "0.5"),
-    "IP_ADDRESS": (count_sql(pii.IP), "0.6"),
+    "IP_ADDRESS": (f"{count_sql(pii.IP)} + len(list_filter(regexp_extract_all(v, '{re2(pii.IP_SHORT)}'), lambda c: regexp_matches(c, '[0-9]')))", "0.6"),
+    "IBAN_CODE": (f"len(list_filter(list_transform(regexp_extract_all(v, '{re2(pii.IBAN)}'), lambda c: replace(c, ' ', '')), lambda c: {MOD97}))", "1.0"),
 }
 
 PERSON = r"(?:[A-Z][a-z]+ ){1}[A-Z][a-z]+"
 
 
 def hits_sql(person: bool = False) -> str:
-    """Hits of each entity in vals(column_name, v). Account numbers are tested on a fixture."""
+    """Hits of each entity in vals(column_name, v)."""
     items = dict(HITS)
     if person:
         items["PERSON"] = (count_sql(PERSON), "0.85")
@@ -284,6 +300,19 @@ def _pii_new_findings(t: Tables) -> DataFrame:
     return pii.pii_new_findings(pii.pii_full_scan(t.documents, "web", "documents", NOW), known).drop("scanned_at")
 
 
+@query(
+    "pii_store_findings",
+    f"""
+WITH f AS ({scan_sql("documents", "web", TABLES["documents"], None)}), k AS ({scan_sql("pages", "web", TABLES["pages"], 50)})
+SELECT * FROM f UNION ALL SELECT * FROM k
+""",
+)
+def _pii_store_findings(t: Tables) -> DataFrame:
+    # A full scan of one table replaces what a scan of samples stored for it; the other table's findings stay.
+    stored = scan(t.documents, "web", "documents", sample_size=50).unionByName(scan(t.pages, "web", "pages", sample_size=50))
+    return pii.store_findings(stored, pii.pii_full_scan(t.documents, "web", "documents", NOW)).drop("scanned_at")
+
+
 @query(
     "quality_counts_by_source",
     "SELECT source, count(*) AS tables, sum(n_chars)::BIGINT AS total_rows FROM documents GROUP BY 1",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.names import user_columns
 from millrace.operators import profile, quality
 from millrace.plans.registry import Tables, query
 
@@ -70,12 +69,45 @@ def _profile_many(t: Tables) -> DataFrame:
     return shown(out)
 
 
-@query("profile_distinct_approx", " UNION ALL ".join(f"SELECT '{c}' AS column_name, true AS close FROM lineitem HAVING count(*) > 0" for c in NUMBERS["lineitem"] + TEXTS["lineitem"] + TIMES["lineitem"]))
+SMALL = 15
+
+
+@query(
+    "profile_distinct_approx",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(DISTINCT {c}) > {SMALL} AS large, CASE WHEN count(DISTINCT {c}) <= {SMALL} THEN count(DISTINCT {c}) END AS distinct_count FROM lineitem"
+        for c in NUMBERS["lineitem"] + TEXTS["lineitem"] + TIMES["lineitem"]
+    ),
+)
 def _profile_distinct_approx(t: Tables) -> DataFrame:
-    # The sketch against the exact count: within five times its standard error of 2 %.
-    exact = profile.distinct_counts(t.lineitem, user_columns(t.lineitem)).withColumnRenamed("distinct_count", "exact")
-    both = profile.profile_distinct_approx(t.lineitem).join(exact, "column_name")
-    return both.select("column_name", (F.abs(F.col("distinct_count") - F.col("exact")) <= 0.1 * F.col("exact")).alias("close"))
+    # A sketch is exact for few values; of many only that they are many can be checked.
+    out = profile.profile_distinct_approx(t.lineitem)
+    large = F.col("distinct_count") > SMALL
+    return out.select("column_name", large.alias("large"), F.when(~large, F.col("distinct_count")).alias("distinct_count"))
+
+
+LONG_SQL = f"""
+WITH p AS ({profile_sql("orders", "erp")}), e AS (
+  SELECT 'embeddings' AS table_name, 'embedding' AS column_name, count(*) AS row_count, count(*) - count(embedding) AS null_count,
+         count(DISTINCT embedding) AS distinct_count FROM embeddings)
+SELECT source, table_name, column_name, 'null_count' AS stat_type, CAST(null_count AS VARCHAR) AS stat_value FROM p
+UNION ALL SELECT source, table_name, column_name, 'distinct_count', CAST(distinct_count AS VARCHAR) FROM p
+UNION ALL SELECT source, table_name, column_name, 'min_length', CAST(min_length AS VARCHAR) FROM p WHERE min_length IS NOT NULL
+UNION ALL SELECT source, table_name, column_name, 'max_length', CAST(max_length AS VARCHAR) FROM p WHERE max_length IS NOT NULL
+UNION ALL SELECT DISTINCT source, table_name, '__row_count__', 'row_count', CAST(row_count AS VARCHAR) FROM p
+UNION ALL SELECT 'erp', table_name, column_name, 'null_count', CAST(null_count AS VARCHAR) FROM e
+UNION ALL SELECT 'erp', table_name, column_name, 'distinct_count', CAST(distinct_count AS VARCHAR) FROM e
+UNION ALL SELECT 'erp', table_name, '__row_count__', 'row_count', CAST(row_count AS VARCHAR) FROM e
+"""
+
+
+@query("profile_stats", LONG_SQL)
+def _profile_stats(t: Tables) -> DataFrame:
+    # Fractions are left out here: engines write them as text in different ways.
+    whole = ("null_count", "distinct_count", "min_length", "max_length", "row_count")
+    parts = [("orders", t.orders), ("embeddings", t.embeddings.select("embedding"))]
+    rows = [profile.profile_stats(profile.profile_table(df, "erp", name), F.current_timestamp()) for name, df in parts]
+    return rows[0].unionByName(rows[1]).where(F.col("stat_type").isin(*whole)).drop("updated_at")
 
 
 def sample_sql(table: str, columns: list[str], n: int) -> str:
@@ -86,12 +118,12 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY md5(v)
 SELECT column_name, string_agg(v, '|' ORDER BY v) AS sample_values FROM ranked WHERE nth <= {n} GROUP BY column_name"""
 
 
-CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal"]
 
 
 @query("profile_sample_values", sample_sql("customer", CUSTOMER, 5))
 def _profile_sample_values(t: Tables) -> DataFrame:
-    samples = profile.profile_sample_values(t.customer.select(*CUSTOMER))
+    samples = profile.profile_sample_values(t.customer)
     return samples.select("column_name", F.array_join("sample_values", "|").alias("sample_values"))
 
 

@@ -269,7 +269,9 @@ def _datetime_iso_normalize(t: Tables) -> DataFrame:
     millis = F.unix_millis(stamp)
     east = F.date_format(F.timestamp_millis(millis) + F.make_dt_interval(hours=F.lit(2)), "yyyy-MM-dd'T'HH:mm:ss.SSS")
     text = F.when(F.col("event_id") % 2 == 0, millis.cast("string")).otherwise(F.concat(east, F.lit("+02:00")))
-    return t.events.select("event_id", times.datetime_iso_normalize(text).alias("text"))
+    # Records of the source carry their own description, which is not data.
+    described = t.events.select("event_id", text.alias("text"), F.struct(F.lit("Event").alias("type"), "event_type").alias("attributes"))
+    return times.normalize_record_times(described, ["text"])
 
 
 @query(
@@ -355,12 +357,24 @@ def _nested_totals(t: Tables) -> DataFrame:
 
 @query(
     "normalize_nested",
-    "SELECT doc_id AS parent_doc_id, CAST(i - 1 AS INTEGER) AS list_idx, line AS value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)",
+    """
+WITH l1 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i1 FROM documents),
+l2 AS (SELECT doc_id, i1, unnest(string_split(line, '. ')) AS sentence, generate_subscripts(string_split(line, '. '), 1) AS i2 FROM l1),
+l3 AS (SELECT doc_id, i1, i2, unnest(string_split(sentence, ' ')) AS word, generate_subscripts(string_split(sentence, ' '), 1) AS i3 FROM l2),
+l4 AS (SELECT doc_id, i1, i2, i3, unnest(string_split(word, 'e')) AS value, generate_subscripts(string_split(word, 'e'), 1) AS i4 FROM l3)
+SELECT doc_id AS parent_parent_parent_parent_doc_id, CAST(i1 - 1 AS INTEGER) AS parent_parent_parent_list_idx,
+       CAST(i2 - 1 AS INTEGER) AS parent_parent_list_idx, CAST(i3 - 1 AS INTEGER) AS parent_list_idx, CAST(i4 - 1 AS INTEGER) AS list_idx, value FROM l4
+""",
 )
 def _normalize_nested(t: Tables) -> DataFrame:
-    # The lines of a document as a list.
-    nested = t.documents.select("doc_id", F.split("text", "\n").alias("lines"))
-    return records.split_nested(nested, "documents", ["doc_id"])[records.child_table_name("documents", "lines")]
+    # Lines, sentences, words and the parts of words: lists in lists, four levels down.
+    def nested(text, name, marks):
+        parts = F.split(text, marks[0])
+        return F.transform(parts, lambda x: F.struct(nested(x, "n" + name, marks[1:]).alias("n" + name))) if len(marks) > 1 else parts
+
+    levels = nested(F.col("text"), "lines", ["\n", "\\. ", " ", "e"])
+    tables = records.split_nested(t.documents.select("doc_id", levels.alias("lines")), "documents", ["doc_id"])
+    return tables[max(tables, key=lambda name: name.count("__"))]
 
 
 @query(
@@ -424,7 +438,11 @@ def _iso_timestamps(t: Tables) -> DataFrame:
 
 @query(
     "message_id",
-    "SELECT event_id, sha256(event_type || chr(31) || CAST(user_id % 8 AS VARCHAR) || chr(31) || CASE WHEN value > 50 THEN '' ELSE CAST(user_id AS VARCHAR) END || chr(31) || CAST(event_id AS VARCHAR)) AS message_id FROM events",
+    """
+WITH parts AS (
+  SELECT event_id, [event_type, CAST(user_id % 8 AS VARCHAR), CASE WHEN value > 50 THEN '' ELSE CAST(user_id AS VARCHAR) END, CAST(event_id AS VARCHAR)] AS p FROM events)
+SELECT event_id, sha256(array_to_string(list_transform(p, lambda x: length(x) || ':' || x), '')) AS message_id FROM parts
+""",
 )
 def _message_id(t: Tables) -> DataFrame:
     key = F.when(F.col("value") > 50, None).otherwise(F.col("user_id"))

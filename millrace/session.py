@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on. All are runtime settings of the session."""
+    """Pin the settings that results or plans depend on. All are runtime settings of the session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     return spark
 
 

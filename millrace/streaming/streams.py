@@ -113,34 +113,50 @@ def upsert(
 
     Replaying a batch after a failure leaves the same rows, since it merges by key; only the
     partitions a batch touches are rewritten. ``lag`` is a time column and an interval: rows
-    older than the newest loaded one less the interval are left out.
+    older than the newest loaded one less the interval are left out. The newest time of every batch is a row of
+    its own beside the table. A batch is kept while it is merged, so its source is read once.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            if not batch.isEmpty():
+                merge(batch, number)
+        finally:
+            batch.unpersist()
+
+    def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        if batch.isEmpty():
-            return
+        fresh = batch
+        if lag is not None:
+            newest = newest_time(session, path, lag[0])
+            if newest is not None:
+                fresh = batch.where(F.col(lag[0]) >= F.lit(newest) - F.expr(f"INTERVAL {lag[1]}"))
         try:
             session.read.schema(batch.schema).parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            once = write_merge(session.createDataFrame([], batch.schema), batch, keys, latest_by)
+            once = write_merge(session.createDataFrame([], batch.schema), fresh, keys, latest_by)
             once.write.partitionBy(partition).parquet(path)
-            return
-        fresh = batch if lag is None else batch.where(F.col(lag[0]) >= lag_start(session, path, batch.schema, partition, *lag))
-        merge_partitions(session, path, fresh, keys, partition, latest_by)
+        else:
+            merge_partitions(session, path, fresh, keys, partition, latest_by)
+        if lag is not None:
+            # last, so that a batch that is repeated after a failure is filtered as before
+            fresh.agg(F.lit(number).cast("bigint").alias("batch"), F.max(lag[0]).alias(lag[0])).write.mode("append").parquet(f"{path}_newest")
 
     return apply
 
 
-def lag_start(spark: SparkSession, path: str, schema: T.StructType, partition: str, ts: str, interval: str) -> Column:
-    """The newest time of a table less an interval. The partition grows with the time, so only
-    the last one is read for it."""
-    stored = spark.read.schema(schema).parquet(path)
-    last = stored.agg(F.max(partition)).first()[0]
-    newest = stored.where(F.col(partition) == last).agg(F.max(ts)).first()[0]
-    return F.lit(newest) - F.expr(f"INTERVAL {interval}")
+def newest_time(spark: SparkSession, path: str, ts: str):
+    """The newest time that was merged into a table with a lag; None before the first batch."""
+    try:
+        stored = spark.read.parquet(f"{path}_newest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return stored.agg(F.max(ts)).first()[0]
 
 
 def stream_files(
@@ -183,10 +199,9 @@ def stream_metrics(
 def sessions(events: DataFrame, keys: Sequence[str], ts: str, gap: str, *aggregates: Column) -> DataFrame:
     """Visits by gaps in time, in batch or as a stream (with a watermark on ``ts``).
 
-    Sessions are merged within each task before the shuffle, so a user with a third of the
-    events ships sessions, not events.
+    With the session of ``prepare`` they are merged within each task before the shuffle, so a user with a
+    third of the events ships sessions, not events.
     """
-    events.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         events.groupBy(*keys, F.session_window(ts, gap).alias("_w"))
         .agg(F.min(ts).alias("first_action"), F.max(ts).alias("last_action"), *aggregates)

@@ -6,10 +6,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
+from millrace import plans
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
+QUERIES = plans.QUERIES
+plans.load_all()
 
 
 def plan(spark, name):
@@ -45,18 +46,29 @@ def test_only_needed_columns_are_read(spark):
     assert re.search(r"ReadSchema: struct<l_suppkey:bigint,l_extendedprice:double,l_returnflag:string>", plan(spark, "drill_breakdown"))
 
 
-@pytest.mark.parametrize("name", ["dedup_last_modified", "dedup_first_seen", "trend", "drill_breakdown", "join_inner_latest", "baseline_prior"])
+@pytest.mark.parametrize("name", ["dedup_last_modified", "dedup_first_seen", "trend", "join_inner_latest", "baseline_prior"])
 def test_windows_are_bounded_before_the_shuffle(spark, name):
     assert re.search(r"WindowGroupLimit .*Partial", plan(spark, name))
 
 
-def test_only_the_bounded_sample_is_broadcast(spark):
-    assert plan(spark, "pii_scan").count("BroadcastHashJoin") == 3
-    assert "BroadcastHashJoin" not in plan(spark, "pii_full_scan")
+def test_samples_are_not_broadcast_by_force(spark):
+    assert "BroadcastHashJoin" not in plan(spark, "pii_scan") and "BroadcastHashJoin" not in plan(spark, "pii_full_scan")
 
 
-def test_monitors_of_a_table_share_its_scan(spark):
-    text = plan(spark, "metric_eval")
-    # Two tables, one of which has three monitors with two filters; the other scans are of no rows.
-    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", text)
-    assert len([s for s in scans if "o_totalprice" in s]) == 1
+def test_the_lag_filter_reaches_the_scan(spark):
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan(spark, "incremental_lag"))
+
+
+def test_monitors_with_one_filter_share_its_scan(spark):
+    from millrace.operators import monitor
+    from millrace.operators.monitor import Monitor
+
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet")
+    paid = "o_orderstatus = 'F'"
+    members = [Monitor("a", "raw_s.o", "SUM(o_totalprice)", paid), Monitor("b", "raw_s.o", "COUNT(*)", paid), Monitor("c", "raw_s.o", "COUNT(*)")]
+    text = monitor._values(orders, members)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("FileScan parquet", text)) == 2 and "EqualTo(o_orderstatus,F)" in text
+
+
+def test_newest_snapshot_is_found_without_sorting_snapshots(spark):
+    assert "Window" not in plan(spark, "drill_snapshot")

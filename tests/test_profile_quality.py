@@ -55,6 +55,12 @@ def test_profile_of_all_types_and_long_text(spark):
     assert out == {"id": 20, "dec": 3, "arr": 2, "long": 4, "zero": 1, "day": 1, "bin": 2, "st": 5}
 
 
+def test_nested_values_are_told_apart(spark):
+    df = spark.sql("SELECT * FROM VALUES (array('a, b'), named_struct('x', 'a, b', 'y', 'c')), (array('a', 'b'), named_struct('x', 'a', 'y', 'b, c')) AS t(arr, st)")
+    assert {c: r["distinct_count"] for c, r in by_column(profile.profile_table(df, "s", "t")).items()} == {"arr": 2, "st": 2}
+    assert {r["status"] for r in quality.dq_unique(df, "t", ["arr", "st"]).collect()} == {"pass"}
+
+
 def test_one_value_in_a_third_of_the_rows(spark):
     df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("v"))
     assert by_column(profile.profile_table(df, "s", "t"))["v"]["distinct_count"] == 20_001

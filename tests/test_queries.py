@@ -6,9 +6,11 @@ import oracle
 import pytest
 
 import __spark_entry__ as contract
+from millrace import plans
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+plans.load_all()
+QUERIES, SQL = plans.QUERIES, plans.SQL
 
 
 @pytest.fixture(scope="module")
@@ -18,8 +20,9 @@ def con():
     connection.close()
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -141,6 +141,15 @@ def test_child_tables_to_a_depth(spark):
     assert set(out) == {"Order", "order__items", "order__items__parts"}
     assert [tuple(r) for r in out["order__items"].collect()] == [(1, 0, "a"), (1, 1, "b")]
     assert [tuple(r) for r in out["order__items__parts"].collect()] == [(1, 0, 0, "x")]
+    cut = records.split_nested(df, "Order", ["id"], max_depth=1)
+    assert set(cut) == {"Order", "order__items"}
+    assert [tuple(r) for r in cut["order__items"].collect()] == [(1, 0, '[{"p":"x"}]', "a"), (1, 1, "[]", "b")]
+
+
+def test_lists_at_any_depth_become_tables(spark):
+    deep = spark.createDataFrame([(1, [([([([("z",)],)],)],)])], "id int, a array<struct<b: array<struct<c: array<struct<d: array<struct<e: string>>>>>>>>")
+    out = records.split_nested(deep, "t", ["id"])
+    assert [tuple(r)[-1] for r in out["t__a__b__c__d"].collect()] == ["z"]
 
 
 def test_extended_json(spark):
@@ -167,6 +176,6 @@ def test_sentinels_and_cursor(spark):
 
 
 def test_message_ids_differ(spark):
-    cases = [("t", 1, None, 1), ("t", 1, None, 2), ("t", 11, "", 1), ("t1", 1, "", 1), ("t", 1, "k", 1)]
+    cases = [("t", 1, None, 1), ("t", 1, None, 2), ("t", 11, "", 1), ("t1", 1, "", 1), ("t", 1, "k", 1), ("t\x1f1", 1, "k", 1), ("t", 1, "1\x1fk", 1), ("t", 1, "1:k", 1), ("t1:1", 1, "k", 1)]
     df = spark.createDataFrame(cases, "t string, p int, k string, o int")
     assert df.select(records.message_id(*[F.col(c) for c in "tpko"]).alias("i")).distinct().count() == len(cases)
