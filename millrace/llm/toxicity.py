@@ -282,15 +282,25 @@ def _document_counts(own: np.ndarray, doc: np.ndarray, keep: np.ndarray) -> tupl
     return keys[order], counts[order]
 
 
+def _slices(texts: list[str]) -> Iterator[ByteWords]:
+    whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    for part in slices([whole], "text"):
+        yield byte_words(part.column("text"))
+
+
 def learn(texts: list[str], toxic: np.ndarray, window: int = 120, odds: float = 4.0) -> Model:
-    """A model from labelled texts."""
-    found = byte_words(pa.array(texts, pa.large_string()))
-    chosen = distinct(found.hashes(found.start, found.end), found.lengths)
-    texts, toxic = [texts[i] for i in chosen], toxic[chosen] > 0
+    """A model from labelled texts; only the hashes of their words are held, not the arrays they come from."""
+    parts = [(features(found), found.lengths) for found in _slices(texts)]
+    own = np.concatenate([p for p, _ in parts], axis=1) if parts else np.zeros((OWN, 0), np.uint64)
+    lengths = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
+    del parts
+    chosen = distinct(own[0], lengths)
+    kept = np.zeros(len(texts), bool)
+    kept[chosen] = True
+    own, lengths, toxic = own[:, np.repeat(kept, lengths)], lengths[chosen], toxic[chosen] > 0
+    texts = [texts[i] for i in chosen]
     if not toxic.any() or toxic.all():
         return Model()
-    found = byte_words(pa.array(texts, pa.large_string()))
-    own, lengths = features(found), found.lengths
     doc = np.repeat(np.arange(len(texts)), lengths)
     bad, with_bad = _document_counts(own[:3], doc, toxic)
     clean, with_clean = _document_counts(own[:3], doc, ~toxic)
@@ -307,7 +317,8 @@ def learn(texts: list[str], toxic: np.ndarray, window: int = 120, odds: float =
     starts = np.r_[True, doc[inside][1:] != doc[inside][:-1]]
     model = train(own[:, inside], starts, marks[inside])
     tagger = Tagger(model)
-    model.logistic = fit_logistic(tagger.evidence(tagger.marginals(found), lengths), toxic.astype(float))
+    evidence = [tagger.evidence(tagger.marginals(found), found.lengths) for found in _slices(texts)]
+    model.logistic = fit_logistic(np.concatenate(evidence), toxic.astype(float))
     return model
 
 
