@@ -60,24 +60,34 @@ OTHER_NAMES = frozenset(
     "social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 ARTICLE_TAGS = frozenset(("article", "main"))
+#: Elements that hold the page; their names speak of the layout.
+PAGE_TAGS = ARTICLE_TAGS | {"html", "body"}
+#: First words of names that say what a page has, not what an element is.
+STATES = frozenset("has have with without no not is js show hide hidden".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?/][^>]*>",
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"(?i)(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-NAME = re.compile(r"[a-z]+")
+NAME = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Element:
-    """An open block element: its tag and node, whether it is no content, and whether it is in an article."""
+    """An open block element: its tag and node, whether tag or role say that it is no content, and whether it is in an article.
+
+    ``named``: its own names say that it is no content; ``mark`` is the nearest element for which that was so.
+    """
 
     tag: str
     node: int
     other: bool
     article: bool
     depth: int
+    named: bool = False
+    mark: Element | None = None
+    outer: Element | None = None
     children: list[str] = field(default_factory=list)
 
 
@@ -89,6 +99,15 @@ class Block:
     path: tuple[int, ...]
     other: bool
     article: bool
+    mark: Element | None = None
+
+    @property
+    def named(self) -> bool:
+        """Whether an element around it has a name that says that it is no content; known when the page has been read."""
+        mark = self.mark
+        while mark and not mark.named:
+            mark = mark.outer
+        return mark is not None
 
 
 def _attributes(rest: str) -> tuple[str, bool, str]:
@@ -110,11 +129,18 @@ def _attributes(rest: str) -> tuple[str, bool, str]:
 def _is_other(tag: str, names: str, in_article: bool) -> bool:
     if tag in OTHER_TAGS or (tag == "header" and not in_article):
         return True
-    if not names:
-        return False
-    found = NAME.findall(names)
-    roles = [x[5:] for x in names.split() if x.startswith("role=")]
-    return not OTHER_ROLES.isdisjoint(roles) or not OTHER_NAMES.isdisjoint(found) or (not in_article and "header" in found)
+    return "role=" in names and not OTHER_ROLES.isdisjoint(x[5:] for x in names.split() if x.startswith("role="))
+
+
+def _is_named(names: str, in_article: bool) -> bool:
+    """Whether a class or id is a listed name, or begins or ends with one: ``cookie-notice``, ``main-sidebar``."""
+    for name in names.split():
+        words = NAME.findall(name)
+        if not words or words[0] in STATES or name.startswith("role="):
+            continue
+        if words[0] in OTHER_NAMES or words[-1] in OTHER_NAMES or (not in_article and "header" in (words[0], words[-1])):
+            return True
+    return False
 
 
 def parse(html: str) -> tuple[list[Block], list[tuple[int, tuple[str, ...]]]]:
@@ -123,12 +149,13 @@ def parse(html: str) -> tuple[list[Block], list[tuple[int, tuple[str, ...]]]]:
     blocks: list[Block] = []
     styles: list[tuple[int, tuple[str, ...]]] = []
     pieces: list[str] = []
+    found = False
 
     def flush() -> None:
         if pieces:
             if any(not x.isspace() for x in pieces):
                 top = stack[-1]
-                blocks.append(Block(pieces.copy(), tuple(dict.fromkeys(e.node for e in stack)), top.other, top.article))
+                blocks.append(Block(pieces.copy(), tuple(dict.fromkeys(e.node for e in stack)), top.other, top.article, top.mark))
             pieces.clear()
 
     def close(count: int) -> None:
@@ -181,12 +208,20 @@ def parse(html: str) -> tuple[list[Block], list[tuple[int, tuple[str, ...]]]]:
                 break
         parent = stack[-1]
         kind, hidden, names = _attributes(token[3]) if token[3] else ("", False, "")
-        article = parent.article or tag in ARTICLE_TAGS or "role=main" in names or "role=article" in names
+        own = tag in ARTICLE_TAGS or "role=main" in names or "role=article" in names
+        article = parent.article or own
         other = parent.other or hidden or _is_other(tag, names, parent.article)
+        if own and not other and (not found or tag == "main" or "role=main" in names):  # later articles may be comments or teasers
+            found, mark = True, parent.mark
+            while mark:
+                mark.named, mark = False, mark.outer
         node = crc32(f"{parent.node}>{tag}.{kind}".encode("utf-8", "replace")) % ((1 << NODE_BITS) - 1) + 1
         depth = parent.depth + 1
         parent.children.append(tag)
-        stack.append(Element(tag, node if depth <= DEPTH else parent.node, other, article, depth))
+        stack.append(Element(tag, node if depth <= DEPTH else parent.node, other, article, depth, mark=parent.mark))
+        if names and not own and tag not in PAGE_TAGS and _is_named(names, parent.article):
+            top = stack[-1]
+            top.named, top.mark, top.outer = True, top, parent.mark
     flush()
     close(len(stack) - 1)
     return blocks, styles
@@ -256,21 +291,31 @@ def site_trees(pages: DataFrame) -> DataFrame:
     everywhere = _importance(everywhere, "node").select("node", F.col("style").alias("all_style"), F.col("content").alias("all_content"))
     joined = _importance(per_host, "host", "node").join(everywhere, "node")
     drawn = lambda own, all_: (F.col("pages") * F.col(own) + PRIOR_PAGES * F.col(all_)) / (F.col("pages") + PRIOR_PAGES)
-    node = F.struct("node", drawn("style", "all_style").cast("float").alias("style"), drawn("content", "all_content").cast("float").alias("content"))
+    node = F.struct("node", drawn("style", "all_style").cast("float").alias("style"), drawn("content", "all_content").cast("float").alias("content"), (F.col("pages") >= PRIOR_PAGES).alias("sure"))
     return joined.groupBy("host").agg(F.collect_list(node).alias("nodes"))
 
 
-def main_text(html: str, style: dict[int, float], content: dict[int, float]) -> str:
-    """The text of the blocks whose branch is important, joined by spaces."""
-    kept = []
-    for block in parse(html)[0]:
-        if block.other:
-            continue
+def main_text(html: str, style: dict[int, float], content: dict[int, float], sure: frozenset[int] = frozenset()) -> str:
+    """The text of the blocks whose branch is important, joined by spaces.
+
+    Where a page has no article and most of its important text stands in branches that only their names speak against,
+    the importances overrule the names; ``sure`` are the nodes that enough pages of the host have.
+    """
+    blocks = [(b, text) for b in parse(html)[0] if not b.other and (text := block_text(b))]
+    kept, overruled, in_article = [], [], False
+    for at, (block, text) in enumerate(blocks):
         best = max((style.get(node, 1.0) for node in block.path), default=1.0)
         score = 0.5 * content.get(block.path[-1], 1.0) + 0.5 * best + (ARTICLE if block.article else 0.0)
-        if score >= THRESHOLD:
-            kept.append(block_text(block))
-    return " ".join(x for x in kept if x)
+        if score < THRESHOLD:
+            continue
+        if not block.named:
+            kept.append((at, text))
+            in_article |= block.article
+        elif block.path[-1] in sure:
+            overruled.append((at, text))
+    if not in_article and sum(len(x) for _, x in overruled) > sum(len(x) for _, x in kept):
+        kept = sorted(kept + overruled)
+    return " ".join(x for _, x in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -286,7 +331,7 @@ def extract(pages: DataFrame) -> DataFrame:
     known = rows.join(trees, host() == F.col("__host"), "left").select("page_id", "url", "html", "__host", "nodes")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, style, content = None, {}, {}
+        last, style, content, sure = None, {}, {}, frozenset()
         for part in slices(batches, "html"):
             texts = []
             hosts, nodes = part.column("__host").to_pylist(), part.column("nodes")
@@ -295,7 +340,8 @@ def extract(pages: DataFrame) -> DataFrame:
                     last, found = hosts[i], nodes[i].as_py() or []
                     style = {x["node"]: x["style"] for x in found}
                     content = {x["node"]: x["content"] for x in found}
-                texts.append(main_text(html or "", style, content))
+                    sure = frozenset(x["node"] for x in found if x["sure"])
+                texts.append(main_text(html or "", style, content, sure))
             columns = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text"])
 

@@ -74,3 +74,28 @@ def test_odd_input(spark):
     got = sorted(((r.page_id or 0), len(r.text), r.n_chars) for r in html_text.extract(pages).collect())
     assert got == [(0, 1, 1), (1, 0, 0), (2, 0, 0), (3, 1, 1), (3, 1, 1), (4, 199_999, 199_999)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<html class="no-js nav-open"><body class="has-sidebar cookie-bar-on"><p>x</p>', "x"),
+        ('<article class="post comments-open"><p>x</p></article>', "x"),
+        ('<div class="page has-header"><p>x</p></div>', "x"),
+        ('<main class="with-navigation"><p>x</p></main>', "x"),
+        ('<div id="sidebar-layout">a<div class="widget"><article><p>x</p></article></div><div class="widget">w</div></div>', "a x"),
+        ('<article><p>x</p></article><div class="comments"><article class="comment"><p>first!</p></article></div>', "x"),
+        ('<p class="left-ad-hoc">x</p><div class="site-footer2">f</div>', "x"),
+    ],
+)
+def test_names_of_the_layout_are_no_names_of_a_branch(html, text):
+    assert plain(html) == text
+
+
+def test_varied_content_overrules_a_name(spark):
+    def body(i):
+        stories = "".join(f"<p>story {i} part {k}</p>" for k in range(1 + i % 5))
+        return f"<body><div class=top>Big Shop</div><div class=widget>{stories}</div><div class=sidebar><p>made by us</p></div></body>"
+
+    rows = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(site(40, body), PAGE)).collect()}
+    assert rows == {i: " ".join(f"story {i} part {k}" for k in range(1 + i % 5)) for i in range(40)}
