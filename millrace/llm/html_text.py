@@ -17,8 +17,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html import unescape
-from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,10 +27,6 @@ from pyspark.sql import functions as F
 from millrace.llm.common import pick, slices
 from millrace.session import materialize
 
-#: Bits of a node's number; bounds the nodes of a host's tree.
-NODE_BITS = 18
-#: Elements of a path that tell nodes apart; deeper ones share the node of the last.
-DEPTH = 24
 #: Pages of all hosts that count as much as the pages of one.
 PRIOR_PAGES = 5.0
 THRESHOLD = 0.55
@@ -84,7 +80,7 @@ class Element:
     node: int
     other: bool
     article: bool
-    depth: int
+    parent: Element | None = None
     named: bool = False
     mark: Element | None = None
     outer: Element | None = None
@@ -93,18 +89,15 @@ class Element:
 
 @dataclass
 class Block:
-    """Text that stands together: its pieces, the nodes of its path, and what its element says about it."""
+    """Text that stands together: its pieces and the element that holds it."""
 
     pieces: list[str]
-    path: tuple[int, ...]
-    other: bool
-    article: bool
-    mark: Element | None = None
+    element: Element
 
     @property
     def named(self) -> bool:
         """Whether an element around it has a name that says that it is no content; known when the page has been read."""
-        mark = self.mark
+        mark = self.element.mark
         while mark and not mark.named:
             mark = mark.outer
         return mark is not None
@@ -143,9 +136,13 @@ def _is_named(names: str, in_article: bool) -> bool:
     return False
 
 
+def _hash(value: str) -> int:
+    return int.from_bytes(blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def parse(html: str) -> tuple[list[Block], list[tuple[int, tuple[str, ...]]]]:
     """The blocks of a page in order, and the presentation of each element as (node, tags of its children)."""
-    stack = [Element("", 0, False, False, 0)]
+    stack = [Element("", 0, False, False)]
     blocks: list[Block] = []
     styles: list[tuple[int, tuple[str, ...]]] = []
     pieces: list[str] = []
@@ -154,8 +151,7 @@ def parse(html: str) -> tuple[list[Block], list[tuple[int, tuple[str, ...]]]]:
     def flush() -> None:
         if pieces:
             if any(not x.isspace() for x in pieces):
-                top = stack[-1]
-                blocks.append(Block(pieces.copy(), tuple(dict.fromkeys(e.node for e in stack)), top.other, top.article, top.mark))
+                blocks.append(Block(pieces.copy(), stack[-1]))
             pieces.clear()
 
     def close(count: int) -> None:
@@ -215,10 +211,9 @@ def parse(html: str) -> tuple[list[Block], list[tuple[int, tuple[str, ...]]]]:
             found, mark = True, parent.mark
             while mark:
                 mark.named, mark = False, mark.outer
-        node = crc32(f"{parent.node}>{tag}.{kind}".encode("utf-8", "replace")) % ((1 << NODE_BITS) - 1) + 1
-        depth = parent.depth + 1
+        node = _hash(f"{parent.node}>{tag}.{kind}")
         parent.children.append(tag)
-        stack.append(Element(tag, node if depth <= DEPTH else parent.node, other, article, depth, mark=parent.mark))
+        stack.append(Element(tag, node, other, article, parent, mark=parent.mark))
         if names and not own and tag not in PAGE_TAGS and _is_named(names, parent.article):
             top = stack[-1]
             top.named, top.mark, top.outer = True, top, parent.mark
@@ -232,11 +227,6 @@ def block_text(block: Block) -> str:
     return " ".join(unescape("".join(block.pieces)).split())
 
 
-def _hash(value: str) -> int:
-    data = value.encode("utf-8", "replace")
-    return (crc32(data) << 32 | crc32(data[::-1], 0x5BD1E995)) - (1 << 63)
-
-
 def host(url: str = "url") -> Column:
     """Host of a URL in lower case without port; empty if there is none."""
     pattern = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@\s]*@)?([^/?#:\s]*)"
@@ -247,23 +237,37 @@ def host(url: str = "url") -> Column:
 PAGE, STYLE, CONTENT = 0, 1, 2
 
 
+def page_key() -> Column:
+    """Digest of the html: pages of a host that share it have the same text."""
+    return F.md5(F.coalesce("html", F.lit("")).cast("binary"))
+
+
 def observations(pages: DataFrame) -> DataFrame:
-    """``host, node, kind, value``: once for every page, what its tree shows."""
+    """``host, page, node, kind, value, look``: once for every page, what its tree shows; ``look`` where its text depends on it."""
+    names = ["host", "page", "node", "kind", "value", "look"]
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
             rows: list[tuple] = []
-            for name, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+            for name, page, html in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
                 blocks, styles = parse(html or "")
-                seen = {(node, PAGE, 0) for node, _ in styles}
-                seen |= {(node, STYLE, _hash(">".join(children))) for node, children in styles}
-                seen |= {(b.path[-1], CONTENT, _hash(block_text(b))) for b in blocks}
-                rows += [(name, *x) for x in seen]
+                look: set[int] = set()
+                for b in blocks:
+                    e = None if b.element.other else b.element
+                    while e and e.node not in look:
+                        look.add(e.node)
+                        e = e.parent
+                seen = {(node, PAGE, 0, node in look) for node, _ in styles}
+                seen |= {(node, STYLE, _hash(">".join(children)), False) for node, children in styles}
+                seen |= {(b.element.node, CONTENT, _hash(block_text(b)), False) for b in blocks}
+                rows += [(name, page, *x) for x in seen]
             if rows:
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["host", "node", "kind", "value"])
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return pages.select(host().alias("host"), "html").mapInArrow(run, "host string, node int, kind int, value bigint")
+    found = pages.select(host().alias("host"), page_key().alias("page"), "html")
+    return found.mapInArrow(run, "host string, page string, node bigint, kind int, value bigint, look boolean")
 
 
 def _importance(counts: DataFrame, *keys: str) -> DataFrame:
@@ -284,15 +288,47 @@ def _importance(counts: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, "pages", style.alias("style"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), content)).alias("content"))
 
 
-def site_trees(pages: DataFrame) -> DataFrame:
-    """``host, nodes``: for each host the importances (node, style, content) of its nodes, at most 2 ** NODE_BITS of them."""
-    per_host = materialize(observations(pages).groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n")), "nodes")
+def site_trees(observed: DataFrame) -> DataFrame:
+    """``host, node, kind, value, style, content, sure``: the importances of each node of a host, a row each.
+
+    ``sure``: the host has as many pages with the node as count for the others.
+    """
+    per_host = materialize(observed.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n")), "nodes")
     everywhere = per_host.groupBy("node", "kind", "value").agg(F.sum("n").alias("n"))
     everywhere = _importance(everywhere, "node").select("node", F.col("style").alias("all_style"), F.col("content").alias("all_content"))
     joined = _importance(per_host, "host", "node").join(everywhere, "node")
     drawn = lambda own, all_: (F.col("pages") * F.col(own) + PRIOR_PAGES * F.col(all_)) / (F.col("pages") + PRIOR_PAGES)
-    node = F.struct("node", drawn("style", "all_style").cast("float").alias("style"), drawn("content", "all_content").cast("float").alias("content"), (F.col("pages") >= PRIOR_PAGES).alias("sure"))
-    return joined.groupBy("host").agg(F.collect_list(node).alias("nodes"))
+    return joined.select(
+        "host",
+        "node",
+        F.lit(PAGE).alias("kind"),
+        F.lit(0).cast("bigint").alias("value"),
+        drawn("style", "all_style").cast("float").alias("style"),
+        drawn("content", "all_content").cast("float").alias("content"),
+        (F.col("pages") >= PRIOR_PAGES).alias("sure"),
+    )
+
+
+def page_trees(pages: DataFrame) -> DataFrame:
+    """``host, page, nodes``: for each page the importances that its own text depends on, found by (host, node)."""
+    observed = materialize(observations(pages), "observed")
+    trees = materialize(site_trees(observed), "trees")
+    looked = observed.where("look").select("host", "page", "node", "kind", "value")
+    nodes = F.collect_set(F.struct("node", "kind", "value", "style", "content", "sure")).alias("nodes")
+    return looked.join(trees, ["host", "node", "kind", "value"]).groupBy("host", "page").agg(nodes)
+
+
+def _best(element: Element, style: dict[int, float], known: dict[int, float]) -> float:
+    """The highest importance of presentation on the path of an element; ``known`` has those found before."""
+    path = []
+    at: Element | None = element
+    while at and at.node not in known:
+        path.append(at.node)
+        at = at.parent
+    best = known[at.node] if at else 0.0
+    for node in reversed(path):
+        known[node] = best = max(best, style.get(node, 1.0))
+    return best
 
 
 def main_text(html: str, style: dict[int, float], content: dict[int, float], sure: frozenset[int] = frozenset()) -> str:
@@ -301,17 +337,17 @@ def main_text(html: str, style: dict[int, float], content: dict[int, float], sur
     Where a page has no article and most of its important text stands in branches that only their names speak against,
     the importances overrule the names; ``sure`` are the nodes that enough pages of the host have.
     """
-    blocks = [(b, text) for b in parse(html)[0] if not b.other and (text := block_text(b))]
-    kept, overruled, in_article = [], [], False
+    blocks = [(b, text) for b in parse(html)[0] if not b.element.other and (text := block_text(b))]
+    kept, overruled, in_article, known = [], [], False, {}
     for at, (block, text) in enumerate(blocks):
-        best = max((style.get(node, 1.0) for node in block.path), default=1.0)
-        score = 0.5 * content.get(block.path[-1], 1.0) + 0.5 * best + (ARTICLE if block.article else 0.0)
+        node, article = block.element.node, block.element.article
+        score = 0.5 * content.get(node, 1.0) + 0.5 * _best(block.element, style, known) + (ARTICLE if article else 0.0)
         if score < THRESHOLD:
             continue
         if not block.named:
             kept.append((at, text))
-            in_article |= block.article
-        elif block.path[-1] in sure:
+            in_article |= article
+        elif node in sure:
             overruled.append((at, text))
     if not in_article and sum(len(x) for _, x in overruled) > sum(len(x) for _, x in kept):
         kept = sorted(kept + overruled)
@@ -323,24 +359,22 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Whole pages are parsed; nothing is cut. Null and empty html give an empty text; a page without host belongs to the host
     named by the empty text. Null ids stay null. Repeated rows are pages of their host each and come back repeated. An
-    empty table gives an empty one. Trees of hosts are joined by Spark's choice from their written size, so pages are
-    shuffled only if the trees are large, and then a host that fills a task is split.
+    empty table gives an empty one. A page is joined with the importances of its own nodes alone, by Spark's choice from
+    their written size, so pages are shuffled only if these are large, and then copies of a page that fill a task are split.
     """
-    trees = materialize(site_trees(pages), "trees").withColumnRenamed("host", "__host")
     rows = pick(pages, "page_id", "url", "html")
-    known = rows.join(trees, host() == F.col("__host"), "left").select("page_id", "url", "html", "__host", "nodes")
+    trees = materialize(page_trees(rows), "pages").withColumnsRenamed({"host": "__host", "page": "__page"})
+    known = rows.join(trees, (host() == F.col("__host")) & (page_key() == F.col("__page")), "left").select("page_id", "url", "html", "nodes")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, style, content, sure = None, {}, {}, frozenset()
         for part in slices(batches, "html"):
             texts = []
-            hosts, nodes = part.column("__host").to_pylist(), part.column("nodes")
+            nodes = part.column("nodes")
             for i, html in enumerate(part.column("html").to_pylist()):
-                if hosts[i] is None or hosts[i] != last:
-                    last, found = hosts[i], nodes[i].as_py() or []
-                    style = {x["node"]: x["style"] for x in found}
-                    content = {x["node"]: x["content"] for x in found}
-                    sure = frozenset(x["node"] for x in found if x["sure"])
+                found = nodes[i].as_py() or []
+                style = {x["node"]: x["style"] for x in found}
+                content = {x["node"]: x["content"] for x in found}
+                sure = frozenset(x["node"] for x in found if x["sure"])
                 texts.append(main_text(html or "", style, content, sure))
             columns = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text"])

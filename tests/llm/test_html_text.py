@@ -99,3 +99,15 @@ def test_varied_content_overrules_a_name(spark):
 
     rows = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(site(40, body), PAGE)).collect()}
     assert rows == {i: " ".join(f"story {i} part {k}" for k in range(1 + i % 5)) for i in range(40)}
+
+
+def test_deep_branches_and_many_paths_have_their_own_nodes(spark):
+    deep = "<div>" * 40
+
+    def body(i):
+        return f"<body>{deep}<div class=text><p>story {i}</p></div><div class=base><p>made by us</p></div>"
+
+    rows = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(site(40, body), PAGE)).collect()}
+    assert rows == {i: f"story {i}" for i in range(40)}
+    many = "".join(f"<div class='{'x' * (k % 700)} {'y' * (k // 700)}'></div>" for k in range(100_000))
+    assert len({node for node, _ in html_text.parse(many)[1]}) == 100_000
