@@ -8,7 +8,10 @@ have it, so texts that stand on all pages of a host count nothing. Both are draw
 a host has few pages.
 
 A branch ends in a block of text. Its score is the mean of the importance of its content and of the highest importance of
-presentation on its path, raised inside elements that hold an article. Blocks of low score are removed, and whatever
+presentation on its path. Inside an article or main element all pages share the presentation, so the block's own text at its
+node is weighed instead: one less the logarithm of the pages that have it over that of the pages that have the node, drawn
+likewise, and raised by less than what a block must reach. If that would take more than half of the characters of an
+article, the article is a copy and stays whole. Blocks of low score are removed, and whatever
 stands in an element whose tag, role or class says that it is no content (menus, footers, forms and the like).
 """
 
@@ -30,7 +33,8 @@ from millrace.session import materialize
 #: Pages of all hosts that count as much as the pages of one.
 PRIOR_PAGES = 5.0
 THRESHOLD = 0.55
-ARTICLE = 0.6
+#: Raises blocks in an article; below ``THRESHOLD``, so that text on all pages is not kept by it.
+ARTICLE = 0.5
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -243,7 +247,10 @@ def page_key() -> Column:
 
 
 def observations(pages: DataFrame) -> DataFrame:
-    """``host, page, node, kind, value, look``: once for every page, what its tree shows; ``look`` where its text depends on it."""
+    """``host, page, node, kind, value, look``: once for every page, what its tree shows; ``look`` where its text depends on it.
+
+    That is the path of a block outside an article, and the text and node of one inside.
+    """
     names = ["host", "page", "node", "kind", "value", "look"]
     kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
 
@@ -253,14 +260,16 @@ def observations(pages: DataFrame) -> DataFrame:
             for name, page, html in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
                 blocks, styles = parse(html or "")
                 look: set[int] = set()
+                texts = {(b.element.node, _hash(block_text(b)), b.element.article and not b.element.other) for b in blocks}
                 for b in blocks:
-                    e = None if b.element.other else b.element
+                    e = None if b.element.other or (b.element.article and not b.named) else b.element
                     while e and e.node not in look:
                         look.add(e.node)
                         e = e.parent
                 seen = {(node, PAGE, 0, node in look) for node, _ in styles}
                 seen |= {(node, STYLE, _hash(">".join(children)), False) for node, children in styles}
-                seen |= {(b.element.node, CONTENT, _hash(block_text(b)), False) for b in blocks}
+                inside = {x[:2] for x in texts if x[2]}
+                seen |= {(node, CONTENT, value, (node, value) in inside) for node, value, _ in texts}
                 rows += [(name, page, *x) for x in seen]
             if rows:
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -291,22 +300,36 @@ def _importance(counts: DataFrame, *keys: str) -> DataFrame:
 def site_trees(observed: DataFrame) -> DataFrame:
     """``host, node, kind, value, style, content, sure``: the importances of each node of a host, a row each.
 
-    ``sure``: the host has as many pages with the node as count for the others.
+    ``sure``: the host has as many pages with the node as count for the others. Rows of kind ``CONTENT`` have the
+    importance of one text at a node, where it is so low that an article does not make up for it.
     """
     per_host = materialize(observed.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n")), "nodes")
-    everywhere = per_host.groupBy("node", "kind", "value").agg(F.sum("n").alias("n"))
-    everywhere = _importance(everywhere, "node").select("node", F.col("style").alias("all_style"), F.col("content").alias("all_content"))
-    joined = _importance(per_host, "host", "node").join(everywhere, "node")
-    drawn = lambda own, all_: (F.col("pages") * F.col(own) + PRIOR_PAGES * F.col(all_)) / (F.col("pages") + PRIOR_PAGES)
-    return joined.select(
+    everywhere = materialize(per_host.groupBy("node", "kind", "value").agg(F.sum("n").alias("n")), "everywhere")
+    nodes = _importance(everywhere, "node").select(
+        "node", F.col("pages").alias("all_pages"), F.col("style").alias("all_style"), F.col("content").alias("all_content")
+    )
+    joined = materialize(_importance(per_host, "host", "node").join(nodes, "node"), "importances")
+    drawn = lambda own, all_: (F.col("pages") * own + PRIOR_PAGES * all_) / (F.col("pages") + PRIOR_PAGES)
+    sure = (F.col("pages") >= PRIOR_PAGES).alias("sure")
+    branches = joined.select(
         "host",
         "node",
         F.lit(PAGE).alias("kind"),
         F.lit(0).cast("bigint").alias("value"),
-        drawn("style", "all_style").cast("float").alias("style"),
-        drawn("content", "all_content").cast("float").alias("content"),
-        (F.col("pages") >= PRIOR_PAGES).alias("sure"),
+        drawn(F.col("style"), F.col("all_style")).cast("float").alias("style"),
+        drawn(F.col("content"), F.col("all_content")).cast("float").alias("content"),
+        sure,
     )
+    # a text is only looked up if its host alone could draw it low enough
+    low = 2 * (THRESHOLD - ARTICLE)
+    rare = lambda n, pages: F.lit(1.0) - F.log(F.col(n)) / F.log(F.col(pages))
+    texts = per_host.where(f"kind = {CONTENT} and n > 1").join(joined.select("host", "node", "pages", "all_pages"), ["host", "node"])
+    texts = texts.where(drawn(rare("n", "pages"), F.lit(0.0)) < low)
+    totals = everywhere.where(f"kind = {CONTENT} and n > 1").withColumnRenamed("n", "all_n")
+    texts = texts.join(totals, ["node", "kind", "value"])
+    content = drawn(rare("n", "pages"), rare("all_n", "all_pages"))
+    texts = texts.select("host", "node", "kind", "value", F.lit(1.0).cast("float").alias("style"), content.cast("float").alias("content"), sure)
+    return branches.unionByName(texts.where(F.col("content") < low))
 
 
 def page_trees(pages: DataFrame) -> DataFrame:
@@ -331,24 +354,35 @@ def _best(element: Element, style: dict[int, float], known: dict[int, float]) ->
     return best
 
 
-def main_text(html: str, style: dict[int, float], content: dict[int, float], sure: frozenset[int] = frozenset()) -> str:
+def main_text(
+    html: str,
+    style: dict[int, float],
+    content: dict[int, float],
+    sure: frozenset[int] = frozenset(),
+    texts: dict[tuple[int, int], float] | None = None,
+) -> str:
     """The text of the blocks whose branch is important, joined by spaces.
 
-    Where a page has no article and most of its important text stands in branches that only their names speak against,
-    the importances overrule the names; ``sure`` are the nodes that enough pages of the host have.
+    In articles ``texts`` has the importance of a text at its node, if it is low. Where a page has no article and most of
+    its important text stands in branches that only their names speak against, the importances overrule the names;
+    ``sure`` are the nodes that enough pages of the host have.
     """
     blocks = [(b, text) for b in parse(html)[0] if not b.element.other and (text := block_text(b))]
-    kept, overruled, in_article, known = [], [], False, {}
+    kept, repeated, overruled, in_article, known = [], [], [], 0, {}
     for at, (block, text) in enumerate(blocks):
-        node, article = block.element.node, block.element.article
-        score = 0.5 * content.get(node, 1.0) + 0.5 * _best(block.element, style, known) + (ARTICLE if article else 0.0)
-        if score < THRESHOLD:
+        node, named = block.element.node, block.named
+        if block.element.article and not named:
+            score = 0.5 * (texts.get((node, _hash(text)), 1.0) if texts else 1.0) + ARTICLE
+            in_article += len(text)
+            (kept if score >= THRESHOLD else repeated).append((at, text))
             continue
-        if not block.named:
+        score = 0.5 * content.get(node, 1.0) + 0.5 * _best(block.element, style, known)
+        if score >= THRESHOLD and not named:
             kept.append((at, text))
-            in_article |= article
-        elif node in sure:
+        elif score >= THRESHOLD and node in sure:
             overruled.append((at, text))
+    if 2 * sum(len(x) for _, x in repeated) > in_article:  # a copied article
+        kept = sorted(kept + repeated)
     if not in_article and sum(len(x) for _, x in overruled) > sum(len(x) for _, x in kept):
         kept = sorted(kept + overruled)
     return " ".join(x for _, x in kept)
@@ -372,10 +406,12 @@ def extract(pages: DataFrame) -> DataFrame:
             nodes = part.column("nodes")
             for i, html in enumerate(part.column("html").to_pylist()):
                 found = nodes[i].as_py() or []
+                low = {(x["node"], x["value"]): x["content"] for x in found if x["kind"] == CONTENT}
+                found = [x for x in found if x["kind"] == PAGE]
                 style = {x["node"]: x["style"] for x in found}
                 content = {x["node"]: x["content"] for x in found}
                 sure = frozenset(x["node"] for x in found if x["sure"])
-                texts.append(main_text(html or "", style, content, sure))
+                texts.append(main_text(html or "", style, content, sure, low))
             columns = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text"])
 

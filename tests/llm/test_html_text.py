@@ -111,3 +111,16 @@ def test_deep_branches_and_many_paths_have_their_own_nodes(spark):
     assert rows == {i: f"story {i}" for i in range(40)}
     many = "".join(f"<div class='{'x' * (k % 700)} {'y' * (k // 700)}'></div>" for k in range(100_000))
     assert len({node for node, _ in html_text.parse(many)[1]}) == 100_000
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div role=main"])
+def test_text_on_all_pages_goes_from_articles_too(spark, tag):
+    def body(i):
+        stories = "".join(f"<p>story {i} part {k} of a longer text</p>" for k in range(2 + i % 5))
+        return f"<body><{tag}><h1>Title {i}</h1><div class=box>Join our list</div>{stories}<p>Made by us</p></{tag.split()[0]}>"
+
+    copy = "<body><article><h1>Copy</h1><p>Everywhere the same long text</p><p>Made by us</p></article>"
+    pages = site(40, body) + [(100 + i, "http://copies.example/", copy, "t", 0) for i in range(40)]
+    rows = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, PAGE)).collect()}
+    want = {i: " ".join([f"Title {i}", *(f"story {i} part {k} of a longer text" for k in range(2 + i % 5))]) for i in range(40)}
+    assert rows == want | {100 + i: "Copy Everywhere the same long text Made by us" for i in range(40)}
