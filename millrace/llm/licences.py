@@ -12,6 +12,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lines that only name the holder.
 NOTICE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
 
+#: Lines of copyright in any form that stand in front of a licence, behind one line of title at most; text in lower case.
+FRONT = (
+    r"\A((?:[^a-z0-9\n]*\n)*(?:(?![^a-z0-9\n]*copyright)[^\n]{0,80}\n(?:[^a-z0-9\n]*\n)*)?)"
+    r"(?:[^a-z0-9\n]*copyright[ \t][^\n]*\n(?:[^a-z0-9\n]*\n)*)+"
+)
+
 #: What is no letter and no digit; beyond ASCII only the quotes and dashes that ``TYPOGRAPHIC`` names count as such.
 PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 TYPOGRAPHIC = "“”‘’«»–—… "
@@ -186,6 +192,36 @@ this software under copyright law.
 )
 
 
+#: Digests of whole public licence texts, and of those that end before their appendix.
+WHOLE = (
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Apache-2.0", "6aa661403864282a4d084f1551e8149a5f1a7b5e8b05b6db8e1a8a28d0badc64"),
+    ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    ("GPL-1.0", "0c28ca4dd58dd03edf3afbd7bcf01857c943e8fa9c124d4ca1eaefab216d6b0f"),
+    ("GPL-1.0", "af30c0af27b90ec812acdb040f3dcc944a87cd893456690efe35063f39e3eeeb"),
+    ("GPL-1.0", "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b"),
+    ("GPL-2.0", "9c05d74a883c3b9a1f9c0850cd047eb9d7a3580bdda1f342f19570447984ab29"),
+    ("GPL-2.0", "c67cc53030ae25fe2e2f0143b59060eca5ad89da8d2beca1445641234d29fc88"),
+    ("GPL-2.0", "1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca"),
+    ("GPL-3.0", "dfd1fc3abea1d3d88bd12db363da0b9cdb8731d6e379deb4759ae40fc0208bcb"),
+    ("GPL-3.0", "5b8bbbc08610f585b26c4d45ec4c46b3a401532b9362524e72b89d9db72bcb4f"),
+    ("GPL-3.0", "57f71ba95bda9ddb21fcd4d2b6841fdc3ef7fcebd5c12a2fd2ee5f2027869fc6"),
+    ("LGPL-2.0", "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d"),
+    ("LGPL-2.0", "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f"),
+    ("LGPL-2.1", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("GFDL-1.2", "58b6ebdf2bd26f81dd551d8efda909bfbc8914ce77996a5c289c28616b91ceeb"),
+    ("GFDL-1.3", "c4f8ea2b5247ab1ff721ce8255137250d4c14f50a0fb68c00fd793f496ced65e"),
+)
+
+
 def canonical(text: Column) -> Column:
     """Lower case, without notices of copyright and punctuation, in one spelling, with single spaces."""
     out = F.translate(text, UPPER, LOWER)
@@ -201,25 +237,37 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """``digest, licence``, one row for each canonical form; the first name in order wins."""
+def lookup_digest(text: Column) -> Column:
+    """The digest without the lines of copyright in front, null if there are none."""
+    lower = F.translate(text, UPPER, LOWER)
+    return F.when(lower.rlike(FRONT), digest(F.regexp_replace(lower, FRONT, "$1")))
+
+
+def known_digests(
+    spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN, whole: tuple[tuple[str, str], ...] = WHOLE
+) -> DataFrame:
+    """``digest, licence``, one row for each canonical form of ``known`` and each digest of ``whole``; the first name in order wins."""
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    rows = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in known)
-    table = spark.sql(f"SELECT * FROM VALUES {rows} AS t(licence, body)")
-    return table.groupBy(digest(F.col("body")).alias("digest")).agg(F.min("licence").alias("licence"))
+    values = lambda rows: ", ".join(f"({quote(name)}, {quote(text)})" for name, text in rows)
+    table = spark.sql(f"SELECT * FROM VALUES {values(known)} AS t(licence, body)").select(digest(F.col("body")).alias("digest"), "licence")
+    if whole:
+        table = table.unionByName(spark.sql(f"SELECT * FROM VALUES {values(whole)} AS t(licence, digest)"))
+    return table.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def find_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
     """``doc_id, digest, licence`` for every row; the licence is null if the whole text is none that is known.
 
+    Lines of copyright in front of a licence are left out of what is looked up; ``digest`` is that of the canonical form.
     ``known`` has ``digest, licence``, one row for each digest. It is joined by hash and broadcast only if Spark
     knows it to be small; copies of one text that fill a task are split by adaptive execution. A null text has a null
     digest. Empty texts and texts of punctuation share the digest of the empty text, which is no licence unless
     ``known`` holds it. Repeated rows come back repeated.
     """
     named = known.select(F.col("digest").alias("__digest"), "licence")
-    out = pick(docs, "doc_id", "text").select("doc_id", digest(F.col("text")).alias("digest"))
-    return out.join(named, F.col("digest") == F.col("__digest"), "left").select("doc_id", "digest", "licence")
+    text = F.col("text")
+    out = pick(docs, "doc_id", "text").select("doc_id", digest(text).alias("digest"), lookup_digest(text).alias("__lookup"))
+    return out.join(named, F.coalesce("__lookup", "digest") == F.col("__digest"), "left").select("doc_id", "digest", "licence")
 
 
 def _sql() -> str:

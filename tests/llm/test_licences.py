@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 from millrace.llm import licences
@@ -41,3 +43,21 @@ def test_odd_input(spark, odd):
     assert len(rows) == full.count() and all(r.licence is None for r in rows)
     assert [r.digest for r in rows if r.doc_id == 1] == [None]
     assert licences.find_licences(empty, licences.known_digests(spark)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0", "Artistic"])
+def test_whole_public_texts(spark, documents, name):
+    path = Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("no such text on this machine")
+    text = path.read_text()
+    rows = [(1, text), (2, "Copyright The Authors\n\n" + text), (3, text[: len(text) // 2])]
+    got = found(spark, documents(rows))
+    assert got[1] and got[1] == got[2] and got[3] is None
+
+
+def test_lines_of_copyright_in_front(spark, documents):
+    named = lambda line: MIT.replace("Copyright (c) <year> <copyright holders>\n", line)
+    lines = ["Copyright Jane Doe\n", "Copyright The Authors\nCopyright Jane Doe\n\n", "# Copyright by A, B\n#\n"]
+    rows = [(i, named(line)) for i, line in enumerate(lines)] + [(10, MIT + "\n\nCopyright law is more.\n")]
+    assert found(spark, documents(rows)) == {0: "MIT", 1: "MIT", 2: "MIT", 10: None}
