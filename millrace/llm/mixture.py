@@ -68,7 +68,11 @@ def _ranked(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _cuts(ranked: DataFrame) -> DataFrame:
-    """Per source the range in which its sample ends, and the last place taken in it (null: none)."""
+    """Per source the range in which its sample ends, and the last place taken in it (null: none).
+
+    A source whose rows are all certain has no sample and no range.
+    """
+    ranked = ranked.where("chance > 0")
     ranges = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     order = W.partitionBy("source").orderBy("bucket")
     before = F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

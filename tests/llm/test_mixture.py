@@ -63,3 +63,10 @@ def test_odd_input(odd):
     assert kept.where("copies <= 0").count() == 0
     assert set(kept.columns) == set(full.columns) | {"source_size", "target", "taken"}
     assert mixture.mixed(empty).count() == 0
+
+
+def test_sources_without_a_sample_are_not_sorted(spark, documents):
+    rows = mixture._rows(documents([(i, "one two three", "en", "only") for i in range(50)]), None)
+    sources = mixture.source_targets(rows)
+    assert mixture._cuts(mixture._ranked(rows, sources)).count() == 0
+    assert [r.copies for r in mixture.take(rows, mixture.plan(rows, (1, 2, 3), 3.0)).collect()] == [1] * 50
