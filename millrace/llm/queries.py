@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, html_text, language, licences, mixture, repetition, simhash, tokens, toxicity, warc
+from millrace.llm import decontamination, fill_in_middle, html_text, language, licences, mixture, packing, periodic_runs, repetition
+from millrace.llm import simhash, tokens, toxicity, warc
 from millrace.llm.common import held_out
 from millrace.session import prepare
 
@@ -76,6 +77,18 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.runs_report(table(spark, folder, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, folder, "documents"))
+
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packing_report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixture": op2_mixture,
@@ -87,10 +100,14 @@ QUERIES: dict[str, Query] = {
     "op8_tokens": op8_tokens,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_packing": op13_packing,
 }
 
 SQL: dict[str, str] = {
     "op2_mixture": mixture.SQL,
     "op3_licences": licences.SQL,
     "op10_warc": warc.SQL,
+    "op12_fill_in_middle": fill_in_middle.SQL,
 }
