@@ -55,6 +55,15 @@ def _scan_files_quoted(t: Tables) -> DataFrame:
     return files.scan_files(t.spark, folder, t.documents.select("doc_id", "lang", "text").schema)
 
 
+@query("scan_files_split", "SELECT doc_id, lang, source, 'say \"x\", ' || text AS text FROM documents")
+def _scan_files_split(t: Tables) -> DataFrame:
+    # One file with line breaks in quoted cells, read in its splits.
+    folder = new_folder(t.spark, "texts")
+    texts = t.documents.select("doc_id", "source", F.concat(F.lit('say "x", '), F.col("text")).alias("text"), "lang")
+    texts.coalesce(1).write.option("header", True).option("escape", '"').csv(folder)
+    return files.scan_files(t.spark, folder, t.documents.select("doc_id", "lang", "source", "text").schema, split_from=0)
+
+
 @query("load_files_quoted", TEXTS_SQL)
 def _load_files_quoted(t: Tables) -> DataFrame:
     folder = new_folder(t.spark, "texts")

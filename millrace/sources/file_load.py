@@ -197,7 +197,7 @@ class FileLoader:
         for header in headers:
             extra, missing = sorted(set(header["columns"]) - expected), sorted(expected - set(header["columns"]))
             if extra or missing:
-                bad += [(path.split(f"{self.folder}/")[-1], extra, missing) for path in header["paths"]]
+                bad += [(path.split(f"{self.folder}/")[-1], extra, missing) for path in header["paths"] + header["large"]]
         if bad:
             raise SchemaMismatchError("; ".join(f"{path}: extra {extra}, missing {missing}" for path, extra, missing in sorted(bad)))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.names import quoted
+from millrace.sources import csv_records
 
 # The extensions that are read, and their formats. Other files are skipped.
 FORMATS = {"csv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "parquet": "parquet"}
@@ -97,7 +98,8 @@ def infer_schema(
             continue
         if fmt == "csv":
             for header in csv_headers(spark, inputs, pattern) if headers is None else headers:
-                out = merge_schemas(out, _csv_reader(spark).option("inferSchema", True).load([literal(p) for p in header["paths"]]).schema)
+                every = [literal(p) for p in header["paths"] + header["large"]]
+                out = merge_schemas(out, _csv_reader(spark).option("inferSchema", True).load(every).schema)
             continue
         reader = _reader(spark, fmt, glob)
         reader = reader.option("mergeSchema", True) if fmt == "parquet" else reader.option("multiLine", multiline)
@@ -138,34 +140,42 @@ def scan_files(
     unit: str = "file",
     wanted: Sequence[str] | None = None,
     headers: Sequence[dict] | None = None,
+    split_from: int | None = None,
 ) -> DataFrame:
     """All CSV, JSON and parquet files of a folder as one table, matched by column name.
 
     CSV binds by position, so its files are grouped by header first (headers only are
-    read); ``uniform_csv`` promises the order of ``schema`` and skips that look. Quoted cells may hold line
-    breaks, so a CSV file is read by one task; a cell that does not fit its type fails the read. Files without
+    read); ``uniform_csv`` promises the order of ``schema`` and skips that look, and with it the parallel read. Quoted
+    cells may hold line breaks: a file that fits one split is read by one task, a larger one (or one of more than
+    ``split_from`` bytes) by many (``csv_records``), with the same rows. A cell that does not fit its type fails the read. Files without
     one of the columns give NULL. With ``provenance`` the file's path and time are added;
     ``wanted`` limits the read to some units, ``headers`` is ``csv_headers`` if known already.
     """
     parts = []
+    origin = source_columns(folder, unit)
     for fmt in dict.fromkeys(FORMATS.values()):
         glob, inputs = glob_of(pattern, fmt), unit_paths(folder, unit, fmt, wanted)
         if glob is None or not inputs:
             continue
         if fmt == "csv" and not uniform_csv:
-            for header in csv_headers(spark, inputs, pattern) if headers is None else headers:
+            for header in csv_headers(spark, inputs, pattern, split_from) if headers is None else headers:
                 own = T.StructType([T.StructField(c, schema[c].dataType if c in schema.names else T.StringType()) for c in header["columns"]])
-                parts.append((_csv_reader(spark).schema(own).load([literal(p) for p in header["paths"]]), own.names))
+                if header["paths"]:
+                    parts.append((_csv_reader(spark).schema(own).load([literal(p) for p in header["paths"]]), own.names, origin))
+                if header["large"]:
+                    places = _place(F.col("path"), F.col("mtime"), folder, unit)
+                    rows = csv_records.read(spark, [literal(p) for p in header["large"]], own, CSV, *places)
+                    parts.append((rows, own.names, [F.col(n) for n in SOURCE_COLUMNS]))
             continue
         reader = _reader(spark, fmt, glob).schema(schema)
         if fmt == "json" and multiline:
             reader = reader.option("multiLine", True)
-        parts.append((reader.load(inputs), schema.names))
+        parts.append((reader.load(inputs), schema.names, origin))
     out = None
-    for df, names in parts:
+    for df, names, added in parts:
         columns = [(F.col(quoted(f.name)) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
         if provenance:
-            columns += source_columns(folder, unit)
+            columns += added
         part = df.select(*columns)
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -173,11 +183,16 @@ def scan_files(
     return out
 
 
+SOURCE_COLUMNS = ("_src_file", "_src_mtime")
+
+
+def _place(path: Column, mtime: Column, folder: str, unit: str) -> list[Column]:
+    values = relative(decoded(path), folder, unit), mtime.cast("timestamp_ntz")
+    return [v.alias(n) for v, n in zip(values, SOURCE_COLUMNS, strict=True)]
+
+
 def source_columns(folder: str, unit: str = "file") -> list[Column]:
-    return [
-        relative(decoded(F.col("_metadata.file_path")), folder, unit).alias("_src_file"),
-        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("_src_mtime"),
-    ]
+    return _place(F.col("_metadata.file_path"), F.col("_metadata.file_modification_time"), folder, unit)
 
 
 def tag_provenance(df: DataFrame, now: Column | None = None) -> DataFrame:
@@ -224,22 +239,37 @@ def _columns_of(path: str) -> list[str]:
 
 def _read_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"path": batch["path"], "columns": [_columns_of(p) for p in batch["path"]]})
+        yield batch.assign(columns=[_columns_of(p) for p in batch["path"]])
 
 
 def _heads(spark: SparkSession, inputs: Sequence[str], glob: str) -> DataFrame:
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    files = reader.load(list(inputs)).select("path")
-    return files.mapInPandas(_read_columns, "path string, columns array<string>")
+    files = reader.load(list(inputs)).select("path", "length")
+    return files.mapInPandas(_read_columns, "path string, length bigint, columns array<string>")
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    """The size beyond which Spark splits a file."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit[:1] or "b")
 
 
-def csv_headers(spark: SparkSession, inputs: Sequence[str], pattern: str = "*") -> list[dict]:
-    """The distinct CSV headers of a folder, each with the files that have it: the list of files a read needs."""
+def csv_headers(spark: SparkSession, inputs: Sequence[str], pattern: str = "*", split_from: int | None = None) -> list[dict]:
+    """The distinct CSV headers of a folder, each with the files that have it: the list of files a read needs.
+
+    ``large`` are those that one task should not read alone, ``paths`` the others. A row is one file, not one header,
+    and the driver groups them.
+    """
     glob = glob_of(pattern, "csv")
     if glob is None:
         return []
-    groups = _heads(spark, inputs, glob).where(F.size("columns") > 0).groupBy("columns").agg(F.collect_list("path").alias("paths"))
-    return [{"columns": list(r["columns"]), "paths": list(r["paths"])} for r in groups.collect()]
+    most = _split_bytes(spark) if split_from is None else split_from
+    heads = _heads(spark, inputs, glob).where(F.size("columns") > 0).select("path", "columns", (F.col("length") > most).alias("large"))
+    found: dict[tuple, dict] = {}
+    for row in heads.toLocalIterator():
+        header = found.setdefault(tuple(row["columns"]), {"columns": list(row["columns"]), "paths": [], "large": []})
+        header["large" if row["large"] else "paths"].append(row["path"])
+    return list(found.values())
 
 
 def file_columns(
