@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import load, quality
 from millrace.plans.registry import Tables, query
 from millrace.session import new_folder
-from millrace.sources.store import VersionedTable, merge_partitions
+from millrace.sources.store import KeyedTable, VersionedTable, merge_partitions
 
 SPLIT = "2000-01-01"
 
@@ -47,9 +47,28 @@ def shipped(t: Tables) -> DataFrame:
     f"WITH {SHIPPED} SELECT * FROM amounts WHERE id NOT IN (SELECT id FROM fresh) UNION ALL SELECT * FROM fresh",
 )
 def _write_merge(t: Tables) -> DataFrame:
-    table = stored(t, "merge")
-    table.append(amounts(t))
-    table.merge(shipped(t), ["id"], ["seen_at"])
+    table = KeyedTable(t.spark, new_folder(t.spark, "merge"), ["id"], buckets=16)
+    table.merge(amounts(t))
+    table.merge(shipped(t), ["seen_at"])
+    return table.read()
+
+
+@query(
+    "write_delete_insert_buckets",
+    """
+WITH batch AS (SELECT ps AS l_suppkey, CAST(0 AS BIGINT) AS l_partkey, bal AS l_extendedprice
+               FROM (SELECT s_suppkey AS ps, s_acctbal AS bal FROM supplier WHERE s_acctbal < 5000))
+SELECT l_suppkey, l_partkey, l_extendedprice FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM batch)
+UNION ALL SELECT * FROM batch
+""",
+)
+def _write_delete_insert_buckets(t: Tables) -> DataFrame:
+    table = KeyedTable(t.spark, new_folder(t.spark, "delete_insert"), ["l_suppkey"], buckets=16)
+    table.delete_insert(t.lineitem.select("l_suppkey", "l_partkey", "l_extendedprice"))
+    fresh = t.supplier.where("s_acctbal < 5000")
+    table.delete_insert(
+        fresh.select(F.col("s_suppkey").alias("l_suppkey"), F.lit(0).cast("bigint").alias("l_partkey"), F.col("s_acctbal").alias("l_extendedprice"))
+    )
     return table.read()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -507,8 +509,8 @@ def _run_monitors(t: Tables) -> DataFrame:
     if today is not None:
         store.history_table.append(rows.where(F.col("recorded_at") < today))
         yesterday = events.where(F.col("day") == monitor.moment(today) - monitor.days(1))
-        for m in monitors:
-            store.snapshots_table.append(drill.stamp_snapshot(drill.drill_breakdown(yesterday, m), monitor.moment(today) - monitor.days(1)))
+        snapshots = [drill.stamp_snapshot(drill.drill_breakdown(yesterday, m), monitor.moment(today) - monitor.days(1)) for m in monitors]
+        store.snapshots_table.append(reduce(DataFrame.unionByName, snapshots))
     run = store.run({"raw_app.events": events.where(F.col("day") == monitor.moment(today))}, monitors, monitor.moment(today), sources=["app"])
     # What the store holds now is the report; the largest contributor stands beside a flagged metric.
     results = monitor.metric_latest(store.history(), store.results())

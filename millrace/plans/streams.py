@@ -6,13 +6,19 @@ single file only that way; it works for a folder of part files too.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from millrace.plans.monitors import EXACT, exact_sum
 from millrace.plans.registry import Tables, query
 from millrace.session import new_folder
+from millrace.sources.file_load import FileLoader
 from millrace.streaming import streams
+from millrace.streaming.arrivals import Arrivals, load_settled
+from millrace.streaming.message_log import MessageLog
 
 
 def events_stream(t: Tables) -> DataFrame:
@@ -105,7 +111,7 @@ def _stream_files(t: Tables) -> DataFrame:
     streams.stream_files(source, path, checkpoint, ["event_id"], "day", ["ts"])
     rows.where("event_type = 'view'").write.mode("append").parquet(landing)
     streams.stream_files(source, path, checkpoint, ["event_id"], "day", ["ts"])
-    return t.spark.read.schema(rows.schema).parquet(path).select(*t.events.columns)
+    return streams.merged(t.spark, path, ["event_id"], "day").select(*t.events.columns)
 
 
 @query(
@@ -125,7 +131,7 @@ def _lag_merge_stream(t: Tables) -> DataFrame:
         source = streams.file_stream(t.spark, landing, rows.schema, files_per_batch=2)
         latest = source.select("user_id", "day", F.col("ts").cast("timestamp").alias("ts"))
         streams.lag_merge_stream(latest, path, checkpoint, ["user_id", "day"], "day", "ts", "15 days")
-    merged = t.spark.read.schema("user_id bigint, ts timestamp, day string").parquet(path)
+    merged = streams.merged(t.spark, path, ["user_id", "day"], "day")
     return merged.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -164,5 +170,87 @@ def _stream_metrics(t: Tables) -> DataFrame:
     path, checkpoint = new_folder(t.spark, "history"), new_folder(t.spark, "offsets")
     rows = events_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
     streams.stream_metrics(rows, "ts", [F.col("event_type")], exact_sum("value"), "1 day", "2 days", path, checkpoint)
-    out = t.spark.read.schema("metric_name string, metric_value double, recorded_at timestamp, month string").parquet(path)
+    out = streams.merged(t.spark, path, ["metric_name", "recorded_at"], "month")
     return out.select("metric_name", "metric_value", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"))
+
+
+@query(
+    "stream_sessions",
+    f"""
+WITH {VISITS}
+SELECT user_id, CAST(n AS BIGINT) AS visit, first_action, last_action, visit_id, actions
+FROM visits WHERE last_action + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY
+""",
+)
+def _stream_sessions(t: Tables) -> DataFrame:
+    """A file stream in three deliveries; a fifth of the events of the first days of a third comes with the next one."""
+    landing, path, checkpoint = (new_folder(t.spark, x) for x in ("landing", "visits", "offsets"))
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    bounds = rows.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    third = (F.unix_micros("last") - F.unix_micros("first")) / 3 + 1
+    dealt = rows.crossJoin(F.broadcast(bounds)).withColumn("_at", (F.unix_micros("ts") - F.unix_micros("first")) / third)
+    # late by less than a day, which the watermark of two days waits for
+    late = (F.col("event_id") % 5 == 0) & ((F.floor("_at") + 1 - F.col("_at")) * third < 86_400_000_000)
+    dealt = dealt.withColumn("_delivery", F.least(F.floor("_at") + F.when(late, 1).otherwise(0), F.lit(2)))
+    for delivery in range(3):
+        dealt.where(F.col("_delivery") == delivery).select(*rows.columns).write.mode("append").parquet(landing)
+        source = streams.file_stream(t.spark, landing, rows.schema)
+        aggregates = F.min("event_id").alias("visit_id"), F.count(F.lit(1)).alias("actions")
+        streams.stream_sessions(source, ["user_id"], "ts", "30 minutes", "2 days", path, checkpoint, *aggregates)
+    visits = t.spark.read.schema("user_id bigint, first_action timestamp, last_action timestamp, visit_id bigint, actions bigint").parquet(path)
+    number = F.row_number().over(W.partitionBy("user_id").orderBy("first_action")).cast("bigint")
+    plain = {c: F.col(c).cast("timestamp_ntz") for c in ("first_action", "last_action")}
+    return visits.withColumn("visit", number).withColumns(plain)
+
+
+@query(
+    "stream_files_quiet",
+    """
+SELECT event_id, ts, user_id, event_type, value, props,
+       CASE WHEN event_type = 'view' THEN TIMESTAMP '2024-01-01 00:15:00' ELSE TIMESTAMP '2024-01-01 00:10:00' END AS loaded_at
+FROM events
+""",
+)
+def _stream_files_quiet(t: Tables) -> DataFrame:
+    """Folders of part files, one of which still grows at the second poll: it is loaded once, whole, when it has settled."""
+    landing, path = new_folder(t.spark, "landing"), new_folder(t.spark, "settled")
+    first, half = datetime(2024, 1, 1), F.col("event_id") % 2 == 0
+    growing = F.col("event_type") == "view"
+    arrivals = Arrivals(t.spark, landing, path, "10 minutes", unit="folder")
+    loader = FileLoader(t.spark, "app", landing, path, t.events.schema, unit="folder")
+
+    def deliver(rows: DataFrame) -> None:
+        rows.withColumn("unit", F.col("event_type")).write.mode("append").partitionBy("unit").parquet(landing)
+
+    deliver(t.events.where(~growing | half))
+    load_settled(loader, arrivals, first)
+    deliver(t.events.where(growing & ~half))
+    for minutes in (5, 10, 15, 20):
+        load_settled(loader, arrivals, first + timedelta(minutes=minutes))
+    return loader.table().select(*t.events.columns, F.col("_src_loaded_at").alias("loaded_at"))
+
+
+@query(
+    "stream_bounded_times",
+    """
+WITH m AS (SELECT event_type AS topic, CAST(user_id % 8 AS INTEGER) AS partition, event_id AS offset_, ts FROM events),
+span AS (SELECT min(ts) + (max(ts) - min(ts)) / 4 AS a, min(ts) + (max(ts) - min(ts)) / 2 AS b FROM events),
+bounds AS (SELECT topic, partition, min(offset_) FILTER (ts >= a) AS lo, min(offset_) FILTER (ts >= b) AS hi FROM m, span GROUP BY ALL)
+SELECT topic, partition, offset_, ts FROM m JOIN bounds USING (topic, partition) WHERE offset_ >= lo AND (hi IS NULL OR offset_ < hi)
+""",
+)
+def _stream_bounded_times(t: Tables) -> DataFrame:
+    folder, path = new_folder(t.spark, "log"), new_folder(t.spark, "log-index")
+    log = MessageLog(t.spark, folder, path)
+    # Segments by offset; the index takes those of the second delivery when it is refreshed.
+    messages = as_messages(t.events)
+    for even in (True, False):
+        part = messages.where((F.floor(F.col("offset") / 1000) % 2 == 0) == even)
+        part.repartitionByRange(4, "offset").write.mode("append").parquet(folder)
+        log.refresh()
+    span = t.events.agg(F.min("ts"), F.max("ts")).first()
+    if span[0] is None:
+        read = log.read()
+    else:
+        read = log.read(span[0] + (span[1] - span[0]) / 4, span[0] + (span[1] - span[0]) / 2)
+    return read.select("topic", "partition", F.col("offset").alias("offset_"), F.col("timestamp").cast("timestamp_ntz").alias("ts"))

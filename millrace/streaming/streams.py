@@ -9,15 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from millrace.functions.records import message_id
-from millrace.operators.load import write_merge
-from millrace.sources.store import merge_partitions
+from millrace.sources.store import KeyedTable
 
 # A visit is over half an hour after its last action, or an hour after its first.
 VISIT_TIMEOUT_SECONDS = 1800
@@ -109,12 +107,12 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 def upsert(
     path: str, keys: Sequence[str], partition: str, latest_by: Sequence[str], lag: tuple[str, str] | None = None
 ) -> Callable[[DataFrame, int], None]:
-    """A batch function that merges into a partitioned table.
+    """A batch function that merges into a keyed table at ``path``, cut by ``partition``.
 
-    Replaying a batch after a failure leaves the same rows, since it merges by key; only the
-    partitions a batch touches are rewritten. ``lag`` is a time column and an interval: rows
-    older than the newest loaded one less the interval are left out. The newest time of every batch is a row of
-    its own beside the table. A batch is kept while it is merged, so its source is read once.
+    Replaying a batch after a failure leaves the same rows, since it merges by key; only the parts a batch touches are
+    rewritten, and readers see whole versions. ``lag`` is a time column and an interval: rows older than the newest
+    loaded one less the interval are left out. The newest time is committed with the rows it comes from. A batch is kept
+    while it is merged, so its source is read once.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -126,43 +124,29 @@ def upsert(
             batch.unpersist()
 
     def merge(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        fresh = batch
+        table = KeyedTable(batch.sparkSession, path, keys, partition=partition)
+        fresh, note = batch, {"batch": number}
         if lag is not None:
-            newest = newest_time(session, path, lag[0])
-            if newest is not None:
-                fresh = batch.where(F.col(lag[0]) >= F.lit(newest) - F.expr(f"INTERVAL {lag[1]}"))
-        try:
-            session.read.schema(batch.schema).parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            once = write_merge(session.createDataFrame([], batch.schema), fresh, keys, latest_by)
-            once.write.partitionBy(partition).parquet(path)
-        else:
-            merge_partitions(session, path, fresh, keys, partition, latest_by)
-        if lag is not None:
-            # last, so that a batch that is repeated after a failure is filtered as before
-            fresh.agg(F.lit(number).cast("bigint").alias("batch"), F.max(lag[0]).alias(lag[0])).write.mode("append").parquet(f"{path}_newest")
+            micros = F.unix_micros(F.col(lag[0]).cast("timestamp"))
+            known = table.note().get("newest")
+            if known is not None:
+                fresh = batch.where(F.col(lag[0]) >= F.timestamp_micros(F.lit(known)) - F.expr(f"INTERVAL {lag[1]}"))
+            newest = fresh.agg(F.max(micros)).first()[0]
+            note["newest"] = max((t for t in (known, newest) if t is not None), default=None)
+        table.merge(fresh, latest_by, note)
 
     return apply
 
 
-def newest_time(spark: SparkSession, path: str, ts: str):
-    """The newest time that was merged into a table with a lag; None before the first batch."""
-    try:
-        stored = spark.read.parquet(f"{path}_newest")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return stored.agg(F.max(ts)).first()[0]
+def merged(spark: SparkSession, path: str, keys: Sequence[str], partition: str) -> DataFrame:
+    """What the batches have merged so far."""
+    return KeyedTable(spark, path, keys, partition=partition).read()
 
 
 def stream_files(
     files: DataFrame, path: str, checkpoint: str, keys: Sequence[str], partition: str, latest_by: Sequence[str], interval: str | None = None
 ) -> None:
-    """Load files as they arrive and merge them by key; the trigger interval is the quiet period."""
+    """Load files as they arrive and merge them by key. For files that still grow see ``arrivals``."""
     run(files.writeStream.foreachBatch(upsert(path, keys, partition, latest_by)), checkpoint, interval)
 
 
@@ -209,6 +193,18 @@ def sessions(events: DataFrame, keys: Sequence[str], ts: str, gap: str, *aggrega
     )
 
 
+def stream_sessions(
+    events: DataFrame, keys: Sequence[str], ts: str, gap: str, late: str, path: str, checkpoint: str, *aggregates: Column, interval: str | None = None
+) -> None:
+    """Append every visit to ``path`` once, when it is over in event time.
+
+    A visit is over when the newest event, less ``late``, is ``gap`` behind its last action; until then it is state of
+    the stream, which later deliveries go on with. Events older than the watermark come too late and are left out.
+    """
+    visits = sessions(events.withWatermark(ts, late), keys, ts, gap, *aggregates)
+    run(visits.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint, interval)
+
+
 def closed_sessions(
     visits: DataFrame,
     sites: Sequence[str],

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators import dedup, load, staging
-from millrace.session import new_folder, work_folder
+from millrace.session import materialize, new_folder, work_folder
 from millrace.sources import file_load, files
 from millrace.sources.file_load import FileLoader, SchemaMismatchError
-from millrace.sources.store import ConflictError, EmptyReplaceError, VersionedTable, merge_partitions
+from millrace.sources.store import ConflictError, EmptyReplaceError, KeyedTable, VersionedTable, merge_partitions
 
 T1, T2, T3 = (datetime(2026, 1, i) for i in (1, 2, 3))
 
@@ -115,16 +115,88 @@ def test_a_write_from_an_old_version_is_refused(spark):
     assert [r["id"] for r in store.read().orderBy("id").collect()] == [1, 2, 2, 2]
 
 
-def test_of_two_commits_of_a_version_one_counts(spark):
+def test_of_two_writers_from_one_version_one_is_told_that_it_lost(spark):
     path = new_folder(spark, "race")
     store, other = VersionedTable(spark, path), VersionedTable(spark, path)
     store.append(table(spark, (1, "a", T1)))
     base = store._newest()
     folders = [store._write(table(spark, (i, "x", T1))) for i in (2, 3)]
-    seen, store._newest, other._newest = store._newest, lambda: base, lambda: base
-    won = [s._commit("append", f, base.schema, base) for s, f in zip((store, other), folders, strict=True)]
-    assert won[0] and len({r["id"] for r in VersionedTable(spark, path).read().collect()}) == 2
-    store._newest = seen
+    # both have looked before either publishes, and the first is asked again after the second
+    assert store._commit("append", folders[0], base.schema, base)
+    assert not other._commit("append", folders[1], base.schema, base)
+    assert {r["id"] for r in VersionedTable(spark, path).read().collect()} == {1, 2}
+    with pytest.raises(ConflictError):
+        other._commit_whole("replace", folders[1], base.schema, base)
+
+
+def test_no_append_of_many_writers_is_lost(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = new_folder(spark, "crowd")
+    frames = [table(spark, (k, "x", T1)) for k in range(12)]
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda df: VersionedTable(spark, path).append(df), frames))
+    assert sorted(r["id"] for r in VersionedTable(spark, path).read().collect()) == list(range(12))
+
+
+def files_of(spark, store):
+    version = store.log.newest()
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{f}/_part={p}" for p, f in version.parts.items()])
+    return {r["path"] for r in rows.select("path").collect()}
+
+
+def test_keyed_table_leaves_other_buckets_alone(spark):
+    store = KeyedTable(spark, new_folder(spark, "keyed"), ["id"], buckets=8)
+    with pytest.raises(FileNotFoundError):
+        store.read()
+    store.merge(spark.range(200).selectExpr("id", "'old' AS v"))
+    before, parts = files_of(spark, store), dict(store.log.newest().parts)
+    store.merge(spark.createDataFrame([(3, "new"), (3, "newest"), (1000, "new")], "id bigint, v string"), ["v"], {"batch": 1})
+    touched = {p for p, f in store.log.newest().parts.items() if parts.get(p) != f}
+    assert 1 <= len(touched) <= 2 and store.note() == {"batch": 1}
+    kept = {f for f in before if f.split("_part=")[1].split("/")[0] not in touched}
+    assert kept and kept <= files_of(spark, store)
+    rows = {r["id"]: r["v"] for r in store.read().collect()}
+    assert len(rows) == 201 and rows[3] == "newest" and rows[1000] == "new" and rows[4] == "old"
+
+
+def test_keyed_table_shuffles_only_the_batch(spark):
+    store = KeyedTable(spark, new_folder(spark, "plan"), ["id"], buckets=4)
+    store.merge(spark.range(100).selectExpr("id", "'old' AS v"))
+    fresh = materialize(spark.createDataFrame([(3, "new")], "id bigint, v string"), "batch")
+    base = store.log.newest()
+    plan = store.kept(base, fresh, list(base.parts))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert "hashpartitioning" not in plan.split("BroadcastExchange")[0]
+
+
+def test_keyed_table_delete_insert_nulls_and_new_columns(spark):
+    store = KeyedTable(spark, new_folder(spark, "keyed"), ["id"], buckets=4)
+    store.delete_insert(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "n")], "id int, v string"))
+    store.delete_insert(spark.createDataFrame([(1, "x", 1.5), (None, "y", 2.5)], "id int, v string, w double"))
+    assert sorted(map(str, map(tuple, store.read().collect()))) == sorted(map(str, [(1, "x", 1.5), (2, "c", None), (None, "y", 2.5)]))
+    store.merge(store.read().limit(0))
+    assert store.read().count() == 3
+
+
+def test_keyed_table_refuses_a_merge_from_an_old_version(spark):
+    path = new_folder(spark, "keyed")
+    store, other = (KeyedTable(spark, path, ["id"], buckets=4) for _ in range(2))
+    store.merge(spark.range(10).selectExpr("id", "'a' AS v"))
+    base = store.log.newest()
+    other.merge(spark.range(3).selectExpr("id", "'b' AS v"))
+    store.log.newest = lambda: base
+    with pytest.raises(ConflictError):
+        store.merge(spark.range(5).selectExpr("id", "'c' AS v"))
+    assert other.read().where("v = 'b'").count() == 3
+
+
+def test_a_partition_value_is_a_part(spark):
+    store = KeyedTable(spark, new_folder(spark, "days"), ["id"], partition="day")
+    store.merge(spark.createDataFrame([(1, "2024/01 ?"), (2, None), (3, "")], "id int, day string"))
+    store.merge(spark.createDataFrame([(3, ""), (4, "x")], "id int, day string"))
+    assert len(store.log.newest().parts) == 4
+    assert {tuple(r) for r in store.read().collect()} == {(1, "2024/01 ?"), (2, None), (3, ""), (4, "x")}
 
 
 def test_csv_cells_and_names(spark, tmp_path):

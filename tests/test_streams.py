@@ -5,9 +5,13 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.session import new_folder
+from millrace.sources.file_load import FileLoader
 from millrace.streaming import streams
+from millrace.streaming.arrivals import Arrivals, load_settled, watch
+from millrace.streaming.message_log import MessageLog
 
 T0 = datetime(2026, 1, 1)
 
@@ -58,7 +62,7 @@ def test_lag_leaves_old_rows_out(spark):
 
     deliver((1, "a", 0), (2, "b", 10))
     deliver((3, "late", 8), (4, "too late", 6), (2, "again", 10))
-    out = spark.read.schema(schema).parquet(path)
+    out = streams.merged(spark, path, ["id", "day"], "day")
     assert sorted((r["id"], r["v"]) for r in out.collect()) == [(1, "a"), (2, "again"), (3, "late")]
 
 
@@ -97,5 +101,101 @@ def test_metric_stream_equals_batch_after_two_runs(spark):
         df.write.mode("append").parquet(landing)
         source = streams.file_stream(spark, landing, df.schema)
         streams.stream_metrics(source, "ts", [F.col("kind")], F.sum("value"), "1 day", "2 days", path, checkpoint)
-    out = spark.read.schema("metric_name string, metric_value double, recorded_at timestamp, month string").parquet(path)
+    out = streams.merged(spark, path, ["metric_name", "recorded_at"], "month")
     assert sorted(r["metric_value"] for r in out.collect()) == sorted([sum(range(24)) * 1.0, sum(range(24, 48)) * 1.0, sum(range(48, 60)) * 1.0])
+
+
+def test_sessions_over_deliveries(spark):
+    landing, path, checkpoint = (new_folder(spark, n) for n in ("in", "visits", "offsets"))
+
+    def deliver(*minutes):
+        df = spark.createDataFrame([("u", T0 + timedelta(minutes=m)) for m in minutes], "u string, ts timestamp")
+        df.coalesce(1).write.mode("append").parquet(landing)
+        source = streams.file_stream(spark, landing, df.schema)
+        streams.stream_sessions(source, ["u"], "ts", "30 minutes", "1 hour", path, checkpoint, F.count(F.lit(1)).alias("n"))
+        visits = spark.read.schema("u string, first_action timestamp, last_action timestamp, n bigint").parquet(path)
+        return sorted((r["first_action"] - T0, r["n"]) for r in visits.collect())
+
+    # the visit is open at the end of the first delivery, goes on in the second, and takes a late event
+    assert deliver(0, 10, 20) == []
+    assert deliver(45, 60, 30, 120) == []
+    assert deliver(160, 1000) == [(timedelta(0), 6), (timedelta(minutes=120), 1), (timedelta(minutes=160), 1)]
+    assert deliver(5, 1010)[0] == (timedelta(0), 6)  # too late
+
+
+def landing_of(spark, tmp_path, quiet="10 minutes"):
+    folder, path = tmp_path / "in", new_folder(spark, "settled")
+    folder.mkdir()
+    loader = FileLoader(spark, "s", str(folder), path, T.StructType([T.StructField("a", T.IntegerType())]))
+    return folder, loader, Arrivals(spark, str(folder), path, quiet)
+
+
+def test_a_growing_file_is_loaded_once_and_whole(spark, tmp_path):
+    folder, loader, arrivals = landing_of(spark, tmp_path)
+    (folder / "x.csv").write_text("a\n1\n")
+    (folder / "y.csv").write_text("a\n7\n")
+    loaded = {}
+    for minute, text in ((0, None), (6, "a\n1\n2\n"), (12, "a\n1\n2\n3\n"), (20, None), (22, None), (40, None)):
+        if text:
+            (folder / "x.csv").write_text(text)
+        out = load_settled(loader, arrivals, T0 + timedelta(minutes=minute)).collect()
+        loaded[minute] = {r["file_path"]: r["rows_loaded"] for r in out if r["state"] in ("new", "updated")}
+    assert loaded == {0: {}, 6: {}, 12: {"y.csv": 1}, 20: {}, 22: {"x.csv": 3}, 40: {}}
+    assert sorted(r["a"] for r in loader.table().collect()) == [1, 2, 3, 7]
+
+
+def test_a_loaded_file_that_changes_keeps_its_rows_meanwhile(spark, tmp_path):
+    folder, loader, arrivals = landing_of(spark, tmp_path)
+    (folder / "x.csv").write_text("a\n1\n")
+    for minute in (0, 10):
+        load_settled(loader, arrivals, T0 + timedelta(minutes=minute))
+    (folder / "x.csv").write_text("a\n1\n2\n")
+    load_settled(loader, arrivals, T0 + timedelta(minutes=11))
+    assert loader.table().count() == 1
+    load_settled(loader, arrivals, T0 + timedelta(minutes=21))
+    assert loader.table().count() == 2
+    (folder / "x.csv").unlink()
+    load_settled(loader, arrivals, T0 + timedelta(minutes=22))
+    assert loader.table().count() == 0
+
+
+def test_watch_polls_as_a_stream(spark, tmp_path):
+    folder, loader, arrivals = landing_of(spark, tmp_path, "0 seconds")
+    (folder / "x.csv").write_text("a\n1\n")
+    watch(loader, arrivals, new_folder(spark, "ticks"), "1 second", 15)
+    assert loader.table().count() == 1
+
+
+def test_bounded_read_opens_only_the_files_it_needs(spark, tmp_path):
+    folder = tmp_path / "log"
+    for k in range(6):
+        rows = [("a", 0, 10 * k + i, None, "x", 10 * k + i) for i in range(10)]
+        messages(spark, *rows).coalesce(1).write.parquet(str(folder / f"s{k}"))
+    log = MessageLog(spark, str(folder), new_folder(spark, "index"))
+    log.refresh()
+    log.refresh()
+    assert log.index().count() == 6
+    for k in (0, 1, 4, 5):  # files outside of the span cannot be read any more
+        for part in (folder / f"s{k}").glob("*.parquet"):
+            part.write_bytes(b"no parquet")
+    span = T0 + timedelta(minutes=22), T0 + timedelta(minutes=35)
+    assert sorted(r["offset"] for r in log.read(*span).collect()) == list(range(22, 35))
+    assert {r["path"].split("/s")[1][0] for r in log.index().collect()} == set("012345")
+
+
+def test_bounded_read_of_times_out_of_order(spark):
+    folder = new_folder(spark, "log")
+    # from the first message at or after the start to the one before the first at or after the end, as a broker does
+    minutes = [0, 5, 3, 9, 4, 20, 6, 30]
+    messages(spark, *[("a", 0, i, None, "x", m) for i, m in enumerate(minutes)], ("b", 1, 0, None, "y", 1)).write.parquet(folder)
+    log = MessageLog(spark, folder, new_folder(spark, "index"))
+    assert log.read().count() == 0
+    log.refresh()
+
+    def offsets(start, end):
+        at = [None if m is None else T0 + timedelta(minutes=m) for m in (start, end)]
+        return sorted((r["topic"], r["offset"]) for r in log.read(*at).collect())
+
+    assert offsets(5, 10) == [("a", 1), ("a", 2), ("a", 3), ("a", 4)]
+    assert offsets(None, 4) == [("a", 0), ("b", 0)]
+    assert offsets(31, None) == [] and len(offsets(None, None)) == 9
