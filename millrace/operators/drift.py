@@ -6,9 +6,12 @@ inside a JSON column, counted per row so that the work is done by the executors.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,6 +55,93 @@ def observed_keys(df: DataFrame, column: str, source: Column, table: Column) ->
     )
 
 
+# --- all paths of nested values ----------------------------------------------------------
+
+
+def _reject(*_: object) -> None:
+    raise ValueError
+
+
+def _object(pairs: list[tuple[str, object]]) -> dict:
+    found = dict(pairs)
+    return found if len(found) == len(pairs) else _reject()
+
+
+def _walk(value: object, path: str, found: set[tuple[str, str]]) -> None:
+    """Add (path, kind) of a value and of all that is in it; an element of a list has the path of the list and ``[]``."""
+    stack = [(value, path)]
+    while stack:
+        value, path = stack.pop()
+        if isinstance(value, dict):
+            kind = "object"
+            stack += [(v, f"{path}.{k}" if path else k) for k, v in value.items()]
+        elif isinstance(value, list):
+            kind = "array"
+            stack += [(v, f"{path}[]") for v in value]
+        elif value is None:
+            kind = "null"
+        elif isinstance(value, bool):
+            kind = "boolean"
+        elif isinstance(value, int):
+            kind = "int" if -(1 << 31) <= value < 1 << 31 else "bigint" if -(1 << 63) <= value < 1 << 63 else "double"
+        else:
+            kind = "double" if isinstance(value, float) else "string"
+        if path:
+            found.add((path, kind))
+
+
+def observed_paths(df: DataFrame, column: str, source: Column, table: Column, most: int = 100_000) -> DataFrame:
+    """Every path inside a JSON column, at any depth, with its kinds and the number of rows that have each.
+
+    Tasks count the paths of their rows and hand on counts, not values; a task that holds ``most`` of them hands them on
+    early, which changes no sum. Text that is no JSON object, or repeats a key, contributes nothing. Numbers are ``int``,
+    ``bigint`` or ``double`` by the width they need.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple] = Counter()
+
+        def out() -> pa.RecordBatch:
+            rows = [[*key, n] for key, n in counts.items()]
+            columns = [pa.array(list(x), pa.int64() if k == 4 else pa.string()) for k, x in enumerate(zip(*rows, strict=True))]
+            return pa.RecordBatch.from_arrays(columns, names=[*SCHEMA_KEYS, "kind", "rows"])
+
+        for batch in batches:
+            for origin, name, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                try:
+                    value = json.loads(text or "null", object_pairs_hook=_object, parse_constant=_reject)
+                except (ValueError, RecursionError):
+                    continue
+                if isinstance(value, dict):
+                    found: set[tuple[str, str]] = set()
+                    _walk(value, "", found)
+                    counts.update((origin, name, path, kind) for path, kind in found)
+            if len(counts) >= most:
+                yield out()
+                counts.clear()
+        if counts:
+            yield out()
+
+    texts = df.select(source.alias("source"), table.alias("table_name"), F.col(quoted(column)).alias("text"))
+    partial = texts.mapInArrow(run, "source string, table_name string, column_name string, kind string, rows bigint")
+    return partial.groupBy(*SCHEMA_KEYS, "kind").agg(F.sum("rows").alias("rows"))
+
+
+def paths_as_schema(paths: DataFrame) -> DataFrame:
+    """One type per path: the least one that holds all kinds seen there.
+
+    null < anything; int < bigint < double. Kinds that have no common type are told side by side, joined by a bar. The
+    kinds of a path are eight at most, and taking the least type of parts first gives the same.
+    """
+    numbers = F.array(F.lit("double"), F.lit("bigint"), F.lit("int"))
+    kinds = F.col("_kinds")
+    widest = F.filter(numbers, lambda k: F.array_contains(kinds, k))
+    rest = F.array_except(kinds, F.concat(numbers, F.array(F.lit("null"))))
+    types = F.array_sort(F.concat(rest, F.slice(widest, 1, 1)))
+    merged = F.when(F.size(types) == 0, "null").otherwise(F.array_join(types, "|"))
+    return paths.groupBy(*SCHEMA_KEYS).agg(F.collect_set("kind").alias("_kinds")).select(*SCHEMA_KEYS, merged.alias("column_type"))
+
+
 def keys_as_schema(keys: DataFrame) -> DataFrame:
     """One type per key: the types seen, in order, joined by a bar (there are six at most)."""
     return keys.groupBy(*SCHEMA_KEYS).agg(F.array_join(F.array_sort(F.collect_set("column_type")), "|").alias("column_type"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions.names import INTERNAL_PREFIXES, NUMERIC, TEXT, first_line, quoted, user_columns, user_tables
 from millrace.operators.monitor import moment
+from millrace.session import materialize
 
 # Fixed value: sample values stored per column.
 SAMPLE_SIZE = 5
@@ -206,15 +207,16 @@ def profile_stats(profile: DataFrame, now: datetime | Column, samples: DataFrame
 def profile_many(tables: Mapping[str, DataFrame], source: str, prefixes: Sequence[str] = INTERNAL_PREFIXES) -> tuple[DataFrame | None, dict[str, str]]:
     """Profiles of all user tables of a source and of its ``stg_{source}__`` tables.
 
-    Returns the union and, per table that cannot be analysed, the reason.
+    Returns the union and the reason for every table that cannot be profiled. Each profile is written when it is made,
+    a row for each column, so that a table which fails at run time fails alone.
     """
     parts, errors = [], {}
     for name in user_tables(sorted(tables), prefixes):
         if name.startswith("stg_") and not name.startswith(f"stg_{source}__"):
             continue
         try:
-            parts.append(profile_table(tables[name], source, name, prefixes=prefixes))
-        except (AnalysisException, ValueError) as error:
+            parts.append(materialize(profile_table(tables[name], source, name, prefixes=prefixes), "profile"))
+        except (PySparkException, ValueError) as error:
             errors[name] = first_line(error)
     out = None
     for part in parts:

@@ -91,6 +91,68 @@ def _drift_events(t: Tables) -> DataFrame:
     return drift.drift_events(*both_schemas(t))
 
 
+def nested(t: Tables) -> DataFrame:
+    """Properties three levels deep whose types widen, break and appear in the second half of a month."""
+    kind, late = F.col("event_type"), F.dayofmonth("ts") > 15
+    user = F.col("user_id")
+    level = (
+        F.when(late & (kind == "click"), F.concat(user % 10, F.lit(".5")))
+        .when(late & (kind == "view"), (user + 3_000_000_000).cast("string"))
+        .otherwise((user % 10).cast("string"))
+    )
+    amount = F.when(late & (kind == "purchase"), F.lit('"two"')).otherwise((user % 5).cast("string"))
+    note = F.when(late & (kind == "error"), F.lit('"text"')).when(kind == "view", F.lit("true")).otherwise(F.lit("null"))
+    more = F.when(late & (kind == "error"), F.lit(', "trace": {"at": [[1, 2.5], [null]]}')).otherwise(F.lit(""))
+    text = F.concat(
+        F.lit('{"user": {"plan": {"level": '), level, F.lit("}"), more, F.lit('}, "items": [{"sku": "a", "qty": '), amount,
+        F.lit('}, {"sku": "b"}], "note": '), note, F.lit("}"),
+    )
+    return t.events.select(kind.alias("table_name"), late.alias("late"), text.alias("props"))
+
+
+PATHS = """
+halves AS (SELECT event_type AS table_name, day(ts) > 15 AS late, count(*) AS rows FROM events GROUP BY ALL),
+paths AS (
+  SELECT table_name, late, unnest(['user', 'user.plan', 'items', 'items[]', 'items[].sku']) AS column_name,
+         unnest(['object', 'object', 'array', 'object', 'string']) AS column_type, rows FROM halves
+  UNION ALL SELECT table_name, late, 'user.plan.level', CASE WHEN late AND table_name = 'click' THEN 'double' WHEN late AND table_name = 'view' THEN 'bigint' ELSE 'int' END, rows FROM halves
+  UNION ALL SELECT table_name, late, 'items[].qty', CASE WHEN late AND table_name = 'purchase' THEN 'string' ELSE 'int' END, rows FROM halves
+  UNION ALL SELECT table_name, late, 'note', CASE WHEN late AND table_name = 'error' THEN 'string' WHEN table_name = 'view' THEN 'boolean' ELSE 'null' END, rows FROM halves
+  UNION ALL SELECT table_name, late, unnest(['user.trace', 'user.trace.at', 'user.trace.at[]', 'user.trace.at[][]', 'user.trace.at[][]', 'user.trace.at[][]']),
+         unnest(['object', 'array', 'array', 'int', 'double', 'null']), rows FROM halves WHERE late AND table_name = 'error'),
+-- one type a path; the kinds above meet in one path only below the list of lists
+typed AS (SELECT table_name, late, column_name, CASE WHEN count(*) > 1 THEN 'double' ELSE any_value(column_type) END AS column_type FROM paths GROUP BY ALL)
+"""
+
+
+def paths(rows: DataFrame) -> DataFrame:
+    return drift.observed_paths(rows, "props", F.lit("app"), F.col("table_name"))
+
+
+@query("observed_paths", f"WITH {PATHS} SELECT 'app' AS source, table_name, column_name, column_type AS kind, sum(rows)::BIGINT AS rows FROM paths GROUP BY ALL")
+def _observed_paths(t: Tables) -> DataFrame:
+    return paths(nested(t))
+
+
+@query(
+    "nested_drift",
+    f"""
+WITH {PATHS}, old AS (SELECT * FROM typed WHERE NOT late), new AS (SELECT * FROM typed WHERE late)
+SELECT 'app' AS source, coalesce(o.table_name, n.table_name) AS table_name, coalesce(o.column_name, n.column_name) AS column_name,
+       CASE WHEN o.column_name IS NULL THEN 'column_added' WHEN n.column_name IS NULL THEN 'column_removed' ELSE 'type_changed' END AS event_type,
+       CASE WHEN o.column_name IS NULL THEN 'additive' ELSE 'breaking' END AS severity,
+       CASE WHEN o.column_name IS NULL THEN 'type=' || n.column_type WHEN n.column_name IS NULL THEN 'was=' || o.column_type
+            ELSE o.column_type || ' -> ' || n.column_type END AS detail
+FROM old o FULL JOIN new n ON o.table_name = n.table_name AND o.column_name = n.column_name
+WHERE o.column_type IS DISTINCT FROM n.column_type
+""",
+)
+def _nested_drift(t: Tables) -> DataFrame:
+    rows = nested(t)
+    old, new = (drift.paths_as_schema(paths(rows.where(part))) for part in ("NOT late", "late"))
+    return drift.drift_events(old, new)
+
+
 @query(
     "drift_apply",
     f"""

@@ -151,6 +151,15 @@ class FileLoader:
         rows = self.spark.read.schema(stored).parquet(f"{self.path}/rows")
         return rows.join(loaded, "_src_key", "left_semi").drop("_src_key")
 
+    def rows_of(self, outcome: DataFrame) -> DataFrame:
+        """The rows of the units that a load brought (its outcome); no other unit is read."""
+        loaded = outcome.where(F.col("state").isin("new", "updated") & (F.col("rows_loaded") > 0))
+        stored = T.StructType([*self.schema.fields, *_PROVENANCE])
+        parts = [r["k"] for r in loaded.select(F.md5("file_path").alias("k")).collect()]  # as many as the load has read
+        if not parts:
+            return self.spark.createDataFrame([], stored)
+        return self.spark.read.schema(stored).parquet(*[f"{self.path}/rows/_src_key={k}" for k in parts])
+
     def sync(self, now: datetime | Column, listing: DataFrame | None = None, evolve: bool = False) -> DataFrame:
         """Bring the table to the state of the files; returns the outcome per unit.
 

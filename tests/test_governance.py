@@ -247,3 +247,31 @@ def test_log_skips_broken_lines(spark):
 def test_latest_keeps_ties(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z")], "k string, t int, v string")
     assert tuples(joins.join_inner_latest(df, ["k"], "t"), "v") == [("y",), ("z",)]
+
+
+def paths_of(spark, *texts):
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    found = drift.observed_paths(df, "j", F.lit("s"), F.lit("t"), most=1)
+    types = {r["column_name"]: r["column_type"] for r in drift.paths_as_schema(found).collect()}
+    return types, {(r["column_name"], r["kind"]): r["rows"] for r in found.collect()}
+
+
+def test_paths_at_any_depth_widen(spark):
+    types, rows = paths_of(
+        spark,
+        '{"a": {"b": {"c": 1, "d": null}}, "l": [1, [true]]}',
+        '{"a": {"b": {"c": 3000000000, "d": {}}}, "l": []}',
+        '{"a": {"b": {"c": null}}, "l": ["x"], "w": 99999999999999999999}',
+        '{"a": 5}',
+    )
+    assert types == {
+        "a": "int|object", "a.b": "object", "a.b.c": "bigint", "a.b.d": "object",
+        "l": "array", "l[]": "array|int|string", "l[][]": "boolean", "w": "double",
+    }
+    assert rows["a.b.c", "int"] == 1 and rows["l", "array"] == 3 and rows["a.b.c", "null"] == 1
+
+
+def test_paths_of_text_that_is_no_object(spark):
+    deep = '{"a":' * 3000 + "1" + "}" * 3000
+    assert paths_of(spark, None, "", "word", "[1]", "3", '{"a": 1, "a": 2}', '{"a": NaN}', "{", '{"n": null}')[0] == {"n": "null"}
+    assert len(paths_of(spark, deep, '{"b": 1}')[0]) in (1, 3001)
