@@ -48,6 +48,16 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def shield(df: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with names of our own for all columns but ``own``, and the columns that give the old names back.
+
+    So a stage that passes rows on can add helper columns, whatever the columns of its input are called.
+    """
+    names = {c: c if c in own else f"kept_{k}" for k, c in enumerate(df.columns)}
+    inner = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return inner, [F.col(f"`{n}`").alias(c) for c, n in names.items()]
+
+
 def _lower_table() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     for byte in range(128):

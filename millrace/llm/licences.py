@@ -12,11 +12,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lines that only name the holder.
 NOTICE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
 
-#: Lines of copyright in any form that stand in front of a licence, behind one line of title at most; text in lower case.
-FRONT = (
-    r"\A((?:[^a-z0-9\n]*\n)*(?:(?![^a-z0-9\n]*copyright)[^\n]{0,80}\n(?:[^a-z0-9\n]*\n)*)?)"
-    r"(?:[^a-z0-9\n]*copyright[ \t][^\n]*\n(?:[^a-z0-9\n]*\n)*)+"
-)
+#: Kinds of lines in lower case, a letter each: without letters or digits, of copyright in any form, a possible title.
+BLANK_LINE, HOLDER_LINE, TITLE_LINE, OTHER_LINE = "bcto"
+NO_WORD = r"^[^a-z0-9]*$"
+HOLDER = r"^[^a-z0-9]*copyright[ \t]"
+COPYRIGHT = r"^[^a-z0-9]*copyright"
+LONGEST_TITLE = 80
+
+#: Over the kinds of a text's lines: what stays (one line of title at most), then the lines of copyright that go. No group
+#: is repeated, since the matcher would descend a level for each turn.
+FRONT = "^(b*(?:tb*)?)(c[cb]*)"
 
 #: What is no letter and no digit; beyond ASCII only the quotes and dashes that ``TYPOGRAPHIC`` names count as such.
 PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
@@ -237,10 +242,24 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def lookup_digest(text: Column) -> Column:
+def line_kinds(lines: Column) -> Column:
+    """The kinds of lines as one text, a letter for each; the last one has no end and is never a line of copyright."""
+
+    def kind(line: Column) -> Column:
+        title = (F.char_length(line) <= LONGEST_TITLE) & ~line.rlike(COPYRIGHT)
+        own = F.when(line.rlike(NO_WORD), BLANK_LINE).when(line.rlike(HOLDER), HOLDER_LINE)
+        return own.when(title, TITLE_LINE).otherwise(OTHER_LINE)
+
+    ended = F.slice(lines, F.lit(1), F.size(lines) - 1)
+    return F.concat(F.array_join(F.transform(ended, kind), ""), F.lit(OTHER_LINE))
+
+
+def lookup_digest(lines: Column, kinds: Column) -> Column:
     """The digest without the lines of copyright in front, null if there are none."""
-    lower = F.translate(text, UPPER, LOWER)
-    return F.when(lower.rlike(FRONT), digest(F.regexp_replace(lower, FRONT, "$1")))
+    stays = F.char_length(F.regexp_extract(kinds, FRONT, 1))
+    goes = F.char_length(F.regexp_extract(kinds, FRONT, 2))
+    rest = F.slice(lines, stays + goes + 1, F.size(lines))
+    return F.when(goes > 0, digest(F.array_join(F.concat(F.slice(lines, F.lit(1), stays), rest), "\n")))
 
 
 def known_digests(
@@ -265,8 +284,12 @@ def find_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
     ``known`` holds it. Repeated rows come back repeated.
     """
     named = known.select(F.col("digest").alias("__digest"), "licence")
-    text = F.col("text")
-    out = pick(docs, "doc_id", "text").select("doc_id", digest(text).alias("digest"), lookup_digest(text).alias("__lookup"))
+    lower = F.translate("text", UPPER, LOWER)
+    # only texts that name a copyright are cut into lines
+    lines = F.when(F.contains(lower, F.lit("copyright")), F.split(lower, "\n", -1))
+    out = pick(docs, "doc_id", "text").select("doc_id", digest(F.col("text")).alias("digest"), lines.alias("__lines"))
+    out = out.withColumn("__kinds", line_kinds(F.col("__lines")))
+    out = out.withColumn("__lookup", lookup_digest(F.col("__lines"), F.col("__kinds")))
     return out.join(named, F.coalesce("__lookup", "digest") == F.col("__digest"), "left").select("doc_id", "digest", "licence")
 
 
@@ -282,11 +305,23 @@ def _sql() -> str:
             out = f"replace({out}, {quote(ours)}, {quote(theirs)})"
         return f"sha256(trim({out}))"
 
-    rows = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in KNOWN)
+    texts = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in KNOWN)
+    whole = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in WHOLE)
+    kind = (
+        f"CASE WHEN regexp_matches(x, {quote(NO_WORD)}) THEN 'b' WHEN regexp_matches(x, {quote(HOLDER)}) THEN 'c' "
+        f"WHEN length(x) <= {LONGEST_TITLE} AND NOT regexp_matches(x, {quote(COPYRIGHT)}) THEN 't' ELSE 'o' END"
+    )
     return f"""
-WITH known AS (SELECT {form('body')} AS digest, min(licence) AS licence FROM (VALUES {rows}) AS t(licence, body) GROUP BY 1),
-scanned AS (SELECT doc_id, {form('text')} AS digest FROM documents)
-SELECT s.doc_id, s.digest, k.licence FROM scanned s LEFT JOIN known k ON s.digest = k.digest
+WITH known AS (
+  SELECT digest, min(licence) AS licence FROM (
+    SELECT {form('body')} AS digest, licence FROM (VALUES {texts}) AS t(licence, body)
+    UNION ALL SELECT digest, licence FROM (VALUES {whole}) AS t(licence, digest)) GROUP BY 1),
+split AS (SELECT doc_id, text, string_split(translate(text, {quote(UPPER)}, {quote(LOWER)}), chr(10)) AS lines FROM documents),
+kinds AS (SELECT *, array_to_string(list_transform(lines[:-2], lambda x: {kind}), '') || 'o' AS kinds FROM split),
+front AS (SELECT *, regexp_extract(kinds, {quote(FRONT)}, 1) AS stays, regexp_extract(kinds, {quote(FRONT)}, 2) AS goes FROM kinds),
+cut AS (SELECT *, CASE WHEN goes <> '' THEN array_to_string(list_concat(lines[:length(stays)], lines[length(stays) + length(goes) + 1:]), chr(10)) END AS rest FROM front),
+scanned AS (SELECT doc_id, {form('text')} AS digest, CASE WHEN goes <> '' THEN {form('rest')} END AS lookup FROM cut)
+SELECT s.doc_id, s.digest, k.licence FROM scanned s LEFT JOIN known k ON coalesce(s.lookup, s.digest) = k.digest
 """
 
 

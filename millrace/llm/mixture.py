@@ -132,15 +132,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """The rows of ``docs`` that are in the mix, with their columns and ``copies``, ``target`` and ``taken`` behind them.
+    """The rows of ``docs`` that are in the mix, with all their columns, and behind them ``copies``, ``size``,
+    ``source_size``, ``target`` and ``taken``; one of these whose name ``docs`` has already gets an underscore behind it.
 
-    Decided as in ``mix``. A column of ``docs`` that has one of these names is left out.
+    Decided as in ``mix``.
     """
     rows = _rows(docs, None)
     sizes = materialize(rows.select("source", "size", "tie", "preference"), "sizes")
     out = take(rows, plan(sizes, weights, most)).where("copies > 0")
-    added = ["copies", "size", "source_size", "target", "taken"]
-    return out.select(*[F.col(f"doc.`{c}`") for c in docs.columns if c not in added], *added)
+    added = {}
+    for name in ("copies", "size", "source_size", "target", "taken"):
+        free = name
+        while free.lower() in {c.lower() for c in docs.columns}:
+            free += "_"
+        added[name] = free
+    return out.select(*[F.col(f"doc.`{c}`") for c in docs.columns], *[F.col(c).alias(free) for c, free in added.items()])
 
 
 SQL = r"""

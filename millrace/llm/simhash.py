@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pick, slices, words
+from millrace.llm.common import pick, shield, slices, words
 from millrace.llm.components import connected_components
 from millrace.session import materialize
 
@@ -103,29 +103,54 @@ def variants(fps: DataFrame, radius: int, blocks: int = 3) -> DataFrame:
     return spread.select(F.col("fp").bitwiseOR(F.col("p.d")).bitwiseXOR(F.col("p.x")).alias("key"), "fp")
 
 
-def meet(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+#: Fingerprints under one key from which they are split by further bits before they are compared.
+LARGE = 256
+
+
+def meet(keys: np.ndarray, fps: np.ndarray, radius: int, large: int = LARGE) -> tuple[np.ndarray, np.ndarray]:
     """Edges (fingerprint, smallest one connected with it) among those with equal keys, which stand together.
 
-    Rows are compared with the one d places on, for d = 1, 2, ... as far as equal keys reach, so memory is linear.
+    A large group is split first: of ``radius + 1`` bands of the bits in which its members differ, two that are linked
+    share one at least, so only those that share a band are compared. Memory is linear.
     """
     n = len(keys)
     root = np.arange(n)
     bits = fps.view(np.uint64)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, n))
+    small = np.flatnonzero(np.repeat(sizes <= large, sizes))
+    _compare(root, small, keys[small], bits, radius)
+    for start, size in zip(first[sizes > large].tolist(), sizes[sizes > large].tolist(), strict=True):
+        here = np.arange(start, start + size)
+        differ = int(np.bitwise_or.reduce(bits[here] ^ bits[start]))
+        places = [k for k in range(64) if differ >> k & 1]
+        for band in range(radius + 1):
+            mask = np.uint64(sum(1 << k for k in places[band :: radius + 1]))
+            value = bits[here] & mask
+            order = np.argsort(value, kind="stable")
+            _compare(root, here[order], value[order], bits, radius)
+    linked = np.flatnonzero(root != np.arange(n))
+    return fps[linked], fps[root[linked]]
+
+
+def _compare(root: np.ndarray, rows: np.ndarray, labels: np.ndarray, bits: np.ndarray, radius: int) -> None:
+    """Connect rows with equal labels, which stand together: each is compared with the one d places on, d = 1, 2, ..."""
+    n = len(rows)
     at, d = np.arange(n), 1
     while True:
         at = at[at + d < n]
-        at = at[keys[at] == keys[at + d]]
+        at = at[labels[at] == labels[at + d]]
         if not len(at):
             break
-        near = at[np.bitwise_count(bits[at] ^ bits[at + d]) <= radius]
-        for i in near[root[near] != root[near + d]].tolist():
-            low, high = sorted((_find(root, i), _find(root, i + d)))
+        near = at[np.bitwise_count(bits[rows[at]] ^ bits[rows[at + d]]) <= radius]
+        a, b = rows[near], rows[near + d]
+        apart = root[a] != root[b]
+        for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            low, high = sorted((_find(root, i), _find(root, j)))
             root[high] = low
-        while not np.array_equal(root[root], root):
-            root = root[root]
+        while apart.any() and not np.array_equal(root[root], root):
+            root[:] = root[root]
         d += 1
-    linked = np.flatnonzero(root != np.arange(n))
-    return fps[linked], fps[root[linked]]
 
 
 def _find(root: np.ndarray, i: int) -> int:
@@ -194,10 +219,11 @@ def keep_first(docs: DataFrame, length: int = 3, radius: int = 3, blocks: int =
 
     Rows that repeat that id are copies of it, and one of them stays. A component without ids keeps one row.
     """
-    _, found = classes(docs, length, radius, blocks)
+    inner, back = shield(docs, "doc_id", "text")
+    _, found = classes(inner, length, radius, blocks)
     first = found.where("component_id is not null").select(F.col("component_id").alias("__keep")).distinct()
-    named = docs.join(first, docs["doc_id"] == first["__keep"], "left_semi").dropDuplicates(["doc_id"])
-    unnamed = fingerprints(docs.where("doc_id is null"), length, tuple(docs.columns))
+    named = inner.join(first, inner["doc_id"] == first["__keep"], "left_semi").dropDuplicates(["doc_id"])
+    unnamed = fingerprints(inner.where("doc_id is null"), length, tuple(inner.columns))
     nameless = found.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
-    unnamed = unnamed.join(nameless, "__fp").dropDuplicates(["__root"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return named.unionByName(unnamed)
+    unnamed = unnamed.join(nameless, "__fp").dropDuplicates(["__root"]).select(*inner.columns)
+    return named.unionByName(unnamed).select(*back)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ByteWords, byte_words, pick, slices
+from millrace.llm.common import ByteWords, byte_words, pick, shield, slices
 
 #: Kinds of feature: the word, its first 4 and 5 bytes, its last 4, the word before and the word after.
 KINDS = 6
@@ -231,20 +231,19 @@ def fit(
     labels: DataFrame,
     where: Column | None = None,
     sample_docs: int = 1000,
-    longest: int = 20_000,
     window: int = 120,
     odds: float = 4.0,
 ) -> Model:
-    """Learn from at most ``sample_docs`` labelled documents of each class with at most ``longest`` characters.
+    """Learn from at most ``sample_docs`` labelled documents of each class, of any length.
 
-    These two parameters bound the sample, which the driver holds; its documents are those with the lowest hash of
+    This bounds the sample, which the driver holds; its documents are those with the lowest hash of
     ``doc_id`` among those that are labelled and pass ``where``. Several labels of a document count as toxic if one is. A
     word is marked in toxic documents if the logarithm of the ratio of the shares of toxic and clean documents that have
     it, or its first four or five letters, is at least ``odds``, and one in fifty toxic ones have it; of near copies one
     counts. The field learns from ``window`` words around a mark, or from the middle of a text
     without one. Without toxic or without clean documents the model finds nothing.
     """
-    rows = pick(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") <= longest))
+    rows = pick(docs, "doc_id", "text").where("doc_id is not null and text is not null")
     if where is not None:
         rows = rows.where(where)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -349,5 +348,5 @@ def tag(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> D
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below ``limit``, with all their columns."""
-    out = tag(docs, model, tuple(docs.columns))
-    return out.where(F.col("__score") < limit).select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner, back = shield(docs, "text")
+    return tag(inner, model, tuple(inner.columns)).where(F.col("__score") < limit).select(*back)

@@ -122,26 +122,38 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, file_bytes:
     text.write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(folder)
 
 
-def _inflate(data: memoryview, start: int) -> tuple[bytes, int] | None:
-    """The content of the gzip member at ``start`` and where it ends; None if it is damaged or cut."""
+def _inflate(data: memoryview, start: int) -> tuple[bytes, int | None]:
+    """The content of the gzip member at ``start`` and where it ends; what comes before the damage and None if it is damaged or cut."""
     unpack = zlib.decompressobj(31)
     out, at, step = [], start, 1 << 14
-    try:
-        while at < len(data) and not unpack.eof:
-            piece = data[at : at + step]
+    while at < len(data) and not unpack.eof:
+        piece = data[at : at + step]
+        try:
             out.append(unpack.decompress(piece))
-            at += len(piece)
-            step = min(step * 2, 1 << 18)
-    except zlib.error:
-        return None
-    return (b"".join(out), at - len(unpack.unused_data)) if unpack.eof else None
+        except zlib.error:
+            out.append(_last_bytes(data, start, at, len(piece)))
+            return b"".join(out), None
+        at += len(piece)
+        step = min(step * 2, 1 << 18)
+    return b"".join(out), at - len(unpack.unused_data) if unpack.eof else None
 
 
-def _parse(data: bytes, start: int, whole: bool) -> tuple[dict, int, str] | None:
-    """The record at ``start``, where it ends, and what is wrong with its content; None if it is no record.
+def _last_bytes(data: memoryview, start: int, at: int, size: int) -> bytes:
+    """What can be inflated of the piece in which the damage is, which zlib loses as a whole: it is fed by single bytes."""
+    unpack = zlib.decompressobj(31)
+    if at > start:
+        unpack.decompress(data[start:at])
+    out = []
+    try:
+        for k in range(at, at + size):
+            out.append(unpack.decompress(data[k : k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
 
-    ``whole``: the record must fill ``data``, as in a member of its own.
-    """
+def _parse(data: bytes, start: int) -> tuple[dict, int, str] | None:
+    """The record at ``start``, where it ends, and what is wrong with its content; None if it is no record."""
     line = data.find(b"\r\n", start, start + 16)
     stop = data.find(END, start)
     if line < 0 or stop < 0 or not data.startswith(b"WARC/1.", start):
@@ -157,7 +169,7 @@ def _parse(data: bytes, start: int, whole: bool) -> tuple[dict, int, str] | None
     if not (length.isascii() and length.isdigit()) or "warc-type" not in fields:
         return None
     first, last = stop + 4, stop + 4 + int(length)
-    if data[last : last + 4] != END or (whole and last + 4 != len(data)):
+    if data[last : last + 4] != END:
         return None
     block = data[first:last]
     found = {"type": fields["warc-type"], "fields": fields, "payload": block, "declared": None}
@@ -178,37 +190,63 @@ def _parse(data: bytes, start: int, whole: bool) -> tuple[dict, int, str] | None
     return found, last + 4, wrong
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
-    """(offset, bytes, record or None, reason) of everything in an archive, in order; None stands for a gap."""
+def _records(data: bytes, members: bool) -> Iterator[tuple[int, int, list[dict], str]]:
+    """(offset, bytes, records, reason) of everything in ``data``, in order; a reason stands for a gap.
+
+    Records that share a member come together. Of a damaged member those before the damage are told with no bytes,
+    since a gap covers it. ``members``: gzip members are looked for, as they are not inside of one.
+    """
     view, n = memoryview(data), len(data)
     at, gap, reason = 0, None, ""
+
+    def closed(stop: int) -> Iterator[tuple[int, int, list[dict], str]]:
+        if gap is not None:
+            yield gap, stop - gap, [], reason
+
     while at < n:
-        found = None
-        if data.startswith(b"\x1f\x8b\x08", at):
-            inflated = _inflate(view, at)
-            parsed = _parse(inflated[0], 0, True) if inflated else None
-            found = (parsed[0], inflated[1], parsed[2]) if parsed else None
-            why = "no record in the member" if inflated else "damaged member"
+        good: list[dict] = []
+        stop, why = None, "no member or version line"
+        if members and data.startswith(b"\x1f\x8b\x08", at):
+            content, stop = _inflate(view, at)
+            parts = list(_records(content, False))
+            good = [r for _, _, found, _ in parts for r in found]
+            wrong = [x for *_, x in parts if x]
+            why = "damaged member" if stop is None else wrong[0] if wrong else "" if good else "no record in the member"
         elif data.startswith(b"WARC/1.", at):
-            found, why = _parse(data, at, False), "damaged record"
-        else:
-            why = "no member or version line"
-        if found and not found[2]:
-            if gap is not None:
-                yield gap, at - gap, None, reason
-                gap = None
-            yield at, found[1] - at, found[0], ""
-            at = found[1]
-            continue
+            parsed = _parse(data, at)
+            why = "damaged record"
+            if parsed:
+                record, stop, why = parsed
+                good = [] if why else [record]
+        if good:
+            yield from closed(at)
+            gap = None
+            if not why:
+                yield at, stop - at, good, ""
+                at = stop
+                continue
+            yield at, 0, good, ""
         if gap is None:
-            gap, reason = at, found[2] if found else why
-        if found:  # a sound record with a wrong payload: what is inside it is no record
-            at = found[1]
+            gap, reason = at, why
+        if stop is not None:  # a sound member or record with something wrong inside: what is in it is no record
+            at = stop
         else:
             following = START.search(data, at + 1)
             at = following.start() if following else n
-    if gap is not None:
-        yield gap, n - gap, None, reason
+    yield from closed(n)
+
+
+def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
+    """(offset, bytes, record or None, reason) of everything in an archive, in order; None stands for a gap.
+
+    The bytes of all rows cover the archive once. Records of one member have its offset, and the first one its bytes; a
+    member is held inflated. Records in front of the damage of a member have no bytes, as the gap has them.
+    """
+    for offset, size, records, reason in _records(data, True):
+        if reason:
+            yield offset, size, None, reason
+        for k, record in enumerate(records):
+            yield offset, 0 if k else size, record, ""
 
 
 RECORDS = (

@@ -61,3 +61,30 @@ def test_lines_of_copyright_in_front(spark, documents):
     lines = ["Copyright Jane Doe\n", "Copyright The Authors\nCopyright Jane Doe\n\n", "# Copyright by A, B\n#\n"]
     rows = [(i, named(line)) for i, line in enumerate(lines)] + [(10, MIT + "\n\nCopyright law is more.\n")]
     assert found(spark, documents(rows)) == {0: "MIT", 1: "MIT", 2: "MIT", 10: None}
+
+
+@pytest.mark.parametrize("line", ["\n", " * \n", "copyright jane doe\n", "Copyright The Authors\n\n", "a title\n"])
+def test_hundreds_of_thousands_of_lines_in_front(spark, documents, line):
+    body = MIT.replace("Copyright (c) <year> <copyright holders>\n", "")
+    rows = [(1, line * 200_000 + "Copyright Jane Doe\n" + MIT), (2, line * 200_000), (3, "MIT License\n" + "copyright x\n" * 200_000 + body)]
+    got = found(spark, documents(rows))
+    named = line.strip().lower()
+    assert got[2] is None
+    if not named.startswith("a title"):
+        assert got[1] == "MIT"
+
+
+def test_sql_finds_what_the_query_finds(spark, documents, tmp_path):
+    import duckdb
+
+    folder = Path("/usr/share/common-licenses")
+    texts = [t for _, t in licences.KNOWN] + [p.read_text() for p in sorted(folder.glob("*")) if p.is_file()]
+    rows = [text for t in texts for text in (t, "Copyright The Authors\n\n" + t, "A title\n\nCopyright Jane Doe\ncopyright x\n" + t, t + "\nmore")]
+    rows += [None, "", "copyright", "copyright \n", "\ncopyright a\n\n", "Copyright a\nx", "x" * 81 + "\nCopyright a\n" + MIT]
+    docs = documents(list(enumerate(rows)), extra=False)
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    theirs = sorted(con.execute(licences.SQL).fetchall())
+    ours = sorted(tuple(r) for r in licences.find_licences(docs, licences.known_digests(spark)).select("doc_id", "digest", "licence").collect())
+    assert ours == theirs and sum(r[2] is not None for r in ours) > len(licences.KNOWN) * 2

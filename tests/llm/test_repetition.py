@@ -95,3 +95,11 @@ def test_periodic_texts(text):
     found = repetition._measure([text], 5)
     n = len(text.split())
     assert found["n_repeat_words"][0] == n and found["longest_repeat"][0] == n - len(set(text.split()))
+
+
+def test_the_covered_fraction_decides_below_the_base_rule(documents):
+    sentence = "this line of nine words is here two times"
+    rest = " ".join(f"w{i}" for i in range(100))
+    row = repetition.quality_rules(documents([(1, f"{sentence}\n{rest}\n{sentence}"), (2, rest)])).orderBy("doc_id").collect()
+    assert not row[0].base_failed and 0.15 < row[0].covered <= 0.2 and not row[0].kept
+    assert row[1].kept

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
 import xxhash
 
 from millrace.llm import queries, simhash
@@ -97,3 +99,35 @@ def test_odd_input(odd):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 4, 6, 7, 8, 9]
     assert simhash.keep_first(full).columns == full.columns
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
+
+
+def test_dense_fingerprints_under_one_key():
+    import time
+
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 1 << 21, 60_000).astype(np.int64))[:32_000]
+    start = time.time()
+    a, b = simhash.meet(np.zeros(len(fps), np.int64), fps, 3)
+    assert time.time() - start < 10  # about one second on a machine of its own
+    assert len(a) > 30_000
+
+
+@pytest.mark.parametrize("large", [0, 3, 1000])
+def test_large_groups_connect_the_same(large):
+    rng = np.random.default_rng(7)
+    fps = np.unique(rng.integers(0, 1 << 12, 150) * 0x10101 + rng.integers(0, 4, 150)).astype(np.int64)
+    keys = np.sort(rng.integers(0, 3, len(fps)))
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    want = np.arange(len(fps))
+    while True:
+        new = np.array([want[near[i] & (keys == keys[i])].min() for i in range(len(fps))])
+        if np.array_equal(new, want):
+            break
+        want = new
+    a, b = simhash.meet(keys, fps, 3, large)
+    got = np.arange(len(fps))
+    at = {int(f): i for i, f in enumerate(fps)}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        i, j = got[at[x]], got[at[y]]
+        got[got == max(i, j)] = min(i, j)
+    assert np.array_equal(got, want)

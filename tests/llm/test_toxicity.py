@@ -101,3 +101,14 @@ def test_no_labels_and_odd_input(spark, odd):
     assert len(rows) == full.count() and all(0 <= r["__score"] <= 1 for r in rows)
     assert len({r["__score"] for r in rows if r.doc_id in (1, 2, 3)}) == 1
     assert toxicity.keep_clean(full, model).columns == full.columns
+
+
+def test_long_labelled_texts_are_learnt_from(spark, documents):
+    def filler(seed):
+        return " ".join(f"plain{(i * i + 31 * seed * i + seed) % 997}" for i in range(3000))
+
+    rows = [(i, filler(i) + (" vileword awfulterm " * 3 if i % 2 else " kind words here ") + filler(i + 500)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    model = toxicity.fit(documents(rows), labels)
+    scores = {r["doc_id"]: r["__score"] for r in toxicity.tag(documents([(100, filler(900) + " vileword awfulterm " * 3), (101, filler(901))]), model).collect()}
+    assert scores[100] >= 0.5 > scores[101]

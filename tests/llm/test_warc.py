@@ -55,7 +55,9 @@ def test_salvage(pack):
     hurt[starts[1] + 12 : starts[1] + 60] = b"\xff" * 48
     assert pieces(bytes(hurt)) == [every[0], (starts[1], len(parts[1]), None), *every[2:]]
     assert pieces(b"junk" + whole) == [(0, 4, None), *[(a + 4, b, c) for a, b, c in every]]
-    assert pieces(whole[:-5]) == [*every[:3], (starts[3], len(parts[3]) - 5, None)]
+    # what is cut off a member is only its checksum: the record is whole
+    before_cut = [(starts[3], 0, "<urn:page:3>")] * (pack is warc.member)
+    assert pieces(whole[:-5]) == [*every[:3], *before_cut, (starts[3], len(parts[3]) - 5, None)]
     assert pieces(whole[: starts[1] + 30] + whole[starts[2] :]) == [
         every[0], (starts[1], 30, None), (starts[1] + 30, len(parts[2]), "<urn:page:2>"), (starts[1] + 30 + len(parts[2]), len(parts[3]), "<urn:page:3>"),
     ]
@@ -87,3 +89,41 @@ def test_random_damage_is_covered_and_sound_records_survive(seed):
 
 def test_nothing_and_only_junk():
     assert pieces(b"") == [] and pieces(b"\x1f\x8b\x08WARC/1.1\r\n") == [(0, 13, None)]
+
+
+def test_all_records_of_one_member():
+    bodies = [f"body {i} ".encode() * 50 for i in range(20)]
+    whole = warc.member(b"".join(sound(i, b) for i, b in enumerate(bodies)))
+    found = list(warc.salvage(whole + warc.member(sound(99))))
+    assert [r["fields"]["warc-record-id"] for _, _, r, _ in found] == [f"<urn:page:{i}>" for i in [*range(20), 99]]
+    assert [r["payload"] for _, _, r, _ in found[:20]] == bodies
+    assert [(start, size) for start, size, _, _ in found] == [(0, len(whole)), *[(0, 0)] * 19, (len(whole), len(found) and len(warc.member(sound(99))))]
+
+
+@pytest.mark.parametrize("cut", [6, 400])
+def test_records_before_the_cut_of_a_member(cut):
+    rng = random.Random(1)
+    member = warc.member(sound(1, b"first " * 30) + sound(2, rng.randbytes(3000)))
+    found = list(warc.salvage(member[:-cut] + warc.member(sound(3))))
+    ids = [r and r["fields"]["warc-record-id"] for _, _, r, _ in found]
+    assert ids == ["<urn:page:1>", *["<urn:page:2>"] * (cut == 6), None, "<urn:page:3>"]
+    assert sum(size for _, size, _, _ in found) == len(member) - cut + len(warc.member(sound(3)))
+    assert found[0][2]["payload"] == b"first " * 30 and found[0][1] == 0
+
+
+def test_records_before_the_damage_of_a_member():
+    rng = random.Random(2)
+    member = bytearray(warc.member(b"".join(sound(i, rng.randbytes(40_000)) for i in range(4))))
+    place = len(member) * 5 // 8
+    member[place : place + 2000] = b"\xff" * 2000
+    ids = [r and r["fields"]["warc-record-id"] for _, _, r, _ in warc.salvage(bytes(member))]
+    assert ids[:2] == ["<urn:page:0>", "<urn:page:1>"] and ids[-1] is None
+
+
+def test_a_damaged_record_inside_a_sound_member():
+    parts = [sound(i, b"text " * 20) for i in range(3)]
+    parts[1] = parts[1].replace(b"text text", b"TEXT text", 1)  # no longer what its digest says
+    member = warc.member(b"".join(parts))
+    found = list(warc.salvage(member))
+    assert [r and r["fields"]["warc-record-id"] for _, _, r, _ in found] == ["<urn:page:0>", "<urn:page:2>", None]
+    assert sum(size for _, size, _, _ in found) == len(member) and "digest" in found[-1][3]
