@@ -18,6 +18,7 @@ stands in an element whose tag, role or class says that it is no content (menus,
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
@@ -59,16 +60,22 @@ OTHER_NAMES = frozenset(
     "pager pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup "
     "social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Words that may stand behind a listed one in a name: they say how a part is laid out, not what it is about.
+LAYOUT = frozenset(
+    "area bar block body box btn button buttons card col column container content cta frame group grid holder icons inner "
+    "item items label layer left link links list main message outer panel right row section slot strip tab text title top "
+    "unit wrap wrapper zone".split()
+)
 ARTICLE_TAGS = frozenset(("article", "main"))
 #: Elements that hold the page; their names speak of the layout.
 PAGE_TAGS = ARTICLE_TAGS | {"html", "body"}
 #: First words of names that say what a page has, not what an element is.
 STATES = frozenset("has have with without no not is js show hide hidden".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?/][^>]*>",
-    re.DOTALL,
-)
+#: What may begin a token, and what matters inside a tag: its end, or a quoted value.
+OPEN = re.compile(r"<(?=[a-zA-Z!?/])")
+INSIDE = re.compile(r">|=\s*([\"'])")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"(?i)(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[^\W\d_]+")
 
@@ -102,9 +109,13 @@ class Block:
     def named(self) -> bool:
         """Whether an element around it has a name that says that it is no content; known when the page has been read."""
         mark = self.element.mark
-        while mark and not mark.named:
-            mark = mark.outer
-        return mark is not None
+        while mark and not mark.named and mark.outer:
+            # marks that were cleared are passed over once: the next block starts behind them
+            if not mark.outer.named and mark.outer.outer:
+                mark.outer = mark.outer.outer
+            else:
+                mark = mark.outer
+        return mark is not None and mark.named
 
 
 def _attributes(rest: str) -> tuple[str, bool, str]:
@@ -130,12 +141,16 @@ def _is_other(tag: str, names: str, in_article: bool) -> bool:
 
 
 def _is_named(names: str, in_article: bool) -> bool:
-    """Whether a class or id is a listed name, or begins or ends with one: ``cookie-notice``, ``main-sidebar``."""
+    """Whether a class or id ends with a listed name, or has only words of the layout behind one: ``cookie-notice``, ``ad-slot``.
+
+    ``share-price`` or ``notice-of-appeal`` name what a text is about; the tree alone decides on these.
+    """
+    listed = OTHER_NAMES if in_article else OTHER_NAMES | {"header"}
     for name in names.split():
         words = NAME.findall(name)
         if not words or words[0] in STATES or name.startswith("role="):
             continue
-        if words[0] in OTHER_NAMES or words[-1] in OTHER_NAMES or (not in_article and "header" in (words[0], words[-1])):
+        if words[-1] in listed or (words[0] in listed and all(w in LAYOUT or w in listed for w in words[1:])):
             return True
     return False
 
@@ -144,9 +159,54 @@ def _hash(value: str) -> int:
     return int.from_bytes(blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+class Reader:
+    """Tokens of a page. Every character is looked at a bounded number of times, whatever is not closed: a search that
+    finds nothing is not made again."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.absent: set[str] = set()
+
+    def find(self, text: str, at: int) -> int:
+        """The next place of ``text`` from ``at``, or -1; ``at`` never goes back for the same text."""
+        if text in self.absent:
+            return -1
+        found = self.html.find(text, at)
+        if found < 0:
+            self.absent.add(text)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose inside is at ``at`` ends, behind quoted values; -1 if the page ends in it."""
+        while True:
+            token = INSIDE.search(self.html, at)
+            if token is None:
+                return -1
+            if token[1] is None:
+                return token.start()
+            close = self.find(token[1], token.end())
+            at = token.end() if close < 0 else close + 1  # a quote that nothing closes is a character
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Behind the end tag of an element whose content is no markup, or -1."""
+        if f"</{tag}" in self.absent:
+            return -1
+        end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(self.html, at)
+        stop = self.find(">", end.end()) if end else -1
+        if stop < 0:
+            self.absent.add(f"</{tag}")
+        return stop + 1 if stop >= 0 else -1
+
+
 def parse(html: str) -> tuple[list[Block], list[tuple[int, tuple[str, ...]]]]:
-    """The blocks of a page in order, and the presentation of each element as (node, tags of its children)."""
+    """The blocks of a page in order, and the presentation of each element as (node, tags of its children).
+
+    A tag, comment or declaration that the page ends in is markup, not text.
+    """
+    reader = Reader(html)
     stack = [Element("", 0, False, False)]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag in the stack
+    holders = [0]
     blocks: list[Block] = []
     styles: list[tuple[int, tuple[str, ...]]] = []
     pieces: list[str] = []
@@ -161,35 +221,52 @@ def parse(html: str) -> tuple[list[Block], list[tuple[int, tuple[str, ...]]]]:
     def close(count: int) -> None:
         for _ in range(count):
             done = stack.pop()
+            places[done.tag].pop()
+            if done.tag in HOLDS:
+                holders.pop()
             styles.append((done.node, tuple(done.children)))
 
     at, n = 0, len(html)
     while at < n:
-        token = TOKEN.search(html, at)
+        token = OPEN.search(html, at)
         if not token:
             pieces.append(html[at:])
             break
         if token.start() > at:
             pieces.append(html[at : token.start()])
         at = token.end()
-        if token[2] is None:
-            if token[0].startswith("<![CDATA["):
-                pieces.append(token[0][9:].removesuffix("]]>"))
+        first = html[at]
+        if first in "!?/" and not (first == "/" and html[at + 1 : at + 2].isalpha()):
+            if html.startswith("![CDATA[", at):
+                stop = reader.find("]]>", at)
+                pieces.append(html[at + 8 : stop if stop >= 0 else n])
+                at = stop + 3 if stop >= 0 else n
+            else:
+                ending = "-->" if html.startswith("!--", at) else ">"
+                stop = reader.find(ending, at)
+                at = stop + len(ending) if stop >= 0 else n
             continue
-        tag = token[2].lower()
-        if token[1]:
+        name = TAG_NAME.match(html, at + (first == "/"))
+        if name is None:  # a letter beyond ASCII behind the slash
+            stop = reader.find(">", at)
+            at = stop + 1 if stop >= 0 else n
+            continue
+        tag = name[0].lower()
+        stop = reader.tag_end(name.end())
+        if stop < 0:
+            break
+        rest, at = html[name.end() : stop], stop + 1
+        if first == "/":
             if tag in BLOCK:
                 flush()
-                for up in range(len(stack) - 1, 0, -1):
-                    if stack[up].tag == tag:
-                        close(len(stack) - up)
-                        break
+                if places[tag]:
+                    close(len(stack) - places[tag][-1])
             continue
         if tag in RAW:
-            if not (tag in ("svg", "math") and token[3].endswith("/")):
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
+            if not (tag in ("svg", "math") and rest.endswith("/")):
+                end = reader.raw_end(tag, at)
                 # without an end, code goes on to the end of the page, other elements are passed over
-                at = end.end() if end else n if tag in ("script", "style") else at
+                at = end if end >= 0 else n if tag in ("script", "style") else at
             continue
         if tag == "br":
             pieces.append(" ")
@@ -200,23 +277,23 @@ def parse(html: str) -> tuple[list[Block], list[tuple[int, tuple[str, ...]]]]:
             continue
         if stack[-1].tag == "p":  # any block closes an open paragraph
             close(1)
-        for up in range(len(stack) - 1, 0, -1):
-            if stack[up].tag in CLOSES.get(tag, ()):
-                close(len(stack) - up)
-                break
-            if stack[up].tag in HOLDS:
-                break
+        ends = max((places[t][-1] for t in CLOSES.get(tag, ()) if places[t]), default=0)
+        if ends > holders[-1]:
+            close(len(stack) - ends)
         parent = stack[-1]
-        kind, hidden, names = _attributes(token[3]) if token[3] else ("", False, "")
+        kind, hidden, names = _attributes(rest) if rest else ("", False, "")
         own = tag in ARTICLE_TAGS or "role=main" in names or "role=article" in names
         article = parent.article or own
         other = parent.other or hidden or _is_other(tag, names, parent.article)
         if own and not other and (not found or tag == "main" or "role=main" in names):  # later articles may be comments or teasers
             found, mark = True, parent.mark
-            while mark:
+            while mark and mark.named:  # what holds a marked element that is cleared has been cleared with it
                 mark.named, mark = False, mark.outer
         node = _hash(f"{parent.node}>{tag}.{kind}")
         parent.children.append(tag)
+        places[tag].append(len(stack))
+        if tag in HOLDS:
+            holders.append(len(stack))
         stack.append(Element(tag, node, other, article, parent, mark=parent.mark))
         if names and not own and tag not in PAGE_TAGS and _is_named(names, parent.article):
             top = stack[-1]

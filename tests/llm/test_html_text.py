@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 from html import unescape
 
 import pytest
@@ -29,7 +30,14 @@ def plain(html):
         ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"),
         ("<p title='a > b'>x</p><a href=\"y>z\">w</a>", "x w"),
         ("a < b and c > d", "a < b and c > d"),
-        ("<p>cut off <b>here <i", "cut off here <i"),
+        ("<p>cut off <b>here <i", "cut off here"),
+        ("<p>x</p><a href='y", "x"),
+        ("<p>x <!-- open <p>no</p>", "x"),
+        ("<p>x</p><!DOCTYPE y", "x"),
+        ('<p class="a>x</p><p>y</p>', "x y"),
+        ("<p>x</é>y<![CDATA[z]]>", "xyz"),
+        ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", "a b c d"),
+        ("<textarea>t<p>x", "t x"),
         ("", ""),
         ("<p>" * 3000 + "deep", "deep"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
@@ -124,3 +132,29 @@ def test_text_on_all_pages_goes_from_articles_too(spark, tag):
     rows = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, PAGE)).collect()}
     want = {i: " ".join([f"Title {i}", *(f"story {i} part {k} of a longer text" for k in range(2 + i % 5))]) for i in range(40)}
     assert rows == want | {100 + i: "Copy Everywhere the same long text Made by us" for i in range(40)}
+
+
+MB = 1 << 20
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<a ", '<a b="', "<a b='", "<blockquote>", "<!", "<!--", "</x ", "<svg>", "<script ", "<textarea></textarea ", "<p>", "<div></p>", "<b>",
+     "<ul><blockquote><li></li>", "<li><blockquote>", "<div class=ad>", '<div class="ad"><p>x</p>', "<div class=ad><main>x", "<article><div class=ad>x", "< ", "<=\"", "<a =  "],
+)
+def test_a_megabyte_of_broken_markup_takes_seconds(unit):
+    start = time.time()
+    plain("<p>x</p>" + unit * (MB // len(unit)))
+    assert time.time() - start < 30  # seconds on a machine of its own
+
+
+def test_names_of_topics_are_left_to_the_tree(spark):
+    names = ("share-price", "reply-letter", "notice-of-appeal", "related-work", "social-proof-study")
+    page = "<main><p>start</p>" + "".join(f"<div class={n}>about {n}</div>" for n in names) + "<div class=share-buttons>tell</div><div class=post-comments>me</div></main>"
+    assert plain(page) == "start " + " ".join(f"about {n}" for n in names)
+
+    def body(i):
+        return f"<body><main><h1>Title {i}</h1><div class=share-price>price {i} of the day</div><div class=related-work>the same words</div><p>text {i} {i * 7}</p></main>"
+
+    rows = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(site(40, body), PAGE)).collect()}
+    assert rows == {i: f"Title {i} price {i} of the day text {i} {i * 7}" for i in range(40)}
