@@ -359,3 +359,11 @@ def bson_normalize(column: Column) -> Column:
         wrapped["$oid"], wrapped["$numberDecimal"], wrapped["$numberLong"], when, stamp, wrapped["$regularExpression"]["pattern"]
     )
     return F.when(column.startswith("{"), F.coalesce(unwrapped, column)).otherwise(column)
+
+
+def bson_timestamp(column: Column) -> Column:
+    """The time in an extended-JSON ``$timestamp`` or ``$date`` as a timestamp; NULL for anything else."""
+    wrapped = F.from_json(column, EXTENDED)
+    day = wrapped["$date"]
+    when = F.when(day.rlike(WHOLE), F.timestamp_millis(to_long(day))).otherwise(F.try_to_timestamp(day))
+    return F.coalesce(when, F.timestamp_seconds(wrapped["$timestamp"]["t"])).cast("timestamp_ntz")

@@ -12,8 +12,9 @@ from collections.abc import Iterable, Iterator, Mapping
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace.functions.names import INTERNAL_PREFIXES, is_internal, quoted
@@ -232,6 +233,37 @@ def governance_query(
     return page.withColumn("total", total)
 
 
+def _literal(value: object, kind: T.DataType) -> Column:
+    """A value of a row as a column; a time without zone goes as text, since a plain literal would take on a zone."""
+    return F.lit(str(value) if isinstance(kind, T.TimestampNTZType) and value is not None else value).cast(kind)
+
+
+def keyset_page(
+    df: DataFrame, time: str, limit: int, after: Row | None = None, filters: Mapping[str, object] | None = None
+) -> DataFrame:
+    """The page of at most ``limit`` rows behind the row ``after``, newest first; the first page without one.
+
+    The last row of a page is the cursor of the next. A page is found by its place in the total order of time and all other
+    columns, not by counting the rows before it, so it costs a filter that the scan prunes by and a top-k, and rows that are
+    added meanwhile neither repeat nor hide any. Rows equal in all columns cannot be told apart and come on one page or
+    not at all, so they need a key among the columns. Times without value come last.
+    """
+    rows = df
+    for column, value in (filters or {}).items():
+        if value is not None:
+            rows = rows.where(F.col(quoted(column)) == value)
+    rest = [c for c in df.columns if c != time]
+    at = F.col(quoted(time))
+    if after is not None:
+        cursor = {c: _literal(after[c], df.schema[c].dataType) for c in df.columns}
+        behind = F.struct(*[F.col(quoted(c)) for c in rest]) > F.struct(*[cursor[c].alias(c) for c in rest])
+        if after[time] is None:
+            rows = rows.where(at.isNull() & behind)
+        else:
+            rows = rows.where((at <= cursor[time]) | at.isNull()).where((at < cursor[time]) | at.isNull() | behind)
+    return rows.orderBy(at.desc_nulls_last(), *[F.col(quoted(c)) for c in rest]).limit(limit)
+
+
 def drift_summary(events: DataFrame) -> DataFrame:
     """Counts by type and severity."""
     return events.groupBy("event_type", "severity").agg(F.count(F.lit(1)).alias("events"))

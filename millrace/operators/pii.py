@@ -45,9 +45,10 @@ CARD = rf"{START}(?:\d[ -]?){{12,18}}\d{END}"
 SSN = rf"{START}\d{{3}}-\d{{2}}-\d{{4}}{END}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"{START}(?:(?:{OCTET}\.){{3}}{OCTET}|(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}){END}"
-# An address with a run of zero groups left out; it begins and ends with a group and has a digit.
+# An address with a run of zero groups left out, be it at its beginning or end; it has a digit.
 GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}"
-IP_SHORT = rf"{START}{GROUPS}::{GROUPS}{END}"
+OUTSIDE, BEYOND = "(?<![0-9A-Za-z_:])", "(?![0-9A-Za-z_:])"
+IP_SHORT = rf"{START}{GROUPS}::(?:{GROUPS}{END}|{BEYOND})|{OUTSIDE}::{GROUPS}{END}"
 # Account numbers as one word or in groups of four.
 IBAN = rf"{START}[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?){END}"
 

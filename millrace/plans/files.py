@@ -77,18 +77,46 @@ def _load_files_quoted(t: Tables) -> DataFrame:
     "load_growing_files",
     """
 SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority,
-       CASE WHEN o_orderstatus = 'P' THEN CAST(o_custkey AS INTEGER) END AS o_custkey FROM orders
+       CASE WHEN o_orderstatus = 'P' THEN CAST(o_custkey AS INTEGER) END AS o_custkey,
+       CASE o_orderstatus WHEN 'F' THEN (o_custkey % 100)::DOUBLE WHEN 'O' THEN (3000000000 + o_custkey)::DOUBLE ELSE o_custkey + 0.5 END AS amount,
+       CAST(CASE WHEN o_orderstatus = 'O' THEN 3000000000 ELSE 0 END + o_custkey % 100 AS BIGINT) AS code
+FROM orders
 """,
 )
 def _load_growing_files(t: Tables) -> DataFrame:
-    # Each load brings files with a column more; the table's schema grows by what is found in them.
+    # Each load brings files with a column more, and numbers that need wider types: int, long and double; int and long.
     folder = new_folder(t.spark, "growing")
     columns = ["o_orderkey", "o_totalprice", "o_orderpriority", "o_custkey"]
-    load = loader(t, folder, t.orders.select(*columns[:2]).schema)
-    for n, status in ((2, "F"), (3, "O"), (4, "P")):
-        t.orders.where(F.col("o_orderstatus") == status).select(*columns[:n]).write.option("header", True).csv(f"{folder}/{status}")
+    status, customer = F.col("o_orderstatus"), F.col("o_custkey")
+    amount = F.when(status == "F", (customer % 100).cast("string")).when(status == "O", (customer + 3_000_000_000).cast("string"))
+    code = F.when(status == "O", F.lit(3_000_000_000)).otherwise(F.lit(0)) + customer % 100
+    rows = t.orders.withColumns({"amount": amount.otherwise(F.concat(customer.cast("string"), F.lit(".5"))), "code": code})
+    narrow = T.StructType([*t.orders.select(*columns[:2]).schema.fields, T.StructField("amount", T.IntegerType()), T.StructField("code", T.IntegerType())])
+    load = loader(t, folder, narrow)
+    for n, name in ((2, "F"), (3, "O"), (4, "P")):
+        rows.where(status == name).select(*columns[:n], "amount", "code").write.option("header", True).csv(f"{folder}/{name}")
         load.sync(datetime(2024, 1, n), evolve=True)
-    return load.table().select(*columns)
+    return load.table().select(*columns, "amount", "code")
+
+
+@query(
+    "scan_ranges",
+    """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 20 <> 0 THEN (l_orderkey % 1000) * (l_orderkey % 1000) * (l_orderkey % 1000) END AS k, true AS balanced FROM lineitem
+""",
+)
+def _scan_ranges(t: Tables) -> DataFrame:
+    # A key whose values crowd at one end, and rows without it. Parquet stands in for the database.
+    folder = new_folder(t.spark, "skewed")
+    k = F.pow(F.col("l_orderkey") % 1000, F.lit(3)).cast("bigint")
+    t.lineitem.select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 20 != 0, k).alias("k")).write.parquet(f"{folder}/skewed")
+    parts = 16
+    rows = files.scan_ranges(t.spark, folder, "skewed", "k", parts, fmt="parquet")
+    keyed = t.spark.read.parquet(f"{folder}/skewed")
+    ranges = files.snapshot_ranges(keyed.select("k"), "k", parts)
+    counted = keyed.agg(F.count("k").alias("n"), *[F.count_if(F.expr(p)).alias(f"r{i}") for i, p in enumerate(ranges[:-1])])
+    largest = F.greatest(*[F.col(f"r{i}") for i in range(len(ranges) - 1)]) if len(ranges) > 2 else F.lit(0)
+    return rows.withColumn("balanced", counted.select(largest <= 2 * F.col("n") / parts).scalar())
 
 
 @query("scan_sql_table", "SELECT * FROM customer WHERE c_acctbal > 0")

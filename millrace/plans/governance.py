@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import drift, pii, profile, quality
 from millrace.plans.registry import Tables, query
+from millrace.session import materialize
 
 NOW = datetime(2024, 2, 1)
 
@@ -188,6 +190,27 @@ def _governance_query(t: Tables) -> DataFrame:
     return drift.governance_query(rows, "ts", {"event_type": "error", "user_id": None}, limit=50, offset=100)
 
 
+@query(
+    "keyset_pages",
+    """
+WITH o AS (SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS day, event_type, row_number() OVER (ORDER BY date_trunc('day', ts) DESC, event_id, event_type) - 1 AS nth, count(*) OVER () AS n FROM events)
+SELECT event_id, day, event_type, CAST(nth // (n // 4 + 1) AS INTEGER) AS page FROM o
+""",
+)
+def _keyset_pages(t: Tables) -> DataFrame:
+    # All pages of a walk over events whose times are days, so most rows tie.
+    rows = t.events.select("event_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type")
+    size = rows.count() // 4 + 1
+    pages, after = [], None
+    while True:
+        page = materialize(drift.keyset_page(rows, "day", size, after), "page").withColumn("page", F.lit(len(pages)))
+        pages.append(page)
+        last = page.orderBy(F.asc_nulls_first("day"), F.desc("event_id"), F.desc("event_type")).limit(1).collect()
+        if not last or page.count() < size:
+            return reduce(DataFrame.unionByName, pages)
+        after = last[0]
+
+
 @query("drift_summary", f"WITH {EVENTS} SELECT event_type, severity, count(*) AS events FROM drifted GROUP BY ALL")
 def _drift_summary(t: Tables) -> DataFrame:
     return drift.drift_summary(drift.drift_events(*both_schemas(t)))
@@ -198,7 +221,10 @@ def _drift_summary(t: Tables) -> DataFrame:
 
 def re2(pattern: str) -> str:
     """The SQL engine has no look-around; its word boundary is the same place."""
-    return pattern.replace(pii.START, r"\b").replace(pii.END, r"\b").replace("'", "''")
+    edges = {pii.START: r"\b", pii.END: r"\b", pii.OUTSIDE: "(?:^|[^0-9A-Za-z_:])", pii.BEYOND: "(?:$|[^0-9A-Za-z_:])"}
+    for ours, theirs in edges.items():
+        pattern = pattern.replace(ours, theirs)
+    return pattern.replace("'", "''")
 
 
 DIGITS = "regexp_replace(c, '[^0-9]', '', 'g')"

@@ -380,7 +380,7 @@ def _normalize_nested(t: Tables) -> DataFrame:
 @query(
     "bson_normalize",
     """
-SELECT o_orderkey, lpad(to_base(o_orderkey, 16), 24, '0') AS id, printf('%.2f', o_totalprice) AS price, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at_,
+SELECT o_orderkey, lpad(to_base(o_orderkey, 16), 24, '0') AS id, printf('%.2f', o_totalprice) AS price, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at_, CAST(o_orderdate AS TIMESTAMP) AS at_time, CAST(o_orderdate AS TIMESTAMP) AS day_time,
        '^a.*' AS expression, o_orderstatus AS plain FROM orders
 """,
 )
@@ -396,7 +396,11 @@ def _bson_normalize(t: Tables) -> DataFrame:
         F.lit('{"$regularExpression": {"pattern": "^a.*", "options": "i"}}').alias("expression"),
         F.col("o_orderstatus").alias("plain"),
     )
-    return rows.withColumns({c: records.bson_normalize(F.col(c)) for c in ("id", "price", "at_", "expression", "plain")})
+    days = F.concat(F.lit('{"$date": "'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"}'))
+    times = {"at_time": records.bson_timestamp(F.col("at_")), "day_time": records.bson_timestamp(days)}
+    text = {c: records.bson_normalize(F.col(c)) for c in ("id", "price", "at_", "expression", "plain")}
+    rows = rows.join(t.orders.select("o_orderkey", "o_orderdate"), "o_orderkey").withColumns(times).drop("o_orderdate")
+    return rows.withColumns(text)
 
 
 @query(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.functions.names import quoted
 from millrace.operators.monitor import days, moment
 from millrace.sources import files
 from millrace.sources.store import VersionedTable
@@ -138,6 +139,11 @@ class FileLoader:
         self.schema_table = VersionedTable(spark, f"{self.path}/schema")
         self.schema = self.schema_table.read().schema if self.schema_table.exists() else schema
 
+    @property
+    def rows_path(self) -> str:
+        """Where the rows are: a folder of their own for every widening of types, named by the commit of the schema."""
+        return f"{self.path}/{self.schema_table.note().get('rows', 'rows')}"
+
     def ledger(self) -> DataFrame:
         return self.ledger_table.read() if self.ledger_table.exists() else self.spark.createDataFrame([], LEDGER)
 
@@ -148,7 +154,7 @@ class FileLoader:
         """Rows of the units the ledger has as loaded."""
         loaded = self.ledger().where("status = 'loaded'").select(F.md5("file_path").alias("_src_key"))
         stored = T.StructType([*self.schema.fields, *_PROVENANCE, T.StructField("_src_key", T.StringType())])
-        rows = self.spark.read.schema(stored).parquet(f"{self.path}/rows")
+        rows = self.spark.read.schema(stored).parquet(self.rows_path)
         return rows.join(loaded, "_src_key", "left_semi").drop("_src_key")
 
     def rows_of(self, outcome: DataFrame) -> DataFrame:
@@ -158,13 +164,13 @@ class FileLoader:
         parts = [r["k"] for r in loaded.select(F.md5("file_path").alias("k")).collect()]  # as many as the load has read
         if not parts:
             return self.spark.createDataFrame([], stored)
-        return self.spark.read.schema(stored).parquet(*[f"{self.path}/rows/_src_key={k}" for k in parts])
+        return self.spark.read.schema(stored).parquet(*[f"{self.rows_path}/_src_key={k}" for k in parts])
 
     def sync(self, now: datetime | Column, listing: DataFrame | None = None, evolve: bool = False) -> DataFrame:
         """Bring the table to the state of the files; returns the outcome per unit.
 
         With ``evolve`` new columns of the files are added, with the types found in them; rows
-        loaded before read as NULL there. Without it, other columns than the table's are an
+        loaded before read as NULL there; a column of numbers takes a wider type if a file needs it. Without it, other columns than the table's are an
         error before anything is loaded. Order matters for a crash in between: rows first, ledger
         last. A run that is repeated replaces the same partitions again.
         """
@@ -211,11 +217,24 @@ class FileLoader:
             raise SchemaMismatchError("; ".join(f"{path}: extra {extra}, missing {missing}" for path, extra, missing in sorted(bad)))
 
     def _grow_schema(self, wanted: Sequence[str], headers: Sequence[dict]) -> None:
+        """Take new columns, and wider types of known columns of numbers; the table's other types stand."""
         found = files.infer_schema(self.spark, self.folder, self.pattern, self.unit, wanted, self.multiline, headers)
-        added = [T.StructField(f.name, f.dataType, True) for f in found.fields if f.name not in self.schema.names]
-        if added:
-            self.schema = T.StructType([*self.schema.fields, *added])
-            self.schema_table.replace(self.spark.createDataFrame([], self.schema))
+        known = {f.name: f.dataType for f in self.schema.fields}
+        fits = [f for f in found.fields if f.name not in known or files.wider(known[f.name], f.dataType) is not None]
+        grown = files.merge_schemas(self.schema, T.StructType(fits), widen=True)
+        if grown == self.schema:
+            return
+        note = self.schema_table.note()
+        widened = [f for f in grown.fields if f.name in known and f.dataType != known[f.name]]
+        if widened and self.ledger_table.exists():
+            # files of the old type cannot be read as the new one: the rows move once, before the new schema is visible
+            note = {"rows": f"rows-{uuid.uuid4().hex}"}
+            stored = T.StructType([*self.schema.fields, *_PROVENANCE, T.StructField("_src_key", T.StringType())])
+            old = self.spark.read.schema(stored).parquet(self.rows_path)
+            old = old.withColumns({f.name: F.col(quoted(f.name)).cast(f.dataType) for f in widened})
+            old.write.partitionBy("_src_key").parquet(f"{self.path}/{note['rows']}")
+        self.schema = grown
+        self.schema_table.replace(self.spark.createDataFrame([], grown), note=note)
 
     def _write_rows(self, wanted: Sequence[str], now: datetime | Column, headers: Sequence[dict]) -> None:
         rows = files.scan_files(
@@ -234,13 +253,13 @@ class FileLoader:
         )
         # No shuffle: a task's input lies in few units, so it writes few partitions. A unit without
         # rows has no partition to overwrite, which keeps its old version.
-        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_src_key").parquet(f"{self.path}/rows")
+        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_src_key").parquet(self.rows_path)
 
     def _outcome(self, found: DataFrame, wanted: Sequence[str], now: datetime | Column) -> DataFrame:
         if not wanted:
             return found.withColumn("rows_loaded", F.lit(None).cast("bigint"))
         stored = T.StructType([*_PROVENANCE, T.StructField("_src_key", T.StringType())])
-        rows = self.spark.read.schema(stored).parquet(f"{self.path}/rows")
+        rows = self.spark.read.schema(stored).parquet(self.rows_path)
         # The partitions of this run only, and in them its rows: the old rows of a file that is empty now carry an earlier time.
         keys = [hashlib.md5(path.encode()).hexdigest() for path in wanted]
         counts = rows.where(F.col("_src_key").isin(keys) & (F.col("_src_loaded_at") == moment(now))).groupBy("_src_key").agg(F.count(F.lit(1)).alias("_rows"))

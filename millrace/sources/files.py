@@ -99,7 +99,7 @@ def infer_schema(
         if fmt == "csv":
             for header in csv_headers(spark, inputs, pattern) if headers is None else headers:
                 every = [literal(p) for p in header["paths"] + header["large"]]
-                out = merge_schemas(out, _csv_reader(spark).option("inferSchema", True).load(every).schema)
+                out = merge_schemas(out, _csv_reader(spark).option("inferSchema", True).load(every).schema, widen=True)
             continue
         reader = _reader(spark, fmt, glob)
         reader = reader.option("mergeSchema", True) if fmt == "parquet" else reader.option("multiLine", multiline)
@@ -109,7 +109,7 @@ def infer_schema(
             if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
                 raise
             continue  # folders without a file of this format
-        out = merge_schemas(out, found)
+        out = merge_schemas(out, found, widen=True)
     return out
 
 
@@ -335,23 +335,46 @@ def validate_file_schemas(columns: DataFrame, expected: Sequence[str] | None = N
 # --- schema evolution -------------------------------------------------------------------
 
 
-def merge_schemas(known: T.StructType, incoming: T.StructType) -> T.StructType:
-    """The known columns, then the new ones with their types. A changed type is an error."""
-    out = list(known.fields)
+#: Whole numbers in order of their width.
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def wider(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The numeric type that holds the values of both; None if there is none."""
+    if a == b:
+        return a
+    if isinstance(a, WHOLE) and isinstance(b, WHOLE):
+        return max(a, b, key=lambda x: WHOLE.index(type(x)))
+    if all(isinstance(x, (*WHOLE, T.FloatType, T.DoubleType)) for x in (a, b)):
+        return T.DoubleType()
+    return None
+
+
+def merge_schemas(known: T.StructType, incoming: T.StructType, widen: bool = False) -> T.StructType:
+    """The known columns, then the new ones with their types.
+
+    A changed type is an error; with ``widen`` a column of numbers takes the type that holds both.
+    """
+    out = {f.name: f for f in known.fields}
     for field in incoming.fields:
-        if field.name not in known.names:
-            out.append(T.StructField(field.name, field.dataType, True))
-        elif known[field.name].dataType != field.dataType:
-            raise ValueError(f"column {field.name} is {known[field.name].dataType.simpleString()}, the file has {field.dataType.simpleString()}")
-    return T.StructType(out)
+        old = out.get(field.name)
+        if old is None:
+            out[field.name] = T.StructField(field.name, field.dataType, True)
+            continue
+        both = wider(old.dataType, field.dataType) if widen else None
+        if both is None and old.dataType != field.dataType:
+            raise ValueError(f"column {field.name} is {old.dataType.simpleString()}, the file has {field.dataType.simpleString()}")
+        out[field.name] = T.StructField(field.name, both or old.dataType, old.nullable)
+    return T.StructType(list(out.values()))
 
 
 def evolve_schema(table: DataFrame, incoming: DataFrame, opt_in: bool = True) -> DataFrame:
-    """Rows of both with the union of their columns, NULL where one lacks a column."""
+    """Rows of both with the union of their columns, NULL where one lacks a column; numbers take the wider type."""
     if not opt_in and set(table.columns) != set(incoming.columns):
         raise ValueError(f"columns differ: {sorted(set(table.columns) ^ set(incoming.columns))}")
-    merge_schemas(table.schema, incoming.schema)
-    return table.unionByName(incoming, allowMissingColumns=True)
+    grown = merge_schemas(table.schema, incoming.schema, widen=True)
+    both = table.unionByName(incoming, allowMissingColumns=True)
+    return both.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in grown.fields])
 
 
 # --- SQL databases ----------------------------------------------------------------------
@@ -382,5 +405,43 @@ def scan_sql_table(
     return reader.load()
 
 
+def snapshot_ranges(rows: DataFrame, key: str, parts: int, accuracy: int = 100) -> list[str]:
+    """Predicates that cut a table into about ``parts`` ranges of equal depth, and one for rows without key.
+
+    The bounds are quantiles of the key from one mergeable sketch, so a skewed key gives ranges of different width and like
+    numbers of rows: the error of a rank is ``1 / (accuracy * parts)``. A single value that is more common than a share
+    cannot be cut and stays in one range. The predicates are plain SQL, so a database evaluates them. The key is a number, a date or a time.
+    """
+    kind = rows.schema[key].dataType
+    name = quoted(key)
+    cuts = F.percentile_approx(name, [k / parts for k in range(1, parts)], accuracy * parts) if parts > 1 else F.array().cast(T.ArrayType(kind))
+    found = rows.agg(F.transform(F.array_sort(F.array_distinct(cuts)), lambda v: v.cast("string"))).first()[0] or []
+    literal_ = (lambda v: f"{kind.simpleString().split('_')[0].upper()} '{v}'") if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else str
+    bounds = [literal_(v) for v in found]
+    if not bounds:
+        return [f"{name} IS NOT NULL", f"{name} IS NULL"]
+    inner = [f"{name} >= {a} AND {name} < {b}" for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [f"{name} < {bounds[0]}", *inner, f"{name} >= {bounds[-1]}", f"{name} IS NULL"]
+
+
+def scan_ranges(
+    spark: SparkSession, url: str, table: str, key: str, parts: int, properties: dict[str, str] | None = None, fmt: str = "jdbc"
+) -> DataFrame:
+    """A snapshot of a database table by ranges of equal depth, each read by a task of its own.
+
+    ``scan_sql_table`` with given bounds splits their span evenly, so a skewed key leaves most rows to few tasks.
+    """
+    whole = scan_sql_table(spark, url, table, properties, fmt=fmt)
+    predicates = snapshot_ranges(whole.select(quoted(key)), key, parts)
+    if fmt == "jdbc":
+        quote = lambda p: p.replace("`", '"')
+        return spark.read.jdbc(url, table, predicates=[quote(p) for p in predicates], properties=properties or {})
+    out = None
+    for predicate in predicates:
+        part = whole.where(predicate)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def scan_sql_tables(spark: SparkSession, url: str, tables: Sequence[str], **options) -> dict[str, DataFrame]:
     return {name: scan_sql_table(spark, url, name, **options) for name in tables}

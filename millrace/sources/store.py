@@ -134,13 +134,18 @@ class VersionedTable:
         df.write.parquet(folder)
         return folder
 
-    def _commit(self, kind: str, folder: str, schema: T.StructType, base: Version | None) -> bool:
+    def _commit(self, kind: str, folder: str, schema: T.StructType, base: Version | None, note: Mapping | None = None) -> bool:
         """Publish the version after ``base``; false if another writer has published it."""
         before = base.folders if base is not None and kind == "append" else []
-        return self.log.publish(Version((base.number if base else 0) + 1, kind, schema, [*before, folder]))
+        return self.log.publish(Version((base.number if base else 0) + 1, kind, schema, [*before, folder], note=dict(note or {})))
 
-    def _commit_whole(self, kind: str, folder: str, schema: T.StructType, base: Version | None) -> None:
-        if not self._commit(kind, folder, schema, base):
+    def note(self) -> dict:
+        """What the last write left beside its rows."""
+        newest = self._newest()
+        return {} if newest is None else newest.note
+
+    def _commit_whole(self, kind: str, folder: str, schema: T.StructType, base: Version | None, note: Mapping | None = None) -> None:
+        if not self._commit(kind, folder, schema, base, note):
             raise ConflictError(f"{self.path} has changed since version {base.number if base else 0}; {kind} again")
 
     def append(self, df: DataFrame) -> None:
@@ -155,7 +160,7 @@ class VersionedTable:
             if self._commit("append", folder, schema, base):
                 return
 
-    def replace(self, df: DataFrame, allow_empty: bool = False) -> None:
+    def replace(self, df: DataFrame, allow_empty: bool = False, note: Mapping | None = None) -> None:
         """Swap in a whole new version. The rows are written once, then counted from the
         footers before the swap, so a refused replace leaves the old version live."""
         base = self._newest()
@@ -164,7 +169,7 @@ class VersionedTable:
             staged = self.spark.read.schema(df.schema).parquet(folder)
             if staged.isEmpty() and not self._rows(base).isEmpty():
                 raise EmptyReplaceError(f"replacing {self.path} by 0 rows; the old version stays")
-        self._commit_whole("replace", folder, df.schema, base)
+        self._commit_whole("replace", folder, df.schema, base, note)
 
     def compact(self) -> None:
         """Rewrite the folders of many appends as one."""

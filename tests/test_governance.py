@@ -88,9 +88,11 @@ SAMPLES = {
     "GB82 WEST 1234 5698 7654 32": ("IBAN_CODE", 1.0),
     "from fe80::1ff:fe23:4567:890a": ("IP_ADDRESS", 0.6),
     "2001:db8::1 is up": ("IP_ADDRESS", 0.6),
+    "at ::1": ("IP_ADDRESS", 0.6),
+    "route fe80::/10": ("IP_ADDRESS", 0.6),
     "call 5551234567 today": ("PHONE_NUMBER", 0.5),
 }
-CLEAN = ["pay 4111 1111 1111 1112", "999.999.999.999", "DE89370400440532013001", "x@y", "order 12", "", "Ünïcode é123", "1234-45-67890"]
+CLEAN = ["pay 4111 1111 1111 1112", "999.999.999.999", "DE89370400440532013001", "x@y", "order 12", "", "Ünïcode é123", "1234-45-67890", "std::vector", "a :: b", "x::1y", ":::1"]
 
 
 def test_recognisers(spark):
@@ -275,3 +277,34 @@ def test_paths_of_text_that_is_no_object(spark):
     deep = '{"a":' * 3000 + "1" + "}" * 3000
     assert paths_of(spark, None, "", "word", "[1]", "3", '{"a": 1, "a": 2}', '{"a": NaN}', "{", '{"n": null}')[0] == {"n": "null"}
     assert len(paths_of(spark, deep, '{"b": 1}')[0]) in (1, 3001)
+
+
+def test_pages_behind_a_cursor_with_ties_and_new_rows(spark):
+    def row(i, day):
+        return (i, None if day is None else datetime(2024, 1, day), "x" if i % 3 else None)
+
+    schema = "id int, at timestamp_ntz, v string"
+    rows = [row(i, None if i % 7 == 0 else 1 + i % 2) for i in range(50)]
+    seen, after, size = [], None, 8
+    for step in range(20):
+        # rows come in between: newer than the first page, and ones that tie with what is still to come
+        rows = rows + [row(1000 + step, 20), row(2000 + step, None)]
+        page = drift.keyset_page(spark.createDataFrame(rows, schema), "at", size, after).collect()
+        if not page:
+            break
+        seen += [r["id"] for r in page]
+        after = page[-1]
+        if step > 12:
+            size = 100
+    assert len(seen) == len(set(seen)) and set(range(50)) <= set(seen)
+    assert not {1000 + k for k in range(1, 20)} & set(seen)
+    kept = drift.keyset_page(spark.createDataFrame(rows, schema), "at", 3, None, {"v": "x", "id": None}).collect()
+    assert [r["id"] for r in kept] == sorted(r["id"] for r in kept) and all(r["v"] == "x" for r in kept)
+
+
+def test_a_page_prunes_the_scan_by_its_time(spark):
+    path = new_folder(spark, "pages")
+    spark.range(10).selectExpr("id", "date'2024-01-01' AS at").write.parquet(path)
+    rows = spark.read.parquet(path)
+    plan = drift.keyset_page(rows, "at", 3, rows.first())._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(at" in plan

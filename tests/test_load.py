@@ -489,3 +489,47 @@ def test_work_folder_comes_from_the_session(spark):
     if configured:
         assert work_folder(spark) == configured.rstrip("/")
     assert new_folder(spark, "x") != new_folder(spark, "x")
+
+
+def test_types_widen_over_loads(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("v", T.LongType()), T.StructField("zip", T.StringType())])
+    loader = FileLoader(spark, "s", str(folder), new_folder(spark, "wide"), schema)
+    (folder / "a.csv").write_text("id,v,zip\n1,10,00123\n")
+    loader.sync(datetime(2024, 1, 1), evolve=True)
+    assert loader.schema == schema
+    (folder / "b.csv").write_text("id,v,zip\n3000000000,2.5,456\n")
+    (folder / "c.csv").write_text("v,id,zip\n7,2,789\n")
+    loader.sync(datetime(2024, 1, 2), evolve=True)
+    again = FileLoader(spark, "s", str(folder), loader.path, schema)
+    assert [f.dataType.simpleString() for f in again.schema.fields] == ["bigint", "double", "string"]
+    want = [(1, 10.0, "00123"), (2, 7.0, "789"), (3000000000, 2.5, "456")]
+    assert sorted((r["id"], r["v"], r["zip"]) for r in again.table().collect()) == want
+    (folder / "a.csv").write_text("id,v,zip\n5,1,0\n")
+    changed = again.listing().withColumn("file_mtime", F.expr("file_mtime + INTERVAL 1 DAY")).where("file_path = 'a.csv'")
+    assert again.sync(datetime(2024, 1, 3), changed, evolve=True).where("rows_loaded = 1").count() == 1
+    with pytest.raises((ValueError, PySparkException)):
+        (folder / "d.csv").write_text("id,v,zip\nword,1,0\n")
+        again.sync(datetime(2024, 1, 4), evolve=True)
+
+
+def test_evolve_widens_numbers(spark):
+    a, b = spark.createDataFrame([(1, 5)], "id int, n bigint"), spark.createDataFrame([(3000000000, 0.5, "x")], "id bigint, n double, s string")
+    out = files.evolve_schema(a, b)
+    assert [f.dataType.simpleString() for f in out.schema.fields] == ["bigint", "double", "string"]
+    assert sorted(map(tuple, out.collect())) == [(1, 5.0, None), (3000000000, 0.5, "x")]
+
+
+@pytest.mark.parametrize("values", ["pow(id, 4)", "id % 3", "IF(id < 500, 7, id)", "CAST(NULL AS BIGINT)", "timestamp_seconds(id * id)", "date_add(DATE '2024-01-01', CAST(id % 90 AS INT))"])
+def test_ranges_of_equal_depth(spark, values):
+    rows = spark.range(2000).selectExpr("id", f"IF(id % 10 = 0, NULL, {values}) AS k")
+    path = new_folder(spark, "ranges")
+    rows.write.parquet(f"{path}/t")
+    ranges = files.snapshot_ranges(rows, "k", 8)
+    sizes = [rows.where(p).count() for p in ranges]
+    assert sum(sizes) == 2000
+    if values in ("pow(id, 4)", "timestamp_seconds(id * id)"):
+        assert max(sizes[:-1]) <= 2 * 1800 / 8
+    out = files.scan_ranges(spark, path, "t", "k", 8, fmt="parquet")
+    assert out.count() == 2000 and out.exceptAll(rows).isEmpty()
