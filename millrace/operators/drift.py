@@ -260,7 +260,9 @@ def keyset_page(
         if after[time] is None:
             rows = rows.where(at.isNull() & behind)
         else:
-            rows = rows.where((at <= cursor[time]) | at.isNull()).where((at < cursor[time]) | at.isNull() | behind)
+            # two scans with a plain filter each, which they can prune by
+            older = rows.where(at <= cursor[time]).where((at < cursor[time]) | behind)
+            rows = older.unionByName(rows.where(at.isNull()))
     return rows.orderBy(at.desc_nulls_last(), *[F.col(quoted(c)) for c in rest]).limit(limit)
 
 
