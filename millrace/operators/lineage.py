@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +48,19 @@ def resolve_name(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.where(F.col("name") == name).orderBy(rank, "node_id").limit(1)
 
 
-def impact_tree(edges: DataFrame, roots: DataFrame, label: str = "impact") -> DataFrame:
+def impact_tree(edges: DataFrame, roots: DataFrame, label: str = "impact", max_paths: int | None = None) -> DataFrame:
     """Every path down from the roots (``node_id``), one row per path: a diamond gives two.
 
     A path that meets itself ends there, marked as a cycle. One equi join per level; each level
     is written to the shared folder, so a lost executor repeats one level and the plan stays
     short. Stops at the first level without paths.
+
+    Paths double with every diamond. ``max_paths`` bounds the report to the first so many, the shortest first and those of
+    a length by their names; ``impact_counts`` tells how many there are without listing any.
     """
     flow = materialize(edges.select("src", "dst").distinct(), f"{label}-edges")
     level = roots.select(F.col("node_id").alias("root"), F.col("node_id").alias("node"), F.array("node_id").alias("path"), F.lit(False).alias("is_cycle"))
-    out = None
+    out, left = None, max_paths
     while True:
         step = level.where(~F.col("is_cycle")).join(flow, F.col("node") == F.col("src"))
         level = materialize(
@@ -67,14 +72,151 @@ def impact_tree(edges: DataFrame, roots: DataFrame, label: str = "impact") -> Da
             ),
             label,
         )
-        if level.isEmpty():
+        found = level.count()
+        if left is not None and found >= left:
+            level = level.orderBy("path").limit(left)
+        if found:
+            out = level if out is None else out.unionByName(level)
+        if left is not None:
+            left -= min(left, found)
+        if not found or left == 0:
             break
-        out = level if out is None else out.unionByName(level)
     if out is None:
         out = level
     return out.select("root", "node", (F.size("path") - 1).alias("depth"), "path", "is_cycle", (F.size("path") == 2).alias("is_direct"))
 
 
+# Levels that one written table goes down, once it has gone down a few: a job for each would cost more than its rows.
+LEVELS = 8
+
+
+def _settled(state: DataFrame, step: Callable[[DataFrame], DataFrame], label: str, differs: Callable[[DataFrame, DataFrame], bool]) -> DataFrame:
+    """``step`` until nothing changes: 1, 2, 4 and then LEVELS of them for each written table."""
+    levels = 1
+    while True:
+        after = state
+        for _ in range(levels):
+            after = step(after)
+        after = materialize(after, label)
+        if not differs(state, after):
+            return after
+        state, levels = after, min(2 * levels, LEVELS)
+
+
+def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges with both ends among the nodes."""
+    ends = (nodes.select(F.col("node").alias(end)) for end in ("src", "dst"))
+    return reduce(lambda rows, end: rows.join(end, end.columns, "left_semi"), ends, edges)
+
+
+def _fewer(before: DataFrame, after: DataFrame) -> bool:
+    return after.count() < before.count()
+
+
+def lineage_cycles(edges: DataFrame, label: str = "cycles") -> DataFrame:
+    """The nodes that reach themselves: (node_id, component), the component being the smallest node they share cycles with.
+
+    Nodes that no long walk comes to, or leaves, are taken away first; without cycles nothing is left. The others take the
+    smallest node that reaches them as their colour. The nodes of a colour that reach its own node are one component; what
+    is left of each colour goes round again, as often as cycles follow each other. Each step is an equi join and a map-side
+    combined aggregation; only counts of rows come to the driver. Edges without a source or target are passed over.
+    """
+    flow = materialize(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), f"{label}-edges")
+    out = flow.where("src = dst").select(F.col("src").alias("node_id"), F.col("src").alias("component"))
+    flow = flow.where("src <> dst")
+    while True:
+        for come, go in (("src", "dst"), ("dst", "src")):
+            nodes = materialize(flow.select(F.col(go).alias("node")).distinct(), f"{label}-walked")
+            hops = flow.select(F.col(come).alias("node"), F.col(go).alias("next"))
+            walked = lambda rows, hops=hops: rows.join(hops, "node").select(F.col("next").alias("node")).distinct()
+            flow = materialize(_within(flow, _settled(nodes, walked, f"{label}-walked", _fewer)), f"{label}-edges")
+        if flow.isEmpty():
+            break
+        # an edge from each node to itself lets a step keep what a node has
+        ends = flow.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        stay = ends.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+        hops = materialize(flow.select("src", "dst").unionByName(stay), f"{label}-hops")
+        colour = materialize(ends.select("node", F.col("node").alias("colour")), f"{label}-colours")
+
+        def smallest(rows: DataFrame, hops: DataFrame = hops) -> DataFrame:
+            return rows.join(hops, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("colour"))
+
+        def recoloured(before: DataFrame, after: DataFrame) -> bool:
+            return not after.join(before, ["node", "colour"], "left_anti").isEmpty()
+
+        colour = _settled(colour, smallest, f"{label}-colours", recoloured)
+        sides = (colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour")) for end in ("src", "dst"))
+        same = reduce(lambda rows, side: rows.join(side, side.columns[0]), sides, hops).where("src_colour = dst_colour")
+        inner = materialize(same.select("src", "dst", F.col("src_colour").alias("colour")), f"{label}-inner")
+        own = materialize(colour.where("node = colour"), f"{label}-members")
+
+        def reaching(rows: DataFrame, inner: DataFrame = inner) -> DataFrame:
+            back = inner.select("src", F.col("dst").alias("node"))
+            return rows.join(back, "node").select(F.col("src").alias("node"), "colour").distinct()
+
+        members = _settled(own, reaching, f"{label}-members", lambda before, after: _fewer(after, before))
+        shared = members.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("colour")
+        held = members.join(shared, "colour", "left_semi")
+        out = out.unionByName(held.select(F.col("node").alias("node_id"), F.col("colour").alias("component")))
+        rest = colour.join(members.select("node"), "node", "left_anti")
+        flow = materialize(_within(inner.where("src <> dst").select("src", "dst"), rest), f"{label}-edges")
+    # a node with an edge to itself may be in a larger component too; that one's smallest node is not above it
+    return out.groupBy("node_id").agg(F.min("component").alias("component"))
+
+
+WAYS = T.DecimalType(38, 0)
+
+
+def _total(ways: Column) -> Column:
+    """The exact sum, NULL from 10^38."""
+    return F.when(F.count(F.lit(1)) == F.count(ways), F.try_sum(ways))
+
+
+def impact_counts(edges: DataFrame, roots: DataFrame, label: str = "impact-counts") -> DataFrame:
+    """How many paths lead from each root to each node it reaches, and the shortest and longest, without listing paths.
+
+    Cycles are found first and count as one node each, whose nodes all have its figures and ``in_cycle``; ``paths`` is then
+    exact: the number of ways into a node, or into its cycle (1 of length 0 for the root's own). NULL from 10^38. Paths of
+    equal length between the same nodes are one row with their number, so the work is that of (root, node, length), not of
+    the paths. Returns root, node, paths, shortest, longest, in_cycle.
+    """
+    flow = materialize(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), f"{label}-edges")
+    cycles = materialize(lineage_cycles(flow, label), f"{label}-components")
+
+    def joined(rows: DataFrame, column: str) -> DataFrame:
+        of = cycles.select(F.col("node_id").alias(column), "component")
+        return rows.join(of, column, "left").withColumn(column, F.coalesce("component", column)).drop("component")
+
+    ways = joined(joined(flow, "src"), "dst").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast(WAYS).alias("ways"))
+    ways = materialize(ways, f"{label}-ways")
+
+    def onward(rows: DataFrame) -> DataFrame:
+        reached = rows.join(ways, F.col("node") == F.col("src"))
+        by = ["root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")]
+        more = reached.select(*by, F.try_multiply("paths", "ways").cast(WAYS).alias("paths"))
+        return more.groupBy("root", "node", "depth").agg(_total(F.col("paths")).alias("paths"))
+
+    begin = joined(roots.select(F.col("node_id").alias("root"), F.col("node_id").alias("node")).where("root IS NOT NULL").distinct(), "node")
+    front = materialize(begin.select("root", "node", F.lit(0).alias("depth"), F.lit(1).cast(WAYS).alias("paths")), label)
+    depth, levels, out = 0, 1, front
+    while True:
+        walks = front
+        for _ in range(levels):
+            walks = front.unionByName(onward(walks))
+        walks = materialize(walks.where(F.col("depth") > depth), label)
+        out, depth, levels = out.unionByName(walks), depth + levels, min(2 * levels, LEVELS)
+        front = walks.where(F.col("depth") == depth)
+        if front.isEmpty():
+            break
+    found = out.groupBy("root", "node").agg(_total(F.col("paths")).alias("paths"), F.min("depth").alias("shortest"), F.max("depth").alias("longest"))
+    members = cycles.select(F.col("component").alias("node"), F.col("node_id").alias("member"))
+    found = found.join(members, "node", "left")
+    rows = found.select(
+        "root", F.coalesce("member", "node").alias("node"), "paths", "shortest", "longest", F.col("member").isNotNull().alias("in_cycle")
+    )
+    return rows.where("in_cycle OR longest > 0")
+
+
 def stale_models(models: DataFrame, edges: DataFrame, failed: DataFrame) -> DataFrame:
     """Models (node_id, status) that read a failed source (``source``) directly become stale.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import drift, lineage, pii
@@ -95,6 +95,45 @@ def _impact_tree(t: Tables) -> DataFrame:
     return lineage.impact_tree(flow, t.region.select(name("region", "r_regionkey").alias("node_id"))).withColumn("path", F.array_join("path", " > "))
 
 
+@query(
+    "impact_counts",
+    f"""
+WITH RECURSIVE {EDGES},
+walk AS (
+  SELECT src AS root, dst AS node, 1 AS depth FROM edges WHERE src LIKE 'region:%'
+  UNION ALL
+  SELECT w.root, e.dst, w.depth + 1 FROM walk w JOIN edges e ON w.node = e.src WHERE e.src <> e.dst)
+SELECT root, node, count(*) AS paths, min(depth) AS shortest, max(depth) AS longest,
+       node IN (SELECT src FROM edges WHERE src = dst) AS in_cycle
+FROM walk GROUP BY root, node
+""",
+)
+def _impact_counts(t: Tables) -> DataFrame:
+    out = lineage.impact_counts(edges(t), t.region.select(name("region", "r_regionkey").alias("node_id")))
+    return out.withColumn("paths", F.col("paths").cast("long"))
+
+
+@query(
+    "lineage_cycles",
+    """
+WITH RECURSIVE following AS (
+  SELECT l_orderkey, l_partkey AS src,
+         lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem),
+edges AS (
+  SELECT src, dst FROM following WHERE dst IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY l_orderkey DESC, dst DESC) = 1),
+reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)
+SELECT r.src AS node_id, min(r.dst) AS component FROM reach r JOIN reach b ON r.src = b.dst AND r.dst = b.src GROUP BY r.src
+""",
+)
+def _lineage_cycles(t: Tables) -> DataFrame:
+    # Each part points to the one that stood behind it on the newest order where one did.
+    lines = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    behind = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(lines).alias("dst"))
+    newest = F.max(F.struct("l_orderkey", "dst")).alias("last")
+    return lineage.lineage_cycles(behind.where("dst IS NOT NULL").groupBy("src").agg(newest).select("src", "last.dst"))
+
+
 @query(
     "stale_models",
     """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -197,6 +198,80 @@ def test_long_chain(spark):
     assert out.count() == 12 and out.agg(F.max("depth")).first()[0] == 12
 
 
+def ladder(spark, rungs):
+    """A chain of diamonds: n0 to l0 and r0, both to n1, and so on."""
+    pairs = []
+    for i in range(rungs):
+        pairs += [(f"n{i}", f"l{i}"), (f"n{i}", f"r{i}"), (f"l{i}", f"n{i + 1}"), (f"r{i}", f"n{i + 1}")]
+    return edges(spark, *pairs)
+
+
+def test_paths_of_a_ladder_are_counted(spark):
+    out = {r["node"]: r for r in lineage.impact_counts(ladder(spark, 40), root(spark, "n0")).collect()}
+    assert len(out) == 120 and "n0" not in out
+    assert all(out[f"n{i}"]["paths"] == 2**i for i in range(1, 41))
+    assert (out["n40"]["shortest"], out["n40"]["longest"], out["n40"]["in_cycle"]) == (80, 80, False)
+
+
+def test_paths_are_bounded_by_the_caller(spark):
+    out = lineage.impact_tree(ladder(spark, 40), root(spark, "n0"), max_paths=9)
+    found = [r["path"] for r in out.collect()]
+    assert sorted(map(len, found)) == [2, 2, 3, 3, 4, 4, 4, 4, 5]
+    assert [p for p in found if len(p) == 5] == [["n0", "l0", "n1", "l1", "n2"]]
+    assert lineage.impact_tree(edges(spark, "ab", "bc"), root(spark, "a"), max_paths=5).count() == 2
+
+
+def by_search(pairs):
+    """Components by a search from every node."""
+    flow = {}
+    for a, b in pairs:
+        flow.setdefault(a, set()).add(b)
+    reach = {}
+    for node in {n for p in pairs for n in p}:
+        seen, todo = set(), list(flow.get(node, ()))
+        while todo:
+            at = todo.pop()
+            if at not in seen:
+                seen.add(at)
+                todo += flow.get(at, ())
+        reach[node] = seen
+    return sorted((n, min(m for m in reach[n] if n in reach[m])) for n in reach if n in reach[n])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cycles_are_components(spark, seed):
+    pick = random.Random(seed)
+    names = "abcdefghijklmnopqrst"
+    pairs = [pick.choice(names) + pick.choice(names) for _ in range(24)]
+    assert tuples(lineage.lineage_cycles(edges(spark, *pairs)), "node_id", "component") == by_search([tuple(p) for p in pairs])
+
+
+def test_no_cycles_and_no_edges(spark):
+    assert lineage.lineage_cycles(edges(spark, "ab", "bc")).count() == 0
+    none = spark.createDataFrame([(None, "a"), ("a", None)], "src string, dst string")
+    assert lineage.lineage_cycles(none).count() == 0
+    assert lineage.impact_counts(none, root(spark, "a", None)).count() == 0
+
+
+def test_paths_into_a_cycle(spark):
+    # two ways into the cycle of c and d, which is left by one edge of each
+    out = lineage.impact_counts(edges(spark, "ab", "ac", "bd", "cd", "dc", "ce", "de", "dd"), root(spark, "a", "c"))
+    rows = {(r["root"], r["node"]): (int(r["paths"]), r["shortest"], r["longest"], r["in_cycle"]) for r in out.collect()}
+    assert rows == {
+        ("a", "b"): (1, 1, 1, False), ("a", "c"): (2, 1, 2, True), ("a", "d"): (2, 1, 2, True), ("a", "e"): (4, 2, 3, False),
+        ("c", "c"): (1, 0, 0, True), ("c", "d"): (1, 0, 0, True), ("c", "e"): (2, 1, 1, False),
+    }
+
+
+def test_paths_beyond_all_numbers(spark):
+    # 20 layers of 100 nodes, each layer wholly joined to the next: 100^k paths into layer k + 1
+    pair = spark.range(19 * 100 * 100).select((F.col("id") / 10000).cast("int").alias("k"), (F.col("id") / 100 % 100).cast("int").alias("a"), (F.col("id") % 100).alias("b"))
+    layers = pair.select(F.concat_ws(".", "k", "a").alias("src"), F.concat_ws(".", F.col("k") + 1, "b").alias("dst"))
+    first = spark.range(100).select(F.lit("root").alias("src"), F.concat(F.lit("0."), F.col("id")).alias("dst"))
+    out = lineage.impact_counts(layers.unionByName(first), root(spark, "root")).where("node IN ('0.7', '18.7', '19.7')")
+    assert tuples(out, "node", "paths", "longest") == [("0.7", 1, 1), ("18.7", 100**18, 19), ("19.7", None, 20)]
+
+
 def test_model_wins_over_source(spark):
     nodes = spark.createDataFrame([("source.orders", "orders", "source"), ("model.orders", "orders", "model")], "node_id string, name string, kind string")
     assert lineage.resolve_name(nodes, "orders").first()["node_id"] == "model.orders"
