@@ -33,7 +33,7 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture.mix(table(spark, folder, "documents"), weights=(1, 2, 3), most=3.0)
+    return mixture.mix(table(spark, folder, "documents"), weights=(1, 2, 3), most=3.0, preference=mixture.by_length)
 
 
 def op3_licences(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,7 +21,7 @@ def test_stages_one_after_the_other(spark):
     keep = {r["doc_id"] for r in toxicity.tag(after(keep), model).collect() if r["__score"] < 0.5}
     keep = {r.component_id for r in simhash.near_duplicates(after(keep)).collect()}
     keep -= {r.doc_id for r in decontamination.leaks(after(keep), benchmark).collect()}
-    want = {r.doc_id: r.taken for r in mixture.mix(after(keep)).collect() if r.copies}
+    want = {r.doc_id: r.taken for r in mixture.mix(after(keep), preference=mixture.by_length).collect() if r.copies}
     got = corpus_pipeline.run(spark, FOLDER).collect()
     assert {r.doc_id: r.taken for r in got} == want
     assert all(r.text == rows[r.doc_id].text for r in got)
