@@ -32,7 +32,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixture_of_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is mixed to the target weights: the documents of the mix and their number of copies."""
-    return mixture.mixed(docs, weights=(1, 2, 3), most=3.0)
+    return mixture.mixed(docs, weights=(1, 2, 3), most=3.0, preference=mixture.by_length)
 
 
 STAGES = [
