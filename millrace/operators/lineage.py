@@ -113,17 +113,125 @@ def _fewer(before: DataFrame, after: DataFrame) -> bool:
     return after.count() < before.count()
 
 
+def _doubled(flow: DataFrame, come: str, go: str, label: str) -> list[DataFrame]:
+    """Where the nodes with one way on are after 1, 2, 4 and more steps: (node, at, low, open) for each of these lengths.
+
+    ``low`` is the smallest node passed so far, the one that is reached left out. ``open`` tells whether ``at`` has one way on
+    too; the others stay where they are. The last table is the first whose walks end at as many open nodes as those of half
+    their length: these are the nodes of closed rings, and every walk that is not closed has come to one.
+    """
+    single = flow.groupBy(F.col(come).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min(go).alias("at")).where("n = 1")
+    single = materialize(single.select("node", "at"), f"{label}-single")
+    known = single.select(F.col("node").alias("at"), F.lit(True).alias("open"))
+    first = single.join(known, "at", "left").select("node", "at", F.col("node").alias("low"), F.coalesce("open", F.lit(False)).alias("open"))
+    jumps, ends = [materialize(first, f"{label}-jumps")], None
+    while True:
+        now = jumps[-1]
+        reached = now.where("open").select("at").distinct().count()
+        if not reached or reached == ends:
+            return jumps
+        ends = reached
+        jumps.append(materialize(now.where("NOT open").unionByName(_onward(now.where("open"), now)), f"{label}-jumps"))
+
+
+def _onward(rows: DataFrame, jumps: DataFrame) -> DataFrame:
+    """The rows taken as far again as they came."""
+    ahead = jumps.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("low").alias("further_low"), F.col("open").alias("further_open"))
+    low = F.least("low", "further_low").alias("low")
+    return rows.join(ahead, "at").select("node", F.col("further").alias("at"), low, F.col("further_open").alias("open"))
+
+
+def _rings(jumps: DataFrame, label: str) -> DataFrame:
+    """(node, component) of the closed rings that the open walks of the last jumps end in."""
+    ring = jumps.join(jumps.where("open").select(F.col("at").alias("node")).distinct(), "node", "left_semi")
+    while True:
+        ring = materialize(ring, f"{label}-rings")
+        after = _onward(ring, ring)
+        lower = after.select("node", F.col("low").alias("component")).join(ring, "node").where("component < low")
+        if lower.isEmpty():
+            return ring.select("node", F.col("low").alias("component"))
+        ring = after
+
+
+Members = Callable[[DataFrame], DataFrame]
+
+
+def _folded(flow: DataFrame, come: str, go: str, label: str) -> tuple[DataFrame, Members]:
+    """The edges without the nodes that have one way on, and what gives these nodes back once the components are known.
+
+    An edge to such a node becomes one to the first node behind it that has several ways on, or none. All walks between the nodes
+    that are left stay, so their components do. Steps double, so a chain of n nodes takes log n joins. ``come`` and ``go`` are
+    the ends of an edge by the direction of the walk.
+    """
+    jumps = _doubled(flow, come, go, label)
+    last = jumps[-1]
+    rings = _rings(last, label) if not last.where("open").isEmpty() else last.where("false").select("node", F.col("low").alias("component"))
+    into = materialize(flow.join(last.select(F.col("node").alias(come)), come, "left_anti"), f"{label}-into")
+    ends = last.select(F.col("node").alias(go), F.col("at").alias("end"), "open")
+    led = into.join(ends, go, "left").where("open IS NOT TRUE").select(come, F.coalesce("end", go).alias(go))
+    led = materialize(led.distinct(), f"{label}-edges")
+
+    def members(found: DataFrame) -> DataFrame:
+        # a way back to a node itself, all of it through nodes that were taken away
+        found = found.unionByName(led.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
+        found = materialize(found.groupBy("node").agg(F.min("component").alias("component")), f"{label}-found")
+        if found.isEmpty():
+            return rings
+        begun = into.join(ends.where("NOT open"), go).join(found.select(F.col("node").alias(come), "component"), come)
+        begun = begun.join(found.select(F.col("node").alias("end"), "component"), ["end", "component"], "left_semi")
+        passed = materialize(begun.select(F.col(go).alias("node"), "component").distinct(), f"{label}-passed")
+        for jump in jumps:
+            more = passed.join(jump, "node").select(F.col("at").alias("node"), "component")
+            passed = materialize(passed.unionByName(more).distinct(), f"{label}-passed")
+        every = materialize(found.unionByName(passed).distinct(), f"{label}-found")
+        least = every.groupBy("component").agg(F.min("node").alias("least"))
+        return every.join(least, "component").select("node", F.col("least").alias("component")).unionByName(rings)
+
+    return led.where("src <> dst"), members
+
+
 def lineage_cycles(edges: DataFrame, label: str = "cycles") -> DataFrame:
     """The nodes that reach themselves: (node_id, component), the component being the smallest node they share cycles with.
 
+    Nodes that nothing comes to, or that lead nowhere, are taken away, then those with one way on and those with one way in, as
+    long as that leaves at most half of the edges: a graph in which each node has one way on is done with that, in joins that
+    grow with the logarithm of its longest walk. What is left is coloured (``_coloured``). Each step is an equi join and a
+    map-side combined aggregation; only counts of rows come to the driver. Edges without a source or target are passed over.
+    """
+    edges = materialize(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), f"{label}-edges")
+    flow, taken = edges.where("src <> dst"), []
+    before = flow.count()
+    while before:
+        ends = flow.select(F.col("dst").alias("node")).distinct(), flow.select(F.col("src").alias("node")).distinct()
+        for side, nodes in zip(("src", "dst"), ends, strict=True):
+            flow = flow.join(nodes.select(F.col("node").alias(side)), side, "left_semi").select("src", "dst")
+        flow = materialize(flow, f"{label}-edges")
+        for come, go in (("src", "dst"), ("dst", "src")):
+            if not flow.isEmpty():
+                flow, members = _folded(flow, come, go, label)
+                taken.append(members)
+        after = flow.count()
+        if 2 * after > before:
+            break
+        before = after
+    found = flow.where("false").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    if before:
+        found = _coloured(flow, label)
+    for members in reversed(taken):
+        found = members(found)
+    out = found.unionByName(edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
+    # a node with an edge to itself may be in a larger component too; that one's smallest node is not above it
+    return out.groupBy(F.col("node").alias("node_id")).agg(F.min("component").alias("component"))
+
+
+def _coloured(flow: DataFrame, label: str) -> DataFrame:
+    """(node, component) of the components of ``flow``, which has no edge from a node to itself.
+
     Nodes that no long walk comes to, or leaves, are taken away first; without cycles nothing is left. The others take the
     smallest node that reaches them as their colour. The nodes of a colour that reach its own node are one component; what
-    is left of each colour goes round again, as often as cycles follow each other. Each step is an equi join and a map-side
-    combined aggregation; only counts of rows come to the driver. Edges without a source or target are passed over.
+    is left of each colour goes round again, as often as cycles follow each other.
     """
-    flow = materialize(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), f"{label}-edges")
-    out = flow.where("src = dst").select(F.col("src").alias("node_id"), F.col("src").alias("component"))
-    flow = flow.where("src <> dst")
+    out = flow.where("false").select(F.col("src").alias("node"), F.col("src").alias("component"))
     while True:
         for come, go in (("src", "dst"), ("dst", "src")):
             nodes = materialize(flow.select(F.col(go).alias("node")).distinct(), f"{label}-walked")
@@ -157,11 +265,10 @@ def lineage_cycles(edges: DataFrame, label: str = "cycles") -> DataFrame:
         members = _settled(own, reaching, f"{label}-members", lambda before, after: _fewer(after, before))
         shared = members.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("colour")
         held = members.join(shared, "colour", "left_semi")
-        out = out.unionByName(held.select(F.col("node").alias("node_id"), F.col("colour").alias("component")))
+        out = out.unionByName(held.select("node", F.col("colour").alias("component")))
         rest = colour.join(members.select("node"), "node", "left_anti")
         flow = materialize(_within(inner.where("src <> dst").select("src", "dst"), rest), f"{label}-edges")
-    # a node with an edge to itself may be in a larger component too; that one's smallest node is not above it
-    return out.groupBy("node_id").agg(F.min("component").alias("component"))
+    return out
 
 
 WAYS = T.DecimalType(38, 0)

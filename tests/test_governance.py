@@ -253,6 +253,40 @@ def test_no_cycles_and_no_edges(spark):
     assert lineage.impact_counts(none, root(spark, "a", None)).count() == 0
 
 
+def test_chains_between_nodes_of_cycles(spark):
+    # every edge of a random graph as a chain, some of them drawn between the same two nodes
+    pick = random.Random(4)
+    pairs = []
+    for k in range(14):
+        a, b = pick.choice("abcdefg"), pick.choice("abcdefg")
+        chain = [a, *(f"{pick.choice('019z')}.{k}.{i}" for i in range(pick.randrange(4))), b]
+        pairs += zip(chain[:-1], chain[1:], strict=True)
+    pairs += [("in", "a"), ("b", "out"), ("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("tail", "r1")]
+    want = by_search(pairs)
+    assert len({c for _, c in want}) >= 2
+    assert tuples(lineage.lineage_cycles(edges(spark, *pairs)), "node_id", "component") == want
+
+
+def written(monkeypatch):
+    """The label and table of everything that is written from now on."""
+    found, write = [], lineage.materialize
+
+    def noted(df, label):
+        found.append((label, write(df, label)))
+        return found[-1][1]
+
+    monkeypatch.setattr(lineage, "materialize", noted)
+    return found
+
+
+def test_a_long_walk_takes_few_steps(spark, monkeypatch):
+    # a walk of 700 nodes that ends in a ring of 500
+    tables = written(monkeypatch)
+    walk = spark.range(1200).select(F.col("id").alias("src"), F.when(F.col("id") == 1199, 700).otherwise(F.col("id") + 1).alias("dst"))
+    assert tuples(lineage.lineage_cycles(walk), "node_id", "component") == [(i, 700) for i in range(700, 1200)]
+    assert len(tables) < 40
+
+
 def test_paths_into_a_cycle(spark):
     # two ways into the cycle of c and d, which is left by one edge of each
     out = lineage.impact_counts(edges(spark, "ab", "ac", "bd", "cd", "dc", "ce", "de", "dd"), root(spark, "a", "c"))
