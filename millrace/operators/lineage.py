@@ -285,16 +285,26 @@ def impact_counts(edges: DataFrame, roots: DataFrame, label: str = "impact-count
     Cycles are found first and count as one node each, whose nodes all have its figures and ``in_cycle``; ``paths`` is then
     exact: the number of ways into a node, or into its cycle (1 of length 0 for the root's own). NULL from 10^38. Paths of
     equal length between the same nodes are one row with their number, so the work is that of (root, node, length), not of
-    the paths. Returns root, node, paths, shortest, longest, in_cycle.
+    the paths. Nodes that lead nowhere are left out of the search for cycles and of the walk; one join gives them the ways into
+    the nodes before them. Returns root, node, paths, shortest, longest, in_cycle.
     """
     flow = materialize(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), f"{label}-edges")
-    cycles = materialize(lineage_cycles(flow, label), f"{label}-components")
+    leads = F.max(F.col("src") != F.col("dst")).alias("leads")
+    marks = materialize(flow.groupBy(F.col("src").alias("node")).agg(leads, F.max(F.col("src") == F.col("dst")).alias("looped")), f"{label}-marks")
+    marked = flow.where("src <> dst").join(marks.withColumnRenamed("node", "dst"), "dst", "left")
+    marked = materialize(marked.select("src", "dst", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("leads", "looped")]), f"{label}-edges")
+    inner = marked.where("leads").select("src", "dst")
+
+    begin = roots.select(F.col("node_id").alias("node")).where("node IS NOT NULL").distinct()
+    own = marks.where("looped AND leads").unionByName(marks.where("looped AND NOT leads").join(begin, "node", "left_semi").select(*marks.columns))
+    own = own.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    cycles = materialize(lineage_cycles(inner.unionByName(own), label), f"{label}-components")
 
     def joined(rows: DataFrame, column: str) -> DataFrame:
-        of = cycles.select(F.col("node_id").alias(column), "component")
+        of = cycles.where("node_id <> component").select(F.col("node_id").alias(column), "component")
         return rows.join(of, column, "left").withColumn(column, F.coalesce("component", column)).drop("component")
 
-    ways = joined(joined(flow, "src"), "dst").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast(WAYS).alias("ways"))
+    ways = joined(joined(inner, "src"), "dst").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast(WAYS).alias("ways"))
     ways = materialize(ways, f"{label}-ways")
 
     def onward(rows: DataFrame) -> DataFrame:
@@ -303,7 +313,7 @@ def impact_counts(edges: DataFrame, roots: DataFrame, label: str = "impact-count
         more = reached.select(*by, F.try_multiply("paths", "ways").cast(WAYS).alias("paths"))
         return more.groupBy("root", "node", "depth").agg(_total(F.col("paths")).alias("paths"))
 
-    begin = joined(roots.select(F.col("node_id").alias("root"), F.col("node_id").alias("node")).where("root IS NOT NULL").distinct(), "node")
+    begin = joined(begin.select(F.col("node").alias("root"), "node"), "node")
     front = materialize(begin.select("root", "node", F.lit(0).alias("depth"), F.lit(1).cast(WAYS).alias("paths")), label)
     depth, levels, out = 0, 1, front
     while True:
@@ -316,12 +326,17 @@ def impact_counts(edges: DataFrame, roots: DataFrame, label: str = "impact-count
         if front.isEmpty():
             break
     found = out.groupBy("root", "node").agg(_total(F.col("paths")).alias("paths"), F.min("depth").alias("shortest"), F.max("depth").alias("longest"))
+    found = materialize(found, f"{label}-found")
+    last = joined(marked.where("NOT leads").drop("leads"), "src")
+    ends = found.withColumnRenamed("node", "src").join(last, "src").groupBy("root", F.col("dst").alias("node"))
+    lengths = (F.min("shortest") + 1).alias("shortest"), (F.max("longest") + 1).alias("longest")
+    ends = ends.agg(_total(F.col("paths")).alias("paths"), *lengths, F.max("looped").alias("in_cycle"))
     members = cycles.select(F.col("component").alias("node"), F.col("node_id").alias("member"))
     found = found.join(members, "node", "left")
     rows = found.select(
         "root", F.coalesce("member", "node").alias("node"), "paths", "shortest", "longest", F.col("member").isNotNull().alias("in_cycle")
     )
-    return rows.where("in_cycle OR longest > 0")
+    return rows.where("in_cycle OR longest > 0").unionByName(ends)
 
 
 def stale_models(models: DataFrame, edges: DataFrame, failed: DataFrame) -> DataFrame:

@@ -287,6 +287,18 @@ def test_a_long_walk_takes_few_steps(spark, monkeypatch):
     assert len(tables) < 40
 
 
+def test_nodes_that_lead_nowhere_are_not_walked(spark, monkeypatch):
+    tables = written(monkeypatch)
+    hubs = spark.range(10).select(F.lit("root").alias("src"), F.concat(F.lit("hub"), "id").alias("dst"))
+    leaves = spark.range(2000).select(F.concat(F.lit("hub"), F.col("id") % 10).alias("src"), F.concat(F.lit("leaf"), F.col("id") % 1500).alias("dst"))
+    flow = hubs.unionByName(leaves).unionByName(edges(spark, ("leaf7", "leaf7"), ("lone", "lone")))
+    out = {(r["root"], r["node"]): tuple(r)[2:] for r in lineage.impact_counts(flow, root(spark, "root", "leaf8", "lone")).collect()}
+    assert len(out) == 1511 and out["root", "hub3"] == (1, 1, 1, False) and out["lone", "lone"] == (1, 0, 0, True)
+    assert out["root", "leaf7"] == (1, 2, 2, True) and out["root", "leaf8"] == (1, 2, 2, False)
+    counts = [(label, table.count()) for label, table in tables]
+    assert sum(n > 100 for _, n in counts) == 2  # the edges, and the edges with the marks of their targets
+
+
 def test_paths_into_a_cycle(spark):
     # two ways into the cycle of c and d, which is left by one edge of each
     out = lineage.impact_counts(edges(spark, "ab", "ac", "bd", "cd", "dc", "ce", "de", "dd"), root(spark, "a", "c"))
