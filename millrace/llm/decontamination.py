@@ -36,16 +36,20 @@ TERM_BLOCK = 1 << 10
 #: Pairs of a document's term and an item that are counted at a time, and of a document or window and an item.
 PAIRS = 1 << 20
 CELLS = 1 << 22
+#: Passages that are multiplied at a time, and the terms, most frequent in them, for which that is a dense product.
+PASSAGES = 1 << 13
+FREQUENT = 512
+
 
 @dataclass(frozen=True)
 class Settings:
-    """Documents that the latent space is fitted to, and tasks that they are dealt to; half a window in words; rank of the latent space and what is computed beyond it; least cosine of a candidate;
+    """About how many documents the latent space is fitted to (None: all); least number of tasks that sum their passages, where the documents have as many partitions; half a window in words; rank of the latent space and what is computed beyond it; least cosine of a candidate;
     least share of an item's words in common order; least share of its answer; number of the
     rarest words of its ``answer``, or of the item where the benchmark has none, whose share is reported as that of its answer
     (it decides only where the benchmark has an answer); items of fewer words must occur whole; items and bytes of their texts
     in a block, on average over the blocks."""
 
-    sample_docs: int = 20_000
+    sample_docs: int | None = None
     sketches: int = 16
     half: int = 20
     rank: int = 48
@@ -84,8 +88,8 @@ def _halves(lengths: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.
     return starts, doc, place + 1 < counts[doc]
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Number of documents with each term, and of documents with a word, over all rows."""
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Number of documents with each term, and of documents with a word, over all rows; number of partitions."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(TERMS, np.int64), 0
@@ -99,46 +103,70 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[counts[some], n])], names=["term", "n"])
 
-    summed = pick(docs, "text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    out, n = np.zeros(TERMS, np.int64), 0
-    for term, count in summed.collect():  # at most TERMS + 1 rows
+    summed = pick(docs, "text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("tasks"))
+    out, n, parts = np.zeros(TERMS, np.int64), 0, 1
+    for term, count, tasks in summed.collect():  # at most TERMS + 1 rows
         if term < 0:
-            n = count
+            n, parts = count, tasks
         else:
             out[term] = count
-    return out, n
+    return out, n, parts
 
 
 def idf_of(frequencies: np.ndarray, n: int) -> np.ndarray:
     return np.log((1.0 + n) / (1.0 + frequencies)).astype(np.float32)
 
 
-def _sketch(flat: np.ndarray, starts: np.ndarray, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """A'A W of the passages that begin at ``starts``, each as long as up to the next."""
-    passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(flat)]))
-    # unit length for every passage, with repeated words counted together
-    key, counts = np.unique(passage * TERMS + flat, return_counts=True)
-    owner, term = key // TERMS, key % TERMS
-    values = (counts * idf[term]).astype(np.float32)
-    norm = np.sqrt(np.bincount(owner, values * values, len(starts)))
-    values /= np.maximum(norm, 1e-9)[owner].astype(np.float32)
-    firsts = np.searchsorted(owner, np.arange(len(starts)))
-    y = np.add.reduceat(omega[term] * values[:, None], firsts, axis=0)
-    order = np.argsort(term, kind="stable")
-    ordered = term[order]
-    spread = y[owner[order]] * values[order][:, None]
-    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    out = np.zeros(omega.shape, np.float32)
-    out[ordered[first]] = np.add.reduceat(spread, first, axis=0)
-    return out
-
-
-def latent_space(docs: DataFrame, idf: np.ndarray, n: int, settings: Settings, seed: int = 7) -> np.ndarray:
+def _products(owner: np.ndarray, place: np.ndarray, values: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
+    """n rows, each the sum of the rows ``place`` of ``table`` times their values; ``owner`` is in order."""
+    counts = np.bincount(owner, minlength=n)
+    by = np.argsort(-counts, kind="stable")  # those with most first, so that the j-th of each are a front part
+    sizes, first = counts[by], (np.cumsum(counts) - counts)[by]
+    out = np.zeros((n, table.shape[1]), np.float32)
+    for j in range(int(sizes[0]) if n else 0):
+        k = int(np.searchsorted(-sizes, -j, side="left"))
+        at = first[:k] + j
+        row = table.take(place[at], axis=0)
+        row *= values[at][:, None]
+        out[:k] += row
+    back = np.empty_like(out)
+    back[by] = out
+    return back
+
+
+def _sketch(flat: np.ndarray, starts: np.ndarray, idf: np.ndarray, omega: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` A'A W of the passages that begin at ``starts``, each as long as up to the next."""
+    for low in range(0, len(starts), PASSAGES):
+        part = np.r_[starts[low : low + PASSAGES + 1], len(flat)][: PASSAGES + 1]
+        n = len(part) - 1
+        # unit length for every passage, with repeated words counted together
+        key = np.sort(np.repeat(np.arange(n), np.diff(part)) * TERMS + flat[part[0] : part[-1]])
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        owner, term = key[first] // TERMS, key[first] % TERMS
+        values = (np.diff(np.r_[first, len(key)]) * idf[term]).astype(np.float32)
+        norm = np.sqrt(np.bincount(owner, values * values, n))
+        values /= np.maximum(norm, 1e-9)[owner].astype(np.float32)
+        y = _products(owner, term, values, omega, n)
+        frequent = np.argpartition(np.bincount(term, minlength=TERMS), -FREQUENT)[-FREQUENT:]
+        row = np.full(TERMS, -1)
+        row[frequent] = np.arange(FREQUENT)
+        row = row[term]
+        many = row >= 0
+        dense = np.zeros((FREQUENT, n), np.float32)
+        dense[row[many], owner[many]] = values[many]
+        total[frequent] += dense @ y
+        term, owner, values = term[~many], owner[~many], values[~many]
+        order = np.argsort(term.astype(np.uint16), kind="stable")
+        some, ids = np.unique(term, return_inverse=True)
+        total[some] += _products(ids[order], owner[order], values[order], y, len(some))
+
+
+def latent_space(docs: DataFrame, idf: np.ndarray, n: int, parts: int, settings: Settings, seed: int = 7) -> np.ndarray:
     """Terms x rank: maps a TF-IDF vector to latent coordinates of unit variance.
 
-    The map is an index, fitted to the passages of a sample of about ``settings.sample_docs`` of the ``n`` documents, those
-    with the lowest hashes, dealt to ``settings.sketches`` tasks; term counts and the search cover all documents.
-    Each task yields its sum once, cut into blocks of terms, which are added by block; the driver gets the total, whose
+    It is fitted to the passages of all documents, in up to eight of their ``parts`` partitions a task, since a task's sum is of
+    a fixed size. Only where the caller sets ``settings.sample_docs`` it is fitted to about so many of the ``n`` documents, those
+    with the lowest hashes. Each task yields its sum once, cut into blocks of terms, which are added by block; the driver gets the total, whose
     size is fixed by ``TERMS`` and the rank.
     """
     width = settings.rank + settings.beyond
@@ -149,7 +177,7 @@ def latent_space(docs: DataFrame, idf: np.ndarray, n: int, settings: Settings, s
             flat, lengths = terms_of(part.column("text"))
             if len(flat):
                 starts, _, _ = _halves(lengths, 2 * settings.half)
-                total += _sketch(flat.astype(np.int64), starts, idf, omega)
+                _sketch(flat.astype(np.int64), starts, idf, omega, total)
         pieces = [total[i : i + TERM_BLOCK].tobytes() for i in range(0, TERMS, TERM_BLOCK)]
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int64()), pa.array(pieces)], names=["block", "sums"])
@@ -163,14 +191,17 @@ def latent_space(docs: DataFrame, idf: np.ndarray, n: int, settings: Settings, s
         names = ["block", "sums"]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=names)
 
-    share = int(min(1.0, settings.sample_docs / max(n, 1)) * (1 << 30))
-    chosen = pick(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share)
-    chosen = chosen.dropDuplicates(["doc_id", "text"])  # rows that repeat share a hash, whatever their number
-    parts = chosen.select("text").repartition(settings.sketches).mapInArrow(run, "block bigint, sums binary")
-    parts = parts.repartition(TERMS // TERM_BLOCK, "block").mapInArrow(add, "block bigint, sums binary")
+    if settings.sample_docs is None:
+        chosen = pick(docs, "text").coalesce(max(settings.sketches, math.ceil(parts / 8)))
+    else:
+        share = int(min(1.0, settings.sample_docs / max(n, 1)) * (1 << 30))
+        chosen = pick(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share)
+        chosen = chosen.dropDuplicates(["doc_id", "text"])  # rows that repeat share a hash, whatever their number
+        chosen = chosen.select("text").repartition(settings.sketches)
+    sums = chosen.mapInArrow(run, "block bigint, sums binary").repartition(TERMS // TERM_BLOCK, "block").mapInArrow(add, "block bigint, sums binary")
     product = np.zeros((TERMS // TERM_BLOCK, TERM_BLOCK * width))
-    for block, sums in parts.collect():  # TERMS // TERM_BLOCK rows
-        product[block] = np.frombuffer(sums)
+    for block, piece in sums.collect():  # TERMS // TERM_BLOCK rows
+        product[block] = np.frombuffer(piece)
     return nystrom(product.reshape(TERMS, width), random_matrix(seed, width), settings.rank) * idf[:, None]
 
 
@@ -249,7 +280,7 @@ def indices(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     parts = max(1, math.ceil(size["items"] / settings.block_items), math.ceil(size["bytes"] / settings.block_bytes))
     if parts > 1:
         items = materialize(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "items")
-    frequencies, n = document_frequencies(docs)
+    frequencies, n, tasks = document_frequencies(docs)
     kind, space, given = benchmark.schema["item_id"].dataType, None, 0
     for part in range(parts):
         block = items.where(F.col("block") == part) if parts > 1 else items
@@ -257,7 +288,7 @@ def indices(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
         found = [row for row in found if row[1]]
         if found and n:
             if space is None:
-                space = latent_space(docs, idf_of(frequencies, n), n, settings)
+                space = latent_space(docs, idf_of(frequencies, n), n, tasks, settings)
             given += 1
             yield index_of(found, frequencies, space, settings, kind)
     if not given:

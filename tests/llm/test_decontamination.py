@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, queries
 
@@ -177,3 +179,38 @@ def all_pairs(docs, table, least, half=20):
             if max(decontamination.common_subsequence(item, r) for r in regions) >= least * n:
                 want.add((d, k))
     return want
+
+
+def test_the_map_is_fitted_to_all_documents(spark, monkeypatch):
+    rows = 24_000
+    text = F.concat_ws(" ", F.lit("common words here"), F.concat(F.lit("own"), F.col("id") % 400))
+    docs = spark.range(0, rows, 1, 20).select(F.col("id").alias("doc_id"), text.alias("text"))
+    settings = decontamination.Settings()
+    frequencies, n, parts = decontamination.document_frequencies(docs)
+    assert (n, parts) == (rows, 20)
+    idf = decontamination.idf_of(frequencies // 2, n)
+    monkeypatch.setattr(decontamination, "nystrom", lambda product, omega, rank: product)
+    product = decontamination.latent_space(docs, idf, n, parts, settings)
+    passages = np.zeros((400, decontamination.TERMS))
+    for k in range(400):
+        for term in decontamination.terms_of(pa.array([f"common words here own{k}"]))[0]:
+            passages[k, term] += idf[term]
+    passages /= np.linalg.norm(passages, axis=1, keepdims=True)
+    omega = decontamination.random_matrix(7, settings.rank + settings.beyond)
+    want = passages.T @ (passages @ omega) * (rows / 400) * idf[:, None]
+    assert np.abs(product - want).max() <= 1e-4 * np.abs(want).max()
+
+
+def test_a_sketch_is_the_product_of_its_passages(monkeypatch):
+    monkeypatch.setattr(decontamination, "PASSAGES", 7)
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 41, 30)
+    flat = rng.zipf(1.3, int(lengths.sum())) % decontamination.TERMS
+    idf = rng.random(decontamination.TERMS).astype(np.float32) + 1
+    omega, total = decontamination.random_matrix(7, 5), np.zeros((decontamination.TERMS, 5), np.float32)
+    starts = np.cumsum(lengths) - lengths
+    monkeypatch.setattr(decontamination, "FREQUENT", 4)
+    decontamination._sketch(flat, starts, idf, omega, total)
+    rows = np.stack([np.bincount(flat[a : a + k], minlength=decontamination.TERMS) * idf for a, k in zip(starts, lengths, strict=True)])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    assert np.allclose(total, rows.T @ (rows @ omega), atol=1e-4)
