@@ -180,7 +180,8 @@ def read(spark: SparkSession, paths: Sequence[str], schema: T.StructType, option
     ends = F.substring("value", -1, 1) == "\r"
     header = (F.col("start") == 0) & (F.col("nth") == 0)
     crlf = found.where(header & ends).select("path").distinct().withColumn("crlf", F.lit(True))
-    rows = found.where(~header).join(crlf, "path", "left")
+    # one row a file at most, of those whose paths the driver holds
+    rows = found.where(~header).join(F.broadcast(crlf), "path", "left")
     value = F.regexp_replace(F.col("value"), "\r$", "")
     value = F.when(F.col("crlf"), F.replace(value, F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("value"))
     rows = rows.withColumn("value", value).where("value <> ''")
