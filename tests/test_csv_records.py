@@ -129,12 +129,12 @@ assert files.csv_headers(spark, [{str(tmp_path)!r}])[0]["columns"] == ["a", "b",
 
 def test_split_query_writes_no_table_by_one_task(spark, tmp_path, small_splits, monkeypatch):
     text = F.concat(F.lit('line\n"quoted", '), F.repeat(F.sha2(F.col("id").cast("string"), 256), 20))
-    rows = spark.range(0, 400, 1, 8).select("id", text.alias("text"))
+    rows = spark.range(0, 160, 1, 8).select("id", text.alias("text"))
     rows.select(F.col("id").alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("web").alias("source"), F.length("text").alias("n_chars")).write.parquet(str(tmp_path / "documents.parquet"))
     folders = []
     monkeypatch.setattr(file_plans, "new_folder", lambda spark, label: folders.append(new_folder(spark, label)) or folders[-1])
     out = file_plans._scan_files_split(spark, str(tmp_path))
     want = Tables(spark, str(tmp_path)).documents.select("doc_id", "lang", "source", F.concat(F.lit('say "x", '), "text").alias("text"))
-    assert out.count() == 400 and out.exceptAll(want).isEmpty()
+    assert out.count() == 160 and out.exceptAll(want).isEmpty()
     written = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folders[0]).select("length").collect()
     assert len(written) > 3 and min(r["length"] for r in written) > 3000
