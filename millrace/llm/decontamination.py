@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.llm.common import byte_words, pick, shield, slices
+from millrace.llm.common import byte_words, lowered, pick, shield, slices
 from millrace.session import materialize
 
 TERMS = 1 << 16
@@ -39,6 +39,8 @@ CELLS = 1 << 22
 #: Passages that are multiplied at a time, and the terms, most frequent in them, for which that is a dense product.
 PASSAGES = 1 << 13
 FREQUENT = 512
+#: Rows that are summed at a time, so that they stay in a core's cache.
+ROWS = 1 << 11
 
 
 @dataclass(frozen=True)
@@ -71,9 +73,7 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def plain_words(text: str | None) -> list[bytes]:
     """The same words one by one."""
-    found = byte_words(pa.array([text or ""]))
-    data = found.data.tobytes()
-    return [data[a:b] for a, b in zip(found.start.tolist(), found.end.tolist(), strict=True)]
+    return lowered(np.frombuffer((text or "").encode(), np.uint8)).tobytes().split()
 
 
 def _halves(lengths: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,15 +123,18 @@ def _products(owner: np.ndarray, place: np.ndarray, values: np.ndarray, table: n
     by = np.argsort(-counts, kind="stable")  # those with most first, so that the j-th of each are a front part
     sizes, first = counts[by], (np.cumsum(counts) - counts)[by]
     out = np.zeros((n, table.shape[1]), np.float32)
-    for j in range(int(sizes[0]) if n else 0):
-        k = int(np.searchsorted(-sizes, -j, side="left"))
-        at = first[:k] + j
-        row = table.take(place[at], axis=0)
-        row *= values[at][:, None]
-        out[:k] += row
-    back = np.empty_like(out)
-    back[by] = out
-    return back
+    rows = np.empty((min(n, ROWS), table.shape[1]), np.float32)
+    for low in range(0, int(np.count_nonzero(counts)), ROWS):
+        size, start = sizes[low : low + ROWS], first[low : low + ROWS]
+        sums = np.zeros((len(size), table.shape[1]), np.float32)
+        for j in range(int(size[0])):
+            k = int(np.searchsorted(-size, -j, side="left"))
+            at = start[:k] + j
+            row = table.take(place[at], axis=0, out=rows[:k], mode="clip")
+            row *= values[at][:, None]
+            sums[:k] += row
+        out[by[low : low + ROWS]] = sums
+    return out
 
 
 def _sketch(flat: np.ndarray, starts: np.ndarray, idf: np.ndarray, omega: np.ndarray, total: np.ndarray) -> None:
@@ -319,16 +322,18 @@ def _covered(flat: np.ndarray, lengths: np.ndarray, index: Index, settings: Sett
     known = np.zeros(TERMS, bool)
     known[index.terms] = True
     at = np.flatnonzero(known[flat])
-    key = np.unique(np.repeat(np.arange(len(lengths)), lengths)[at] * TERMS + flat[at])
+    key = np.sort(np.repeat(np.arange(len(lengths)), lengths)[at] * TERMS + flat[at])
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
     doc, term = key // TERMS, key % TERMS
     first = np.searchsorted(index.terms, term)
     count = np.searchsorted(index.terms, term, side="right") - first
-    there = np.zeros(len(lengths) * len(index.items), np.int32)
+    there = np.zeros(len(lengths) * len(index.items))
     bounds = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + PAIRS, PAIRS), side="right")
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
         n = count[low:high]
         place = np.repeat(first[low:high] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        np.add.at(there, np.repeat(doc[low:high], n) * len(index.items) + index.owners[place, 0], index.owners[place, 1])
+        cell = np.repeat(doc[low:high] * len(index.items), n) + index.owners[place, 0]
+        there += np.bincount(cell, index.owners[place, 1], len(there))
     least = np.array([_least(item, settings) * len(item[1]) for item in index.items])
     return there.reshape(len(lengths), len(index.items)) >= least - 1e-9
 
@@ -393,10 +398,10 @@ def verify(found: list[bytes], start: int, item: tuple, settings: Settings) -> t
     words_, answer = item[1:3]
     region = found[max(0, start - len(words_)) : start + 2 * settings.half + len(words_)]
     there = set(region)
-    common = sum(w in there for w in words_) / len(words_)
+    common = sum(map(there.__contains__, words_)) / len(words_)
     if common >= _least(item, settings):
         common = common_subsequence(words_, region) / len(words_)
-    return common, sum(w in there for w in answer) / len(answer)
+    return common, sum(map(there.__contains__, answer)) / len(answer)
 
 
 def matches(docs: DataFrame, index: Index, settings: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -214,3 +215,55 @@ def test_a_sketch_is_the_product_of_its_passages(monkeypatch):
     rows = np.stack([np.bincount(flat[a : a + k], minlength=decontamination.TERMS) * idf for a, k in zip(starts, lengths, strict=True)])
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
     assert np.allclose(total, rows.T @ (rows @ omega), atol=1e-4)
+
+
+def test_words_of_items_are_counted_faster_than_pair_by_pair():
+    rng = np.random.default_rng(4)
+    settings, lengths = decontamination.Settings(), np.r_[0, rng.integers(1, 800, 400)]
+    flat = rng.integers(0, 500, int(lengths.sum())).astype(np.uint16)
+    found = [rng.integers(0, 500, 40) for _ in range(200)]
+    pairs = sorted((int(t), k, int(n)) for k, f in enumerate(found) for t, n in zip(*np.unique(f, return_counts=True), strict=True))
+    pairs = np.array(pairs, np.int64)
+    items = [(k, [b"w"] * 40, [], False) for k in range(200)]
+    index = decontamination.Index(np.zeros((0, 0)), items, np.zeros((0, 0)), pairs[:, 0], pairs[:, 1:])
+    docs = [set(d.tolist()) for d in np.split(flat, np.cumsum(lengths)[:-1])]
+    shares = np.array([[sum(t in d for t in f.tolist()) for f in found] for d in docs])
+    assert np.array_equal(decontamination._covered(flat, lengths, index, settings), shares >= 28)
+    cells, some = np.repeat(np.arange(401), [len(d) for d in docs]), np.concatenate([sorted(d) for d in docs]).astype(np.int64)
+    first, count = np.searchsorted(pairs[:, 0], some), np.bincount(pairs[:, 0], minlength=500)[some]
+    place = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    cells, numbers = np.repeat(cells, count) * 200 + pairs[place, 1], pairs[place, 2]
+    there = np.zeros(401 * 200, np.int32)
+
+    def seconds(run):
+        times = []
+        for _ in range(5):
+            began = time.process_time()
+            run()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    one_by_one = seconds(lambda: np.add.at(there, cells, numbers))
+    assert seconds(lambda: decontamination._covered(flat, lengths, index, settings)) < one_by_one
+
+
+@settings(deadline=None)
+@given(st.lists(st.text(alphabet="aZ 0.\n\x1c\x85\xa0\xc9\xd7\xe9\xdfŁ中", max_size=12) | st.none(), max_size=6))
+def test_plain_words_are_the_words_of_the_column(texts):
+    found = decontamination.byte_words(pa.array(texts, pa.string()))
+    data = found.data.tobytes()
+    ours = [data[a:b] for a, b in zip(found.start.tolist(), found.end.tolist(), strict=True)]
+    each = [decontamination.plain_words(t) for t in texts]
+    assert ours == [w for ws in each for w in ws] and found.lengths.tolist() == [len(ws) for ws in each]
+
+
+def test_row_sums_do_not_depend_on_the_block(monkeypatch):
+    rng = np.random.default_rng(6)
+    owner = np.sort(rng.zipf(1.5, 400) % 50)
+    place, values = rng.integers(0, 30, 400), rng.random(400).astype(np.float32)
+    table, want = rng.random((30, 5)).astype(np.float32), np.zeros((60, 5))
+    np.add.at(want, owner, table[place] * values[:, None])
+    for rows in (1, 7, 4096):
+        monkeypatch.setattr(decontamination, "ROWS", rows)
+        assert np.allclose(decontamination._products(owner, place, values, table, 60), want, rtol=1e-5)
+        assert decontamination._products(owner[:0], place[:0], values[:0], table, 0).shape == (0, 5)
