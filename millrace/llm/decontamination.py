@@ -145,8 +145,9 @@ def _sketch(flat: np.ndarray, starts: np.ndarray, idf: np.ndarray, omega: np.nda
         # unit length for every passage, with repeated words counted together
         key = np.sort(np.repeat(np.arange(n), np.diff(part)) * TERMS + flat[part[0] : part[-1]])
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        owner, term = key[first] // TERMS, key[first] % TERMS
-        values = (np.diff(np.r_[first, len(key)]) * idf[term]).astype(np.float32)
+        values = np.diff(np.r_[first, len(key)])
+        owner, term = key[first] // TERMS, key[first] & (TERMS - 1)
+        values = (values * idf[term]).astype(np.float32)
         norm = np.sqrt(np.bincount(owner, values * values, n))
         values /= np.maximum(norm, 1e-9)[owner].astype(np.float32)
         y = _products(owner, term, values, omega, n)
@@ -160,8 +161,10 @@ def _sketch(flat: np.ndarray, starts: np.ndarray, idf: np.ndarray, omega: np.nda
         total[frequent] += dense @ y
         term, owner, values = term[~many], owner[~many], values[~many]
         order = np.argsort(term.astype(np.uint16), kind="stable")
-        some, ids = np.unique(term, return_inverse=True)
-        total[some] += _products(ids[order], owner[order], values[order], y, len(some))
+        term = term[order]
+        new = np.r_[True, term[1:] != term[:-1]] if len(term) else np.zeros(0, bool)
+        some = term[new]
+        total[some] += _products(np.cumsum(new) - 1, owner[order], values[order], y, len(some))
 
 
 def latent_space(docs: DataFrame, idf: np.ndarray, n: int, parts: int, settings: Settings, seed: int = 7) -> np.ndarray:
@@ -380,14 +383,53 @@ def _near(flat: np.ndarray, lengths: np.ndarray, covered: np.ndarray, index: Ind
     # the last half of a document of several has been in the window before
     where = np.flatnonzero(more | np.r_[True, doc[1:] != doc[:-1]])
     unit = _unit(windows[where])
-    base = (np.cumsum(lengths) - lengths)[doc]
+    base = np.cumsum(lengths) - lengths
     step = max(1, min(4096, CELLS // len(index.items)))
     for i in range(0, len(unit), step):
         near = unit[i : i + step] @ index.latent.T
-        hits = (near >= settings.cosine) & covered[doc[where[i : i + step]]]
-        for at, item in zip(*(x.tolist() for x in np.nonzero(hits)), strict=True):
-            place = where[i + at]
-            yield int(doc[place]), item, int(starts[place] - base[place]), float(near[at, item])
+        at, item = np.nonzero((near >= settings.cosine) & covered[doc[where[i : i + step]]])
+        place, cosine = where[i + at], near[at, item]
+        own = doc[place]
+        start = starts[place] - base[own]
+        held = _held(flat, base, lengths, own, item, start, index, settings)
+        yield from zip(*(x[held].tolist() for x in (own, item, start, cosine)), strict=True)
+
+
+def _held(flat: np.ndarray, base: np.ndarray, lengths: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray, index: Index, settings: Settings) -> np.ndarray:
+    """Whether the region that ``verify`` looks at has enough of the item's words, in any order, for each window near an item.
+
+    A word counts where it stands first in a region: from the window after the last one that still has the word before it.
+    """
+    out = np.zeros(len(doc), bool)
+    if not len(doc):
+        return out
+    by_item = np.argsort(index.owners[:, 0], kind="stable")
+    bounds = np.searchsorted(index.owners[by_item, 0], np.arange(len(index.items) + 1))
+    order = np.lexsort((item, doc))
+    pair = doc[order] * len(index.items) + item[order]
+    edges = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1], True])
+    times = np.zeros(TERMS, np.int64)
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        rows = order[low:high]
+        d, k = doc[rows[0]], item[rows[0]]
+        own = by_item[bounds[k] : bounds[k + 1]]
+        size = len(index.items[k][1])
+        text = flat[base[d] : base[d] + lengths[d]]
+        times[index.terms[own]] = index.owners[own, 1]
+        found = times[text]
+        times[index.terms[own]] = 0
+        at = np.flatnonzero(found)
+        term, found = text[at], found[at]
+        by = np.argsort(term, kind="stable")
+        again = np.flatnonzero(term[by[1:]] == term[by[:-1]])
+        after = at - 2 * settings.half - size  # the windows that have the place in their region are after this one
+        until = at + size  # and up to this one
+        after[by[again + 1]] = np.maximum(after[by[again + 1]], until[by[again]])
+        entry = np.argsort(after, kind="stable")
+        entered, left = np.r_[0, np.cumsum(found[entry])], np.r_[0, np.cumsum(found)]
+        n = entered[np.searchsorted(after[entry], start[rows])] - left[np.searchsorted(until, start[rows])]
+        out[rows] = n >= _least(index.items[k], settings) * size - 1e-9
+    return out
 
 
 def verify(found: list[bytes], start: int, item: tuple, settings: Settings) -> tuple[float, float]:

@@ -267,3 +267,26 @@ def test_row_sums_do_not_depend_on_the_block(monkeypatch):
         monkeypatch.setattr(decontamination, "ROWS", rows)
         assert np.allclose(decontamination._products(owner, place, values, table, 60), want, rtol=1e-5)
         assert decontamination._products(owner[:0], place[:0], values[:0], table, 0).shape == (0, 5)
+
+
+def test_windows_without_enough_words_are_not_verified():
+    rng = np.random.default_rng(8)
+    options = decontamination.Settings(cosine=-1.0)
+    word = np.array([f"w{i}" for i in range(60)])
+    items = [(k, [w.encode() for w in rng.choice(word, n)], None) for k, n in enumerate((3, 7, 12, 25, 40))]
+    texts = [" ".join(rng.choice(word, n)) for n in (1, 5, 39, 40, 41, 300, 900)]
+    texts += [" ".join([*rng.choice(word, 70), *(w.decode() for w in f), *rng.choice(word, 30)]) for _, f, _ in items]
+    space = rng.normal(size=(decontamination.TERMS, 8)).astype(np.float32)
+    index = decontamination.index_of(items, np.ones(decontamination.TERMS), space, options, None)
+    got = {(d, i, s) for d, i, s, _ in decontamination._candidates(pa.array(texts), index, options)}
+    want, windows = set(), 0
+    for d, text in enumerate(texts):
+        text = decontamination.plain_words(text)
+        for i, item in enumerate(index.items):
+            least = decontamination._least(item, options)
+            for s in range(0, max(1, len(text) - options.half), options.half):
+                windows += 1
+                region = set(text[max(0, s - len(item[1])) : s + 2 * options.half + len(item[1])])
+                if sum(w in region for w in item[1]) >= least * len(item[1]) - 1e-9:
+                    want.add((d, i, s))
+    assert got == want and 5 <= len(want) < windows / 2
